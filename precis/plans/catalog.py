@@ -80,3 +80,182 @@ def q_lead_rouge_by_lang(spark, d):
         r6(F.avg("r1.precision")).alias("rouge1_p"),
         r6(F.avg("r1.recall")).alias("rouge1_r"),
         r6(F.avg("r1.fmeasure")).alias("rouge1_f"))
+
+
+# ---------------------------------------------------------------- splits / vocabulary / encoding
+from precis.functions import arrays as ar  # noqa: E402
+from precis.operators import batching as bt  # noqa: E402
+from precis.operators import encode as en  # noqa: E402
+from precis.operators import packing as pk  # noqa: E402
+from precis.operators import split as spx  # noqa: E402
+from precis.operators import vocab as vc  # noqa: E402
+
+
+def split_dialogues(spark, d):
+    """dialogues -> clean_text both sides -> exact 80/10/10 split."""
+    dl = tb.dialogues(spark, d)
+    c = dl.select("id", tx.clean_text("source").alias("source"), tx.clean_text("target").alias("target"))
+    return spx.split_80_10_10(c).drop("pos")
+
+
+def train_vocab(spark, d):
+    sp = split_dialogues(spark, d)
+    return vc.build_vocab(sp.where(F.col("split") == "train"), ("source", "target"), 20000)
+
+
+@register("split_assign", f"""WITH {D.articles_cte()},
+p AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS pos, count(*) OVER () AS n
+      FROM (SELECT id, {D.shuffle_key('id')} AS h FROM articles))
+SELECT id, pos, {D.three_way()} AS split FROM p""")
+def q_split_assign(spark, d):
+    """G3 + F4: seeded order and exact 80/10/10 membership of every article."""
+    return spx.split_80_10_10(tb.articles(spark, d).select("id")).select("id", "pos", "split")
+
+
+@register("split_sizes", f"""WITH {D.split_dialogues_ctes()}
+SELECT split, count(*) AS rows FROM sp GROUP BY split""")
+def q_split_sizes(spark, d):
+    """D2 + G3 over cleaned dialogues."""
+    return spx.split_sizes(split_dialogues(spark, d))
+
+
+@register("stratified_split", f"""WITH s AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, l.quality, l.toxic
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY quality, toxic ORDER BY h, id) - 1 AS pos,
+             count(*) OVER (PARTITION BY quality, toxic) AS n
+      FROM (SELECT *, {D.shuffle_key('id')} AS h FROM s))
+SELECT id, quality, toxic, pos, {D.three_way()} AS split FROM p""")
+def q_stratified_split(spark, d):
+    """80/10/10 inside each (quality, toxic) stratum of labelled documents."""
+    docs = tb.read_table(spark, d, "documents").select(F.col("doc_id"))
+    lab = tb.read_table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    s = docs.join(lab, "doc_id").select(F.col("doc_id").cast("string").alias("id"), "quality", "toxic")
+    return spx.stratified_split(s, ["quality", "toxic"]).select("id", "quality", "toxic", "pos", "split")
+
+
+@register("assign_batches", f"""WITH {D.articles_cte()},
+p AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS pos, count(*) OVER () AS n
+      FROM (SELECT id, {D.shuffle_key('id')} AS h FROM articles))
+SELECT id, pos // 32 AS batch, CAST(pos % 32 AS INTEGER) AS slot FROM p WHERE pos < (n // 32) * 32""")
+def q_assign_batches(spark, d):
+    """Seeded shuffle into batches of 32, last partial batch dropped."""
+    return spx.assign_batches(tb.articles(spark, d).select("id"), 32).select("id", "batch", "slot")
+
+
+@register("vocab", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}
+SELECT token, token_id, freq FROM vocab""")
+def q_vocab(spark, d):
+    """I1 = G2 + D1 + F1 + E1 over the train split of cleaned dialogues."""
+    return train_vocab(spark, d)
+
+
+@register("encode_word", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(198, 48)}
+SELECT id, split, array_to_string(list_concat(si, {D.zeros(200)})[1:200], ' ') AS src,
+       array_to_string(list_concat([1], ti, {D.zeros(50)})[1:50], ' ') AS trg,
+       array_to_string(list_concat(ti, [2], {D.zeros(50)})[1:50], ' ') AS trg_y FROM ids""")
+def q_encode_word(spark, d):
+    """I2 (C1 + H20-H22): fixed 200/50 word-id arrays for every dialogue."""
+    sp = split_dialogues(spark, d)
+    enc = en.encode_pairs_word(sp, train_vocab(spark, d))
+    return enc.join(sp.select("id", "split"), "id").select(
+        "id", "split", ar.ids_text("src").alias("src"), ar.ids_text("trg").alias("trg"),
+        ar.ids_text("trg_y").alias("trg_y"))
+
+
+@register("decode_word", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(198, 48)},
+y AS (SELECT id, list_concat(ti, [2], {D.zeros(50)})[1:50] AS trg_y FROM ids),
+u AS (SELECT id, unnest(trg_y) AS tid, generate_subscripts(trg_y, 1) AS pos FROM y),
+w AS (SELECT u.id, list(coalesce(v.token, '') ORDER BY u.pos) FILTER (WHERE u.tid NOT IN (0, 1, 2, 3)) AS toks
+      FROM u LEFT JOIN vocab v ON u.tid = v.token_id GROUP BY u.id)
+SELECT y.id, coalesce(array_to_string(w.toks, ' '), '') AS text FROM y LEFT JOIN w ON y.id = w.id""")
+def q_decode_word(spark, d):
+    """C2 + H29 (all) + H30: decoder targets back to text."""
+    sp = split_dialogues(spark, d)
+    v = train_vocab(spark, d)
+    enc = en.encode_pairs_word(sp, v).select("id", ar.strip_special_tokens("trg_y", "all").alias("ids"))
+    dec = vc.lookup_tokens(enc, "ids", v)
+    return dec.select("id", ar.join_tokens("tokens").alias("text")) if hasattr(ar, "join_tokens") else \
+        dec.select("id", F.array_join("tokens", " ").alias("text"))
+
+
+@register("unk_rate", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()},
+t AS (SELECT split, unnest({D.wtok('source')}) AS tok FROM sp)
+SELECT split, count(*) AS tokens, CAST(sum(CASE WHEN v.token IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown,
+       round(avg(CASE WHEN v.token IS NULL THEN 1 ELSE 0 END), 6) AS unk_rate
+FROM t LEFT JOIN vocab v ON t.tok = v.token GROUP BY split""")
+def q_unk_rate(spark, d):
+    """Out-of-vocabulary share per split (train vocabulary)."""
+    sp = split_dialogues(spark, d).select("split", tx.whitespace_tokens("source").alias("toks"))
+    return vc.unk_rate(sp, "toks", train_vocab(spark, d), ["split"])
+
+
+@register("length_stats", f"""WITH {D.split_dialogues_ctes()},
+t AS (SELECT split, len({D.wtok('source')}) AS n FROM sp)
+SELECT split, count(*) AS rows, round(avg(n), 6) AS avg_tokens, CAST(min(n) AS BIGINT) AS min_tokens,
+       CAST(max(n) AS BIGINT) AS max_tokens, round(avg(CASE WHEN n > 198 THEN 1.0 ELSE 0.0 END), 6) AS share_over
+FROM t GROUP BY split""")
+def q_length_stats(spark, d):
+    """D3: token-length distribution per split and the truncation share (> 198)."""
+    return en.length_stats(split_dialogues(spark, d), "source", 198, ["split"])
+
+
+def _full_ids(spark, d, cut):
+    sp = split_dialogues(spark, d)
+    toks = sp.select("id", tx.whitespace_tokens("source").alias("st"), tx.whitespace_tokens("target").alias("tt"))
+    sizes = toks.select("id", F.size("st").alias("la"), F.size("tt").alias("ls"))
+    ids = vc.encode_columns(toks, [("st", "si", cut), ("tt", "ti", cut)], train_vocab(spark, d))
+    return ids.join(sizes, "id")
+
+
+@register("pack_gpt", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(512, 512)},
+x AS (SELECT id, list_transform(si, lambda i: i + 5) AS a, list_transform(ti, lambda i: i + 5) AS s FROM ids),
+y AS (SELECT id,
+  CASE WHEN len(a) + len(s) + 3 > 512 AND 512 - len(s) - 3 < 10 THEN s[1:256] ELSE s END AS s2,
+  CASE WHEN len(a) + len(s) + 3 > 512 AND 512 - len(s) - 3 < 10 THEN a[1:253]
+       WHEN len(a) + len(s) + 3 > 512 THEN a[1:512 - len(s) - 3] ELSE a END AS a2 FROM x),
+z AS (SELECT id, list_concat([0], a2, [4], s2, [2]) AS seq,
+      list_concat(list_transform(range(len(a2) + 2), lambda i: 0), list_transform(range(len(s2) + 1), lambda i: 1)) AS m
+      FROM y)
+SELECT id, array_to_string(list_concat(seq, list_transform(range(greatest(512 - len(seq), 0)), lambda i: 1)), ' ') AS input_ids,
+       array_to_string(list_concat(m, list_transform(range(greatest(512 - len(seq), 0)), lambda i: 0)), ' ') AS loss_mask
+FROM z""")
+def q_pack_gpt(spark, d):
+    """I8: `<s> dialogue <sep> summary </s>` in 512 slots with the loss mask
+    (word ids shifted by 5 past the GPT specials; ids cut at 512 is exact)."""
+    ids = _full_ids(spark, d, 512)
+    shift = lambda c: F.transform(c, lambda i: i + 5)
+    p = ids.select("id", pk.pack_gpt(shift(F.col("si")), shift(F.col("ti")), 512).alias("p"))
+    return p.select("id", ar.ids_text("p.input_ids").alias("input_ids"), ar.ids_text("p.loss_mask").alias("loss_mask"))
+
+
+@register("pack_lm", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)},
+z AS (SELECT id, list_concat(si, [1, 0], ti, [1]) AS tokens,
+      list_concat(list_transform(range(len(si) + 2), lambda i: 0), list_transform(range(len(ti) + 1), lambda i: 1)) AS mask
+      FROM ids)
+SELECT id, array_to_string(tokens, ' ') AS tokens, array_to_string(mask, ' ') AS mask, CAST(len(tokens) AS BIGINT) AS length
+FROM z WHERE len(tokens) <= 2048""")
+def q_pack_lm(spark, d):
+    """I9 + B5: article+[EOS,SEP]+summary+[EOS] with mask; rows over 2048 dropped
+    (decided from the true sizes, so ids are cut at 2048 before the regroup)."""
+    ids = _full_ids(spark, d, 2048).where(F.col("la") + F.col("ls") + 3 <= 2048)
+    p = ids.select("id", pk.pack_lm("si", "ti").alias("p"))
+    p = pk.filter_by_length(p, "p.tokens", 2048)
+    return p.select("id", ar.ids_text("p.tokens").alias("tokens"), ar.ids_text("p.mask").alias("mask"),
+                    F.col("p.length").cast("bigint").alias("length"))
+
+
+@register("bucket_batches", f"""WITH {D.articles_cte()},
+l AS (SELECT id, len({D.wtok('source')}) + len({D.wtok('target')}) + 3 AS length FROM articles),
+b AS (SELECT id, length, CASE WHEN length < 128 THEN 0 WHEN length < 256 THEN 1 WHEN length < 512 THEN 2
+                              WHEN length < 1024 THEN 3 ELSE 4 END AS bucket FROM l WHERE length <= 2048),
+p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, id) - 1 AS pos,
+             count(*) OVER (PARTITION BY bucket) AS n, [16, 8, 4, 2, 1][bucket + 1] AS bs
+      FROM (SELECT *, {D.shuffle_key('id')} AS h FROM b))
+SELECT id, length, bucket, pos // bs AS batch, CAST(pos % bs AS INTEGER) AS slot FROM p WHERE pos < (n // bs) * bs""")
+def q_bucket_batches(spark, d):
+    """E4 (+ B5): packed-length buckets [128,256,512,1024] with batch sizes
+    [16,8,4,2,1]; incomplete batches dropped."""
+    a = tb.articles(spark, d)
+    l = a.select("id", (F.size(tx.whitespace_tokens("source")) + F.size(tx.whitespace_tokens("target")) + 3)
+                 .alias("length")).where(F.col("length") <= 2048)
+    return bt.bucket_by_length(l, "length").select("id", F.col("length"), "bucket", "batch", "slot")

@@ -75,3 +75,60 @@ def dialogues_cte() -> str:
             "string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS source, "
             "coalesce(split_part(arg_max(text, turn) FILTER (WHERE role = 'assistant'), chr(10), 1), '') AS target "
             "FROM conversations GROUP BY conv_id)")
+
+
+def wtok(x: str) -> str:
+    """``str.split()`` tokens."""
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), {q('[' + WS + ']+')}), lambda t: t <> '')"
+
+
+def zeros(n: int, v: int = 0) -> str:
+    return f"list_transform(range({n}), lambda i: {v})"
+
+
+def shuffle_key(x: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(CAST({x} AS VARCHAR) || ':{seed}'), 1, 8))::BIGINT"
+
+
+def three_way(pos: str = "pos", n: str = "n") -> str:
+    return (f"CASE WHEN {pos} < ceil(ceil({n} * 0.2::DOUBLE) * 0.5::DOUBLE) THEN 'test' "
+            f"WHEN {pos} < ceil({n} * 0.2::DOUBLE) THEN 'validation' ELSE 'train' END")
+
+
+def split_dialogues_ctes() -> str:
+    """dialogues -> cleaned (c) -> split (sp: id, source, target, split)."""
+    return f"""{dialogues_cte()},
+c AS (SELECT id, {clean('source')} AS source, {clean('target')} AS target FROM dialogues),
+sp AS (SELECT id, source, target, {three_way()} AS split FROM (
+  SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS pos, count(*) OVER () AS n
+  FROM (SELECT *, {shuffle_key('id')} AS h FROM c)))"""
+
+
+def vocab_ctes(max_size: int = 20000) -> str:
+    """train rows of sp -> word counts -> vocab(token, token_id, freq)."""
+    return f"""texts AS (SELECT 0 AS part, id AS row_key, source AS text FROM sp WHERE split = 'train'
+  UNION ALL SELECT 1 AS part, id AS row_key, target AS text FROM sp WHERE split = 'train'),
+toks AS (SELECT part, row_key, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos
+  FROM (SELECT part, row_key, {wtok('text')} AS t FROM texts)),
+wc AS (SELECT token, count(*) AS freq, min({{'part': part, 'row_key': row_key, 'pos': pos}}) AS first
+  FROM toks GROUP BY token),
+top AS (SELECT * FROM wc ORDER BY freq DESC, first ASC LIMIT {max_size}),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, first ASC) + 3 AS INTEGER) AS token_id, freq
+  FROM top WHERE token NOT IN ('<PAD>', '<SOS>', '<EOS>', '<UNK>')
+  UNION ALL SELECT * FROM (VALUES ('<PAD>', 0, 0::BIGINT), ('<SOS>', 1, 0::BIGINT), ('<EOS>', 2, 0::BIGINT),
+                                  ('<UNK>', 3, 0::BIGINT)) v(token, token_id, freq))"""
+
+
+def ids_ctes(src_cut: int | None, tgt_cut: int | None) -> str:
+    """sp + vocab -> ids(id, split, si, ti): word ids (UNK 3), cut at the limits."""
+    cond = []
+    cond.append(f"(part = 0{' AND pos < ' + str(src_cut) if src_cut is not None else ''})")
+    cond.append(f"(part = 1{' AND pos < ' + str(tgt_cut) if tgt_cut is not None else ''})")
+    return f"""ex AS (SELECT * FROM (SELECT id, part, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos
+  FROM (SELECT id, 0 AS part, {wtok('source')} AS t FROM sp UNION ALL SELECT id, 1 AS part, {wtok('target')} AS t FROM sp))
+  WHERE {' OR '.join(cond)}),
+lk AS (SELECT id, list(coalesce(v.token_id, 3) ORDER BY pos) FILTER (WHERE part = 0) AS si,
+              list(coalesce(v.token_id, 3) ORDER BY pos) FILTER (WHERE part = 1) AS ti
+  FROM ex LEFT JOIN vocab v ON ex.tok = v.token GROUP BY id),
+ids AS (SELECT sp.id, sp.split, coalesce(lk.si, []::INTEGER[]) AS si, coalesce(lk.ti, []::INTEGER[]) AS ti
+  FROM sp LEFT JOIN lk ON sp.id = lk.id)"""
