@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precis.functions.text import clean_text, sentences
 from precis.operators.rouge import rouge_tokens
@@ -84,12 +85,13 @@ def summarize_textrank(df: DataFrame, n: int = 3, text: str = "source", out: str
     ``checkpoint()`` into the session's checkpoint folder.
     """
     sents = doc_sentences(df, text)
-    inc = sentence_tokens(sents).distinct()                       # A: (id, sent_pos, token)
+    # A: (id, sent_pos, token) — written once, reused by every round
+    inc = sentence_tokens(sents).distinct().checkpoint()
     wdeg = inc.groupBy("id", "token").agg(F.count(F.lit(1)).alias("wdeg"))
     # out-degree of sentence i in A A^T minus self loops: sum_w (wdeg_w - 1)
     outdeg = (inc.join(wdeg, ["id", "token"]).groupBy("id", "sent_pos")
               .agg(F.sum(F.col("wdeg") - 1).alias("out"), F.count(F.lit(1)).alias("nw")))
-    score = outdeg.select("id", "sent_pos", "out", "nw", F.lit(1.0).alias("s"))
+    score = outdeg.select("id", "sent_pos", "out", "nw", F.lit(1.0).alias("s")).checkpoint()
     q = F.when(F.col("out") > 0, F.col("s") / F.col("out")).otherwise(F.lit(0.0))
     for it in range(iterations):
         share = score.select("id", "sent_pos", q.alias("q"))
@@ -146,5 +148,7 @@ def summarize(df: DataFrame, model: Callable[[list[str]], list[str]], text: str
             pdf["system"] = system
             yield pdf
 
-    schema = df.schema.add(out, "string").add("status", "string").add("system", "string")
+    schema = T.StructType(list(df.select(*cols).schema.fields) + [
+        T.StructField(out, T.StringType()), T.StructField("status", T.StringType()),
+        T.StructField("system", T.StringType())])
     return df.select(*cols).mapInPandas(run, schema)

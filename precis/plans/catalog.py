@@ -259,3 +259,166 @@ def q_bucket_batches(spark, d):
     l = a.select("id", (F.size(tx.whitespace_tokens("source")) + F.size(tx.whitespace_tokens("target")) + 3)
                  .alias("length")).where(F.col("length") <= 2048)
     return bt.bucket_by_length(l, "length").select("id", F.col("length"), "bucket", "batch", "slot")
+
+
+# ---------------------------------------------------------------- summarizers and evaluation
+from precis.operators import evaluate as ev  # noqa: E402
+
+SYSTEMS = ["lead1", "lead3", "frequency", "python_first_sentence"]
+
+
+def first_sentence_model(texts):
+    """A plug-in 'model' for I14/I20: text up to the first . ! ? — raises on
+    text without one, which the operator isolates as status 'Error'."""
+    import re
+    out = []
+    for t in texts:
+        m = re.match(r"[^.!?]*[.!?]", t)
+        if m is None:
+            raise ValueError("no sentence terminator")
+        out.append(m.group(0))
+    return out
+
+
+def article_systems(spark, d):
+    a = tb.articles(spark, d)
+    systems = {
+        "lead1": lambda x: sm.summarize_lead(x, 1),
+        "lead3": lambda x: sm.summarize_lead(x, 3),
+        "frequency": lambda x: sm.summarize_frequency(x, 3),
+        "python_first_sentence": lambda x: sm.summarize(x, first_sentence_model, system="python_first_sentence"),
+    }
+    return ev.run_systems(a, systems)
+
+
+def _flat_scores(scored, kinds=("rouge1", "rouge2", "rougeL")):
+    cols = []
+    for k in kinds:
+        for part, short in (("precision", "p"), ("recall", "r"), ("fmeasure", "f")):
+            cols.append(r6(F.col(f"{k}.{part}")).alias(f"{k}_{short}"))
+    return cols
+
+
+@register("sentences", f"""WITH {D.articles_cte()}, {D.sents_ctes()}
+SELECT id, CAST(sent_pos AS INTEGER) AS sent_pos, sentence FROM s""")
+def q_sentences(spark, d):
+    """H10 (+ H1): rule-based sentences of every cleaned article."""
+    return sm.doc_sentences(tb.articles(spark, d)).select("id", "sent_pos", "sentence")
+
+
+@register("rouge_scores", f"""WITH {D.articles_cte()}, {D.sents_ctes()},
+lead AS (SELECT id, lang, target, 'lead3' AS system, array_to_string(sl[1:3], ' ') AS summary FROM sl),
+{D.rouge_row_ctes('lead')}
+SELECT id, rouge1_p, rouge1_r, rouge1_f, rouge2_p, rouge2_r, rouge2_f FROM sc""")
+def q_rouge_scores(spark, d):
+    """I16: per-article ROUGE-1/2 P/R/F of lead-3 against the first line."""
+    a = sm.summarize_lead(tb.articles(spark, d), 3)
+    s = rg.rouge_columns(a, "summary", "target", ("rouge1", "rouge2"))
+    return s.select("id", *_flat_scores(s, ("rouge1", "rouge2")))
+
+
+@register("rougeL_scores")
+def q_rougeL_scores(spark, d):
+    """I17 + I18: ROUGE-L and ROUGE-Lsum of lead-3 (sentence lines) against the
+    first line, whole texts (LCS has no fast SQL form; checked in tests
+    against a plain dynamic program)."""
+    a = sm.summarize_lead(tb.articles(spark, d), 3)
+    a = a.withColumn("summary_lines", tx.sentence_lines("summary"))
+    s = rg.rouge_columns(a, "summary", "target", ("rougeL",))
+    s = s.withColumn("rougeLsum", rg.rouge_lsum(F.col("summary_lines"), F.col("target")))
+    return s.select("id", *_flat_scores(s, ("rougeL", "rougeLsum")))
+
+
+@register("frequency_summaries", f"""WITH {D.articles_cte()}, {D.sents_ctes()}, {D.freq_ctes()}
+SELECT a.id, coalesce(fsum.summary, '') AS summary FROM articles a LEFT JOIN fsum ON a.id = fsum.id""")
+def q_frequency_summaries(spark, d):
+    """I15 frequency: top-3 sentences by mean in-document word frequency."""
+    return sm.summarize_frequency(tb.articles(spark, d), 3).select("id", "summary")
+
+
+@register("textrank_summaries")
+def q_textrank_summaries(spark, d):
+    """I15 TextRank (iterative; rows-only here, brute-force checked in tests)."""
+    return sm.summarize_textrank(tb.articles(spark, d), 3).select("id", "summary")
+
+
+@register("evaluate_systems", f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')}
+SELECT sc.id, sc.system, sys.status, sc.rouge1_f, sc.rouge2_f
+FROM sc JOIN sys ON sc.id = sys.id AND sc.system = sys.system""")
+def q_evaluate_systems(spark, d):
+    """I19 + I20: four systems over every article, long result with status and ROUGE-1/2 F."""
+    s = ev.score_systems(article_systems(spark, d), kinds=("rouge1", "rouge2"))
+    return s.select("id", "system", "status", r6(F.col("rouge1.fmeasure")).alias("rouge1_f"),
+                    r6(F.col("rouge2.fmeasure")).alias("rouge2_f"))
+
+
+_REPORT_SQL = f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')},
+raw AS (SELECT system, metric, v FROM (
+  SELECT system, 'rouge1' AS metric, {D.prf_f('h1', 'len(ct)', 'len(rt)')} AS v FROM hh
+  UNION ALL SELECT system, 'rouge2', {D.prf_f('h2', 'len(c2)', 'len(r2)')} FROM hh))
+SELECT metric, {', '.join(f"round(avg(v) FILTER (WHERE system = '{s}'), 6) AS {s}" for s in SYSTEMS)}
+FROM raw GROUP BY metric"""
+
+
+@register("comparison_report", _REPORT_SQL)
+def q_comparison_report(spark, d):
+    """D12 + D4 + C4: metric x system table of mean ROUGE F."""
+    kinds = ("rouge1", "rouge2")
+    return ev.comparison_report(ev.score_systems(article_systems(spark, d), kinds=kinds), SYSTEMS, kinds)
+
+
+@register("status_counts", f"""WITH {D.articles_cte()}, {D.systems_ctes()}
+SELECT system, status, count(*) AS rows FROM sys GROUP BY system, status""")
+def q_status_counts(spark, d):
+    """D15 + I20: per-system outcome counts (a failing plug-in row is 'Error',
+    an empty output 'Missing')."""
+    return ev.status_counts(article_systems(spark, d))
+
+
+_CDF = ", ".join(f"{c!r}::DOUBLE" for c in ev.POISSON1_CDF)
+
+
+@register("bootstrap_scores", f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')},
+x AS (SELECT system, id, f1_raw AS v, unnest(range(1, 1001)) AS b FROM sc),
+w AS (SELECT system, b, v, ('0x' || substr(md5(id || ':' || CAST(b AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM x),
+cdf AS (SELECT [{_CDF}] AS c),
+ww AS (SELECT system, b, v, coalesce(list_position(list_transform(c, lambda t: u < t), true) - 1, 13) AS wt FROM w, cdf),
+reps AS (SELECT system, b, sum(wt * v) / sum(wt) AS m FROM ww GROUP BY system, b),
+q AS (SELECT system, quantile_cont(m, [0.025, 0.5, 0.975]) AS q FROM reps WHERE m IS NOT NULL GROUP BY system)
+SELECT system, round(q[1], 6) AS low, round(q[2], 6) AS mid, round(q[3], 6) AS high FROM q""")
+def q_bootstrap_scores(spark, d):
+    """Poisson-bootstrap (1000 replicates) 2.5/50/97.5 % of mean ROUGE-1 F per system."""
+    s = ev.score_systems(article_systems(spark, d), kinds=("rouge1",))
+    return ev.bootstrap_scores(s, F.col("rouge1.fmeasure"), 1000)
+
+
+_BLEU_NG = ", ".join(f"{D.ngrams('ct', n)} AS c{n}, {D.ngrams('rt', n)} AS r{n}" for n in range(1, 5))
+_BLEU_HITS = ",\n".join(D.hits_cte(f"bh{n}", "t", "id, lang", f"c{n}", f"r{n}") for n in range(1, 5))
+
+
+@register("bleu_by_lang", f"""WITH {D.articles_cte()}, {D.sents_ctes()},
+t0 AS (SELECT id, lang, {D.rtokens("array_to_string(sl[1:3], ' ')")} AS ct, {D.rtokens('target')} AS rt FROM sl),
+t AS (SELECT id, lang, ct, rt, {_BLEU_NG} FROM t0),
+{_BLEU_HITS},
+g AS (SELECT t.lang, {', '.join(f"coalesce(bh{n}.hits, 0) AS m{n}, len(c{n}) AS t{n}" for n in range(1, 5))},
+      len(ct) AS cl, len(rt) AS rl FROM t {' '.join(f"LEFT JOIN bh{n} ON t.id = bh{n}.id" for n in range(1, 5))}),
+a AS (SELECT lang, CAST(sum(cl) AS BIGINT) AS c_len, CAST(sum(rl) AS BIGINT) AS r_len,
+      {', '.join(f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in range(1, 5))} FROM g GROUP BY lang)
+SELECT lang, c_len, r_len, round(CASE WHEN m1 > 0 AND m2 > 0 AND m3 > 0 AND m4 > 0 AND c_len > 0 THEN
+  (CASE WHEN c_len > r_len THEN 1.0 ELSE exp(1 - r_len / c_len) END) *
+  exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) ELSE 0.0 END, 6) AS bleu FROM a""")
+def q_bleu_by_lang(spark, d):
+    """Corpus BLEU-4 of lead-3 against the first line, per language."""
+    a = sm.summarize_lead(tb.articles(spark, d), 3)
+    b = rg.bleu(a, "summary", "target", ["lang"])
+    return b.select("lang", F.col("c_len").cast("bigint").alias("c_len"), F.col("r_len").cast("bigint").alias("r_len"),
+                    r6(F.col("bleu")).alias("bleu"))
+
+
+@register("preview", f"""WITH {D.articles_cte()}
+SELECT id, substring(source, 1, 200) || '...' AS article, target AS reference FROM articles ORDER BY id LIMIT 5""")
+def q_preview(spark, d):
+    """The first five examples by key, article cut to 200 chars + '...'."""
+    a = tb.articles(spark, d)
+    return tb.preview(a.select("id", tx.preview_text("source", 200).alias("article"),
+                               F.col("target").alias("reference")), 5)

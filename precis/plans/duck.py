@@ -132,3 +132,65 @@ lk AS (SELECT id, list(coalesce(v.token_id, 3) ORDER BY pos) FILTER (WHERE part
   FROM ex LEFT JOIN vocab v ON ex.tok = v.token GROUP BY id),
 ids AS (SELECT sp.id, sp.split, coalesce(lk.si, []::INTEGER[]) AS si, coalesce(lk.ti, []::INTEGER[]) AS ti
   FROM sp LEFT JOIN lk ON sp.id = lk.id)"""
+
+
+def sents_ctes() -> str:
+    """articles -> sl(id, lang, target, sl list) -> s(id, sent_pos, sentence)."""
+    return f"""sl AS (SELECT id, lang, target, source, {sentences(clean('source'))} AS sl FROM articles),
+s AS (SELECT id, unnest(sl) AS sentence, generate_subscripts(sl, 1) - 1 AS sent_pos FROM sl)"""
+
+
+def freq_ctes(n: int = 3) -> str:
+    """s -> fsum(id, summary): frequency summarizer."""
+    return f"""ft AS (SELECT id, sent_pos, unnest({rtokens('sentence')}) AS token FROM s),
+fwc AS (SELECT id, token, count(*) AS wc FROM ft GROUP BY id, token),
+fdl AS (SELECT id, count(*) AS dl FROM ft GROUP BY id),
+fsc AS (SELECT ft.id, ft.sent_pos, sum(fwc.wc) AS s, count(*) AS len FROM ft JOIN fwc ON ft.id = fwc.id AND ft.token = fwc.token
+        GROUP BY ft.id, ft.sent_pos),
+fsc2 AS (SELECT fsc.id, fsc.sent_pos, fsc.s / (fsc.len * fdl.dl) AS score FROM fsc JOIN fdl ON fsc.id = fdl.id),
+ftop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, sent_pos) AS rk FROM fsc2) WHERE rk <= {n}),
+fsum AS (SELECT ftop.id, string_agg(s.sentence, ' ' ORDER BY ftop.sent_pos) AS summary
+         FROM ftop JOIN s ON ftop.id = s.id AND ftop.sent_pos = s.sent_pos GROUP BY ftop.id)"""
+
+
+def systems_ctes() -> str:
+    """articles -> sys(id, lang, target, source, system, summary, status) for lead1, lead3, frequency, python_first_sentence."""
+    return f"""{sents_ctes()}, {freq_ctes()},
+sys0 AS (
+  SELECT id, lang, target, source, 'lead1' AS system, array_to_string(sl[1:1], ' ') AS summary, 'ok' AS st FROM sl
+  UNION ALL SELECT id, lang, target, source, 'lead3', array_to_string(sl[1:3], ' '), 'ok' FROM sl
+  UNION ALL SELECT sl.id, lang, target, source, 'frequency', coalesce(fsum.summary, ''), 'ok' FROM sl LEFT JOIN fsum ON sl.id = fsum.id
+  UNION ALL SELECT id, lang, target, source, 'python_first_sentence',
+     CASE WHEN regexp_matches(source, '[.!?]') THEN regexp_extract(source, '^[^.!?]*[.!?]') ELSE '' END,
+     CASE WHEN regexp_matches(source, '[.!?]') THEN 'ok' ELSE 'Error' END FROM sl),
+sys AS (SELECT id, lang, target, source, system, summary,
+  CASE WHEN st = 'ok' AND coalesce(length(summary), 0) = 0 THEN 'Missing' ELSE st END AS status FROM sys0)"""
+
+
+def hits_cte(name: str, src: str, keys: str, a: str, b: str) -> str:
+    """Relational clipped overlap of list columns a, b of {src} per key:
+    {name}(keys..., hits) — rows only for keys with at least one gram."""
+    return f"""{name}_u AS (SELECT {keys}, 0 AS side, unnest({a}) AS g FROM {src}
+  UNION ALL SELECT {keys}, 1 AS side, unnest({b}) AS g FROM {src}),
+{name} AS (SELECT {keys}, sum(least(ca, cb)) AS hits FROM (
+  SELECT {keys}, g, count(*) FILTER (WHERE side = 0) AS ca, count(*) FILTER (WHERE side = 1) AS cb
+  FROM {name}_u GROUP BY {keys}, g) GROUP BY {keys})"""
+
+
+def rouge_row_ctes(src: str = "sys") -> str:
+    """{src}(id, system, lang, summary, target) -> sc(id, system, lang, rouge1/rouge2 p r f, f1_raw)."""
+    return f"""tk AS (SELECT *, {rtokens('summary')} AS ct, {rtokens('target')} AS rt FROM {src}),
+tk2 AS (SELECT id, system, lang, ct, rt, {ngrams('ct', 2)} AS c2, {ngrams('rt', 2)} AS r2 FROM tk),
+{hits_cte('h1t', 'tk2', 'id, system', 'ct', 'rt')},
+{hits_cte('h2t', 'tk2', 'id, system', 'c2', 'r2')},
+hh AS (SELECT tk2.*, coalesce(h1t.hits, 0) AS h1, coalesce(h2t.hits, 0) AS h2 FROM tk2
+  LEFT JOIN h1t ON tk2.id = h1t.id AND tk2.system = h1t.system
+  LEFT JOIN h2t ON tk2.id = h2t.id AND tk2.system = h2t.system),
+sc AS (SELECT id, system, lang, {prf('h1', 'len(ct)', 'len(rt)', 'rouge1')}, {prf('h2', 'len(c2)', 'len(r2)', 'rouge2')},
+       ({prf_f('h1', 'len(ct)', 'len(rt)')}) AS f1_raw FROM hh)"""
+
+
+def prf_f(hits: str, nc: str, nr: str) -> str:
+    p = f"(({hits}) / greatest({nc}, 1))"
+    r = f"(({hits}) / greatest({nr}, 1))"
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
