@@ -22,10 +22,25 @@ from precis.sources import tables as tb
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Intermediates shared by the branches of one query (e.g. the vocabulary
+# feeds a size check and several joins).  Cleared whenever a query is built.
+_MEMO: dict = {}
+
+
+def memo(key, build):
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
 
 def register(name: str, oracle: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, d):
+            _MEMO.clear()
+            return fn(spark, d)
+        run.__doc__ = fn.__doc__
+        run.__name__ = fn.__name__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
@@ -93,14 +108,20 @@ from precis.operators import vocab as vc  # noqa: E402
 
 def split_dialogues(spark, d):
     """dialogues -> clean_text both sides -> exact 80/10/10 split."""
-    dl = tb.dialogues(spark, d)
-    c = dl.select("id", tx.clean_text("source").alias("source"), tx.clean_text("target").alias("target"))
-    return spx.split_80_10_10(c).drop("pos")
+    def build():
+        dl = tb.dialogues(spark, d)
+        c = dl.select("id", tx.clean_text("source").alias("source"), tx.clean_text("target").alias("target"))
+        return spx.split_80_10_10(c).drop("pos")
+    return memo(("split", d), build)
 
 
 def train_vocab(spark, d):
-    sp = split_dialogues(spark, d)
-    return vc.build_vocab(sp.where(F.col("split") == "train"), ("source", "target"), 20000)
+    """The train vocabulary (<= 20,004 rows), written once: it is size-checked
+    before being broadcast and read by several joins."""
+    def build():
+        sp = split_dialogues(spark, d)
+        return vc.build_vocab(sp.where(F.col("split") == "train"), ("source", "target"), 20000).checkpoint()
+    return memo(("vocab", d), build)
 
 
 @register("split_assign", f"""WITH {D.articles_cte()},
@@ -200,6 +221,10 @@ def q_length_stats(spark, d):
 
 
 def _full_ids(spark, d, cut):
+    return memo(("ids", d, cut), lambda: _full_ids_plan(spark, d, cut))
+
+
+def _full_ids_plan(spark, d, cut):
     sp = split_dialogues(spark, d)
     toks = sp.select("id", tx.whitespace_tokens("source").alias("st"), tx.whitespace_tokens("target").alias("tt"))
     sizes = toks.select("id", F.size("st").alias("la"), F.size("tt").alias("ls"))
@@ -422,3 +447,108 @@ def q_preview(spark, d):
     a = tb.articles(spark, d)
     return tb.preview(a.select("id", tx.preview_text("source", 200).alias("article"),
                                F.col("target").alias("reference")), 5)
+
+
+# ---------------------------------------------------------------- language model, losses, decoding
+from precis.operators import decode as dc  # noqa: E402
+from precis.operators import lm as lmx  # noqa: E402
+
+
+def lm_parts(spark, d):
+    """Train-split word-id sequences -> bigram LM (checkpointed: it is read by
+    several joins), context table and V."""
+    ids = _full_ids(spark, d, None).join(split_dialogues(spark, d).select("id", "split"), "id").checkpoint()
+    v = train_vocab(spark, d)
+    V = v.count()
+    seqs = ids.where(F.col("split") == "train").select(
+        "id", F.concat(F.array(F.lit(vc.SOS)), "si", F.array(F.lit(vc.EOS))).alias("seq"))
+    lm = lmx.fit_ngram_lm(seqs, "seq", V, order=2, k=1.0).checkpoint()
+    return ids, v, V, lm, lmx.context_table(lm, V, 1.0)
+
+
+@register("ngram_lm", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()}
+SELECT ctx, token, count, round(logp, 6) AS logp FROM lm""")
+def q_ngram_lm(spark, d):
+    """Add-1 bigram model over [SOS] + ids + [EOS] of the train split."""
+    _, _, _, lm, _ = lm_parts(spark, d)
+    return lm.select("ctx", "token", "count", r6(F.col("logp")).alias("logp"))
+
+
+@register("cross_entropy", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()},
+b AS (SELECT item_id, {D.wtok(D.clean('text'))} AS t FROM benchmark),
+bu AS (SELECT item_id, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM b),
+bi AS (SELECT bu.item_id, list(coalesce(v.token_id, 3) ORDER BY pos) AS ids FROM bu LEFT JOIN vocab v ON bu.tok = v.token
+       GROUP BY bu.item_id),
+bs AS (SELECT b.item_id, list_concat([1], coalesce(bi.ids, []::INTEGER[]), [2]) AS seq FROM b LEFT JOIN bi ON b.item_id = bi.item_id),
+bp AS (SELECT item_id, CAST(unnest(seq[1:len(seq) - 1]) AS VARCHAR) AS ctx, unnest(seq[2:len(seq)]) AS token FROM bs),
+sc AS (SELECT bp.item_id, bp.token, coalesce(lm.logp, c2.unseen_logp, -ln(v)) AS logp,
+              coalesce(c2.mean_nll, ln(v)) AS mean_nll, am.next
+       FROM bp LEFT JOIN lm ON bp.ctx = lm.ctx AND bp.token = lm.token LEFT JOIN ctx2 c2 ON bp.ctx = c2.ctx
+       LEFT JOIN am ON bp.ctx = am.ctx, V)
+SELECT item_id, count(*) AS tokens, round(avg(-logp), 6) AS ce, round(avg(0.9 * -logp + 0.1 * mean_nll), 6) AS ce_smooth,
+       round(exp(avg(-logp)), 6) AS ppl, round(avg(CASE WHEN next = token THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM sc WHERE token <> 0 GROUP BY item_id""")
+def q_cross_entropy(spark, d):
+    """D8 + D9 + D10 (+ C1): held-out benchmark texts under the bigram model:
+    cross-entropy, label-smoothed loss (eps 0.1), perplexity, argmax accuracy."""
+    _, v, V, lm, ctx = lm_parts(spark, d)
+    b = tb.read_table(spark, d, "benchmark").select("item_id", tx.whitespace_tokens(tx.clean_text("text")).alias("t"))
+    ids = vc.encode_columns(b, [("t", "ids", None)], v, key="item_id")
+    seqs = ids.select("item_id", F.concat(F.array(F.lit(vc.SOS)), "ids", F.array(F.lit(vc.EOS))).alias("seq"))
+    pairs = lmx.ngram_pairs(seqs, "seq", 2, keep=["item_id"])
+    scored = lmx.score_pairs(pairs, lm, ctx, V)
+    ce = lmx.cross_entropy(scored, ["item_id"])
+    acc = lmx.token_accuracy(pairs, lm, ["item_id"])
+    return ce.join(acc, "item_id").select(
+        "item_id", "tokens", r6(F.col("ce")).alias("ce"), r6(F.col("ce_smooth")).alias("ce_smooth"),
+        r6(F.col("ppl")).alias("ppl"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+@register("masked_loss", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()},
+pk AS (SELECT id, list_concat(si, [2, 0], ti, [2]) AS seq,
+       list_concat(list_transform(range(len(si) + 2), lambda i: 0), list_transform(range(len(ti) + 1), lambda i: 1)) AS m
+       FROM ids WHERE split = 'validation'),
+pp AS (SELECT id, CAST(unnest(seq[1:len(seq) - 1]) AS VARCHAR) AS ctx, unnest(seq[2:len(seq)]) AS token,
+              unnest(m[2:len(m)]) AS mk FROM pk),
+sc AS (SELECT pp.id, pp.mk, coalesce(lm.logp, c2.unseen_logp, -ln(v)) AS logp
+       FROM pp LEFT JOIN lm ON pp.ctx = lm.ctx AND pp.token = lm.token LEFT JOIN ctx2 c2 ON pp.ctx = c2.ctx, V)
+SELECT id, round(sum(-logp * mk) / (sum(mk) + 1e-9), 6) AS masked_loss FROM sc GROUP BY id""")
+def q_masked_loss(spark, d):
+    """I9 + D7: validation dialogues packed as dialogue+[EOS,PAD]+summary+[EOS];
+    bigram loss averaged over the summary part only (mask)."""
+    ids, _, V, lm, ctx = lm_parts(spark, d)
+    p = ids.where(F.col("split") == "validation").select("id", pk.pack_lm("si", "ti", eos=vc.EOS, sep=vc.PAD).alias("p"))
+    pairs = lmx.ngram_pairs(p.select("id", "p.tokens", "p.mask"), "tokens", 2, keep=["id"], mask="mask")
+    scored = lmx.score_pairs(pairs, lm, ctx, V)
+    return lmx.masked_mean_loss(scored, "m", ["id"]).select("id", r6(F.col("masked_loss")).alias("masked_loss"))
+
+
+def _prompts(ids):
+    """[SOS] + first source id, for every test dialogue."""
+    return ids.where(F.col("split") == "test").select(
+        "id", F.concat(F.array(F.lit(vc.SOS)), F.slice("si", 1, 1)).alias("prompt"))
+
+
+@register("greedy_decode", f"""WITH RECURSIVE {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()},
+st AS (SELECT id, list_concat([1], si[1:1]) AS prompt FROM ids WHERE split = 'test'),
+gen(id, step, last, seq) AS (
+  SELECT id, 0, CAST(prompt[len(prompt)] AS VARCHAR), []::INTEGER[] FROM st
+  UNION ALL
+  SELECT g.id, g.step + 1, CAST(am.next AS VARCHAR), list_append(g.seq, am.next)
+  FROM gen g JOIN am ON g.last = am.ctx WHERE g.step < 50 AND am.next <> 2)
+SELECT id, array_to_string(arg_max(seq, step), ' ') AS generated FROM gen GROUP BY id""")
+def q_greedy_decode(spark, d):
+    """I11 (+ F3): greedy continuation (<= 50 tokens, stop at EOS) of every
+    test dialogue's first word, all documents per step."""
+    ids, _, _, lm, _ = lm_parts(spark, d)
+    g = dc.greedy_decode(_prompts(ids), lm, order=2, max_len=50)
+    return g.select("id", ar.ids_text("generated").alias("generated"))
+
+
+@register("beam_search")
+def q_beam_search(spark, d):
+    """I12 (+ C9, E5, F2): beam 3, <= 50 steps over every test dialogue
+    (iterative; rows-only here, brute-force checked in tests)."""
+    ids, _, _, lm, _ = lm_parts(spark, d)
+    b = dc.beam_search(_prompts(ids), lm, beam_size=3, max_len=50)
+    return b.select("id", ar.ids_text("generated").alias("generated"), r6(F.col("score")).alias("score"), "finished")

@@ -194,3 +194,17 @@ def prf_f(hits: str, nc: str, nr: str) -> str:
     p = f"(({hits}) / greatest({nc}, 1))"
     r = f"(({hits}) / greatest({nr}, 1))"
     return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END"
+
+
+def lm_ctes(k: float = 1.0) -> str:
+    """ids (full) -> V, lm(ctx, token, count, logp), ctx2(ctx, unseen_logp, mean_nll), am(ctx, next)."""
+    return f"""V AS (SELECT count(*) AS v FROM vocab),
+seqs AS (SELECT id, list_concat([1], si, [2]) AS seq FROM ids WHERE split = 'train'),
+pairs AS (SELECT CAST(unnest(seq[1:len(seq) - 1]) AS VARCHAR) AS ctx, unnest(seq[2:len(seq)]) AS token FROM seqs),
+cnt AS (SELECT ctx, token, count(*) AS count FROM pairs GROUP BY ctx, token),
+lm AS (SELECT ctx, token, count, ln((count + {k}::DOUBLE) / (sum(count) OVER (PARTITION BY ctx) + {k}::DOUBLE * v)) AS logp
+       FROM cnt, V),
+ctxt AS (SELECT ctx, sum(count) AS total, count(*) AS n_seen, sum(logp) AS sum_logp FROM lm GROUP BY ctx),
+ctx2 AS (SELECT ctx, ln({k}::DOUBLE / (total + {k}::DOUBLE * v)) AS unseen_logp,
+         -(sum_logp + (v - n_seen) * ln({k}::DOUBLE / (total + {k}::DOUBLE * v))) / v AS mean_nll FROM ctxt, V),
+am AS (SELECT ctx, first(token ORDER BY count DESC, token ASC) AS next FROM lm GROUP BY ctx)"""
