@@ -552,3 +552,95 @@ def q_beam_search(spark, d):
     ids, _, _, lm, _ = lm_parts(spark, d)
     b = dc.beam_search(_prompts(ids), lm, beam_size=3, max_len=50)
     return b.select("id", ar.ids_text("generated").alias("generated"), r6(F.col("score")).alias("score"), "finished")
+
+
+# ---------------------------------------------------------------- languages and translation
+from precis.operators import lang as lg  # noqa: E402
+from precis.operators import translate as tr  # noqa: E402
+
+
+def split_documents(spark, d):
+    def build():
+        docs = tb.read_table(spark, d, "documents").select(
+            F.col("doc_id").cast("string").alias("id"), "lang", "text")
+        return spx.split_80_10_10(docs).drop("pos")
+    return memo(("docsplit", d), build)
+
+
+def language_profiles(spark, d):
+    """Profiles of the train split, written once (broadcast and reused)."""
+    return memo(("profiles", d), lambda: lg.fit_language_profiles(
+        split_documents(spark, d).where(F.col("split") == "train"), "lang", "text").checkpoint())
+
+
+@register("language_profiles", f"""WITH {D.doc_split_cte()}, {D.lang_ctes()}
+SELECT lang, gram, rank FROM prof""")
+def q_language_profiles(spark, d):
+    """I22 fit: top-300 character 1-3-gram rank profile per language (train split)."""
+    return language_profiles(spark, d)
+
+
+@register("detect_language", f"""WITH {D.doc_split_cte()}, {D.lang_ctes()}
+SELECT id, lang, detected FROM det""")
+def q_detect_language(spark, d):
+    """Nearest-profile language of every document (out-of-place distance)."""
+    docs = split_documents(spark, d)
+    det = lg.detect_language(docs, language_profiles(spark, d), "id", "text")
+    return docs.select("id", "lang").join(det, "id")
+
+
+@register("language_codes", f"""WITH {D.doc_split_cte()}, {D.lang_ctes()},
+names AS (SELECT * FROM (VALUES {', '.join(f"('{n}', '{c}')" for n, c in tr.LANGUAGES)}) t(name, code))
+SELECT det.detected AS code, names.name, upper(det.detected) AS label, count(*) AS docs
+FROM det JOIN names ON det.detected = names.code GROUP BY det.detected, names.name""")
+def q_language_codes(spark, d):
+    """C5 + H14: detected codes joined to the language table, labels upper-cased."""
+    det = q_detect_language(spark, d)
+    names = F.broadcast(tr.language_table(spark).withColumnRenamed("code", "detected"))
+    return det.join(names, "detected").groupBy("detected", "name").agg(F.count(F.lit(1)).alias("docs")) \
+              .select(F.col("detected").alias("code"), "name", tx.language_label("detected").alias("label"), "docs")
+
+
+def train_memory(spark, d):
+    """Translation memory (C6) from earlier work: the train split's non-English
+    texts the marker translator accepted."""
+    docs = split_documents(spark, d).where((F.col("split") == "train") & (F.col("lang") != "en"))
+    ok = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike("[0-9]"))
+    return ok.select(tr.text_key("text").alias("key"), F.col("lang").alias("src"), F.lit("en").alias("tgt"),
+                     F.concat(F.lit("["), F.col("lang"), F.lit(">en] "), F.col("text")).alias("translated")) \
+             .dropDuplicates(["key", "src", "tgt"])
+
+
+@register("translate_to_english", f"""WITH {D.doc_split_cte()},
+tm AS (SELECT DISTINCT sha256(coalesce(text, '')) AS key, lang AS src, 'en' AS tgt, '[' || lang || '>en] ' || text AS translated
+       FROM dsplit WHERE split = 'train' AND lang <> 'en' AND NOT regexp_matches(coalesce(text, ''), '[0-9]')),
+q AS (SELECT id, coalesce(text, '') AS text, lang, sha256(coalesce(text, '')) AS key FROM dsplit WHERE split <> 'train')
+SELECT q.id,
+  CASE WHEN q.lang = 'en' THEN q.text WHEN tm.key IS NOT NULL THEN tm.translated
+       WHEN regexp_matches(q.text, '[0-9]') THEN q.text ELSE '[' || q.lang || '>en] ' || q.text END AS translated,
+  (q.lang <> 'en' AND tm.key IS NOT NULL) AS cached,
+  NOT (q.lang <> 'en' AND tm.key IS NULL AND regexp_matches(q.text, '[0-9]')) AS ok
+FROM q LEFT JOIN tm ON q.key = tm.key AND q.lang = tm.src""")
+def q_translate_to_english(spark, d):
+    """I23 + C6 + C7 + I25: held-out documents to English through the memory;
+    only distinct misses reach the translator, failures keep the original."""
+    q = split_documents(spark, d).where(F.col("split") != "train")
+    return tr.to_english(q, "text", "lang", train_memory(spark, d), tr.marker_translator, "id", pause=0.0) \
+             .select("id", "translated", "cached", "ok")
+
+
+@register("multilingual_summaries")
+def q_multilingual_summaries(spark, d):
+    """Detect -> to English (memory + translator) -> lead-3 -> back to the
+    detected language, for every held-out document (rows-only)."""
+    docs = split_documents(spark, d).where(F.col("split") != "train")
+    det = lg.detect_language(docs, language_profiles(spark, d), "id", "text")
+    x = docs.join(det, "id")
+    en_ = tr.to_english(x, "text", "detected", train_memory(spark, d), tr.marker_translator, "id", pause=0.0)
+    summ = sm.summarize_lead(en_.withColumnRenamed("translated", "english"), 3, text="english", out="summary_en")
+    back = summ.join(det, "id").withColumn("en_src", F.lit("en"))
+    empty_tm = spark.createDataFrame([], tr.TM_SCHEMA)
+    out = tr.translate_cached(back, "summary_en", "en_src", F.col("detected"), empty_tm, tr.marker_translator,
+                              "id", pause=0.0)
+    return back.select("id", "detected", "summary_en").join(out.withColumnRenamed("translated", "summary"), "id") \
+               .select("id", "detected", "summary_en", "summary", "ok")

@@ -208,3 +208,34 @@ ctxt AS (SELECT ctx, sum(count) AS total, count(*) AS n_seen, sum(logp) AS sum_l
 ctx2 AS (SELECT ctx, ln({k}::DOUBLE / (total + {k}::DOUBLE * v)) AS unseen_logp,
          -(sum_logp + (v - n_seen) * ln({k}::DOUBLE / (total + {k}::DOUBLE * v))) / v AS mean_nll FROM ctxt, V),
 am AS (SELECT ctx, first(token ORDER BY count DESC, token ASC) AS next FROM lm GROUP BY ctx)"""
+
+
+def char_grams(x: str) -> str:
+    words = (f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}]+', ' ', 'g'), ' '), "
+             f"lambda w: w <> '')")
+    return (f"flatten(list_transform({words}, lambda w: flatten(list_transform(range(1, 4), lambda n: "
+            f"list_transform(range(1, length('_' || w || '_') - n + 2), lambda i: substring('_' || w || '_', i, n))))))")
+
+
+def doc_split_cte() -> str:
+    """documents with their exact 80/10/10 split: dsplit(id, lang, text, split)."""
+    return f"""dsplit AS (SELECT id, lang, text, {three_way()} AS split FROM (
+  SELECT *, row_number() OVER (ORDER BY h, id) - 1 AS pos, count(*) OVER () AS n FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS id, lang, text, {shuffle_key('CAST(doc_id AS VARCHAR)')} AS h FROM documents)))"""
+
+
+def lang_ctes(top: int = 300) -> str:
+    return f"""lg AS (SELECT lang, unnest({char_grams('text')}) AS gram FROM dsplit WHERE split = 'train'),
+lc AS (SELECT lang, gram, count(*) AS cnt FROM lg GROUP BY lang, gram),
+prof AS (SELECT lang, gram, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS rank FROM lc) WHERE rank <= {top}),
+dg AS (SELECT id, unnest({char_grams('text')}) AS gram FROM dsplit),
+dcn AS (SELECT id, gram, count(*) AS cnt FROM dg GROUP BY id, gram),
+dp AS (SELECT id, gram, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cnt DESC, gram) AS rank FROM dcn)
+  WHERE rank <= {top}),
+nd AS (SELECT id, count(*) AS n FROM dp GROUP BY id),
+mm AS (SELECT dp.id, prof.lang, sum(abs(dp.rank - prof.rank)) AS s, count(*) AS matched
+  FROM dp JOIN prof ON dp.gram = prof.gram GROUP BY dp.id, prof.lang),
+dist AS (SELECT mm.id, lang, s + {top} * (n - matched) AS dist FROM mm JOIN nd ON mm.id = nd.id),
+best AS (SELECT id, first(lang ORDER BY dist, lang) AS detected FROM dist GROUP BY id),
+det AS (SELECT d.id, d.lang, coalesce(best.detected, 'en') AS detected FROM dsplit d LEFT JOIN best ON d.id = best.id)"""
