@@ -644,3 +644,24 @@ def q_multilingual_summaries(spark, d):
                               "id", pause=0.0)
     return back.select("id", "detected", "summary_en").join(out.withColumnRenamed("translated", "summary"), "id") \
                .select("id", "detected", "summary_en", "summary", "ok")
+
+
+# ---------------------------------------------------------------- vectors
+from precis.operators import vectors as vx  # noqa: E402
+
+
+@register("attention_pool", """WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+pd AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY label, i),
+pr AS (SELECT label, list(m ORDER BY i) AS proto FROM pd GROUP BY label),
+sc AS (SELECT emb.vec_id, pr.label,
+       list_sum(list_transform(range(1, 65), lambda i: CAST(emb.embedding[i] AS DOUBLE) * pr.proto[i])) / sqrt(64) AS s
+       FROM embeddings emb, pr),
+w AS (SELECT vec_id, label, exp(s - max(s) OVER (PARTITION BY vec_id)) AS ex FROM sc),
+w2 AS (SELECT vec_id, label, ex / sum(ex) OVER (PARTITION BY vec_id) AS w FROM w)
+SELECT vec_id, first(label ORDER BY w DESC, label) AS best_label, round(max(w), 6) AS best_weight FROM w2 GROUP BY vec_id""")
+def q_attention_pool(spark, d):
+    """H41 + H40: every embedding attends to the label prototypes (scaled dot
+    product, softmax); the most attended label and its weight."""
+    e = tb.read_table(spark, d, "embeddings")
+    p = vx.attention_pool(e, "embedding", "label", 64)
+    return p.select("vec_id", "best_label", r6(F.col("best_weight")).alias("best_weight"))
