@@ -665,3 +665,79 @@ def q_attention_pool(spark, d):
     e = tb.read_table(spark, d, "embeddings")
     p = vx.attention_pool(e, "embedding", "label", 64)
     return p.select("vec_id", "best_label", r6(F.col("best_weight")).alias("best_weight"))
+
+
+# ---------------------------------------------------------------- streaming
+from precis.streaming import streams as stm  # noqa: E402
+
+
+@register("stream_clean", f"SELECT doc_id, {D.clean('text')} AS clean FROM documents")
+def q_stream_clean(spark, d):
+    """J5 + A11: documents read as a stream, H1 on arrival, parquet sink."""
+    s = stm.stream_clean(stm.read_stream(spark, d, "documents")).select("doc_id", "clean")
+    return stm.run_to_table(s, "clean")
+
+
+@register("stream_bucket_batches", f"""WITH {D.articles_cte()},
+l AS (SELECT id, CAST(len({D.wtok('source')}) + len({D.wtok('target')}) + 3 AS INTEGER) AS length FROM articles),
+b AS (SELECT id, length, CASE WHEN length < 128 THEN 0 WHEN length < 256 THEN 1 WHEN length < 512 THEN 2
+                              WHEN length < 1024 THEN 3 ELSE 4 END AS bucket,
+             CAST(('0x' || substr(md5(id), 1, 8))::BIGINT % 4 AS INTEGER) AS shard FROM l WHERE length <= 2048),
+p AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY id) - 1 AS pos,
+             count(*) OVER (PARTITION BY bucket, shard) AS n, [16, 8, 4, 2, 1][bucket + 1] AS bs FROM b)
+SELECT CAST(bucket AS INTEGER) AS bucket, shard, pos // bs AS batch, CAST(pos % bs AS INTEGER) AS slot, id, length
+FROM p WHERE pos < (n // bs) * bs""")
+def q_stream_bucket_batches(spark, d):
+    """J2 + J1's length filter (B5): stateful length buckets on a document
+    stream, 4 shards per bucket; a batch is emitted once full."""
+    s = stm.read_stream(spark, d, "documents")
+    x = s.select(F.col("doc_id").cast("string").alias("id"),
+                 (F.size(tx.whitespace_tokens("text")) + F.size(tx.whitespace_tokens(tx.first_line("text"))) + 3)
+                 .alias("length")).where(F.col("length") <= 2048)
+    return stm.run_to_table(stm.stream_bucket_batches(x, shards=4), "buckets")
+
+
+@register("stream_limit")
+def q_stream_limit(spark, d):
+    """The first 100 records of the document stream."""
+    s = stm.read_stream(spark, d, "documents").select("doc_id", "lang")
+    return stm.run_to_table(stm.stream_limit(s, 100), "limit")
+
+
+_PACK_SCHEMA = "id string, tokens string, length bigint"
+
+
+@register("stream_pack")
+def q_stream_pack(spark, d):
+    """Document stream -> word ids (static train vocabulary, per
+    micro-batch) -> pack_lm -> length filter 2048 -> sink."""
+    v = train_vocab(spark, d)
+
+    def per_batch(b, _bid):
+        a = b.select(F.col("doc_id").cast("string").alias("id"), tx.whitespace_tokens("text").alias("st"),
+                     tx.whitespace_tokens(tx.first_line("text")).alias("tt"))
+        sizes = a.select("id", (F.size("st") + F.size("tt") + 3).alias("n"))
+        ids = vc.encode_columns(a, [("st", "si", 2048), ("tt", "ti", 2048)], v).join(sizes, "id")
+        p = ids.where(F.col("n") <= 2048).select("id", pk.pack_lm("si", "ti").alias("p"))
+        return p.select("id", ar.ids_text("p.tokens").alias("tokens"), F.col("p.length").cast("bigint").alias("length"))
+
+    s = stm.read_stream(spark, d, "documents")
+    schema = spark.createDataFrame([], _PACK_SCHEMA).schema
+    return stm.run_batches_to_table(s, "pack", per_batch, schema)
+
+
+@register("stream_summarize")
+def q_stream_summarize(spark, d):
+    """Arriving documents are language-detected (static profiles) and
+    summarized (lead-3) per micro-batch into an idempotent sink."""
+    prof = language_profiles(spark, d)
+
+    def per_batch(b, _bid):
+        a = b.select(F.col("doc_id").cast("string").alias("id"), F.col("text"))
+        det = lg.detect_language(a, prof, "id", "text")
+        s = sm.summarize_lead(a.withColumnRenamed("text", "source"), 3)
+        return s.join(det, "id").select("id", "detected", "summary")
+
+    s = stm.read_stream(spark, d, "documents")
+    schema = spark.createDataFrame([], "id string, detected string, summary string").schema
+    return stm.run_batches_to_table(s, "summarize", per_batch, schema)
