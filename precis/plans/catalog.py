@@ -741,3 +741,54 @@ def q_stream_summarize(spark, d):
     s = stm.read_stream(spark, d, "documents")
     schema = spark.createDataFrame([], "id string, detected string, summary string").schema
     return stm.run_batches_to_table(s, "summarize", per_batch, schema)
+
+
+# ---------------------------------------------------------------- byte-level BPE
+from precis.operators import bpe as bp  # noqa: E402
+
+BPE_VOCAB = 261 + 40   # five specials + 256 byte symbols + 40 merges
+
+
+def bpe_model(spark, d):
+    def build():
+        docs = tb.read_table(spark, d, "documents").select("text")
+        return bp.train_bpe(docs, ["text"], BPE_VOCAB, 2)
+    return memo(("bpe", d), build)
+
+
+@register("bpe_pair_counts")
+def q_bpe_pair_counts(spark, d):
+    """D11 (+ I3 step 1-2): byte-symbol pair counts of all pre-tokens of the
+    documents, weighted by pre-token frequency, minimum frequency 2."""
+    w = bp.word_table(tb.read_table(spark, d, "documents"), ["text"])
+    return bp.pair_counts(w).where(F.col("count") >= 2)
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, d):
+    """Byte-level BPE on every document text (40 merges, min frequency 2):
+    merge rank, the two parts and the new id."""
+    return bpe_model(spark, d).merges_df(spark)
+
+
+@register("bpe_encode_pairs")
+def q_bpe_encode_pairs(spark, d):
+    """I5 + I6: articles BPE-encoded; src = ids[:254] padded to 256 with <pad>;
+    trg = <s> + t, trg_y = t + </s>, t = summary ids[:63], both padded to 64."""
+    m = bpe_model(spark, d)
+    a = tb.articles(spark, d)
+    e = a.select("id", bp.encode_bpe(spark, "source", m).alias("si"), bp.encode_bpe(spark, "target", m).alias("ti"))
+    enc = en.encode_pairs_ids(e, "si", "ti", 256, 64, pad=1, sos=0, eos=2)
+    return enc.select("id", ar.ids_text("src").alias("src"), ar.ids_text("trg").alias("trg"),
+                      ar.ids_text("trg_y").alias("trg_y"))
+
+
+@register("bpe_roundtrip")
+def q_bpe_roundtrip(spark, d):
+    """decode(encode(text)) == text over every document (mismatches must be 0)."""
+    m = bpe_model(spark, d)
+    docs = tb.read_table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    x = docs.select("text", bp.encode_bpe(spark, "text", m).alias("ids"))
+    y = x.select("text", "ids", bp.decode_bpe(spark, "ids", m).alias("back"))
+    return y.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"),
+                 F.sum(F.when(F.col("back") != F.col("text"), 1).otherwise(0)).alias("mismatches"))
