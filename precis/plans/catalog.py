@@ -792,3 +792,60 @@ def q_bpe_roundtrip(spark, d):
     y = x.select("text", "ids", bp.decode_bpe(spark, "ids", m).alias("back"))
     return y.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"),
                  F.sum(F.when(F.col("back") != F.col("text"), 1).otherwise(0)).alias("mismatches"))
+
+
+# ---------------------------------------------------------------- training log
+from precis.operators import trainlog as tl  # noqa: E402
+
+EPOCHS = 5
+
+
+def epoch_log(spark, d):
+    ids = _full_ids(spark, d, None).join(split_dialogues(spark, d).select("id", "split"), "id")
+    V = train_vocab(spark, d).count()
+    seq = F.concat(F.array(F.lit(vc.SOS)), "si", F.array(F.lit(vc.EOS))).alias("seq")
+    shard = F.expr(f"(cast(conv(substring(md5(concat(id, ':7')), 1, 8), 16, 10) AS BIGINT) * {EPOCHS}) div 4294967296 + 1")
+    rows = ids.select("id", "split", seq, shard.alias("shard"))
+    train = spx.assign_batches(rows.where(F.col("split") == "train"), 8, drop_last=False, strata=["shard"])
+    val = spx.assign_batches(rows.where(F.col("split") == "validation"), 8, drop_last=False)
+    return tl.learning_curve(train, val, V, EPOCHS)
+
+
+@register("epoch_log", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.epoch_ctes(EPOCHS)}
+SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM elog""")
+def q_epoch_log(spark, d):
+    """Learning curve of the bigram model over 5 cumulative hash shards
+    of the train split — epoch loss = mean of batch mean losses (batches of 8)."""
+    log = epoch_log(spark, d)
+    return log.select(F.col("epoch").cast("int").alias("epoch"), r6(F.col("train_loss")).alias("train_loss"),
+                      r6(F.col("val_loss")).alias("val_loss"))
+
+
+@register("early_stopping", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.epoch_ctes(EPOCHS)},
+x AS (SELECT epoch, val_loss,
+        (min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS prev FROM elog),
+y AS (SELECT epoch, val_loss, (prev IS NULL OR val_loss < prev) AS improved FROM x),
+z AS (SELECT *, CAST(epoch - max(CASE WHEN improved THEN epoch END) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS since_best FROM y)
+SELECT CAST(epoch AS INTEGER) AS epoch, improved, since_best,
+       coalesce(epoch = min(CASE WHEN since_best >= 3 THEN epoch END) OVER (), false) AS stop FROM z""")
+def q_early_stopping(spark, d):
+    """Improvement flags, epochs since the best, and the stop epoch
+    (patience 3) on the derived learning curve."""
+    log = epoch_log(spark, d).withColumn("run", F.lit("bigram"))
+    f = tl.early_stopping(log, "val_loss", 3)
+    return f.select(F.col("epoch").cast("int").alias("epoch"), "improved", "since_best", "stop")
+
+
+# ---------------------------------------------------------------- SQL surface
+from precis.functions import sqlfuncs as sq  # noqa: E402
+
+
+@register("sql_clean_tokens", f"""WITH {D.dialogues_cte()}
+SELECT id, {D.clean('source')} AS clean, CAST(len({D.wtok(D.clean('source'))}) AS INTEGER) AS n_tokens,
+       substring({D.clean('target')}, 1, 40) || '...' AS preview FROM dialogues""")
+def q_sql_clean_tokens(spark, d):
+    """K1: the same operators through the SQL API with SQL temporary functions."""
+    sq.register_sql_functions(spark)
+    tb.dialogues(spark, d).createOrReplaceTempView("precis_dialogues")
+    return spark.sql("""SELECT id, clean_text(source) AS clean, size(whitespace_tokens(clean_text(source))) AS n_tokens,
+                               preview_text(clean_text(target), 40) AS preview FROM precis_dialogues""")

@@ -239,3 +239,29 @@ mm AS (SELECT dp.id, prof.lang, sum(abs(dp.rank - prof.rank)) AS s, count(*) AS
 dist AS (SELECT mm.id, lang, s + {top} * (n - matched) AS dist FROM mm JOIN nd ON mm.id = nd.id),
 best AS (SELECT id, first(lang ORDER BY dist, lang) AS detected FROM dist GROUP BY id),
 det AS (SELECT d.id, d.lang, coalesce(best.detected, 'en') AS detected FROM dsplit d LEFT JOIN best ON d.id = best.id)"""
+
+
+def epoch_ctes(epochs: int = 5) -> str:
+    """ids + vocab -> tr/va pairs with epoch/batch -> log(epoch, train_loss, val_loss)."""
+    return f"""V AS (SELECT count(*) AS v FROM vocab),
+rows_ AS (SELECT id, split, list_concat([1], si, [2]) AS seq, {shuffle_key('id')} AS h,
+          ({shuffle_key('id', 7)} * {epochs}) // 4294967296 + 1 AS shard FROM ids),
+trr AS (SELECT id, seq, shard, (row_number() OVER (PARTITION BY shard ORDER BY h, id) - 1) // 8 AS batch
+        FROM rows_ WHERE split = 'train'),
+var AS (SELECT id, seq, (row_number() OVER (ORDER BY h, id) - 1) // 8 AS batch FROM rows_ WHERE split = 'validation'),
+tp AS (SELECT shard, batch, CAST(unnest(seq[1:len(seq) - 1]) AS VARCHAR) AS ctx, unnest(seq[2:len(seq)]) AS token FROM trr),
+vp AS (SELECT batch, CAST(unnest(seq[1:len(seq) - 1]) AS VARCHAR) AS ctx, unnest(seq[2:len(seq)]) AS token FROM var),
+sc AS (SELECT shard, ctx, token, count(*) AS c FROM tp GROUP BY ALL),
+ce AS (SELECT e AS epoch, ctx, token, sum(c) AS c FROM (SELECT unnest(range(shard, {epochs} + 1)) AS e, ctx, token, c FROM sc)
+       GROUP BY ALL),
+te AS (SELECT epoch, ctx, sum(c) AS t FROM ce GROUP BY ALL),
+trl AS (SELECT tp.shard AS epoch, tp.batch, -ln((coalesce(ce.c, 0) + 1.0) / (coalesce(te.t, 0) + v)) AS loss
+        FROM tp LEFT JOIN ce ON ce.epoch = tp.shard AND ce.ctx = tp.ctx AND ce.token = tp.token
+        LEFT JOIN te ON te.epoch = tp.shard AND te.ctx = tp.ctx, V),
+vpe AS (SELECT unnest(range(1, {epochs} + 1)) AS epoch, batch, ctx, token FROM vp),
+val AS (SELECT vpe.epoch, vpe.batch, -ln((coalesce(ce.c, 0) + 1.0) / (coalesce(te.t, 0) + v)) AS loss
+        FROM vpe LEFT JOIN ce ON ce.epoch = vpe.epoch AND ce.ctx = vpe.ctx AND ce.token = vpe.token
+        LEFT JOIN te ON te.epoch = vpe.epoch AND te.ctx = vpe.ctx, V),
+trm AS (SELECT epoch, avg(b) AS train_loss FROM (SELECT epoch, batch, avg(loss) AS b FROM trl GROUP BY ALL) GROUP BY epoch),
+vam AS (SELECT epoch, avg(b) AS val_loss FROM (SELECT epoch, batch, avg(loss) AS b FROM val GROUP BY ALL) GROUP BY epoch),
+elog AS (SELECT trm.epoch, train_loss, val_loss FROM trm JOIN vam ON trm.epoch = vam.epoch)"""

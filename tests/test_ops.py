@@ -165,3 +165,25 @@ def test_resume_rounds(spark, tmp_path):
     a = fl.ensure_artifact(spark, str(tmp_path / "art"), lambda: built.append(1) or spark.range(5))
     b = fl.ensure_artifact(spark, str(tmp_path / "art"), lambda: built.append(1) or spark.range(5))
     assert a.count() == b.count() == 5 and built == [1]
+
+
+@pytest.mark.parametrize("vals,best,stop", [
+    ([3.0, 2.5, 2.5, 2.6, 2.4, 2.41, 2.42, 2.4, 2.3], 5, 8),
+    ([3, 2, 2.1, 1.9], 4, None),
+])
+def test_early_stopping_gold(spark, vals, best, stop):
+    from precis.operators import trainlog as tl
+    log = spark.createDataFrame([("r", i + 1, float(v)) for i, v in enumerate(vals)], "run string, epoch int, val_loss double")
+    s = tl.early_stopping_summary(tl.early_stopping(log, "val_loss", 3)).first()
+    assert s.best_epoch == best and s.stop_epoch == stop
+
+
+def test_sql_functions_match_dataframe(spark):
+    from precis.functions import sqlfuncs as sq
+    from precis.functions import text as tx
+    sq.register_sql_functions(spark)
+    df = spark.createDataFrame([("see http://x.y now, well-known (café)! ok",)], "t string")
+    df.createOrReplaceTempView("t_sql")
+    a = spark.sql("SELECT clean_text(t) AS c, whitespace_tokens(t) AS w FROM t_sql").first()
+    b = df.select(tx.clean_text("t").alias("c"), tx.whitespace_tokens("t").alias("w")).first()
+    assert a.c == b.c and a.w == b.w
