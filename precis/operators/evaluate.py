@@ -20,7 +20,7 @@ from precis.operators.rouge import rouge_columns
 
 __all__ = ["run_systems", "score_systems", "mean_scores", "comparison_report", "unpivot_report",
            "bootstrap_scores", "status_counts", "poisson1", "POISSON1_CDF", "zip_pairs",
-           "score_or_zero", "join_systems"]
+           "score_or_zero", "join_systems", "latency_stats", "run_metrics"]
 
 # Poisson(1) cumulative probabilities P(K <= k), k = 0..12 (computed, not looked up).
 POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
@@ -45,9 +45,10 @@ def run_systems(df: DataFrame, systems: Mapping[str, Callable[[DataFrame], DataF
         o = fn(df)
         st = F.col("status") if "status" in o.columns else F.lit("ok")
         empty = F.coalesce(F.length(summary), F.lit(0)) == 0
+        lat = F.col("latency_ms") if "latency_ms" in o.columns else F.lit(None).cast("double")
         o = o.withColumn("status", F.when((st == F.lit("ok")) & empty, F.lit("Missing")).otherwise(st)) \
-             .withColumn("system", F.lit(name))
-        outs.append(o.select(*df.columns, "system", summary, "status"))
+             .withColumn("system", F.lit(name)).withColumn("latency_ms", lat)
+        outs.append(o.select(*df.columns, "system", summary, "status", "latency_ms"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -119,6 +120,24 @@ def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, s
     return out.select(*by, *[F.round(F.col("_q")[i], digits).alias(n) for i, n in enumerate(names)])
 
 
+def latency_stats(long: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:
+    """Inference time per row: mean and approximate median / p95."""
+    return long.where(F.col("latency_ms").isNotNull()).groupBy(*by).agg(
+        F.avg("latency_ms").alias("avg_ms"),
+        F.percentile_approx("latency_ms", [0.5, 0.95], 1000).alias("p50_p95_ms"))
+
+
+def run_metrics(scored: DataFrame, metrics: Sequence[Callable[[DataFrame], DataFrame]],
+                key: Sequence[str] = ("system",)) -> DataFrame:
+    """K4: metric callbacks, each ``DataFrame -> DataFrame`` keyed by ``key``,
+    joined side by side."""
+    out = None
+    for m in metrics:
+        r = m(scored)
+        out = r if out is None else out.join(r, list(key), "full")
+    return out
+
+
 def status_counts(long: DataFrame) -> DataFrame:
     """Rows per (system, status)."""
     return long.groupBy("system", "status").agg(F.count(F.lit(1)).alias("rows"))

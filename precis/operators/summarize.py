@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +118,8 @@ def summarize(df: DataFrame, model: Callable[[list[str]], list[str]], text: str
 
     ``model`` maps a list of texts to a list of summaries and is called once
     per batch; if a batch fails, rows are retried one by one and a failing
-    row gets ``status = 'Error'`` instead of stopping the job.
+    row gets ``status = 'Error'`` instead of stopping the job.  ``latency_ms``
+    is the batch's model time per row (D13).
     """
     cols = df.columns
 
@@ -125,9 +128,10 @@ def summarize(df: DataFrame, model: Callable[[list[str]], list[str]], text: str
             texts = pdf[text].fillna("").astype(str)
             if max_chars:
                 texts = texts.str.slice(0, max_chars)
-            outs, status = [], []
+            outs, status, lat = [], [], []
             for start in range(0, len(texts), batch_size):
                 chunk = list(texts.iloc[start:start + batch_size])
+                t0 = time.perf_counter()
                 try:
                     res = list(model(chunk))
                     if len(res) != len(chunk):
@@ -142,13 +146,15 @@ def summarize(df: DataFrame, model: Callable[[list[str]], list[str]], text: str
                         except Exception:  # noqa: BLE001
                             outs.append("")
                             status.append("Error")
+                lat.extend([(time.perf_counter() - t0) * 1000.0 / max(len(chunk), 1)] * len(chunk))
             pdf = pdf.copy()
             pdf[out] = outs
             pdf["status"] = status
             pdf["system"] = system
+            pdf["latency_ms"] = lat
             yield pdf
 
     schema = T.StructType(list(df.select(*cols).schema.fields) + [
         T.StructField(out, T.StringType()), T.StructField("status", T.StringType()),
-        T.StructField("system", T.StringType())])
+        T.StructField("system", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
     return df.select(*cols).mapInPandas(run, schema)

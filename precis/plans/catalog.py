@@ -849,3 +849,16 @@ def q_sql_clean_tokens(spark, d):
     tb.dialogues(spark, d).createOrReplaceTempView("precis_dialogues")
     return spark.sql("""SELECT id, clean_text(source) AS clean, size(whitespace_tokens(clean_text(source))) AS n_tokens,
                                preview_text(clean_text(target), 40) AS preview FROM precis_dialogues""")
+
+
+@register("latency_stats")
+def q_latency_stats(spark, d):
+    """Per-row inference time of the plug-in system (timings vary: rows-only)."""
+    return ev.latency_stats(article_systems(spark, d))
+
+
+@register("side_by_side", f"""WITH {D.articles_cte()}, {D.systems_ctes()}
+SELECT id, {', '.join(f"max(summary) FILTER (WHERE system = '{s}') AS {s}" for s in SYSTEMS)} FROM sys GROUP BY id""")
+def q_side_by_side(spark, d):
+    """C4: one row per article with each system's summary side by side."""
+    return ev.join_systems(article_systems(spark, d), SYSTEMS)

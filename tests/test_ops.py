@@ -187,3 +187,47 @@ def test_sql_functions_match_dataframe(spark):
     a = spark.sql("SELECT clean_text(t) AS c, whitespace_tokens(t) AS w FROM t_sql").first()
     b = df.select(tx.clean_text("t").alias("c"), tx.whitespace_tokens("t").alias("w")).first()
     assert a.c == b.c and a.w == b.w
+
+
+def test_collate_and_tokenize_map(spark):
+    from precis.operators import encode as en
+    df = spark.createDataFrame([("a", 0, [1, 2, 3]), ("b", 0, [4]), ("c", 1, [5, 6])], "id string, batch int, ids array<int>")
+    got = {r.id: r.ids for r in bt.collate_longest(df, "ids", ["batch"], pad=0).collect()}
+    assert got == {"a": [1, 2, 3], "b": [4, 0, 0], "c": [5, 6]}
+    v = fl.sample_pairs(spark)
+    voc = vc.build_vocab(v, ("dialogue", "summary"))
+    t = en.tokenize_map(v.withColumnRenamed("dialogue", "source").withColumnRenamed("summary", "target"),
+                        voc, 5, 3, prefix="summarize:").where("id = '0'").first()
+    assert len(t.input_ids) == 5 and t.input_ids[0] == 3 and len(t.labels) == 3
+
+
+def test_import_bpe_files(spark, tmp_path):
+    from precis.operators import bpe
+    df = spark.createDataFrame([(" ".join(["low"] * 5 + ["lower"] * 2 + ["newest"] * 6 + ["widest"] * 3),)], "text string")
+    m = bpe.train_bpe(df, ["text"], 270, 2)
+    import json
+    (tmp_path / "vocab.json").write_text(json.dumps({t: i for i, t in m.token.items()}), encoding="utf-8")
+    (tmp_path / "merges.txt").write_text("#version: 0.2\n" + "\n".join(m.merges_text()) + "\n", encoding="utf-8")
+    voc, mer = fl.import_bpe_files(spark, str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"))
+    assert voc.count() == m.vocab_size
+    assert [f"{r.left} {r.right}" for r in mer.orderBy("rank").collect()] == m.merges_text()
+
+
+def test_text_documents_and_corpus_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("héllo\nworld", encoding="utf-8")
+    d = fl.read_text_documents(spark, str(tmp_path / "in"))
+    r = d.first()
+    assert r.text == "héllo\nworld" and r.path.endswith("a.txt")
+    fl.write_corpus_lines(spark.createDataFrame([("s", "t")], "source string, target string"), str(tmp_path / "c"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "c")).collect()) == ["s", "t"]
+
+
+def test_latency_and_metric_callbacks(spark):
+    df = spark.createDataFrame([("a", "One. two"), ("b", "Three.")], "id string, source string")
+    out = ev.run_systems(df, {"m": lambda x: sm.summarize(x, lambda ts: [t[:3] for t in ts], system="m")})
+    lat = ev.latency_stats(out).first()
+    assert lat.avg_ms >= 0
+    sc = ev.score_systems(out.withColumn("target", F.col("source")), kinds=("rouge1",))
+    res = ev.run_metrics(sc, [lambda s: ev.mean_scores(s, ("rouge1",)), lambda s: ev.status_counts(s).groupBy("system").count()])
+    assert res.count() == 1
