@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app: str = "precis",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -67,3 +68,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written hand-off tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``precis`` importable in executor Python workers (pandas UDFs,
+    mapInPandas, state functions), like ``spark-submit --py-files``: the
+    package is zipped once on the driver and added with ``addPyFile``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_precis_shipped", False):
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="precis-pkg-"), "precis.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._precis_shipped = True
