@@ -26,6 +26,9 @@ WS_CLASS = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f
 _URL = r"http[^" + WS_CLASS + r"]+"
 _SPECIAL = r"[^\p{L}\p{N}_" + WS_CLASS + r".,!?']"
 _WS_RUN = r"[" + WS_CLASS + r"]+"
+# same matches as _WS_RUN for the purpose of "runs -> one space", but a lone
+# ' ' (the common case) is not rewritten
+_WS_REPLACE = r"[" + WS_CLASS + r"]{2,}|[" + WS_CLASS + r"&&[^ ]]"
 _SENT_END = r"([.!?])[" + WS_CLASS + r"]+"
 _SENT_MARK = "\u0001"
 
@@ -51,12 +54,21 @@ def strip_special(x) -> Column:
 
 def trim_ws(x) -> Column:
     """Strip leading/trailing Unicode whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(_c(x), F.lit(r"^[" + WS_CLASS + r"]+|[" + WS_CLASS + r"]+$"), F.lit(""))
+    lead = F.regexp_replace(_c(x), F.lit(r"^[" + WS_CLASS + r"]+"), F.lit(""))
+    return F.regexp_replace(lead, F.lit(r"[" + WS_CLASS + r"]+$"), F.lit(""))
+
+
+# The individual characters of WS_CLASS (Python's str whitespace).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def normalize_whitespace(x) -> Column:
-    """H4: whitespace runs -> one space, then strip."""
-    return F.trim(F.regexp_replace(_c(x), F.lit(_WS_RUN), F.lit(" ")))
+    """H4: whitespace runs -> one space, then strip.  Every whitespace
+    character is first mapped to ' ' (a per-character table, no regex
+    class), then runs of spaces are collapsed."""
+    spaced = F.translate(_c(x), WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(spaced, F.lit(" {2,}"), F.lit(" ")))
 
 
 def clean_text(x) -> Column:
@@ -105,12 +117,15 @@ def preview_text(x, n: int = 200) -> Column:
     return F.concat(F.substring(as_text(x), 1, n), F.lit("..."))
 
 
-def sentences(x) -> Column:
+def sentences(x, cleaned: bool = False) -> Column:
     """Rule-based sentence split after . ! ? followed by whitespace;
-    each piece stripped, empty pieces dropped."""
+    each piece stripped, empty pieces dropped.  ``cleaned=True`` declares
+    that the only whitespace left is single spaces (output of clean_text),
+    so the plain space trim gives the same result."""
     marked = F.regexp_replace(as_text(x), F.lit(_SENT_END), F.lit("$1" + _SENT_MARK))
     parts = F.split(marked, _SENT_MARK)
-    return F.filter(F.transform(parts, lambda s: trim_ws(s)), lambda s: s != F.lit(""))
+    strip = F.trim if cleaned else trim_ws
+    return F.filter(F.transform(parts, lambda s: strip(s)), lambda s: s != F.lit(""))
 
 
 def sentence_lines(x) -> Column:

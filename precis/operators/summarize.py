@@ -35,14 +35,14 @@ __all__ = ["doc_sentences", "summarize_lead", "summarize_frequency", "summarize_
 def doc_sentences(df: DataFrame, text: str = "source", id_col: str = "id", clean: bool = True) -> DataFrame:
     """H10 -> posexplode: (id, sent_pos, sentence); narrow, no shuffle."""
     src = clean_text(F.col(text)) if clean else F.col(text)
-    return df.select(F.col(id_col).alias("id"), F.posexplode(sentences(src)).alias("sent_pos", "sentence"))
+    return df.select(F.col(id_col).alias("id"), F.posexplode(sentences(src, cleaned=clean)).alias("sent_pos", "sentence"))
 
 
 def summarize_lead(df: DataFrame, n: int = 3, text: str = "source", out: str = "summary",
                    clean: bool = True) -> DataFrame:
     """I15 lead-n: the first n sentences joined by a space (per row)."""
     src = clean_text(F.col(text)) if clean else F.col(text)
-    return df.withColumn(out, F.array_join(F.slice(sentences(src), 1, n), " "))
+    return df.withColumn(out, F.array_join(F.slice(sentences(src, cleaned=clean), 1, n), " "))
 
 
 def sentence_tokens(sents: DataFrame) -> DataFrame:
