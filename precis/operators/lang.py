@@ -14,50 +14,87 @@ is no document x language product.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precis.operators.topk import topk_per_group
 
-__all__ = ["char_ngrams", "ngram_profile", "fit_language_profiles", "detect_language"]
+__all__ = ["char_ngrams", "gram_counts", "ngram_profile", "fit_language_profiles", "detect_language"]
 
 
-def char_ngrams(text, n_max: int = 3) -> Column:
-    """All 1..n_max character n-grams of the '_'-padded lower-case words."""
+def _words(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[^\p{L}]+"), F.lit(" ")), " "),
-                     lambda w: w != F.lit(""))
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[^\p{L}]+"), F.lit(" ")), " "),
+                    lambda w: w != F.lit(""))
 
+
+def char_ngrams(text, n_max: int = 3) -> Column:
+    """All 1..n_max character n-grams of the '_'-padded lower-case words."""
     def grams(w):
         p = F.concat(F.lit("_"), w, F.lit("_"))
         return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n_max)), lambda n: F.transform(
             F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))))
-    return F.flatten(F.transform(words, grams))
+    return F.flatten(F.transform(_words(text), grams))
+
+
+_GRAM_COUNTS = T.StructType([T.StructField("grams", T.ArrayType(T.StringType())),
+                             T.StructField("cnts", T.ArrayType(T.IntegerType()))])
+
+
+def _count_grams(words, n_max: int) -> tuple[list, list]:
+    c = Counter()
+    for w in words:
+        p = "_" + w + "_"
+        for n in range(1, n_max + 1):
+            for i in range(len(p) - n + 1):
+                c[p[i:i + n]] += 1
+    items = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))   # code-point order == UTF-8 byte order
+    return [g for g, _ in items], [k for _, k in items]
+
+
+def gram_counts(text, n_max: int = 3) -> Column:
+    """struct(grams, cnts): distinct n-grams of the row with their counts,
+    ordered by count desc then gram — a per-row counting helper (Arrow
+    batches, O(length)); words are split in the JVM."""
+    @F.pandas_udf(_GRAM_COUNTS)
+    def count(words: pd.Series) -> pd.DataFrame:
+        rows = [_count_grams(ws if ws is not None else [], n_max) for ws in words]
+        return pd.DataFrame({"grams": [r[0] for r in rows], "cnts": [r[1] for r in rows]})
+    return count(_words(text))
 
 
 def ngram_profile(df: DataFrame, key: str, text: str, top: int = 300, n_max: int = 3) -> DataFrame:
-    """(key, gram, rank) for the ``top`` most frequent n-grams per key
-    (count desc, then gram); the cut is salted so a huge key is split."""
-    g = df.select(key, F.explode(char_ngrams(text, n_max)).alias("gram")).groupBy(key, "gram") \
-          .agg(F.count(F.lit(1)).alias("cnt"))
-    t = topk_per_group(g, [key], [F.desc("cnt"), F.asc("gram")], top, salt_by=["gram"], rank_col="rank")
-    return t.select(key, "gram", F.col("rank").cast("int").alias("rank"))
+    """(key, gram, rank) for the ``top`` most frequent n-grams of each row —
+    counted and ranked inside the row, no shuffle."""
+    t = df.select(key, F.slice(gram_counts(text, n_max)["grams"], 1, top).alias("_top"))
+    return t.select(key, F.posexplode("_top").alias("rank", "gram")).select(
+        key, "gram", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def fit_language_profiles(df: DataFrame, lang: str = "lang", text: str = "text", top: int = 300,
                           n_max: int = 3) -> DataFrame:
-    """Language profiles from labelled text: (lang, gram, rank)."""
-    return ngram_profile(df.select(F.col(lang).alias("lang"), F.col(text).alias("_t")), "lang", "_t", top, n_max)
+    """Language profiles from labelled text: (lang, gram, rank).  Per-row gram
+    counts are summed per (lang, gram) (map-side combined); the top-k cut is
+    salted so a language holding most rows is still cut by many tasks."""
+    gc = df.select(F.col(lang).alias("lang"), gram_counts(text, n_max).alias("gc"))
+    runs = gc.select("lang", F.explode(F.arrays_zip(F.col("gc.grams").alias("gram"), F.col("gc.cnts").alias("cnt"))).alias("r"))
+    g = runs.groupBy("lang", F.col("r.gram").alias("gram")).agg(F.sum("r.cnt").alias("cnt"))
+    t = topk_per_group(g, ["lang"], [F.desc("cnt"), F.asc("gram")], top, salt_by=["gram"], rank_col="rank")
+    return t.select("lang", "gram", F.col("rank").cast("int").alias("rank"))
 
 
 def detect_language(df: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", top: int = 300,
                     n_max: int = 3, default: str = "en", out: str = "detected") -> DataFrame:
     """(key, detected): nearest profile; text without letters -> ``default``."""
-    doc = ngram_profile(df.select(key, text), key, text, top, n_max)
-    n_doc = doc.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    prof = F.broadcast(profiles.select("lang", "gram", F.col("rank").alias("lrank")))  # langs x top rows
-    m = doc.join(prof, "gram").groupBy(key, "lang").agg(
+    t = df.select(key, F.slice(gram_counts(text, n_max)["grams"], 1, top).alias("_top"))
+    doc = t.select(key, F.size("_top").alias("n"), F.posexplode("_top").alias("rank", "gram"))
+    prof = F.broadcast(profiles.select("lang", "gram", (F.col("rank") - 1).alias("lrank")))  # langs x top rows
+    m = doc.join(prof, "gram").groupBy(key, "n", "lang").agg(
         F.sum(F.abs(F.col("rank") - F.col("lrank"))).alias("s"), F.count(F.lit(1)).alias("matched"))
-    dist = m.join(n_doc, key).select(key, "lang", (F.col("s") + F.lit(top) * (F.col("n") - F.col("matched"))).alias("dist"))
+    dist = m.select(key, "lang", (F.col("s") + F.lit(top) * (F.col("n") - F.col("matched"))).alias("dist"))
     best = dist.groupBy(key).agg(F.min_by("lang", F.struct("dist", "lang")).alias(out))
     return df.select(key).join(best, key, "left").select(key, F.coalesce(F.col(out), F.lit(default)).alias(out))
