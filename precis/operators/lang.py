@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from precis.operators.topk import topk_per_group
 
-__all__ = ["char_ngrams", "gram_counts", "ngram_profile", "fit_language_profiles", "detect_language"]
+__all__ = ["char_ngrams", "top_grams", "ngram_profile", "fit_language_profiles", "detect_language"]
 
 
 def _words(text) -> Column:
@@ -41,48 +41,39 @@ def char_ngrams(text, n_max: int = 3) -> Column:
     return F.flatten(F.transform(_words(text), grams))
 
 
-_GRAM_COUNTS = T.StructType([T.StructField("grams", T.ArrayType(T.StringType())),
-                             T.StructField("cnts", T.ArrayType(T.IntegerType()))])
+def _top_grams(words, n_max: int, top: int) -> list:
+    grams = ["_" + w + "_" for w in words]
+    c = Counter([p[i:i + n] for p in grams for n in range(1, n_max + 1) for i in range(len(p) - n + 1)])
+    # count desc, then gram; code-point order == UTF-8 byte order of the SQL engines
+    return [g for g, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:top]]
 
 
-def _count_grams(words, n_max: int) -> tuple[list, list]:
-    c = Counter()
-    for w in words:
-        p = "_" + w + "_"
-        for n in range(1, n_max + 1):
-            for i in range(len(p) - n + 1):
-                c[p[i:i + n]] += 1
-    items = sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))   # code-point order == UTF-8 byte order
-    return [g for g, _ in items], [k for _, k in items]
-
-
-def gram_counts(text, n_max: int = 3) -> Column:
-    """struct(grams, cnts): distinct n-grams of the row with their counts,
-    ordered by count desc then gram — a per-row counting helper (Arrow
-    batches, O(length)); words are split in the JVM."""
-    @F.pandas_udf(_GRAM_COUNTS)
-    def count(words: pd.Series) -> pd.DataFrame:
-        rows = [_count_grams(ws if ws is not None else [], n_max) for ws in words]
-        return pd.DataFrame({"grams": [r[0] for r in rows], "cnts": [r[1] for r in rows]})
-    return count(_words(text))
+def top_grams(text, n_max: int = 3, top: int = 300) -> Column:
+    """The row's ``top`` most frequent n-grams in rank order — a per-row
+    counting helper (Arrow batches, linear in the text); words are split in
+    the JVM, only the ranked top list travels back."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def rank(words: pd.Series) -> pd.Series:
+        return pd.Series([_top_grams(ws if ws is not None else [], n_max, top) for ws in words])
+    return rank(_words(text))
 
 
 def ngram_profile(df: DataFrame, key: str, text: str, top: int = 300, n_max: int = 3) -> DataFrame:
     """(key, gram, rank) for the ``top`` most frequent n-grams of each row —
     counted and ranked inside the row, no shuffle."""
-    t = df.select(key, F.slice(gram_counts(text, n_max)["grams"], 1, top).alias("_top"))
+    t = df.select(key, top_grams(text, n_max, top).alias("_top"))
     return t.select(key, F.posexplode("_top").alias("rank", "gram")).select(
         key, "gram", (F.col("rank") + 1).cast("int").alias("rank"))
 
 
 def fit_language_profiles(df: DataFrame, lang: str = "lang", text: str = "text", top: int = 300,
                           n_max: int = 3) -> DataFrame:
-    """Language profiles from labelled text: (lang, gram, rank).  Per-row gram
-    counts are summed per (lang, gram) (map-side combined); the top-k cut is
-    salted so a language holding most rows is still cut by many tasks."""
-    gc = df.select(F.col(lang).alias("lang"), gram_counts(text, n_max).alias("gc"))
-    runs = gc.select("lang", F.explode(F.arrays_zip(F.col("gc.grams").alias("gram"), F.col("gc.cnts").alias("cnt"))).alias("r"))
-    g = runs.groupBy("lang", F.col("r.gram").alias("gram")).agg(F.sum("r.cnt").alias("cnt"))
+    """Language profiles from labelled text: (lang, gram, rank).  Grams are
+    counted per (lang, gram) with map-side combine (few distinct keys per
+    partition); the top-k cut is salted so a language holding most rows is
+    still cut by many tasks."""
+    ex = df.select(F.col(lang).alias("lang"), F.explode(char_ngrams(text, n_max)).alias("gram"))
+    g = ex.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))   # map-side combined per partition
     t = topk_per_group(g, ["lang"], [F.desc("cnt"), F.asc("gram")], top, salt_by=["gram"], rank_col="rank")
     return t.select("lang", "gram", F.col("rank").cast("int").alias("rank"))
 
@@ -90,7 +81,7 @@ def fit_language_profiles(df: DataFrame, lang: str = "lang", text: str = "text",
 def detect_language(df: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", top: int = 300,
                     n_max: int = 3, default: str = "en", out: str = "detected") -> DataFrame:
     """(key, detected): nearest profile; text without letters -> ``default``."""
-    t = df.select(key, F.slice(gram_counts(text, n_max)["grams"], 1, top).alias("_top"))
+    t = df.select(key, top_grams(text, n_max, top).alias("_top"))
     doc = t.select(key, F.size("_top").alias("n"), F.posexplode("_top").alias("rank", "gram"))
     prof = F.broadcast(profiles.select("lang", "gram", (F.col("rank") - 1).alias("lrank")))  # langs x top rows
     m = doc.join(prof, "gram").groupBy(key, "n", "lang").agg(
