@@ -26,6 +26,19 @@ __all__ = ["run_systems", "score_systems", "mean_scores", "comparison_report", "
 POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
 
 
+_M32 = 1 << 32
+
+
+def replicate_uniform(k: Column, b: Column) -> Column:
+    """u in [0, 1) from a 32-bit row key and a replicate number: add, then two
+    xor-shift-multiply rounds modulo 2^32 (every product stays below 2^63)."""
+    x = (k + b.cast("bigint") * F.lit(2654435761)) % F.lit(_M32)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(73244475)) % F.lit(_M32)
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    return x.cast("double") / F.lit(float(_M32))
+
+
 def poisson1(u: Column) -> Column:
     """Inverse CDF of Poisson(1) for u in [0, 1) (tail beyond 12 -> 13)."""
     expr = None
@@ -104,15 +117,14 @@ def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, s
                      quantiles: Sequence[float] = (0.025, 0.5, 0.975), digits: int = 6) -> DataFrame:
     """Poisson-bootstrap interval of a mean: (low, mid, high) per group.
 
-    Weight of row r in replicate b: Poisson(1) inverse CDF of the first 32
-    bits of md5('<id>:<b>:<seed>') / 2^32 — identical for every system, so
-    the comparison is paired.
+    Weight of row r in replicate b: Poisson(1) inverse CDF of a uniform from
+    the row's 32-bit key (md5('<id>:<seed>'), computed once per row) mixed with
+    b — identical for every system, so the comparison is paired.
     """
-    rows = scored.select(*by, F.col(key).cast("string").alias("_k"), value.alias("_x"))
+    k = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10)
+    rows = scored.select(*by, k.cast("bigint").alias("_k"), value.alias("_x"))
     ex = rows.select(*by, "_k", "_x", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", "_k", F.col("b").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
-    u = h.cast("bigint").cast("double") / F.lit(4294967296.0)
-    ex = ex.withColumn("_w", poisson1(u))
+    ex = ex.withColumn("_w", poisson1(replicate_uniform(F.col("_k"), F.col("b"))))
     reps = ex.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("m"))
     q = F.percentile(F.col("m"), F.array(*[F.lit(x) for x in quantiles]))
     out = reps.where(F.col("m").isNotNull()).groupBy(*by).agg(q.alias("_q"))

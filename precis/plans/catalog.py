@@ -404,8 +404,11 @@ _CDF = ", ".join(f"{c!r}::DOUBLE" for c in ev.POISSON1_CDF)
 
 
 @register("bootstrap_scores", f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')},
-x AS (SELECT system, id, f1_raw AS v, unnest(range(1, 1001)) AS b FROM sc),
-w AS (SELECT system, b, v, ('0x' || substr(md5(id || ':' || CAST(b AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM x),
+x AS (SELECT system, ('0x' || substr(md5(id || ':42'), 1, 8))::BIGINT AS k, f1_raw AS v, unnest(range(1, 1001)) AS b FROM sc),
+x0 AS (SELECT system, b, v, (k + b * 2654435761) % 4294967296 AS h FROM x),
+x1 AS (SELECT system, b, v, (xor(h, h >> 16) * 73244475) % 4294967296 AS h FROM x0),
+x2 AS (SELECT system, b, v, (xor(h, h >> 16) * 73244475) % 4294967296 AS h FROM x1),
+w AS (SELECT system, b, v, xor(h, h >> 16) / 4294967296.0::DOUBLE AS u FROM x2),
 cdf AS (SELECT [{_CDF}] AS c),
 ww AS (SELECT system, b, v, coalesce(list_position(list_transform(c, lambda t: u < t), true) - 1, 13) AS wt FROM w, cdf),
 reps AS (SELECT system, b, sum(wt * v) / sum(wt) AS m FROM ww GROUP BY system, b),

@@ -231,3 +231,10 @@ def test_latency_and_metric_callbacks(spark):
     sc = ev.score_systems(out.withColumn("target", F.col("source")), kinds=("rouge1",))
     res = ev.run_metrics(sc, [lambda s: ev.mean_scores(s, ("rouge1",)), lambda s: ev.status_counts(s).groupBy("system").count()])
     assert res.count() == 1
+
+
+def test_replicate_weights_are_poisson1(spark):
+    k = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    x = spark.range(2000).select(k.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b"))
+    m = x.select(ev.poisson1(ev.replicate_uniform(F.col("k"), F.col("b"))).alias("w")).agg(F.avg("w"), F.variance("w")).first()
+    assert abs(m[0] - 1) < 0.03 and abs(m[1] - 1) < 0.05
