@@ -47,11 +47,15 @@ def tokenize_map(df: DataFrame, vocab: DataFrame, max_input: int = 512, max_labe
     return encode_columns(toks, [("_st", "input_ids", max_input), ("_tt", "labels", max_label)], vocab, key, UNK)
 
 
-def length_stats(df: DataFrame, text: str, limit: int, group_by: Sequence[str] = ()) -> DataFrame:
-    """D3: token-count distribution and the share of rows cut by ``limit``."""
+def length_stats(df: DataFrame, text: str, limit: int, group_by: Sequence[str] = (),
+                 quantiles: Sequence[float] = ()) -> DataFrame:
+    """D3: token-count distribution and the share of rows cut by ``limit``;
+    ``quantiles`` adds approximate percentiles (bounded-memory sketch)."""
     n = F.size(whitespace_tokens(F.col(text)))
     x = df.select(*group_by, n.alias("_n"))
     aggs = [F.count(F.lit(1)).alias("rows"), F.round(F.avg("_n"), 6).alias("avg_tokens"),
             F.min("_n").cast("bigint").alias("min_tokens"), F.max("_n").cast("bigint").alias("max_tokens"),
             F.round(F.avg(F.when(F.col("_n") > limit, 1.0).otherwise(0.0)), 6).alias("share_over")]
+    if quantiles:
+        aggs.append(F.percentile_approx("_n", list(quantiles), 10000).alias("quantiles"))
     return x.groupBy(*group_by).agg(*aggs) if group_by else x.agg(*aggs)

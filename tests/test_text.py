@@ -69,3 +69,11 @@ def test_porter_paper_examples():
                 relational="relat", conditional="condit", generalizations="gener", oscillators="oscil",
                 effective="effect", adjustment="adjust", controll="control", roll="roll")
     assert {k: stem(k) for k in gold} == gold
+
+
+def test_decode_utf8_and_length_quantiles(spark):
+    from precis.operators.encode import length_stats
+    df = spark.createDataFrame([(bytearray("café".encode("utf-8")), "a b c"), (bytearray(b"x"), "a")], "b binary, t string")
+    assert [r.s for r in df.select(tx.decode_utf8("b").alias("s")).collect()] == ["café", "x"]
+    r = length_stats(df, "t", 2, quantiles=[0.5]).first()
+    assert r.max_tokens == 3 and r.share_over == 0.5 and r.quantiles[0] in (1, 3)
