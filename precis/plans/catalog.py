@@ -752,10 +752,25 @@ from precis.operators import bpe as bp  # noqa: E402
 BPE_VOCAB = 261 + 40   # five specials + 256 byte symbols + 40 merges
 
 
+def _bpe_train(spark, d):
+    docs = tb.read_table(spark, d, "documents").select("text")
+    return bp.train_bpe(docs, ["text"], BPE_VOCAB, 2)
+
+
+def _bpe_artifact_path(spark, d):
+    import hashlib
+    from precis.session import scratch_path
+    return scratch_path(spark, f"artifacts/bpe-{hashlib.sha1(d.encode()).hexdigest()[:12]}-{BPE_VOCAB}")
+
+
 def bpe_model(spark, d):
+    """The trained merges are an artifact — loaded if present, else
+    trained and saved (the reference loads its tokenizer files the same way)."""
     def build():
-        docs = tb.read_table(spark, d, "documents").select("text")
-        return bp.train_bpe(docs, ["text"], BPE_VOCAB, 2)
+        from precis.sources import files as fl
+        rows = fl.ensure_artifact(spark, _bpe_artifact_path(spark, d),
+                                  lambda: _bpe_train(spark, d).merges_df(spark)).orderBy("rank").collect()
+        return bp.BpeModel([(r.left_id, r.right_id, r.id) for r in rows])
     return memo(("bpe", d), build)
 
 
@@ -770,8 +785,12 @@ def q_bpe_pair_counts(spark, d):
 @register("bpe_merges")
 def q_bpe_merges(spark, d):
     """Byte-level BPE on every document text (40 merges, min frequency 2):
-    merge rank, the two parts and the new id."""
-    return bpe_model(spark, d).merges_df(spark)
+    merge rank, the two parts and the new id.  Always trains; the result is
+    saved as the artifact the encoding queries load (A12, A14)."""
+    from precis.sources import files as fl
+    m = _bpe_train(spark, d).merges_df(spark)
+    fl.save_table(m, _bpe_artifact_path(spark, d))
+    return fl.load_table(spark, _bpe_artifact_path(spark, d))
 
 
 @register("bpe_encode_pairs")
