@@ -34,8 +34,8 @@ from precis.llm.common import batch, written
 
 __all__ = ["token_pieces", "plan_bins", "pack"]
 
-#: Rows numbered by one task when pieces of one length are counted off.
-RANK_ROWS = 200_000
+#: Pieces of one length are counted off in SALTS sub-groups, and one more for every RANK_ROWS pieces.
+SALTS, RANK_ROWS = 16, 200_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -236,7 +236,7 @@ def plan_bins(hist: dict[int, int], capacity: int = 2048, steps: int = 4000) ->
 # ---------------------------------------------------------------- assignment
 def _numbered(pieces: DataFrame, hist: DataFrame) -> DataFrame:
     """``nth`` (from 0) among the pieces of the same length; a frequent length is spread over salted sub-groups."""
-    many = hist.select("length", F.ceil(F.col("n") / RANK_ROWS).alias("_salts"))
+    many = hist.select("length", F.floor(F.col("n") / RANK_ROWS + SALTS).alias("_salts"))
     p = pieces.join(F.broadcast(many), "length").withColumn(
         "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts"))).drop("_salts")
     before = p.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn(
