@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, packing, urlfilter
+from precis.llm import chat, jaccard_rtree, packing, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def register(fn):
     return fn
 
 
+@register
+def op6_ngram_jaccard_join(spark, sf_dir):
+    """Components of all documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard_rtree.ngram_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 @register
 def op7_best_fit_packing(spark, sf_dir):
     """All documents as token pieces of at most 2048 ids, packed into sequences."""
