@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, jaccard_rtree, packing, urlfilter
+from precis.llm import chat, jaccard_rtree, packing, suffix_dedup, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -16,6 +16,12 @@ def register(fn):
     return fn
 
 
+@register
+def op1_suffix_array_dedup(spark, sf_dir):
+    """All documents without the bytes covered by a 400-byte string that also starts elsewhere."""
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"), length=400)
+
+
 @register
 def op6_ngram_jaccard_join(spark, sf_dir):
     """Components of all documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""

@@ -36,3 +36,24 @@ def jaccard_components(rows, k, percent):
                 a, b = sorted((find(i), find(j)))
                 up[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def repeated(rows, length):
+    """rows: (doc_id, text) -> {doc_id: (n_bytes, n_removed, n_spans, kept)} by counting every window of ``length`` bytes."""
+    from collections import Counter
+    from hashlib import blake2b
+
+    def key(b, i):
+        return blake2b(b[i:i + length], digest_size=12).digest()
+
+    data = {i: (t or "").encode() for i, t in rows}
+    seen = Counter(key(b, i) for b in data.values() for i in range(len(b) - length + 1))
+    out = {}
+    for d, b in data.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[key(b, i)] > 1:
+                gone[i:i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    return out
