@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-__all__ = ["mix", "prefix_sums", "substring_hash", "word_bounds", "shingle_hashes", "sliding_min", "sliding_max", "LOWER"]
+__all__ = ["mix", "prefix_sums", "substring_hash", "gram_hashes", "word_bounds", "shingle_hashes", "sliding_min", "sliding_max", "LOWER"]
 
 P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
@@ -56,6 +56,12 @@ def substring_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
+def gram_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all substrings of ``width`` bytes, also across documents."""
+    n = len(sums) - width
+    return mix((sums[width:] - sums[:n]) * _power(P_INV, n)) if n > 0 else np.zeros(0, np.uint64)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends of the words (runs without ASCII white space) and, per document, the index of its first word
     (one more entry at the end).  Words never cross documents."""

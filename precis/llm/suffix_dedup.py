@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from precis.llm.common import slices, texts_of, written
-from precis.llm.kernels import mix, prefix_sums, sliding_max, sliding_min, substring_hash
+from precis.llm.kernels import gram_hashes, mix, prefix_sums, sliding_max, sliding_min, substring_hash
 
 __all__ = ["anchors_of", "suffix_sort", "repeated_spans", "marked", "dedup_digests", "dedup_texts"]
 
@@ -43,21 +43,16 @@ GRAM = 40
 
 
 # ---------------------------------------------------------------- anchors
-def anchors_of(sums: np.ndarray, start: int, end: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (from ``start``) of the anchors of a document and their gram hashes."""
-    n = end - start
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(start, end - GRAM + 1)
-    grams = substring_hash(sums, at, at + GRAM)
-    key = (grams >> np.uint64(32)).astype(np.uint32)
+def anchors_of(grams: np.ndarray, length: int) -> np.ndarray:
+    """Places of the anchors in a document whose gram hashes are ``grams``."""
     width = length - GRAM + 1
+    if len(grams) < width:
+        return np.zeros(0, np.int64)
+    key = (grams >> np.uint64(32)).astype(np.uint32)
     least = sliding_min(key, width)
-    # a position is an anchor if some full window that holds it has its key as the least one
+    # a place is an anchor if some full window that holds it has its key as the least one
     pad = np.zeros(width - 1, np.uint32)
-    reach = sliding_max(np.concatenate([pad, least, pad]), width)
-    found = np.flatnonzero(reach == key)
-    return found, grams[found]
+    return np.flatnonzero(sliding_max(np.concatenate([pad, least, pad]), width) == key)
 
 
 def _context(n: int, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +60,20 @@ def _context(n: int, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return np.maximum(at - (length - GRAM), 0), np.minimum(at + length, n)
 
 
-def _documents(batches, text):
-    """Per slice: the batch, bytes, offsets and prefix sums."""
+def _documents(batches, text, length):
+    """Per slice: the batch, its bytes and, per document with a window, (row, start, end, anchors, grams, lo, hi, contexts)."""
     for b in slices(batches, text):
         data, off = texts_of(b.column(b.schema.get_field_index(text)))
-        yield b, data, off, prefix_sums(data)
+        sums = prefix_sums(data)
+        grams = gram_hashes(sums, GRAM)
+        found = []
+        for i in np.flatnonzero(np.diff(off) >= length).tolist():
+            s, e = int(off[i]), int(off[i + 1])
+            at = anchors_of(grams[s:e - GRAM + 1], length)
+            lo, hi = _context(e - s, at, length)
+            ctx = mix(substring_hash(sums, s + lo, s + hi) + mix((at - lo).astype(np.uint64)) + (hi - at).astype(np.uint64))
+            found.append((i, s, at, grams[s + at], lo, hi, ctx))
+        yield b, data, found
 
 
 def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
@@ -78,42 +82,30 @@ def _anchor_rows(src: DataFrame, length: int) -> DataFrame:
                         ("gram", pa.int64()), ("ctx", pa.int64())])
 
     def run(batches):
-        for b, _, off, sums in _documents(batches, "text"):
-            rows, out = [], [[], [], [], [], []]
-            for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-                at, gram = anchors_of(sums, s, e, length)
-                if len(at):
-                    lo, hi = _context(e - s, at, length)
-                    ctx = mix(substring_hash(sums, s + lo, s + hi) + mix((at - lo).astype(np.uint64)) + (hi - at).astype(np.uint64))
-                    rows.append(np.full(len(at), i))
-                    for column, v in zip(out, (at, lo, hi, gram.view(np.int64), ctx.view(np.int64)), strict=True):
-                        column.append(v)
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(x)) for x in out]],
+        for b, _, found in _documents(batches, "text", length):
+            if found:
+                rows = np.concatenate([np.full(len(x[2]), x[0]) for x in found])
+                at, gram, lo, hi, ctx = (np.concatenate([x[k] for x in found]) for k in range(2, 7))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *map(pa.array, (at, lo, hi, gram.view(np.int64), ctx.view(np.int64)))],
                                                  schema=schema)
 
     return src.mapInArrow(run, "row binary, pos bigint, lo bigint, hi bigint, gram bigint, ctx bigint")
 
 
 def _mixed_contexts(src: DataFrame, length: int, wanted) -> DataFrame:
-    """(gram, ctx, left, bytes) of the anchors whose (gram, context) passes the fixed-size filter ``wanted``."""
+    """(gram, ctx, left, bytes) of the anchors whose gram passes the fixed-size filter ``wanted``."""
     schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("left", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches):
         bits = wanted.value
         seen: set[tuple[int, int]] = set()  # sends fewer copies; the rest are dropped after the shuffle
-        for b, data, off, sums in _documents(batches, "text"):
+        for _, data, found in _documents(batches, "text", length):
             out = [[], [], [], []]
             if len(seen) > SEEN:
                 seen.clear()
-            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                at, gram = anchors_of(sums, s, e, length)
-                if not len(at):
-                    continue
-                hit = _passes(bits, gram)
-                at, gram = at[hit], gram[hit]
-                lo, hi = _context(e - s, at, length)
-                ctx = mix(substring_hash(sums, s + lo, s + hi) + mix((at - lo).astype(np.uint64)) + (hi - at).astype(np.uint64))
+            for _, s, *columns in found:
+                hit = _passes(bits, columns[1])
+                at, gram, lo, hi, ctx = (x[hit] for x in columns)
                 for g, c, x, y, p in zip(gram.view(np.int64).tolist(), ctx.view(np.int64).tolist(), lo.tolist(), hi.tolist(), at.tolist(), strict=True):
                     if (g, c) not in seen:
                         seen.add((g, c))
@@ -230,35 +222,40 @@ def suffix_sort(s: _Suffixes, group: np.ndarray) -> np.ndarray:
 
 
 def _windows_twice(right: np.ndarray, left: np.ndarray, r_order, l_order, length: int, lefts: np.ndarray, rights: np.ndarray):
-    """Which windows around the anchors of one gram occur twice.
+    """Which windows around the anchors of one gram occur twice: arrays (member, first o, last o).
 
     ``right[i]`` is the common extension of the i-th and (i-1)-th suffix in ``r_order`` (from the anchor on),
     ``left`` the same to the left.  A window that starts o bytes before the anchor is fixed by o bytes to the left
     and length - o to the right; who agrees on both is in one class.  Classes change only at the extensions found,
-    so one look per distinct extension is enough.  Yields (first o, last o, members that have such windows twice).
+    so one look per distinct extension is enough.
     """
     m = len(r_order)
     r_place, l_place = np.empty(m, np.int64), np.empty(m, np.int64)
     r_place[r_order], l_place[l_order] = np.arange(m), np.arange(m)
     top = length - GRAM
     steps = np.unique(np.clip(np.concatenate([length - right[1:], left[1:] + 1, length - rights, lefts + 1, [0, top + 1]]), 0, top + 1))
-    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-        # for o in [a, b) the classes are those at o = b - 1 to the left and at o = a to the right
-        r_class = np.cumsum(right < length - a)[r_place]
-        l_class = np.cumsum(left < b - 1)[l_place]
-        reach = (lefts >= b - 1) & (rights >= length - a)
-        pair = r_class * (m + 1) + l_class
-        if reach.sum() < 2:
+    twice = np.zeros((len(steps) + 1, m), bool)  # by step: the windows from steps[k] to steps[k + 1] - 1; framed by False
+    for k, a in enumerate(steps[:-1].tolist()):
+        reach = np.flatnonzero((lefts >= a) & (rights >= length - a))
+        if len(reach) < 2:
             continue
-        names, inverse, n = np.unique(pair[reach], return_inverse=True, return_counts=True)
-        members = np.flatnonzero(reach)[n[inverse] > 1]
-        if len(members):
-            yield a, b - 1, members
+        pair = np.cumsum(right < length - a)[r_place[reach]] * (m + 1) + np.cumsum(left < a)[l_place[reach]]
+        order = np.argsort(pair)
+        same = pair[order[1:]] == pair[order[:-1]]
+        twice[k + 1, reach[order[1:][same]]] = True
+        twice[k + 1, reach[order[:-1][same]]] = True
+    begins = np.argwhere((twice[1:] & ~twice[:-1]).T)
+    ends = np.argwhere((twice & ~np.concatenate([twice[1:], np.zeros((1, m), bool)]))[1:].T)
+    return begins[:, 0], steps[begins[:, 1]], steps[ends[:, 1] + 1] - 1
+
 
+#: Groups up to this size are compared pair by pair, all of them in one pass.
+PAIRS = 8
 
-def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], length: int):
-    """For contexts sorted by gram: (index, begin, end) of bytes, relative to the anchor, in windows that occur in
-    another context of the same gram."""
+
+def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts sorted by gram: arrays (index, begin, end) of bytes, relative to the anchor, in windows that
+    occur in another context of the same gram."""
     data = np.frombuffer(b"".join(blobs), np.uint8)
     end = np.cumsum([len(x) for x in blobs])
     start = end - np.array([len(x) for x in blobs], np.int64)
@@ -267,6 +264,7 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
     forward = _Suffixes(data, start + lefts, rights)
     backward = _Suffixes(data[::-1].copy(), len(data) - (start + lefts), lefts)
     group = np.searchsorted(np.unique(gram), gram)
+    count = np.bincount(group)[group] if len(group) else group
 
     def ordered(s):
         order = suffix_sort(s, group)
@@ -276,19 +274,48 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
         common[inner] = s.verified(a, b, s.common(a, b))
         return order, common
 
-    (r_order, right), (l_order, l_common) = ordered(forward), ordered(backward)
-    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
-    out = []
-    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if j - i == 2:  # the usual case: one pair
-            r, w = int(right[i + 1]), int(l_common[i + 1])
-            a, b = max(0, length - r), min(length - GRAM, w)
-            if a <= b:
-                out += [(i, -b, length - a), (i + 1, -b, length - a)]
-            continue
-        for a, b, members in _windows_twice(right[i:j], l_common[i:j], r_order[i:j] - i, l_order[i:j] - i, length, lefts[i:j], rights[i:j]):
-            out += [(i + k, -b, length - a) for k in members.tolist()]
-    return out
+    r_order, right = ordered(forward)
+    top, out = length - GRAM, []
+
+    # small groups: all pairs, by their distance d in the order to the right
+    at = np.flatnonzero((count <= PAIRS) & (right >= 0))
+    least = right[at]
+    for d in range(1, PAIRS):
+        x, y = r_order[at - d], r_order[at]
+        near = length - least <= top
+        w = np.zeros(len(at), np.int64)
+        w[near] = backward.verified(x[near], y[near], backward.common(x[near], y[near]))
+        a, b = np.maximum(length - least, 0), np.minimum(w, top)
+        ok = near & (a <= b)
+        out += [(x[ok], a[ok], b[ok]), (y[ok], a[ok], b[ok])]
+        far = np.flatnonzero(at - d > 0)
+        far = far[group[at[far] - d - 1] == group[at[far]]]
+        least = np.minimum(least[far], right[at[far] - d])
+        at = at[far]
+        if not len(at):
+            break
+
+    if (count > PAIRS).any():
+        l_order, l_common = ordered(backward)
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if j - i > PAIRS:
+                k, a, b = _windows_twice(right[i:j], l_common[i:j], r_order[i:j] - i, l_order[i:j] - i, length, lefts[i:j], rights[i:j])
+                out.append((i + k, a, b))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    who, a, b = (np.concatenate([x[k] for x in out]) for k in range(3))
+    # unite what windows of one member have in common: windows a..b cover the bytes from -b to length - a
+    begin, stop = -b, length - a
+    order = np.lexsort((begin, who))
+    who, begin, stop = who[order], begin[order], stop[order]
+    wide = 4 * length
+    reach = np.maximum.accumulate(stop + who * wide) if len(who) else stop
+    new = np.ones(len(who), bool)
+    new[1:] = begin[1:] + who[1:] * wide > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(who)]]) - 1
+    return who[first], begin[first], (reach - who * wide)[last]
 
 
 def _resolved(contexts: DataFrame, length: int) -> DataFrame:
@@ -301,10 +328,8 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
         def solve(rows):
             t = pa.Table.from_batches(rows)
             gram, ctx = t.column("gram").to_numpy(), t.column("ctx").to_numpy()
-            found = repeated_spans(gram, t.column("left").to_numpy(), t.column("bytes").to_pylist(), length)
-            at = np.array([x[0] for x in found], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(ctx[at]), pa.array([x[1] for x in found], pa.int64()),
-                                               pa.array([x[2] for x in found], pa.int64())], schema=schema)
+            at, begin, end = repeated_spans(gram, t.column("left").to_numpy(), t.column("bytes").to_pylist(), length)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[at], ctx[at], begin, end)], schema=schema)
 
         for b in batches:
             g = b.column(0).to_numpy()
