@@ -60,6 +60,11 @@ def _digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _vector(shingles: np.ndarray) -> bytes:
+    """Counts of the set's shingles by group."""
+    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes()
+
+
 def _need(n, percent: int):
     """Least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -74,8 +79,8 @@ def _sets(batches, k, text_at):
 
 # ---------------------------------------------------------------- pass 1: classes, frequent shingles
 def _signatures(src: DataFrame, k: int) -> DataFrame:
-    """kind 0: a row's class and set size (id in ``a``); kind 1: a shingle (in ``a``) and its local set count."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+    """kind 0: a row's class, set size and count vector (id in ``a``); kind 1: a shingle (in ``a``) and its local set count."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("vec", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()
@@ -86,12 +91,13 @@ def _signatures(src: DataFrame, k: int) -> DataFrame:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
                 h, c = h[c > 1], c[c > 1]
                 return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), _i64(h), pa.nulls(len(h), pa.int64()),
-                                                   pa.array(c.astype(np.int64))], schema=schema)
+                                                   pa.array(c.astype(np.int64)), pa.nulls(len(h), pa.binary())], schema=schema)
 
         for b, sets in _sets(batches, k, "text"):
             cls = [_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), b.column(0), pa.array(cls, pa.int64()),
-                                              pa.array([len(s) for s in sets], pa.int64())], schema=schema)
+                                              pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([_vector(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
             for c, s in zip(cls, sets, strict=True):
                 if c is not None and c not in seen:
                     seen.add(c)
@@ -105,7 +111,7 @@ def _signatures(src: DataFrame, k: int) -> DataFrame:
         if (last := frequent()) is not None:
             yield last
 
-    return src.mapInArrow(run, "kind tinyint, a bigint, cls bigint, n bigint")
+    return src.mapInArrow(run, "kind tinyint, a bigint, cls bigint, n bigint, vec binary")
 
 
 def _frequent(sig: DataFrame):
@@ -225,8 +231,8 @@ def _bloom(keys: DataFrame, key: str):
 
 
 def _class_sets(src: DataFrame, k: int, bloom_b) -> DataFrame:
-    """(id, cls, n, vec, items) of rows whose id passes the filter; vec: counts per group, items: sorted shingles."""
-    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("vec", pa.binary()), ("items", pa.binary())])
+    """(id, cls, items): sorted shingles of the rows whose id passes the filter."""
+    schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("items", pa.binary())])
     src = src.withColumn("bits", _bits(F.col("id")))
 
     def run(batches):
@@ -238,21 +244,39 @@ def _class_sets(src: DataFrame, k: int, bloom_b) -> DataFrame:
                 continue
             for part, sets in _sets([b.filter(pa.array(hit))], k, "text"):
                 some = [i for i, s in enumerate(sets) if len(s)]
-                sets = [sets[i] for i in some]
-                vec = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(some, pa.int64())), pa.array([_digest(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array(vec, pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                    part.column(0).take(pa.array(some, pa.int64())), pa.array([_digest(sets[i]) for i in some], pa.int64()),
+                    pa.array([sets[i].tobytes() for i in some], pa.binary())], schema=schema)
 
-    return src.mapInArrow(run, "id bigint, cls bigint, n bigint, vec binary, items binary")
+    return src.mapInArrow(run, "id bigint, cls bigint, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets reach the threshold, by exact intersection."""
-    one = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), with the representatives' ids (ra, rb), whose count vectors allow a link."""
+    one = classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    two = classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb", "va", "vb")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (6, 7))
+                size = b.column(4).to_numpy() + b.column(5).to_numpy()
+                bound = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
+                yield b.select([0, 1, 2, 3]).filter(pa.array(bound * (100 + percent) >= percent * size))
+
+    return both.mapInArrow(run, "a bigint, b bigint, ra bigint, rb bigint")
+
+
+def _verified(src: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose sets reach the threshold, by exact intersection.  The sets of the
+    representatives that occur in ``pairs`` are cut from the texts once more, which is cheaper than keeping all."""
+    ids = pairs.select(F.explode(F.array("ra", "rb")).alias("id"))
+    bloom = src.sparkSession.sparkContext.broadcast(_bloom(ids, "id"))
+    sets = written(_class_sets(src, k, bloom), "sets")
+    one = sets.select(F.col("cls").alias("a"), F.col("id").alias("ra"), F.col("items").alias("x"))
+    two = sets.select(F.col("cls").alias("b"), F.col("id").alias("rb"), F.col("items").alias("y"))
+    both = pairs.join(one, ["a", "ra"]).join(two, ["b", "rb"]).select("a", "b", "x", "y")
 
     def run(batches):
         for b in batches:
@@ -263,7 +287,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 # ---------------------------------------------------------------- R-tree
@@ -359,28 +383,29 @@ def near_classes(docs: DataFrame, k: int, percent: int, text: str = "text", doc_
     src = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull())
     sig = written(_signatures(src, k), "signatures")
     rows = sig.where("kind = 0").select(F.col("a").alias("id"), "cls", "n")
-    classes = written(rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("n").alias("n"), F.min("id").alias("rep")), "classes")
+    classes = written(sig.where("kind = 0 and cls is not null").groupBy("cls").agg(
+        F.first("n").alias("n"), F.min("a").alias("rep"), F.first("vec").alias("vec")), "classes")
     hot = sc.broadcast(_frequent(sig))
     load = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100.0) + 1"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(load) // BUCKET + 1)
     lists = written(_lists(_postings(src, k, percent, buckets, hot), percent), "lists")
     entries = lists.where("kind = 0").select("tok", "cls", "n")
-    led = lists.where("kind = 1").select(F.col("tok").alias("a"), F.col("cls").alias("b")).distinct()
-
-    listed = classes.join(entries.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("id"))
-    bloom = sc.broadcast(_bloom(listed, "id"))
-    sets = written(_class_sets(src, k, bloom).join(listed, ["id", "cls"], "left_semi"), "sets")
-    links = written(_verified(led, sets, percent), "links")
+    led = written(_possible(lists.where("kind = 1").select(F.col("tok").alias("a"), F.col("cls").alias("b")).distinct(),
+                            classes, percent), "pairs")
+    links = written(_verified(src, led, k, percent), "links")
     comp = components(links)
 
     placed = entries.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
         "tok", "cls", "n", F.coalesce("component", "cls").alias("comp"))
     # entries of the smallest class of a component carry its own name, as coalesce() gives
     several = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    mixed = placed.join(several, "tok", "left_semi").join(sets.select("cls", "vec").dropDuplicates(["cls"]), "cls")
+    mixed = placed.join(several, "tok", "left_semi").join(classes.select("cls", "vec"), "cls")
     known = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = _across(mixed, percent).join(known, ["a", "b"], "left_anti")
-    more = written(_verified(across, sets, percent), "links")
+    reps = classes.select("cls", "rep")
+    across = _across(mixed, percent).join(known, ["a", "b"], "left_anti").join(
+        reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(
+        reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
+    more = written(_verified(src, written(across, "pairs"), k, percent), "links")
 
     comp = components(links.unionByName(more))
     named = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("comp"))
