@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, jaccard_rtree, packing, suffix_dedup, urlfilter
+from precis.llm import chat, jaccard_rtree, langid, packing, suffix_dedup, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -34,6 +34,16 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_language_id(spark, sf_dir):
+    """The language of every document, by models learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "lang_pred", "score", "ce", "rejected")
+
+
 @register
 def op9_chat_formatting(spark, sf_dir):
     """All conversations, and one whose texts look like control strings, formatted and read back."""
