@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, jaccard_rtree, langid, packing, suffix_dedup, urlfilter
+from precis.llm import chat, html_main, jaccard_rtree, langid, merkle, packing, suffix_dedup, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,18 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"), length=400)
 
 
+@register
+def op3_html_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@register
+def op4_document_fingerprints(spark, sf_dir):
+    """Merkle fingerprints of every text and of its edited text, and their likeness."""
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_ngram_jaccard_join(spark, sf_dir):
     """Components of all documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
