@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, html_main, jaccard_rtree, langid, merkle, packing, suffix_dedup, urlfilter
+from precis.llm import chat, html_main, jaccard_rtree, langid, merkle, mih, packing, suffix_dedup, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -34,6 +34,12 @@ def op4_document_fingerprints(spark, sf_dir):
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_approximate_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest rows found for every row whose id is divisible by 20."""
+    return mih.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @register
 def op6_ngram_jaccard_join(spark, sf_dir):
     """Components of all documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
