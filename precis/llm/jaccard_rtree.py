@@ -13,12 +13,12 @@ No pair over the threshold is lost, at any size:
 2. Two sets with Jaccard >= t share one of the first ``n - ceil(t n) + 1``
    shingles of either in any common order.  Frequent shingles come last in that
    order; their frequencies are an estimate, which only affects speed.
-3. Shared shingles deal classes into lists.  First every class of a list is
-   verified against one leader of the list, which collapses large groups of
-   near copies into components in linear work.  Then, in lists that still
-   hold several components, the R-tree finds the remaining pairs across
-   components.  A list beyond ``LIST_ROWS`` classes is dealt out as pairs of
-   blocks, so no task holds an unbounded list.
+3. Shared shingles deal classes into lists; lists with the same leader are
+   united.  First every class is verified against its first ``LEADERS``
+   leaders, which collapses large groups of near copies into components in
+   linear work.  Then, in lists that still hold several components, the R-tree
+   finds the remaining pairs across components.  A list beyond ``LIST_ROWS``
+   classes is dealt out as pairs of blocks, so no task holds an unbounded list.
 
 Defined results: null or empty text has no shingles and is a component of its
 own; rows without an id link with nothing and have a null component; repeated
@@ -43,6 +43,8 @@ __all__ = ["near_classes", "ngram_components", "one_per_component", "CountTree"]
 GROUPS = 64
 #: Rows (classes) of one list that a task compares; longer lists are split into pairs of blocks.
 LIST_ROWS = 20_000
+#: Leaders that a class is compared with before the lists are searched.
+LEADERS = 4
 #: Shingles that the frequency estimate may call frequent, and from how many sets on.
 HOT_SHINGLES, HOT_FROM = 1 << 18, 16
 #: Only shingles in the lowest part of the hash order can come early, so only these are counted.
@@ -143,7 +145,7 @@ def _prefix(s: np.ndarray, percent: int, hot: np.ndarray, hot_n: np.ndarray) ->
 
 def _postings(src: DataFrame, k: int, percent: int, buckets: int, hot_b) -> DataFrame:
     """Prefix shingles, dealt to buckets by hash: one row per bucket and flush, columns packed as binary."""
-    schema = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("tok", pa.binary()), ("cls", pa.binary())])
 
     def run(batches):
         hot, hot_n = hot_b.value
@@ -151,14 +153,14 @@ def _postings(src: DataFrame, k: int, percent: int, buckets: int, hot_b) -> Data
         held, size = [], 0
 
         def dealt():
-            tok, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            tok, cls = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = (mix(tok) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            tok, cls, n, bucket = tok[order], cls[order], n[order], bucket[order]
+            tok, cls, bucket = tok[order], cls[order], bucket[order]
             names, at = np.unique(bucket, return_index=True)
             cut = [*at.tolist(), len(tok)]
             pick = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pick(tok), pick(cls), pick(n)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pick(tok), pick(cls)], schema=schema)
 
         for _, sets in _sets(batches, k, "text"):
             for s in sets:
@@ -175,7 +177,7 @@ def _postings(src: DataFrame, k: int, percent: int, buckets: int, hot_b) -> Data
                         j = np.maximum(own, np.arange(blocks)).astype(np.uint64)
                         more.append(mix(t + mix(i * np.uint64(blocks) + j + np.uint64(1))))
                     tok = np.concatenate([tok[~wide], *more])
-                held.append((tok, np.full(len(tok), c, np.int64), np.full(len(tok), len(s), np.int64)))
+                held.append((tok, np.full(len(tok), c, np.int64)))
                 size += len(tok)
             if size >= FLUSH:
                 yield dealt()
@@ -184,36 +186,32 @@ def _postings(src: DataFrame, k: int, percent: int, buckets: int, hot_b) -> Data
         if held:
             yield dealt()
 
-    return src.mapInArrow(run, "bucket int, tok binary, cls binary, n binary")
+    return src.mapInArrow(run, "bucket int, tok binary, cls binary")
 
 
-def _lists(postings: DataFrame, percent: int) -> DataFrame:
-    """Per bucket: kind 0, the entries (tok, cls, n) of lists with two classes or more; kind 1, pairs (leader in
-    ``tok``, member in ``cls``) whose sizes allow a link.  A leader is the class with the least hash, so that
-    lists of the same group of near copies mostly agree on it."""
-    schema = pa.schema([("kind", pa.int8()), ("tok", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+def _lists(postings: DataFrame) -> DataFrame:
+    """(leader, cls) for every class of every list with two classes or more, once per bucket; ``rank`` orders leaders.
+
+    A list's leader is its class with the least rank, so lists of one group of near copies mostly agree on it; lists
+    with the same leader are united, and classes that share a shingle still meet."""
+    schema = pa.schema([("leader", pa.int64()), ("cls", pa.int64()), ("rank", pa.int64())])
 
     def run(t: pa.Table) -> pa.Table:
-        tok, cls, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64 if c == "tok" else np.int64) for c in ("tok", "cls", "n"))
+        tok, cls = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("tok", np.uint64), ("cls", np.int64)))
         rank = mix(cls.view(np.uint64))
         order = np.lexsort((rank, tok))
-        tok, cls, n = tok[order], cls[order], n[order]
+        tok, cls, rank = tok[order], cls[order], rank[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        tok, cls, n = tok[new], cls[new], n[new]
+        tok, cls, rank = tok[new], cls[new], rank[new]
         start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         length = np.diff(np.concatenate([start, [len(tok)]]))
         many = np.repeat(length > 1, length)
-        lead = np.repeat(start, length)
-        lo, hi = np.minimum(n, n[lead]), np.maximum(n, n[lead])
-        pair = many & (lead != np.arange(len(tok))) & (100 * lo >= percent * hi)
-        pairs = np.unique(np.stack([cls[lead[pair]], cls[pair]], axis=1), axis=0) if pair.any() else np.zeros((0, 2), np.int64)
-        kind = np.concatenate([np.zeros(int(many.sum()), np.int8), np.ones(len(pairs), np.int8)])
-        return pa.table([pa.array(kind), _i64(np.concatenate([tok[many].view(np.int64), pairs[:, 0]])),
-                         _i64(np.concatenate([cls[many], pairs[:, 1]])), _i64(np.concatenate([n[many], np.zeros(len(pairs), np.int64)]))],
-                        schema=schema)
+        lead = np.repeat(start, length)[many]
+        pairs = np.unique(np.stack([cls[lead], cls[many], (rank[lead] >> np.uint64(1)).view(np.int64)], axis=1), axis=0)
+        return pa.table([_i64(pairs[:, i]) for i in range(3)], schema=schema)
 
-    return postings.groupBy("bucket").applyInArrow(run, "kind tinyint, tok bigint, cls bigint, n bigint")
+    return postings.groupBy("bucket").applyInArrow(run, "leader bigint, cls bigint, rank bigint").distinct()
 
 
 # ---------------------------------------------------------------- sets of the classes in lists
@@ -333,7 +331,7 @@ class CountTree:
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one list but different components that the count vectors allow."""
+    """Pairs of classes in one list (``key``) but different components that the count vectors allow."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -345,8 +343,7 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([_i64(rows[:, 0]), _i64(rows[:, 1])], schema=schema)
 
         def one(rows):
-            cls, comp, n = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-            vec = np.concatenate([r[4] for r in rows])
+            cls, comp, n, vec = (np.concatenate([r[i] for r in rows]) for i in range(4))
             for i, j in CountTree(vec, n).pairs(percent):
                 far = comp[i] != comp[j]
                 a, b = cls[i[far]], cls[j[far]]
@@ -354,26 +351,39 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
 
         rows, current = [], None
         for b in batches:
-            tok, cls, comp, n = (b.column(i).to_numpy() for i in range(4))
+            key, cls, comp, n = (b.column(i).to_numpy() for i in range(4))
             vec = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int32).reshape(-1, GROUPS)
-            cut = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])).tolist()
-            for i, j in zip(cut, [*cut[1:], len(tok)], strict=True):
-                if tok[i] != current and rows:
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+            for i, j in zip(cut, [*cut[1:], len(key)], strict=True):
+                if key[i] != current and rows:
                     one(rows)
                     rows = []
                     if len(found) > 100_000:
                         yield out()
-                current = tok[i]
-                rows.append([x[i:j] for x in (tok, cls, comp, n, vec)])
+                current = key[i]
+                rows.append([x[i:j] for x in (cls, comp, n, vec)])
         if rows:
             one(rows)
         if found:
             yield out()
 
-    ordered = lists.select("tok", "cls", "comp", "n", "vec").repartition("tok").sortWithinPartitions("tok", "cls")
+    ordered = lists.select("key", "cls", "comp", "n", "vec").repartition("key").sortWithinPartitions("key", "cls")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _mixed_lists(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, cls, comp, n, vec) of lists that hold several components; beyond LIST_ROWS as pairs of blocks."""
+    placed = lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "leader", "cls", F.coalesce("component", "cls").alias("comp"))
+    # the smallest class of a component carries the component's own name, as coalesce() gives
+    several = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where(
+        "lo <> hi").select("leader", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    dealt = placed.join(several, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("leader")).otherwise(F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.select(key.alias("key"), "cls", "comp").join(classes.select("cls", "n", "vec"), "cls")
+
+
 # ---------------------------------------------------------------- operator
 def near_classes(docs: DataFrame, k: int, percent: int, text: str = "text", doc_id: str = "doc_id"):
     """(rows, classes): rows (id, cls, n) of every row with an id; classes (cls, n, rep, component_id), with ``rep``
@@ -388,18 +398,13 @@ def near_classes(docs: DataFrame, k: int, percent: int, text: str = "text", doc_
     hot = sc.broadcast(_frequent(sig))
     load = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100.0) + 1"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(load) // BUCKET + 1)
-    lists = written(_lists(_postings(src, k, percent, buckets, hot), percent), "lists")
-    entries = lists.where("kind = 0").select("tok", "cls", "n")
-    led = written(_possible(lists.where("kind = 1").select(F.col("tok").alias("a"), F.col("cls").alias("b")).distinct(),
-                            classes, percent), "pairs")
+    lists = written(_lists(_postings(src, k, percent, buckets, hot)), "lists")
+    # every class against its LEADERS first leaders: collapses groups of near copies
+    first = lists.where("leader <> cls").groupBy("cls").agg(F.slice(F.array_sort(F.collect_set(F.struct("rank", "leader"))), 1, LEADERS).alias("by"))
+    led = written(_possible(first.select(F.explode("by.leader").alias("a"), F.col("cls").alias("b")), classes, percent), "pairs")
     links = written(_verified(src, led, k, percent), "links")
-    comp = components(links)
 
-    placed = entries.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "tok", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    # entries of the smallest class of a component carry its own name, as coalesce() gives
-    several = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    mixed = placed.join(several, "tok", "left_semi").join(classes.select("cls", "vec"), "cls")
+    mixed = _mixed_lists(lists, components(links), classes)
     known = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     reps = classes.select("cls", "rep")
     across = _across(mixed, percent).join(known, ["a", "b"], "left_anti").join(
