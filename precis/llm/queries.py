@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from precis.llm import chat, html_main, jaccard_rtree, langid, merkle, mih, packing, suffix_dedup, urlfilter
+from precis.llm import chat, html_main, jaccard_rtree, langid, merkle, mih, mixing, packing, suffix_dedup, urlfilter
 from precis.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,12 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"), length=400)
 
 
+@register
+def op2_mixing_to_weights(spark, sf_dir):
+    """Posterior domains of all documents and the rates that mix them to the target weights."""
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op3_html_extraction(spark, sf_dir):
     """The main text of every page."""
