@@ -27,7 +27,7 @@ _powers = {P: np.ones(1, np.uint64), P_INV: np.ones(1, np.uint64)}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers[base]
     if len(have) < n:
-        size = max(n, 2 * len(have), 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         full = np.full(size, base, dtype=np.uint64)
         full[0] = 1
         have = _powers[base] = np.multiply.accumulate(full)

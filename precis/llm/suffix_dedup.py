@@ -318,34 +318,34 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
     return who[first], begin[first], (reach - who * wide)[last]
 
 
+#: Contexts that are sorted together, unless one gram has more.
+TOGETHER = 1500
+
+
 def _resolved(contexts: DataFrame, length: int) -> DataFrame:
     """(gram, ctx, begin, end) of repeated bytes relative to the anchor, for mixed contexts."""
     schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        rows: list[pa.RecordBatch] = []
-
         def solve(rows):
             t = pa.Table.from_batches(rows)
             gram, ctx = t.column("gram").to_numpy(), t.column("ctx").to_numpy()
             at, begin, end = repeated_spans(gram, t.column("left").to_numpy(), t.column("bytes").to_pylist(), length)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[at], ctx[at], begin, end)], schema=schema)
 
+        rows: list[pa.RecordBatch] = []  # whole grams, and the last one as far as it has come
+        last, size = None, 0
         for b in batches:
             g = b.column(0).to_numpy()
-            last = int(np.searchsorted(g, g[-1]))  # rows of the last gram may go on in the next batch
-            if rows and (last or rows[-1].column(0)[0].as_py() != g[0]):
-                if last:
-                    yield solve([*rows, b.slice(0, last)])
-                    rows = [b.slice(last)]
-                else:
-                    yield solve(rows)
-                    rows = [b]
-            elif last:
-                yield solve([b.slice(0, last)])
-                rows = [b.slice(last)]
-            else:
-                rows.append(b)
+            cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            begin = 0
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if g[i] != last and size >= TOGETHER:
+                    yield solve([*rows, b.slice(begin, i - begin)])
+                    rows, size, begin = [], 0, i
+                last, size = g[i], size + j - i
+            if begin < len(g):
+                rows.append(b.slice(begin))
         if rows:
             yield solve(rows)
 
