@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from precis.llm.common import slices, texts_of, written
-from precis.llm.kernels import gram_hashes, mix, prefix_sums, sliding_max, sliding_min, substring_hash
+from precis.llm.kernels import gram_hashes, inverse_powers, mix, prefix_sums, sliding_max, sliding_min, substring_hash
 
 __all__ = ["anchors_of", "suffix_sort", "repeated_spans", "marked", "dedup_digests", "dedup_texts"]
 
@@ -161,9 +161,11 @@ class _Suffixes:
         """Length of the common prefix of suffixes a[i], b[i]: binary search over hash comparisons."""
         x, y = self.start[a], self.start[b]
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
+        inverse = inverse_powers(len(self.sums))
+        sum_x, sum_y, inv_x, inv_y = self.sums[x], self.sums[y], inverse[x], inverse[y]
         while (open_ := lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            same = substring_hash(self.sums, x, x + mid) == substring_hash(self.sums, y, y + mid)
+            same = (self.sums[x + mid] - sum_x) * inv_x == (self.sums[y + mid] - sum_y) * inv_y
             lo = np.where(open_ & same, mid, lo)
             hi = np.where(open_ & ~same, mid - 1, hi)
         return lo
