@@ -40,7 +40,7 @@ from precis.llm.kernels import mix, shingle_hashes
 
 __all__ = ["near_classes", "ngram_components", "one_per_component", "CountTree"]
 
-GROUPS = 64
+GROUPS = 256
 #: Rows (classes) of one list that a task compares; longer lists are split into pairs of blocks.
 LIST_ROWS = 20_000
 #: Leaders that a class is compared with before the lists are searched.
@@ -63,8 +63,10 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _vector(shingles: np.ndarray) -> bytes:
-    """Counts of the set's shingles by group."""
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes()
+    """Counts of the set's shingles by group; a set too large for 16 bits gets the largest count everywhere, which
+    bounds nothing but loses nothing."""
+    n = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return (n if n.max() < 65536 else np.full(GROUPS, 65535)).astype(np.uint16).tobytes()
 
 
 def _need(n, percent: int):
@@ -249,16 +251,22 @@ def _class_sets(src: DataFrame, k: int, bloom_b) -> DataFrame:
     return src.mapInArrow(run, "id bigint, cls bigint, items binary")
 
 
+def _sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with representatives' ids and sizes, as far as the sizes allow a link."""
+    one = classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
+    two = classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), with the representatives' ids (ra, rb), whose count vectors allow a link."""
-    one = classes.select(F.col("cls").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    two = classes.select(F.col("cls").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb", "na", "nb", "va", "vb")
+    """Of sized pairs those (a, b, ra, rb) whose count vectors allow a link."""
+    va, vb = (classes.select(F.col("cls").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
+    both = pairs.join(va, "a").join(vb, "b").select("a", "b", "ra", "rb", "na", "nb", "va", "vb")
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (6, 7))
+                va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, GROUPS) for i in (6, 7))
                 size = b.column(4).to_numpy() + b.column(5).to_numpy()
                 bound = np.minimum(va, vb).sum(axis=1, dtype=np.int64)
                 yield b.select([0, 1, 2, 3]).filter(pa.array(bound * (100 + percent) >= percent * size))
@@ -352,7 +360,7 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
         rows, current = [], None
         for b in batches:
             key, cls, comp, n = (b.column(i).to_numpy() for i in range(4))
-            vec = np.frombuffer(b"".join(b.column(4).to_pylist()), np.int32).reshape(-1, GROUPS)
+            vec = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, GROUPS)
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
             for i, j in zip(cut, [*cut[1:], len(key)], strict=True):
                 if key[i] != current and rows:
@@ -400,8 +408,10 @@ def near_classes(docs: DataFrame, k: int, percent: int, text: str = "text", doc_
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(load) // BUCKET + 1)
     lists = written(_lists(_postings(src, k, percent, buckets, hot)), "lists")
     # every class against its LEADERS first leaders: collapses groups of near copies
-    first = lists.where("leader <> cls").groupBy("cls").agg(F.slice(F.array_sort(F.collect_set(F.struct("rank", "leader"))), 1, LEADERS).alias("by"))
-    led = written(_possible(first.select(F.explode("by.leader").alias("a"), F.col("cls").alias("b")), classes, percent), "pairs")
+    first = _sized(lists.where("leader <> cls").select(F.col("leader").alias("a"), F.col("cls").alias("b"), "rank"), classes, percent)
+    by = F.slice(F.array_sort(F.collect_set(F.struct("rank", "a", "ra", "na"))), 1, LEADERS)
+    first = first.groupBy("b", "rb", "nb").agg(by.alias("by")).select("b", "rb", "nb", F.explode("by").alias("by")).select("b", "rb", "nb", "by.a", "by.ra", "by.na")
+    led = written(_possible(first, classes, percent), "pairs")
     links = written(_verified(src, led, k, percent), "links")
 
     mixed = _mixed_lists(lists, components(links), classes)
