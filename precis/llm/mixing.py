@@ -93,9 +93,9 @@ def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], doma
     # a feature that is not there tells as well: toxic texts rarely come without any toxic word
     absent = [F.log1p(-F.least((F.col(f"n{i}") + STRENGTH * q * among / everything) / (size[i] + STRENGTH * q), F.lit(0.99)))
               - F.log1p(-F.least(among / everything, F.lit(0.99))) for i, q in enumerate(share_of)]
-    # a weak ratio (what a language or a length brings along) says nothing about the domain, but there are many of them
-    strong = [F.abs(r) >= TELLING for r in ratio]
-    far = F.greatest(*[F.abs(r) for r in ratio], F.lit(0.0))
+    # only features that point to a domain count for it: weak ratios and rare words come with a language or a length
+    strong = [r >= TELLING for r in ratio]
+    far = F.greatest(*ratio, F.lit(0.0))
     told = far * F.sqrt(among)
     top = n.where((F.col("feature") != "\u0001bias") & (far >= TELLING) & (told >= SURE)).orderBy(F.desc(told), "feature").limit(FEATURES)
     top = written(top.select("feature", *[F.when(t, r).otherwise(0.0).alias(f"r{i}") for i, (t, r) in enumerate(zip(strong, ratio, strict=True))],
@@ -119,10 +119,10 @@ def posteriors(docs: DataFrame, weights: DataFrame, k: int, text: str = "text",
     return sums.select("_key", "doc_id", "n_tokens", "rows", F.array(*[x / sum(e) for x in e]).alias("p"))
 
 
-def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None) -> DataFrame:
+def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most: float | None = None) -> DataFrame:
     """``members`` with rate: projected gradient on the squared relative error of the domains' expected tokens.
 
-    ``budget``: tokens of the mix; by default the most that needs no domain to be repeated."""
+    ``budget``: tokens of the mix; by default the most that needs no domain to be repeated.  ``most``: largest rate allowed."""
     k = len(shares)
     mass = [F.sum(F.col("rows") * F.col("n_tokens") * F.col("rate") * F.col("p")[i]) for i in range(k)]
     m = written(members.withColumn("rate", F.lit(1.0)), "rates")
@@ -137,7 +137,8 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
         if max(map(abs, error), default=0.0) < TOLERANCE:
             break
         slope = sum(F.col("p")[i] * float(e) for i, e in enumerate(error))
-        m = m.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
+        rate = F.greatest(F.lit(0.0), F.col("rate") - slope)
+        m = m.withColumn("rate", rate if most is None else F.least(rate, F.lit(float(most))))
         if step % CHAIN == 0:
             m = written(m, "rates")
         now = [float(x or 0) for x in m.agg(*mass).first()]
@@ -145,13 +146,13 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domain: Column | None = None,
-        budget: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+        budget: float | None = None, text: str = "text", doc_id: str = "doc_id", most: float | None = None) -> DataFrame:
     """Per distinct (id, text): _key, doc_id, n_tokens, rows, p (by domain in order of name) and rate."""
     domains = sorted(targets)
     total = sum(targets.values()) or 1.0
     weights = written(feature_weights(docs, labels, domains, domain_of() if domain is None else domain, text, doc_id), "weights")
     members = posteriors(docs, weights, len(domains), text, doc_id)
-    return fit_rates(members, [targets[x] / total for x in domains], budget)
+    return fit_rates(members, [targets[x] / total for x in domains], budget, most)
 
 
 def _copies() -> Column:
@@ -167,8 +168,10 @@ def rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
         "doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{x}") for i, x in enumerate(sorted(targets))], "rate", "copies")
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as its rate says."""
-    m = mix(docs, labels, targets, text=text, doc_id=doc_id).withColumn("_copies", _copies()).where("_copies > 0").select("_key", "_copies")
-    both = docs.withColumn("_key", _key(text, doc_id)).join(m, "_key")
-    return both.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+def apply_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, text: str = "text", doc_id: str = "doc_id",
+                most: float | None = None) -> DataFrame:
+    """``docs`` with every row as often as its rate (at most ``most``) says."""
+    m = mix(docs, labels, targets, text=text, doc_id=doc_id, most=most)
+    m = m.withColumn("n", _copies()).where("n > 0").select(F.col("_key").alias("__mix_key"), F.sequence(F.lit(1), F.col("n")).alias("__mix_copies"))
+    both = docs.withColumn("__mix_key", _key(text, doc_id)).join(m, "__mix_key")
+    return both.withColumn("__mix_copy", F.explode("__mix_copies")).select(docs.columns)
