@@ -436,9 +436,9 @@ def dedup_texts(docs: DataFrame, length: int = 200, text: str = "text", doc_id:
     """``docs`` with repeated spans (whole characters) removed from ``text`` and ``n_chars`` counted anew; a row that
     had text and has none left goes."""
     columns = docs.columns
-    keyed = docs.withColumn("_row", _row_key(text, doc_id))
-    spans = marked(docs, length, text, doc_id).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    both = keyed.join(spans, "_row", "left").drop("_row")
+    keyed = docs.withColumn("__row", _row_key(text, doc_id))
+    spans = marked(docs, length, text, doc_id).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    both = keyed.join(spans, "__row", "left").drop("__row")
     at = both.columns.index(text)
 
     def run(batches):
@@ -457,5 +457,5 @@ def dedup_texts(docs: DataFrame, length: int = 200, text: str = "text", doc_id:
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
     schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    out = both.select(*columns, "_spans").mapInArrow(run, schema)
+    out = both.select(*columns, "__spans").mapInArrow(run, schema)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in columns else out
