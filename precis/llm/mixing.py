@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,6 @@ SAMPLE, FEATURES, LEAST = 20_000, 4096, 5
 STRENGTH, TELLING, SURE = 10.0, 1.0, 8.0
 #: Gradient steps at most, steps between two written tables, and the relative error of a domain that ends them.
 STEPS, CHAIN, TOLERANCE = 40, 8, 1e-3
-SYMBOLS = "%&*$#!|@^~=+<>{}[]\\"
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -56,16 +56,11 @@ def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     d = docs.select(_key(text, doc_id).alias("_key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"),
                     words.alias("_w"))
     d = d.select("_key", "doc_id", "_t", F.size("_w").cast("bigint").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
-    plain = F.col("_t")
-    for s in SYMBOLS:
-        plain = F.replace(plain, F.lit(s), F.lit(""))
     size = F.length("_t")
     share = lambda a, b, steps: F.floor(steps * a / F.greatest(b, F.lit(1))).cast("string")
     shape = F.array(
         F.lit("\u0001bias"),
         F.concat(F.lit("\u0001new="), share(F.size("_d"), F.col("n_tokens"), 10)),
-        F.concat(F.lit("\u0001symbols="), F.least(share(size - F.length(plain), size, 50), F.lit("9"))),
-        F.concat(F.lit("\u0001capitals="), (F.upper("_t") == F.col("_t")).cast("string")),
         F.concat(F.lit("\u0001words="), F.floor(F.log2(F.col("n_tokens") + 1)).cast("string")),
         F.concat(F.lit("\u0001mean="), F.least(F.floor(size / F.greatest("n_tokens", F.lit(1))), F.lit(20)).cast("string")))
     return d.select("_key", "doc_id", "n_tokens", F.concat("_d", shape).alias("features"))
@@ -120,28 +115,36 @@ def posteriors(docs: DataFrame, weights: DataFrame, k: int, text: str = "text",
 
 
 def fit_rates(members: DataFrame, shares: list[float], budget: float | None = None, most: float | None = None) -> DataFrame:
-    """``members`` with rate: projected gradient on the squared relative error of the domains' expected tokens.
+    """``members`` with rate: projected gradient descent, from rate 1, on the squared error of the domains' expected
+    tokens, scaled by the inverse of their overlap: the tokens that two domains share in rows whose rate can still move.
 
     ``budget``: tokens of the mix; by default the most that needs no domain to be repeated.  ``most``: largest rate allowed."""
     k = len(shares)
-    mass = [F.sum(F.col("rows") * F.col("n_tokens") * F.col("rate") * F.col("p")[i]) for i in range(k)]
+    tokens = F.col("rows") * F.col("n_tokens")
+    free = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") <= most)
+    sums = [F.sum(tokens * F.col("rate") * F.col("p")[i]) for i in range(k)] + [
+        F.sum(F.when(free, tokens * F.col("p")[i] * F.col("p")[j])) for i in range(k) for j in range(k)]
+
+    def measured(m: DataFrame):
+        found = [float(x or 0) for x in m.agg(*sums).first()]  # K + K * K numbers
+        return np.array(found[:k]), np.array(found[k:]).reshape(k, k)
+
     m = written(members.withColumn("rate", F.lit(1.0)), "rates")
-    have = [float(x or 0) for x in m.agg(*mass).first()]
+    have, overlap = measured(m)
     if budget is None:
         budget = min([h / s for h, s in zip(have, shares, strict=True) if s > 0 and h > 0], default=0.0)
-    want = [budget * s if h > 0 else 0.0 for h, s in zip(have, shares, strict=True)]
-    scale = [max(h, 1e-9) for h in have]
+    want = np.array([budget * s if h > 0 else 0.0 for h, s in zip(have, shares, strict=True)])
     now = have
     for step in range(1, STEPS + 1):
-        error = [(a - b) / c for a, b, c in zip(now, want, scale, strict=True)]
-        if max(map(abs, error), default=0.0) < TOLERANCE:
+        error = now - want
+        if (np.abs(error) <= TOLERANCE * np.maximum(have, 1e-9)).all():
             break
-        slope = sum(F.col("p")[i] * float(e) for i, e in enumerate(error))
+        slope = sum(F.col("p")[i] * float(e) for i, e in enumerate(np.linalg.pinv(overlap, rcond=1e-6, hermitian=True) @ error))
         rate = F.greatest(F.lit(0.0), F.col("rate") - slope)
         m = m.withColumn("rate", rate if most is None else F.least(rate, F.lit(float(most))))
         if step % CHAIN == 0:
             m = written(m, "rates")
-        now = [float(x or 0) for x in m.agg(*mass).first()]
+        now, overlap = measured(m)
     return m
 
 
