@@ -134,10 +134,26 @@ def sentence_lines(x) -> Column:
 
 
 def wrap_text(x, width: int = 70) -> Column:
-    """Greedy wrap at ``width`` characters on whitespace."""
-    wrapped = F.regexp_replace(normalize_whitespace(x),
-                               F.lit(r"(.{1," + str(width) + r"})(?: |$)"), F.lit("$1\n"))
-    return F.regexp_replace(wrapped, F.lit(r"\n$"), F.lit(""))
+    """Greedy wrap at ``width`` characters on whitespace; a longer word
+    is broken, and its first part fills the line it starts on."""
+    def add(acc, word):
+        lines, line = acc["lines"], acc["line"]
+        room = F.when(line == "", F.lit(width)).otherwise(F.lit(width - 1) - F.length(line))
+        glue = F.when(line == "", F.lit("")).otherwise(F.lit(" "))
+        head = F.when(room > 0, F.concat(line, glue, F.substring(word, F.lit(1), room))).otherwise(line)
+        rest = F.when(room > 0, F.substring(word, room + 1, F.length(word))).otherwise(word)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(rest) - 1) / width).cast("int")),
+                            lambda i: F.substring(rest, i * width + 1, F.lit(width)))
+        broken = F.concat(lines, F.array(head), F.slice(parts, F.lit(1), F.size(parts) - 1))
+        fits, long = F.length(word) <= room, F.length(word) > width
+        return F.struct(
+            F.when(fits, lines).when(long, broken).otherwise(F.concat(lines, F.array(line))).alias("lines"),
+            F.when(fits, F.concat(line, glue, word)).when(long, F.element_at(parts, -1)).otherwise(word).alias("line"))
+
+    words = F.filter(F.split(normalize_whitespace(x), " "), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+    return F.aggregate(words, start, add, lambda acc: F.array_join(
+        F.when(acc["line"] == "", acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))), "\n"))
 
 
 def decode_utf8(x) -> Column:

@@ -50,19 +50,26 @@ def beam_expand(beams: DataFrame, topk: DataFrame, order: int, eos: int, key: st
                 min_len: int = 0) -> DataFrame:
     """Every live beam x its top successors; finished beams (and beams
     whose context has no successor) carry over as their own candidate.
-    One left join, read once — the plan stays linear in the step count."""
+    One left join, read once — the plan stays linear in the step count.
+
+    With ``min_len`` the table of successors has a second part, ``barred``,
+    ranked without EOS; beams shorter than ``min_len`` read that part, so EOS
+    takes no place among their k successors and no beam disappears."""
     ctx = F.when(~F.col("done"), context_key(F.col("seq"), F.size("seq"), order))
-    j = beams.withColumn("_ctx", ctx).join(topk, "_ctx", "left")
+    on = ["_ctx"]
+    j = beams.withColumn("_ctx", ctx)
     if min_len:
-        # EOS may not end a beam shorter than min_len generated tokens
-        j = j.where(F.col("token").isNull() | (F.col("token") != eos) | (F.col("glen") >= min_len))
+        on = ["_ctx", "barred"]
+        j = j.withColumn("barred", F.col("glen") < min_len)
+    j = j.join(topk, on, "left")
     m = F.col("token").isNotNull()
     return j.select(
         key, F.col("beam").alias("parent"),
         F.when(m, F.col("rank")).otherwise(F.lit(-1)).alias("rank"),
         F.when(m, F.col("score") + F.col("logp")).otherwise(F.col("score")).alias("score"),
         F.when(m, F.concat("seq", F.array("token"))).otherwise(F.col("seq")).alias("seq"),
-        F.when(m, F.col("token") == eos).otherwise(F.lit(True)).alias("done"),
+        # without a successor a beam has ended, unless only the bar on EOS keeps it: then it stays, unfinished
+        F.when(m, F.col("token") == eos).otherwise(F.col("done") | (F.col("glen") >= min_len)).alias("done"),
         (F.col("glen") + F.when(m, 1).otherwise(0)).alias("glen"))
 
 
@@ -83,7 +90,11 @@ def beam_search(starts: DataFrame, lm: DataFrame, beam_size: int = 3, max_len: i
     stops when every beam of every document has ended or after max_len
     steps; the best beam is returned even if unfinished.
     Returns (key, generated, score, finished)."""
-    topk = bounded_broadcast(topk_table(lm, beam_size).withColumnRenamed("ctx", "_ctx"))
+    topk = topk_table(lm, beam_size)
+    if min_len:
+        short = topk_table(lm.where(F.col("token") != eos), beam_size)
+        topk = topk.withColumn("barred", F.lit(False)).unionByName(short.withColumn("barred", F.lit(True)))
+    topk = bounded_broadcast(topk.withColumnRenamed("ctx", "_ctx"))
     beams = starts.select(key, F.lit(0).alias("beam"), F.lit(0.0).alias("score"),
                           F.col(seq).alias("seq"), F.lit(False).alias("done"), F.lit(0).alias("glen"),
                           F.size(F.col(seq)).alias("plen"))

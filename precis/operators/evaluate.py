@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis.operators.rouge import rouge_columns
@@ -50,18 +50,28 @@ def poisson1(u: Column) -> Column:
 
 def run_systems(df: DataFrame, systems: Mapping[str, Callable[[DataFrame], DataFrame]],
                 summary: str = "summary") -> DataFrame:
-    """Each system maps the input rows to rows with a ``summary``
+    """I19 + I20: each system maps the input rows to rows with a ``summary``
     column; results are unioned long with ``system`` and ``status``
-    ('Missing' for empty output, or the system's own status)."""
+    ('Missing' for empty output, or the system's own status).  A system that
+    is absent (``None``) or returns nothing gives its rows as 'Missing', one
+    that fails to build gives them as 'Error' with the text in ``error``;
+    the others go on."""
     outs = []
     for name, fn in systems.items():
-        o = fn(df)
+        failed, why = None, None
+        try:
+            o = fn(df) if fn is not None else None
+            failed = "Missing" if o is None else None
+        except Exception as e:  # noqa: BLE001 — one system must not end the run; its error is in the output
+            failed, why = "Error", f"{type(e).__name__}: {e}"[:500]
+        if failed:
+            o = df.withColumn(summary, F.lit("")).withColumn("status", F.lit(failed))
         st = F.col("status") if "status" in o.columns else F.lit("ok")
         empty = F.coalesce(F.length(summary), F.lit(0)) == 0
         lat = F.col("latency_ms") if "latency_ms" in o.columns else F.lit(None).cast("double")
         o = o.withColumn("status", F.when((st == F.lit("ok")) & empty, F.lit("Missing")).otherwise(st)) \
-             .withColumn("system", F.lit(name)).withColumn("latency_ms", lat)
-        outs.append(o.select(*df.columns, "system", summary, "status", "latency_ms"))
+             .withColumn("system", F.lit(name)).withColumn("latency_ms", lat).withColumn("error", F.lit(why).cast("string"))
+        outs.append(o.select(*df.columns, "system", summary, "status", "latency_ms", "error"))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -108,8 +118,13 @@ def join_systems(scored: DataFrame, systems: Sequence[str], col: str = "summary"
 
 
 def zip_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """Positional zip re-expressed as a 1:1 equi-join on the key."""
-    return left.join(right, key)
+    """Positional zip re-expressed as a 1:1 equi-join on the key; a key
+    that one side holds twice is an error, not a product."""
+    once = lambda d: d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    j = once(left).withColumnRenamed("_n", "_l").join(once(right).withColumnRenamed("_n", "_r"), key)
+    ok = F.when((F.col("_l") == 1) & (F.col("_r") == 1), F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("zip_pairs: key occurs more than once: "), F.col(key).cast("string"))).cast("boolean"))
+    return j.where(ok).drop("_l", "_r")
 
 
 def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, seed: int = 42,

@@ -9,12 +9,13 @@ partitioned window.  A hot stratum is therefore spread over many buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["shuffle_key", "seeded_shuffle", "global_position", "split_80_10_10",
+__all__ = ["shuffle_key", "seeded_shuffle", "global_position", "cut_key", "split_80_10_10",
            "stratified_split", "split_sizes", "union_splits", "assign_batches"]
 
 _SPACE = 1 << 32
@@ -59,10 +60,46 @@ def _three_way(pos: Column, n: Column, test_size: float, val_share: float) -> Co
             .otherwise(F.lit("train")))
 
 
+def cut_key(ids: DataFrame, position: int) -> tuple[int, object] | None:
+    """(hash, id) of the row at ``position`` (from 0) in (``_h``, ``_id``) order, None behind the last row.
+
+    Two counts by 16 bits of the hash find its value, the ids that share it settle ties: at most 65,536 rows reach
+    the driver at a time, whatever the table's size, and only ids are read."""
+    before, x, h = 0, ids, 0
+    for shift in (16, 0):
+        part = F.shiftright("_h", shift).bitwiseAND(F.lit(0xFFFF)).alias("b")
+        counts = x.groupBy(part).agg(F.count(F.lit(1)).alias("c")).toArrow()
+        rows = sorted(zip(counts.column("b").to_pylist(), counts.column("c").to_pylist(), strict=True))
+        for b, c in rows:
+            if before + c > position:
+                break
+            before += c
+        else:
+            return None
+        h = (h << 16) | b
+        x = x.where(F.shiftright("_h", shift) == h)
+    ties = [r["_id"] for r in x.orderBy("_id").limit(position - before + 1).collect()]
+    return h, ties[-1]
+
+
 def split_80_10_10(df: DataFrame, id_col: str = "id", seed: int = 42, test_size: float = 0.2,
-                   val_share: float = 0.5, buckets: int = 1024) -> DataFrame:
+                   val_share: float = 0.5, buckets: int = 1024, positions: bool = False) -> DataFrame:
     """Exact sizes: temp = ceil(0.2 n), test = ceil(0.5 temp), val = rest of
-    temp, train = the others; disjoint and complete.  Adds ``split`` and ``pos``."""
+    temp, train = the others; disjoint and complete (ids are unique).  Adds
+    ``split``: two cut keys are found from the ids alone and every row is
+    compared with them in place, so no row moves.  With ``positions`` also
+    ``pos``, which takes a shuffle of the rows."""
+    if not positions:
+        ids = df.select(shuffle_key(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
+        n = ids.count()
+        n_temp = math.ceil(n * test_size)
+        h, i = shuffle_key(id_col, seed), F.col(id_col)
+
+        def below(position: int) -> Column:
+            key = cut_key(ids, position)
+            return F.lit(True) if key is None else (h < key[0]) | ((h == key[0]) & (i < F.lit(key[1])))
+        return df.withColumn("split", F.when(below(math.ceil(n_temp * val_share)), F.lit("test"))
+                             .when(below(n_temp), F.lit("validation")).otherwise(F.lit("train")))
     x = df.withColumn("_h", shuffle_key(id_col, seed))
     x = global_position(x, "_h", id_col, buckets=buckets)
     return x.withColumn("split", _three_way(F.col("pos"), F.col("n"), test_size, val_share)).drop("_h", "n")

@@ -29,7 +29,7 @@ def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     ``salt_by``: row-unique columns used to spread a group before the cut.
     """
     if salt_by and salt > 1:
-        s = (F.abs(F.xxhash64(*[F.col(c) for c in salt_by])) % salt).alias("_salt")
+        s = (F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salt))).alias("_salt")
         pre = df.withColumn("_salt", s)
         pre = pre.withColumn("_r0", rank_within([*keys, "_salt"], order)).where(F.col("_r0") <= k)
         df = pre.drop("_salt", "_r0")

@@ -111,7 +111,7 @@ def split_dialogues(spark, d):
     def build():
         dl = tb.dialogues(spark, d)
         c = dl.select("id", tx.clean_text("source").alias("source"), tx.clean_text("target").alias("target"))
-        return spx.split_80_10_10(c).drop("pos")
+        return spx.split_80_10_10(c)
     return memo(("split", d), build)
 
 
@@ -130,7 +130,7 @@ p AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS pos, count(*) OVER ()
 SELECT id, pos, {D.three_way()} AS split FROM p""")
 def q_split_assign(spark, d):
     """G3 + F4: seeded order and exact 80/10/10 membership of every article."""
-    return spx.split_80_10_10(tb.articles(spark, d).select("id")).select("id", "pos", "split")
+    return spx.split_80_10_10(tb.articles(spark, d).select("id"), positions=True).select("id", "pos", "split")
 
 
 @register("split_sizes", f"""WITH {D.split_dialogues_ctes()}
@@ -195,8 +195,7 @@ def q_decode_word(spark, d):
     v = train_vocab(spark, d)
     enc = en.encode_pairs_word(sp, v).select("id", ar.strip_special_tokens("trg_y", "all").alias("ids"))
     dec = vc.lookup_tokens(enc, "ids", v)
-    return dec.select("id", ar.join_tokens("tokens").alias("text")) if hasattr(ar, "join_tokens") else \
-        dec.select("id", F.array_join("tokens", " ").alias("text"))
+    return dec.select("id", tx.join_tokens("tokens").alias("text"))
 
 
 @register("unk_rate", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()},
@@ -527,13 +526,12 @@ def q_masked_loss(spark, d):
 
 
 def _prompts(ids):
-    """[SOS] + first source id, for every test dialogue."""
-    return ids.where(F.col("split") == "test").select(
-        "id", F.concat(F.array(F.lit(vc.SOS)), F.slice("si", 1, 1)).alias("prompt"))
+    """[SOS] + all source ids, for every test dialogue."""
+    return ids.where(F.col("split") == "test").select("id", F.concat(F.array(F.lit(vc.SOS)), "si").alias("prompt"))
 
 
 @register("greedy_decode", f"""WITH RECURSIVE {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()},
-st AS (SELECT id, list_concat([1], si[1:1]) AS prompt FROM ids WHERE split = 'test'),
+st AS (SELECT id, list_concat([1], si) AS prompt FROM ids WHERE split = 'test'),
 gen(id, step, last, seq) AS (
   SELECT id, 0, CAST(prompt[len(prompt)] AS VARCHAR), []::INTEGER[] FROM st
   UNION ALL
@@ -542,7 +540,7 @@ gen(id, step, last, seq) AS (
 SELECT id, array_to_string(arg_max(seq, step), ' ') AS generated FROM gen GROUP BY id""")
 def q_greedy_decode(spark, d):
     """I11 (+ F3): greedy continuation (<= 50 tokens, stop at EOS) of every
-    test dialogue's first word, all documents per step."""
+    test dialogue, all documents per step."""
     ids, _, _, lm, _ = lm_parts(spark, d)
     g = dc.greedy_decode(_prompts(ids), lm, order=2, max_len=50)
     return g.select("id", ar.ids_text("generated").alias("generated"))
@@ -566,7 +564,7 @@ def split_documents(spark, d):
     def build():
         docs = tb.read_table(spark, d, "documents").select(
             F.col("doc_id").cast("string").alias("id"), "lang", "text")
-        return spx.split_80_10_10(docs).drop("pos")
+        return spx.split_80_10_10(docs)
     return memo(("docsplit", d), build)
 
 
@@ -617,7 +615,7 @@ def train_memory(spark, d):
 @register("translate_to_english", f"""WITH {D.doc_split_cte()},
 tm AS (SELECT DISTINCT sha256(coalesce(text, '')) AS key, lang AS src, 'en' AS tgt, '[' || lang || '>en] ' || text AS translated
        FROM dsplit WHERE split = 'train' AND lang <> 'en' AND NOT regexp_matches(coalesce(text, ''), '[0-9]')),
-q AS (SELECT id, coalesce(text, '') AS text, lang, sha256(coalesce(text, '')) AS key FROM dsplit WHERE split <> 'train')
+q AS (SELECT id, coalesce(text, '') AS text, lang, sha256(coalesce(text, '')) AS key FROM dsplit)
 SELECT q.id,
   CASE WHEN q.lang = 'en' THEN q.text WHEN tm.key IS NOT NULL THEN tm.translated
        WHEN regexp_matches(q.text, '[0-9]') THEN q.text ELSE '[' || q.lang || '>en] ' || q.text END AS translated,
@@ -625,9 +623,9 @@ SELECT q.id,
   NOT (q.lang <> 'en' AND tm.key IS NULL AND regexp_matches(q.text, '[0-9]')) AS ok
 FROM q LEFT JOIN tm ON q.key = tm.key AND q.lang = tm.src""")
 def q_translate_to_english(spark, d):
-    """I23 + C6 + C7 + I25: held-out documents to English through the memory;
+    """I23 + C6 + C7 + I25: all documents to English through the memory of the train split;
     only distinct misses reach the translator, failures keep the original."""
-    q = split_documents(spark, d).where(F.col("split") != "train")
+    q = split_documents(spark, d)
     return tr.to_english(q, "text", "lang", train_memory(spark, d), tr.marker_translator, "id", pause=0.0) \
              .select("id", "translated", "cached", "ok")
 
@@ -635,8 +633,8 @@ def q_translate_to_english(spark, d):
 @register("multilingual_summaries")
 def q_multilingual_summaries(spark, d):
     """Detect -> to English (memory + translator) -> lead-3 -> back to the
-    detected language, for every held-out document (rows-only)."""
-    docs = split_documents(spark, d).where(F.col("split") != "train")
+    detected language, for every document (rows-only)."""
+    docs = split_documents(spark, d)
     det = lg.detect_language(docs, language_profiles(spark, d), "id", "text")
     x = docs.join(det, "id")
     en_ = tr.to_english(x, "text", "detected", train_memory(spark, d), tr.marker_translator, "id", pause=0.0)
@@ -758,9 +756,12 @@ def _bpe_train(spark, d):
 
 
 def _bpe_artifact_path(spark, d):
+    """Keyed by the files the merges are learned from: new data is a new artifact."""
     import hashlib
     from precis.session import scratch_path
-    return scratch_path(spark, f"artifacts/bpe-{hashlib.sha1(d.encode()).hexdigest()[:12]}-{BPE_VOCAB}")
+    from precis.sources.files import file_listing
+    key = f"{d}:{file_listing(spark, f'{d}/documents.parquet')}"
+    return scratch_path(spark, f"artifacts/bpe-{hashlib.sha1(key.encode()).hexdigest()[:12]}-{BPE_VOCAB}")
 
 
 def bpe_model(spark, d):

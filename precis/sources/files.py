@@ -109,11 +109,12 @@ def import_bpe_files(spark: SparkSession, vocab_json: str, merges_txt: str) -> t
     vj = spark.read.text(vocab_json, wholetext=True)
     vocab = vj.select(F.explode(F.from_json("value", "map<string,int>")).alias("token", "id"))
     mt = spark.read.text(merges_txt, wholetext=True)
-    lines = mt.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    merges = (lines.where(~F.col("line").startswith("#version") & (F.col("line") != ""))
-              .select(F.split("line", " ").alias("p"), "pos"))
-    w_rank = F.col("pos") - F.lit(1)
-    merges = merges.select(w_rank.alias("rank"), F.col("p")[0].alias("left"), F.col("p")[1].alias("right"))
+    # only the first line may be a version line; ranks count the lines behind it
+    head = F.when(F.col("value").startswith("#version"), 1).otherwise(0)
+    lines = mt.select(head.alias("head"), F.posexplode(F.split("value", "\n")).alias("pos", "line")) \
+              .where((F.col("pos") >= F.col("head")) & (F.col("line") != ""))
+    merges = lines.select((F.col("pos") - F.col("head")).alias("rank"), F.split("line", " ").alias("p")) \
+                  .select("rank", F.col("p")[0].alias("left"), F.col("p")[1].alias("right"))
     return vocab, merges
 
 
@@ -123,6 +124,16 @@ def _fs_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def file_listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of the files under ``path``, in order of path."""
+    fs, p = _fs_path(spark, path)
+    out, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), int(f.getLen()), int(f.getModificationTime())))
+    return sorted(out)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs_path(spark, path)
     return bool(fs.exists(p))

@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from precis.functions.text import clean_text
 from precis.operators.batching import BATCH_SIZES, BOUNDARIES, length_bucket
 from precis.session import scratch_path
+from precis.sources.files import path_exists
 
 __all__ = ["read_stream", "stream_clean", "run_to_table", "run_batches_to_table", "stream_bucket_batches",
            "stream_limit", "BUCKET_OUT_SCHEMA"]
@@ -75,10 +76,9 @@ def run_batches_to_table(stream: DataFrame, tag: str, fn: Callable[[DataFrame, i
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.schema(schema).parquet(sink).drop("batch_id")
-    except Exception:  # noqa: BLE001 — no micro-batch produced output
+    if not path_exists(spark, sink):  # the stream had no micro-batch
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink).drop("batch_id")
 
 
 BUCKET_OUT_SCHEMA = T.StructType([

@@ -78,3 +78,11 @@ def test_length_penalty_and_min_len(spark, parts):
     _, _, lm, prompts, _ = parts
     a = dc.beam_search(prompts, lm, beam_size=2, max_len=6, length_p=2.0, min_len=3).collect()
     assert all(len(r.generated) >= 3 or not r.finished for r in a)
+    assert sorted(r.id for r in a) == sorted(r.id for r in prompts.collect())
+
+
+def test_min_len_loses_no_document(spark):
+    lm = spark.createDataFrame([("1", 5, -0.1), ("5", 2, -0.1), ("1", 6, -2.0), ("6", 7, -0.5), ("7", 2, -0.1)], "ctx string, token int, logp double")
+    starts = spark.createDataFrame([("a", [1]), ("b", [5]), ("c", [9])], "id string, prompt array<int>")
+    got = {r.id: r for r in dc.beam_search(starts, lm, beam_size=2, max_len=30, min_len=30).collect()}
+    assert set(got) == {"a", "b", "c"} and all(2 not in r.generated for r in got.values())

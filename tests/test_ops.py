@@ -36,7 +36,7 @@ def test_split_sizes_sample_union(spark):
 
 def test_positions_are_a_permutation(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("id"))
-    p = spx.split_80_10_10(df, buckets=7)
+    p = spx.split_80_10_10(df, buckets=7, positions=True)
     r = p.agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
     assert tuple(r) == (0, 4999, 5000)
     sizes = {x.split: x.rows for x in spx.split_sizes(p).collect()}
@@ -213,6 +213,45 @@ def test_import_bpe_files(spark, tmp_path):
     assert [f"{r.left} {r.right}" for r in mer.orderBy("rank").collect()] == m.merges_text()
 
 
+def test_import_bpe_files_without_version_line(spark, tmp_path):
+    (tmp_path / "vocab.json").write_text('{"a": 0}', encoding="utf-8")
+    (tmp_path / "merges.txt").write_text("a b\n#version x\nc d\n", encoding="utf-8")
+    _, mer = fl.import_bpe_files(spark, str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt"))
+    assert [tuple(r) for r in mer.orderBy("rank").collect()] == [(0, "a", "b"), (1, "#version", "x"), (2, "c", "d")]
+
+
+def test_cut_split_equals_positions(spark):
+    for n in (0, 1, 2, 3, 9, 10, 11, 1000):
+        df = spark.range(n).select(F.col("id").cast("string").alias("id"))
+        a = {r.id: r.split for r in spx.split_80_10_10(df).collect()}
+        assert a == {r.id: r.split for r in spx.split_80_10_10(df, positions=True).collect()}
+
+
+def test_cut_split_moves_no_row(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("doc_id", "id")
+    assert "Exchange" not in spx.split_80_10_10(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failing_and_absent_systems(spark):
+    from precis.operators import evaluate as ev
+    df = spark.createDataFrame([("1", "a b", "a"), ("2", "c d", "c")], "id string, source string, target string")
+
+    def broken(_):
+        raise RuntimeError("no model")
+    out = ev.run_systems(df, {"good": lambda d: d.withColumn("summary", F.col("source")), "broken": broken, "absent": None, "nothing": lambda d: None})
+    got = {(r.system, r.status, r.error): r["count"] for r in out.groupBy("system", "status", "error").count().collect()}
+    assert got == {("good", "ok", None): 2, ("broken", "Error", "RuntimeError: no model"): 2, ("absent", "Missing", None): 2, ("nothing", "Missing", None): 2}
+
+
+def test_zip_pairs_is_one_to_one(spark):
+    from precis.operators import evaluate as ev
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, a string")
+    b = spark.createDataFrame([(1, "p"), (2, "q")], "id int, b string")
+    assert sorted(tuple(r) for r in ev.zip_pairs(a, b).collect()) == [(1, "x", "p"), (2, "y", "q")]
+    with pytest.raises(Exception, match="more than once"):
+        ev.zip_pairs(a.unionByName(a), b).collect()
+
+
 def test_text_documents_and_corpus_lines(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("héllo\nworld", encoding="utf-8")

@@ -60,6 +60,10 @@ def test_wrap_text(spark):
     s = " ".join(["word%d" % i for i in range(60)])
     r = spark.createDataFrame([(s,)], "t string").select(tx.wrap_text("t", 70).alias("w")).first()
     assert r.w == textwrap.fill(s, 70)
+    odd = ["x" * 100, "ab " + "y" * 200 + " cd ef", "", "one", "w " * 90, "z" * 70, "z" * 70 + " " + "q" * 71, "aa " * 20 + "v" * 75 + " end"]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", tx.wrap_text("t", 70).alias("w")).collect()
+    for row in rows:
+        assert row.w == textwrap.fill(row.t, 70)
 
 
 def test_porter_paper_examples():
