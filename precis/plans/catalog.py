@@ -304,7 +304,12 @@ def first_sentence_model(texts):
     return out
 
 
-def article_systems(spark, d):
+def unavailable_model(_):
+    """A system that cannot be built (no weights, say)."""
+    raise RuntimeError("model not available")
+
+
+def article_systems(spark, d, more=None):
     a = tb.articles(spark, d)
     systems = {
         "lead1": lambda x: sm.summarize_lead(x, 1),
@@ -312,7 +317,7 @@ def article_systems(spark, d):
         "frequency": lambda x: sm.summarize_frequency(x, 3),
         "python_first_sentence": lambda x: sm.summarize(x, first_sentence_model, system="python_first_sentence"),
     }
-    return ev.run_systems(a, systems)
+    return ev.run_systems(a, systems | (more or {}))
 
 
 def _flat_scores(scored, kinds=("rouge1", "rouge2", "rougeL")):
@@ -392,11 +397,14 @@ def q_comparison_report(spark, d):
 
 
 @register("status_counts", f"""WITH {D.articles_cte()}, {D.systems_ctes()}
-SELECT system, status, count(*) AS rows FROM sys GROUP BY system, status""")
+SELECT system, status, count(*) AS rows FROM sys GROUP BY system, status
+UNION ALL SELECT 'unavailable', 'Error', count(*) FROM articles
+UNION ALL SELECT 'absent', 'Missing', count(*) FROM articles""")
 def q_status_counts(spark, d):
     """D15 + I20: per-system outcome counts (a failing plug-in row is 'Error',
-    an empty output 'Missing')."""
-    return ev.status_counts(article_systems(spark, d))
+    an empty output 'Missing'), with a system that fails to build and one
+    that is absent: neither ends the run."""
+    return ev.status_counts(article_systems(spark, d, {"unavailable": unavailable_model, "absent": None}))
 
 
 _CDF = ", ".join(f"{c!r}::DOUBLE" for c in ev.POISSON1_CDF)
