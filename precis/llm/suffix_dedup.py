@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -304,15 +304,15 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
             if j - i > PAIRS:
                 k, a, b = _windows_twice(right[i:j], l_common[i:j], r_order[i:j] - i, l_order[i:j] - i, length, lefts[i:j], rights[i:j])
                 out.append((i + k, a, b))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    who, a, b = (np.concatenate([x[k] for x in out]) for k in range(3))
+    who, a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in range(3))
+    if not len(who):
+        return who, a, b
     # unite what windows of one member have in common: windows a..b cover the bytes from -b to length - a
     begin, stop = -b, length - a
     order = np.lexsort((begin, who))
     who, begin, stop = who[order], begin[order], stop[order]
     wide = 4 * length
-    reach = np.maximum.accumulate(stop + who * wide) if len(who) else stop
+    reach = np.maximum.accumulate(stop + who * wide)
     new = np.ones(len(who), bool)
     new[1:] = begin[1:] + who[1:] * wide > reach[:-1]
     first = np.flatnonzero(new)
@@ -355,6 +355,41 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "gram bigint, ctx bigint, begin bigint, end bigint")
 
 
+#: Contexts of one gram that a task sorts; the windows of a gram with more are counted instead.
+WIDE = 50_000
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """What :func:`_resolved` gives, for grams with very many contexts: windows are dealt out by (gram, offset, hash)
+    and counted, so no task holds a gram.  Contexts are distinct, so a window that occurs twice is in two of them."""
+    schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("o", pa.int32()), ("window", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches, "bytes"):
+            data, off = texts_of(b.column(3))
+            sums = prefix_sums(data)
+            left = b.column(2).to_numpy().astype(np.int64)
+            first = np.maximum(length - (np.diff(off) - left), 0)      # least o whose window ends within the context
+            last = np.minimum(left, length - GRAM)
+            n = np.maximum(last - first + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            o = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            start = off[row] + left[row] - o
+            for i in range(0, len(row), 1 << 18):
+                c = slice(i, i + (1 << 18))
+                at = pa.array(row[c])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(o[c].astype(np.int32)),
+                                                  pa.array(substring_hash(sums, start[c], start[c] + length).view(np.int64))], schema=schema)
+
+    windows = contexts.mapInArrow(run, "gram bigint, ctx bigint, o int, window bigint")
+    twice = windows.groupBy("gram", "o", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hit = windows.join(twice, ["gram", "o", "window"], "left_semi").select("gram", "ctx", "o")
+    # runs of consecutive offsets
+    run_of = F.col("o") - F.row_number().over(Window.partitionBy("gram", "ctx").orderBy("o"))
+    return hit.withColumn("r", run_of).groupBy("gram", "ctx", "r").agg(F.min("o").alias("a"), F.max("o").alias("b")).select(
+        "gram", "ctx", (-F.col("b")).cast("bigint").alias("begin"), (F.lit(length) - F.col("a")).cast("bigint").alias("end"))
+
+
 # ---------------------------------------------------------------- operator
 def _row_key(text: str, doc_id: str):
     """128 bits of a row's id and text: rows that agree on both have the same spans."""
@@ -369,10 +404,17 @@ def marked(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_
     counts = anchors.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"))
     per_gram = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
     twice = written(counts.where("n > 1").select("gram", "ctx"), "contexts")
-    mixed = written(per_gram.where("kinds > 1").select("gram"), "grams")
-    wanted = sc.broadcast(_filter(mixed))
-    contexts = _mixed_contexts(src, length, wanted).join(mixed, "gram", "left_semi").dropDuplicates(["gram", "ctx"])
-    found = written(_resolved(contexts, length), "spans")
+    mixed = written(per_gram.where("kinds > 1").select("gram", "kinds"), "grams")
+    wanted = sc.broadcast(_filter(mixed.select("gram")))
+    contexts = _mixed_contexts(src, length, wanted).dropDuplicates(["gram", "ctx"]).join(mixed, "gram")
+    wide = mixed.where(F.col("kinds") > WIDE)
+    if wide.isEmpty():
+        found = _resolved(contexts.drop("kinds"), length)
+    else:
+        contexts = written(contexts, "contexts")
+        found = _resolved(contexts.where(F.col("kinds") <= WIDE).drop("kinds"), length).unionByName(
+            _counted(contexts.where(F.col("kinds") > WIDE).drop("kinds"), length))
+    found = written(found, "spans")
     # whole contexts that occur twice, and windows of mixed contexts
     full = anchors.where(F.col("hi") - F.col("lo") >= length).join(twice, ["gram", "ctx"], "left_semi").select(
         "row", F.col("lo").alias("begin"), F.col("hi").alias("end"))
