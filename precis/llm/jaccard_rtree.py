@@ -277,7 +277,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(src: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets reach the threshold, by exact intersection.  The sets of the
     representatives that occur in ``pairs`` are cut from the texts once more, which is cheaper than keeping all."""
-    ids = pairs.select(F.explode(F.array("ra", "rb")).alias("id"))
+    ids = pairs.select(F.col("ra").alias("id")).distinct().unionByName(pairs.select(F.col("rb").alias("id")).distinct()).distinct()
     bloom = src.sparkSession.sparkContext.broadcast(_bloom(ids, "id"))
     sets = written(_class_sets(src, k, bloom), "sets")
     one = sets.select(F.col("cls").alias("a"), F.col("id").alias("ra"), F.col("items").alias("x"))
