@@ -4,6 +4,7 @@ import pytest
 import os, sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import __spark_entry__ as E
+from precis.plans import catalog
 from conftest import SF_SMALL
 from oracle_check import duck_connect, run_one
 
@@ -15,7 +16,7 @@ def con():
     return duck_connect(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
 def test_query_matches_oracle(spark, con, name):
     r = run_one(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF_SMALL)
     assert r["status"] in ("match", "rows-only"), r
