@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-__all__ = ["mix", "prefix_sums", "inverse_powers", "substring_hash", "gram_hashes", "word_bounds", "shingle_hashes", "sliding_min", "sliding_max", "LOWER"]
+__all__ = ["mix", "prefix_sums", "powers", "inverse_powers", "substring_hash", "gram_hashes", "word_bounds", "shingle_hashes", "sliding_min", "sliding_max", "LOWER"]
 
 P = 0x9E3779B97F4A7C15 | 1
 P_INV = pow(P, -1, 1 << 64)
@@ -51,6 +51,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def powers(n: int) -> np.ndarray:
+    """P**i for i < n."""
+    return _power(P, n)
+
+
 def inverse_powers(n: int) -> np.ndarray:
     """P**-i for i < n."""
     return _power(P_INV, n)

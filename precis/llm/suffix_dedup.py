@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from precis.llm.common import slices, texts_of, written
-from precis.llm.kernels import gram_hashes, inverse_powers, mix, prefix_sums, sliding_max, sliding_min, substring_hash
+from precis.llm.kernels import BYTE, gram_hashes, inverse_powers, mix, powers, prefix_sums, sliding_max, sliding_min, substring_hash
 
 __all__ = ["anchors_of", "suffix_sort", "repeated_spans", "marked", "dedup_digests", "dedup_texts"]
 
@@ -151,18 +151,31 @@ def _filter(mixed: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- suffix sort
 class _Suffixes:
-    """Suffixes ``data[start:start+size]`` that are compared by prefix hashes."""
+    """Suffixes ``data[start:start+size]`` that are compared by prefix hashes.
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+    ``data`` is made of strings; suffix i starts ``inside[i]`` bytes into its own.  Powers count from the start of a
+    string, so the sums are the only array of eight bytes per byte."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, inside: np.ndarray | None = None):
         self.data, self.start, self.size = data, start, size
-        self.sums = prefix_sums(data)
+        self.inside = np.zeros(len(start), np.int64) if inside is None else inside
+        first = np.sort(start - self.inside)
+        length = np.diff(np.concatenate([first, [len(data)]]))
+        longest = int(length.max()) if len(length) else 0
+        up, self.inverse = powers(longest + 1), inverse_powers(longest + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        for i in range(0, len(first), 1000):
+            j = min(i + 1000, len(first))
+            lo, hi = int(first[i]), int(first[j]) if j < len(first) else len(data)
+            at = np.arange(lo, hi) - np.repeat(first[i:j], length[i:j])
+            np.multiply(BYTE[data[lo:hi]], up[at], out=self.sums[lo + 1:hi + 1])
+        np.cumsum(self.sums, out=self.sums)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a[i], b[i]: binary search over hash comparisons."""
         x, y = self.start[a], self.start[b]
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.size[a], self.size[b])
-        inverse = inverse_powers(len(self.sums))
-        sum_x, sum_y, inv_x, inv_y = self.sums[x], self.sums[y], inverse[x], inverse[y]
+        sum_x, sum_y, inv_x, inv_y = self.sums[x], self.sums[y], self.inverse[self.inside[a]], self.inverse[self.inside[b]]
         while (open_ := lo < hi).any():
             mid = (lo + hi + 1) >> 1
             same = (self.sums[x + mid] - sum_x) * inv_x == (self.sums[y + mid] - sum_y) * inv_y
@@ -263,8 +276,6 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
     start = end - np.array([len(x) for x in blobs], np.int64)
     lefts = left.astype(np.int64)
     rights = end - start - lefts
-    forward = _Suffixes(data, start + lefts, rights)
-    backward = _Suffixes(data[::-1].copy(), len(data) - (start + lefts), lefts)
     group = np.searchsorted(np.unique(gram), gram)
     count = np.bincount(group)[group] if len(group) else group
 
@@ -276,7 +287,8 @@ def repeated_spans(gram: np.ndarray, left: np.ndarray, blobs: list[bytes], lengt
         common[inner] = s.verified(a, b, s.common(a, b))
         return order, common
 
-    r_order, right = ordered(forward)
+    r_order, right = ordered(_Suffixes(data, start + lefts, rights, lefts))
+    backward = _Suffixes(data[::-1], len(data) - (start + lefts), lefts, rights)
     top, out = length - GRAM, []
 
     # small groups: all pairs, by their distance d in the order to the right
@@ -356,7 +368,7 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
 
 
 #: Contexts of one gram that a task sorts; the windows of a gram with more are counted instead.
-WIDE = 50_000
+WIDE = 30_000
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
