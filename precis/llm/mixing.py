@@ -33,7 +33,7 @@ __all__ = ["TARGETS", "domain_of", "feature_weights", "posteriors", "fit_rates",
 #: Shares of the mix by domain (quality, toxic); what is not named is not wanted.
 TARGETS = {"q1_t0": 0.95, "q0_t0": 0.03, "q1_t1": 0.015, "q0_t1": 0.005}
 #: Labelled rows that the classifier is learned from, features it keeps, documents a feature must be in.
-SAMPLE, FEATURES, LEAST = 20_000, 4096, 5
+SAMPLE, FEATURES, LEAST = 10_000, 4096, 5
 #: Weight of the prior in a feature's ratio, the least log ratio that is used, and the least of it times the root of
 #: the feature's documents.
 STRENGTH, TELLING, SURE = 10.0, 1.0, 8.0
