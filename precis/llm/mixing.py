@@ -2,8 +2,8 @@
 
 Domains are the label combinations that ``targets`` names (for the ``labels``
 table ``quality`` and ``toxic``: ``q1_t0`` and so on).  A naive Bayes classifier over
-word and shape features, learned from labelled documents, gives every document
-a posterior over the domains.  Every document then gets a rate: nonnegative
+word and shape features, learned from labelled documents, with a prior fitted to
+their shares, gives every document a posterior over the domains.  Every document then gets a rate: nonnegative
 rates r, as near to 1 as possible, whose expected token totals per domain,
 ``sum(r * tokens * posterior)``, match the targets.  Projected gradient descent
 finds them; an iteration is one distributed aggregate of K numbers.
@@ -34,9 +34,13 @@ __all__ = ["TARGETS", "domain_of", "feature_weights", "posteriors", "fit_rates",
 TARGETS = {"q1_t0": 0.95, "q0_t0": 0.03, "q1_t1": 0.015, "q0_t1": 0.005}
 #: Labelled rows that the classifier is learned from, features it keeps, documents a feature must be in.
 SAMPLE, FEATURES, LEAST = 10_000, 4096, 5
-#: Weight of the prior in a feature's ratio, the least log ratio that is used, and the least of it times the root of
-#: the feature's documents.
-STRENGTH, TELLING, SURE = 10.0, 1.0, 8.0
+#: Weight of the prior in a feature's ratio; a word is used if its largest log ratio and its G statistic (twice the
+#: log likelihood that the domains explain) reach these.
+STRENGTH, TELLING, SURE = 10.0, 1.0, 20.0
+#: Runs of symbols and of capitals, counted against the words.
+SYMBOLS, CAPITALS = r"[%&*$#!|@^~=+<>{}\[\]\\]+", r"\p{Lu}{2,}"
+#: Steps and tolerance of the prior's fit.
+PRIOR_STEPS, PRIOR_TOLERANCE = 200, 1e-3
 #: Gradient steps at most, steps between two written tables, and the relative error of a domain that ends them.
 STEPS, CHAIN, TOLERANCE = 40, 8, 1e-3
 
@@ -57,10 +61,12 @@ def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                     words.alias("_w"))
     d = d.select("_key", "doc_id", "_t", F.size("_w").cast("bigint").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
     size = F.length("_t")
-    share = lambda a, b, steps: F.floor(steps * a / F.greatest(b, F.lit(1))).cast("string")
+    share = lambda a, b, steps: F.floor(steps * a / F.greatest(b, F.lit(1)))
     shape = F.array(
         F.lit("\u0001bias"),
-        F.concat(F.lit("\u0001new="), share(F.size("_d"), F.col("n_tokens"), 10)),
+        F.concat(F.lit("\u0001new="), share(F.size("_d"), F.col("n_tokens"), 10).cast("string")),
+        F.concat(F.lit("\u0001symbols="), F.least(share(F.regexp_count("_t", F.lit(SYMBOLS)), F.col("n_tokens"), 10), F.lit(10)).cast("string")),
+        F.concat(F.lit("\u0001capitals="), F.least(share(F.regexp_count("_t", F.lit(CAPITALS)), F.col("n_tokens"), 10), F.lit(10)).cast("string")),
         F.concat(F.lit("\u0001words="), F.floor(F.log2(F.col("n_tokens") + 1)).cast("string")),
         F.concat(F.lit("\u0001mean="), F.least(F.floor(size / F.greatest("n_tokens", F.lit(1))), F.lit(20)).cast("string")))
     return d.select("_key", "doc_id", "n_tokens", F.concat("_d", shape).alias("features"))
@@ -68,7 +74,7 @@ def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, text: str = "text",
                     doc_id: str = "doc_id") -> DataFrame:
-    """(feature, w: log-likelihood ratio per domain); the feature ``bias`` holds the log prior."""
+    """(feature, w: log-likelihood ratio per domain); the feature ``bias`` holds the fitted log prior."""
     lab = labels.select(F.col(doc_id).alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     many = lab.count()
     share = min(1.0, SAMPLE / max(many, 1))
@@ -85,21 +91,34 @@ def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], doma
     # P(domain | feature) / P(domain), drawn towards 1 as if STRENGTH more documents had the feature in all domains alike
     share_of = [(x + 0.5) / (everything + 0.5 * len(size)) for x in size]
     ratio = [F.log((F.col(f"n{i}") + STRENGTH * q) / (among + STRENGTH) / q) for i, q in enumerate(share_of)]
-    # a feature that is not there tells as well: toxic texts rarely come without any toxic word
-    absent = [F.log1p(-F.least((F.col(f"n{i}") + STRENGTH * q * among / everything) / (size[i] + STRENGTH * q), F.lit(0.99)))
-              - F.log1p(-F.least(among / everything, F.lit(0.99))) for i, q in enumerate(share_of)]
-    # only features that point to a domain count for it: weak ratios and rare words come with a language or a length
-    strong = [r >= TELLING for r in ratio]
+    # the whole signed ratio counts; a word is only chosen if it points to a domain, as weak words come with a language or
+    # a length, and they are many and come together
+    explained = 2 * sum(F.when(F.col(f"n{i}") > 0, F.col(f"n{i}") * F.log(F.col(f"n{i}") * everything / (among * max(x, 1)))).otherwise(0.0)
+                        for i, x in enumerate(size))
+    shape = F.col("feature").startswith("\u0001")
     far = F.greatest(*ratio, F.lit(0.0))
-    told = far * F.sqrt(among)
-    top = n.where((F.col("feature") != "\u0001bias") & (far >= TELLING) & (told >= SURE)).orderBy(F.desc(told), "feature").limit(FEATURES)
-    top = written(top.select("feature", *[F.when(t, r).otherwise(0.0).alias(f"r{i}") for i, (t, r) in enumerate(zip(strong, ratio, strict=True))],
-                             *[F.when(t, x).otherwise(0.0).alias(f"a{i}") for i, (t, x) in enumerate(zip(strong, absent, strict=True))]), "features")
-    k = range(len(domains))
-    without = top.agg(*[F.coalesce(F.sum(f"a{i}"), F.lit(0.0)).alias(f"a{i}") for i in k])
+    top = n.where((F.col("feature") != "\u0001bias") & (shape | (far >= TELLING) & (explained >= SURE)))
+    top = top.orderBy(F.desc(shape), F.desc(explained), "feature").limit(FEATURES)
+    weights = written(top.select("feature", F.array(*ratio).alias("w")), "features")
+    spark, schema = docs.sparkSession, "feature string, w array<double>"
     prior = [math.log(q) if x else -1e9 for x, q in zip(size, share_of, strict=True)]
-    bias = without.select(F.lit("\u0001bias").alias("feature"), F.array(*[F.col(f"a{i}") + F.lit(prior[i]) for i in k]).alias("w"))
-    return top.select("feature", F.array(*[F.col(f"r{i}") - F.col(f"a{i}") for i in k]).alias("w")).unionByName(bias)
+    bias = lambda: spark.createDataFrame([("\u0001bias", prior)], schema)
+    if not total:
+        return weights.unionByName(bias())
+    # features that come together are counted several times: the prior is moved until the mean posterior of the labelled
+    # rows is the share of each domain among them
+    scored = posteriors(few, weights.unionByName(bias()), len(size), text, doc_id).join(F.broadcast(lab), "doc_id")
+    labelled = scored.select("rows", "p").collect()  # about SAMPLE rows of K numbers
+    rows, p = np.array([float(r["rows"]) for r in labelled]), np.array([r["p"] for r in labelled]).reshape(len(labelled), len(size))
+    moved, found = np.zeros(len(size)), np.array(size) / everything
+    for _ in range(PRIOR_STEPS if len(labelled) else 0):
+        now = p * np.exp(moved)
+        mean = rows @ (now / now.sum(axis=1, keepdims=True)) / rows.sum()
+        if (np.abs(mean - found) <= PRIOR_TOLERANCE * found).all():
+            break
+        moved += np.where(found > 0, np.log(np.maximum(found, 1e-9) / np.maximum(mean, 1e-9)), 0.0)
+    prior = [a + float(m) for a, m in zip(prior, moved, strict=True)]
+    return weights.unionByName(bias())
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

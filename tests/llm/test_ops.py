@@ -132,6 +132,34 @@ def test_mixing_separates_labels(spark):
     assert rate[1, 0] > 0.9 and rate[1, 1] < 0.7
 
 
+def test_mixing_tells_every_domain(spark):
+    """Learned from two thirds of the labels: the held-out documents of each domain are told, and so are their shares."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    names = sorted(mixing.TARGETS)
+    weights = mixing.feature_weights(docs, labels.where(~fold), names, mixing.domain_of())
+    held = labels.where(fold).select("doc_id", mixing.domain_of().alias("domain"))
+    p = mixing.posteriors(docs.join(held, "doc_id", "left_semi"), weights, len(names)).join(held, "doc_id")
+    rows = [(names.index(r["domain"]), r["p"]) for r in p.select("domain", "p").collect()]
+    true, p = np.array([t for t, _ in rows]), np.array([x for _, x in rows])
+    told = {x: (p[true == i].argmax(axis=1) == i).mean() for i, x in enumerate(names)}
+    assert told["q0_t0"] >= 0.8 and told["q1_t0"] >= 0.97 and told["q1_t1"] >= 0.8 and told["q0_t1"] >= 0.2, told
+    share = np.bincount(true, minlength=len(names)) / len(true)
+    assert (abs(p.mean(axis=0) - share) <= 0.02).all()
+
+
+def test_mixing_tells_repeats_symbols_and_capitals(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    low = [lambda: " ".join([word()] * 60), lambda: " ".join(word() + "%&*$"[rnd.randrange(4)] * 3 for _ in range(60)),
+           lambda: " ".join(word().upper() for _ in range(60))]
+    rows = [(i, low[i % 3]() if i % 6 < 3 else " ".join(word() for _ in range(60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 >= 3), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    r = mixing.rates(docs, labels).where("doc_id >= 300").collect()
+    assert len(r) == 300 and all((x["p_q0_t0"] > 0.5) == (x["doc_id"] % 6 < 3) for x in r)
+
+
 def test_mixing_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (8, 0, 0), (None, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     assert mixing.rates(odd, labels).count() == len(ODD)
