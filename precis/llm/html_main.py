@@ -4,8 +4,10 @@ A page is read as blocks of text; a block's *tag path* is the chain of block
 elements from the root to it.  Per path: text length, punctuation, link text
 and number of blocks.  The ratios (length per block, punctuation per block)
 are fused into a score, weighted by what the path says about its role, and
-smoothed over neighbouring blocks; paths whose score reaches a share of the
-best one are content, and their blocks are the main text, in page order.
+smoothed over neighbouring blocks.  Inside an article or main element every
+path with a score is content; elsewhere, with bounded ratios, those whose score
+reaches a share of the best one, and the lists and tables beside their
+paragraphs.  The blocks of content are the main text, in page order.
 
 The work is one pass per page, without a shuffle.  Defined results: null or
 empty HTML and pages without content give an empty text; broken markup is read
@@ -186,8 +188,8 @@ def blocks(page: str) -> list[Block]:
     return p.found
 
 
-def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused, smoothed score of every tag path."""
+def path_scores(found: list[Block], most: tuple[float, float] = (math.inf, math.inf)) -> dict[tuple[str, ...], float]:
+    """Fused, smoothed score of every tag path; ``most``: length and punctuation per block that count at most."""
     length, marks, linked, number, weight = (defaultdict(float) for _ in range(5))
     article = any(b.inside and b.weight for b in found)
     for b in found:
@@ -198,8 +200,8 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
         weight[b.path] = max(weight[b.path], b.weight * (b.inside or not article))
     fused = {}
     for p in number:
-        text_ratio = math.log2(1 + length[p] / number[p])
-        mark_ratio = math.log2(2 + marks[p] / number[p])
+        text_ratio = math.log2(1 + min(length[p] / number[p], most[0]))
+        mark_ratio = math.log2(2 + min(marks[p] / number[p], most[1]))
         share = linked[p] / length[p]
         fused[p] = weight[p] * text_ratio * mark_ratio * (0.0 if share > 0.5 else 1 - share)
     # smoothing: a path's score is the mean over its blocks of a weighted mean with the neighbours that are no boilerplate
@@ -221,21 +223,38 @@ def path_scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: beside[p[:-1]] if s > 0 and p and re.match(r"h[1-6]\b", p[-1]) else s for p, s in out.items()}
 
 
-#: Share of the best path's score that content reaches: inside an article or main element, and elsewhere.
-SHARE_INSIDE, SHARE = 0.15, 0.6
+#: Outside article and main elements: share of the best path's score that content reaches, and the length and punctuation
+#: per block that count at most, so that one very long block does not raise the bar for paragraphs.
+SHARE, BOUND = 0.6, (200.0, 4.0)
+#: What stands beside paragraphs in the same container and is part of their text.
+PARTS = frozenset("blockquote caption dd dl dt figcaption figure li ol p pre table tbody td tfoot th thead tr ul".split())
+
+
+def _partner(path: tuple[str, ...], homes: set[tuple[str, ...]]) -> bool:
+    """Whether the path leads through lists, tables, quotes and the like from a container of content."""
+    at = len(path)
+    while at and path[at - 1].split(".")[0] in PARTS:
+        at -= 1
+    return at < len(path) and path[:at] in homes
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the content paths, joined by line feeds."""
+    """The blocks of the content paths, joined by line feeds: inside an article or main element every path that is no
+    boilerplate and not mostly links; elsewhere the paths that come near the best one, and their lists and tables."""
     found = blocks(page) if page else []
     if not found:
         return ""
-    score = path_scores(found)
+    if any(b.inside and b.weight for b in found):
+        score = path_scores(found)
+        return "\n".join(b.text for b in found if b.weight and b.inside and score[b.path] > 0)
+    score = path_scores(found, BOUND)
     best = max(score.values())
     if best <= 0:
         return ""
-    kept = [b for b in found if b.weight and score[b.path] >= best * (SHARE_INSIDE if b.inside else SHARE)]
-    return "\n".join(b.text for b in kept)
+    good = {p for p, s in score.items() if s >= best * SHARE}
+    homes = {p[:-1] for p in good if p and p[-1].split(".")[0] == "p"}
+    good |= {p for p, s in score.items() if s > 0 and _partner(p, homes)}
+    return "\n".join(b.text for b in found if b.weight and b.path in good)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

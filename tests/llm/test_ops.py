@@ -193,6 +193,27 @@ def test_html_without_article():
     assert html_main.main_text(page).split("\n")[0] == "Headline here" and "Home" not in html_main.main_text(page)
 
 
+LINE = "A paragraph with some words, and a few more; it has its own end here, about one hundred characters."
+PARTS = [f"<pre>{'x = f(1, 2); ' * 4600}</pre>", f"<p>{'Long text, on and on. ' * 50_000}</p>", "<ul><li>twelve chars</li><li>no</li></ul>",
+         "<table><tr><td>ab</td><td>12</td></tr></table>", "<dl><dt>a</dt><dd>b</dd></dl>", "<blockquote>short</blockquote>"]
+
+
+@pytest.mark.parametrize("part", PARTS)
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main><section>{}</section></main>", "<div class=story>{}</div>"])
+def test_html_keeps_whole_text(part, frame):
+    """Neither a very long block nor short items beside paragraphs cost any text of the page."""
+    inner = f"<p>{LINE}</p>" * 40 + part
+    page = "<html><body><nav><a>Home</a></nav><div class=top><a href=/>Start</a></div>" + frame.format(inner) + "<footer>end</footer></body></html>"
+    import re
+    want = [" ".join(x.split()) for x in re.split("<[^>]*>", inner)]
+    assert html_main.main_text(page) == "\n".join(x for x in want if x)
+
+
+def test_html_long_paragraphs_beside_short_ones():
+    page = f"<article><p>{'word, ' * 100}</p><h2>Part</h2><table><tr><td>ab</td></tr></table><ul><li>twelve chars</li></ul><p class=x>end</p></article>"
+    assert html_main.main_text(page).split("\n")[1:] == ["Part", "ab", "twelve chars", "end"]
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<p>a <b", "a"), ("plain", "plain"), ("<script>x</script>", ""), ("<!-- open", ""),
                                        ("<nav>x</nav>", ""), ("<p>&am &lt;</p>", "&am <"), ("<article><nav><a>m</a></article>", "")])
 def test_html_odd(page, text):
