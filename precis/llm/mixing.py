@@ -41,6 +41,8 @@ STRENGTH, TELLING, SURE = 10.0, 1.0, 20.0
 SYMBOLS, CAPITALS = r"[%&*$#!|@^~=+<>{}\[\]\\]+", r"\p{Lu}{2,}"
 #: Steps and tolerance of the prior's fit.
 PRIOR_STEPS, PRIOR_TOLERANCE = 200, 1e-3
+#: Share of the mix from which a domain limits the budget when rates are limited.
+LEADING = 0.5
 #: Gradient steps at most, steps between two written tables, and the relative error of a domain that ends them.
 STEPS, CHAIN, TOLERANCE = 40, 8, 1e-3
 
@@ -137,7 +139,8 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
     """``members`` with rate: projected gradient descent, from rate 1, on the squared error of the domains' expected
     tokens, scaled by the inverse of their overlap: the tokens that two domains share in rows whose rate can still move.
 
-    ``budget``: tokens of the mix; by default the most that needs no domain to be repeated.  ``most``: largest rate allowed."""
+    ``budget``: tokens of the mix; by default the most that needs no domain to be repeated.  ``most``: largest rate allowed;
+    the default budget is then set by the domains of at least LEADING of the mix, and a scarcer one gives all it has."""
     k = len(shares)
     tokens = F.col("rows") * F.col("n_tokens")
     free = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") <= most)
@@ -151,8 +154,11 @@ def fit_rates(members: DataFrame, shares: list[float], budget: float | None = No
     m = written(members.withColumn("rate", F.lit(1.0)), "rates")
     have, overlap = measured(m)
     if budget is None:
-        budget = min([h / s for h, s in zip(have, shares, strict=True) if s > 0 and h > 0], default=0.0)
+        least = 0.0 if most is None else min(LEADING, max(shares, default=0.0))
+        budget = min([h / s * (1.0 if most is None else most) for h, s in zip(have, shares, strict=True) if s > 0 and s >= least and h > 0], default=0.0)
     want = np.array([budget * s if h > 0 else 0.0 for h, s in zip(have, shares, strict=True)])
+    if most is not None:
+        want = np.minimum(want, most * have)
     now = have
     for step in range(1, STEPS + 1):
         error = now - want

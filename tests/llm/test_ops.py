@@ -124,6 +124,17 @@ def test_rates_meet_targets(spark):
             assert error[2] > 0 and abs(error[:2]).max() < 0.1 * have.max()
 
 
+def test_scarce_unwanted_domain_costs_no_clean_documents(spark):
+    rnd = np.random.default_rng(8)
+    p = np.where(rnd.random((400, 1)) < 0.8, [[0.0199, 0.0001, 0.96, 0.02]], [[0.8499, 0.0001, 0.10, 0.05]])
+    shares = [mixing.TARGETS[x] for x in sorted(mixing.TARGETS)]
+    members = spark.createDataFrame([(i, 100, 1, [float(v) for v in x]) for i, x in enumerate(p)], "_key long, n_tokens long, rows long, p array<double>")
+    got = {r["_key"]: r["rate"] for r in mixing.fit_rates(members, shares, most=1.0).collect()}
+    rate = np.array([got[i] for i in range(400)])
+    clean = p[:, 2] > 0.5
+    assert (rate <= 1).all() and rate[clean].mean() > 0.95 and rate[~clean].mean() < 0.6, (rate[clean].mean(), rate[~clean].mean())
+
+
 def test_mixing_separates_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = mixing.rates(docs, labels)
