@@ -5,12 +5,25 @@ Training
      distinct pre-tokens — one explode + hash aggregate, map-side combined;
   2. map each pre-token to byte-symbol ids (ids 5..260 for the 256 byte
      symbols, in code-point order of their printable stand-ins);
-  3. merge rounds on the distinct-word table: count adjacent pairs weighted
-     by frequency (D11), take the best (count desc, lowest left id, lowest
-     right id), rewrite the words that contain it.  Fully merged words leave
-     the table, so it shrinks.  One exact merge per round; the word table is
-     checkpointed every few rounds and, with ``state_dir``, each round's
-     merges are written so an interrupted run resumes (A13, A14).
+  3. epochs on the distinct-word table, each of many exact merges:
+     - count adjacent pairs weighted by frequency (D11) and take the best m
+       (count desc, lowest left id, lowest right id); the m-th is the *floor*;
+     - cut every word at the pairs below the floor and aggregate the pieces
+       that are left (segments) to distinct ones with their frequencies;
+     - merge greedily on the segments, by an inverted index pair -> segments
+       with incremental counts, until the best pair is below the floor;
+     - rewrite the words with the epoch's merges and write the table.
+
+Why an epoch is exact: a merge only makes pairs at boundaries that were there
+before.  A new pair therefore counts at most as much as the pair that stood at
+its boundaries when the epoch began, and as new ids are larger than all others
+it also loses the ties that the old pair loses.  So a boundary below the floor
+never holds a pair that is due before the floor, and what happens down to the
+floor is decided by the segments alone.  Segments are bounded: m is cut until
+their distinct symbols fit ``SEGMENT_SYMBOLS`` (with m = 1 the segments are one
+pair, or runs of one symbol), whatever the size of the corpus; merged words
+leave the table, so it shrinks.  With ``state_dir`` the merges are written per
+epoch, so an interrupted run resumes (A13, A14).
 
 Encoding runs per row in an Arrow-batched pandas UDF (the merge table is
 bounded by the vocabulary size and broadcast), with a per-worker cache so
@@ -19,10 +32,14 @@ each distinct pre-token is merged once per worker — no shuffle at all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +47,8 @@ from pyspark.sql import types as T
 from precis.functions.text import WS_CLASS
 
 __all__ = ["BPE_SPECIALS", "byte_symbols", "symbol_ids", "PRETOKEN", "pretokens", "word_table",
-           "pair_counts", "apply_merge", "train_bpe", "BpeModel", "encode_bpe", "decode_bpe"]
+           "pair_counts", "segments", "merge_segments", "train_bpe", "build_subwords", "BpeModel",
+           "encode_bpe", "decode_bpe"]
 
 # The five special tokens, in id order.
 BPE_SPECIALS = ("<s>", "<pad>", "</s>", "<unk>", "<mask>")
@@ -94,15 +112,162 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return ex.groupBy("p.left", "p.right").agg(F.sum("freq").alias("count"))
 
 
-def apply_merge(syms: Column, left: int, right: int, new: int) -> Column:
-    """Replace adjacent (left, right) by ``new``, left to right, non-overlapping."""
-    def step(acc, x):
-        hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(left)) & (x == F.lit(right))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))) \
-                .otherwise(F.concat(acc, F.array(x)))
-    merged = F.aggregate(syms, F.array().cast("array<int>"), step)
-    has = F.array_contains(syms, F.lit(left)) & F.array_contains(syms, F.lit(right))
-    return F.when(has, merged).otherwise(syms)
+#: Distinct symbols of an epoch's segments at most, and pairs that an epoch starts from and takes at most.
+SEGMENT_SYMBOLS, FIRST_PAIRS, MOST_PAIRS = 1 << 20, 1 << 9, 1 << 13
+
+
+def _key(left, right):
+    """A pair as one number; numbers sort like (left, right)."""
+    return (left << 32) | right
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as (values, offsets)."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int64), offsets - offsets[0]
+
+
+def _runs(values: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the longest runs of two or more symbols, inside one word, whose adjacent pairs are all in ``keys``."""
+    linked = np.zeros(len(values) + 1, bool)  # linked[i]: symbols i - 1 and i are joined
+    if len(values) > 1:
+        pair = _key(values[:-1], values[1:])
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        linked[1:-1] = keys[at] == pair
+        linked[offsets[(offsets > 0) & (offsets < len(values))]] = False
+    first = np.flatnonzero(~linked[:-1] & linked[1:])
+    end = np.flatnonzero(linked[:-1] & ~linked[1:]) + 1
+    return first, end
+
+
+def segments(words: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(seg, freq): distinct maximal runs of symbols joined by ``pairs``; ``seg`` holds little-endian 32-bit ids."""
+    keys = words.sparkSession.sparkContext.broadcast(np.array(sorted(_key(l_, r_) for l_, r_ in pairs), np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values, offsets = _flat(b.column(b.schema.get_field_index("syms")))
+            freq = b.column(b.schema.get_field_index("freq")).to_numpy()
+            first, end = _runs(values, offsets, keys.value)
+            raw, found = values.astype("<i4").tobytes(), {}
+            of = freq[np.searchsorted(offsets, first, side="right") - 1]
+            for i, j, f in zip(first.tolist(), end.tolist(), of.tolist()):
+                seg = raw[4 * i:4 * j]
+                found[seg] = found.get(seg, 0) + f
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["seg", "freq"])
+
+    return words.select("syms", "freq").mapInArrow(run, "seg binary, freq bigint").groupBy("seg").agg(F.sum("freq").alias("freq"))
+
+
+def merged(syms: list[int], left: int, right: int, new: int) -> list[int]:
+    """Adjacent (left, right) replaced by ``new``, left to right, non-overlapping."""
+    out, i, last = [], 0, len(syms) - 1
+    while i <= last:
+        if i < last and syms[i] == left and syms[i + 1] == right:
+            out.append(new)
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+def merge_segments(table: list[tuple[list[int], int]], next_id: int, room: int, floor: tuple[int, int]) -> list[tuple[int, int, int]]:
+    """Greedy merges on (symbols, frequency) rows until the best pair comes after ``floor`` (count, key) or ``room``
+    merges are made: an inverted index pair -> rows, counts kept up to date per rewritten row."""
+    counts: dict[int, int] = {}
+    where: dict[int, set[int]] = {}
+    rows = [list(s) for s, _ in table]
+    freq = [f for _, f in table]
+    for i, syms in enumerate(rows):
+        for a, b in zip(syms, syms[1:]):
+            k = _key(a, b)
+            counts[k] = counts.get(k, 0) + freq[i]
+            where.setdefault(k, set()).add(i)
+    heap = [(-c, k) for k, c in counts.items()]
+    heapq.heapify(heap)
+    limit = (-floor[0], floor[1])
+    out: list[tuple[int, int, int]] = []
+    while heap and len(out) < room and heap[0] <= limit:
+        count, key = heapq.heappop(heap)
+        now = counts.get(key, 0)
+        if now != -count:
+            if now > 0:
+                heapq.heappush(heap, (-now, key))
+            continue
+        left, right, new = key >> 32, key & 0xFFFFFFFF, next_id + len(out)
+        out.append((left, right, new))
+        changed: dict[int, int] = {}
+        for i in where.pop(key):
+            old = rows[i]
+            syms = merged(old, left, right, new)
+            if len(syms) == len(old):
+                continue
+            for a, b in zip(old, old[1:]):
+                k = _key(a, b)
+                changed[k] = changed.get(k, 0) - freq[i]
+            for a, b in zip(syms, syms[1:]):
+                k = _key(a, b)
+                changed[k] = changed.get(k, 0) + freq[i]
+                if a == new or b == new:
+                    where.setdefault(k, set()).add(i)
+            rows[i] = syms
+        for k, d in changed.items():
+            if d:
+                counts[k] = counts.get(k, 0) + d
+                if d > 0:
+                    heapq.heappush(heap, (-counts[k], k))
+        counts.pop(key, None)
+    return out
+
+
+def _rewritten(words: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
+    """``words`` after ``merges`` (in order); words of one symbol leave."""
+    spark = words.sparkSession
+    table = spark.sparkContext.broadcast(list(merges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(table.value)}
+        # symbols made by these merges have no pairs in the table yet: a run is joined by old pairs alone
+        keys = np.array(sorted(_key(l_, r_) for l_, r_ in rank), np.int64)
+        done: dict[bytes, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values, offsets = _flat(b.column(b.schema.get_field_index("syms")))
+            hit = np.zeros(len(values) + 1, bool)
+            first, _ = _runs(values, offsets, keys)
+            hit[first] = True
+            touched = np.add.reduceat(hit[:-1], offsets[:-1]) > 0 if len(values) else np.zeros(0, bool)
+            parts, size = [], np.diff(offsets)
+            for i in range(b.num_rows):
+                word = values[offsets[i]:offsets[i + 1]]
+                if touched[i]:
+                    k = word.tobytes()
+                    if k not in done:
+                        if len(done) > 1 << 16:
+                            done.clear()
+                        done[k] = np.array(_ranked(word.tolist(), rank), np.int64)
+                    word = done[k]
+                    size[i] = len(word)
+                parts.append(word)
+            syms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            keep = pa.array(size >= 2)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("freq")).filter(keep), syms.filter(keep)], names=["freq", "syms"])
+
+    return words.select("freq", "syms").mapInArrow(run, "freq bigint, syms array<int>")
+
+
+def _ranked(syms: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """``syms`` after the merges of ``rank`` (pair -> rank, new id), lowest rank first."""
+    while len(syms) > 1:
+        best = min((rank[p] + p for p in zip(syms, syms[1:]) if p in rank), default=None)
+        if best is None:
+            break
+        syms = merged(syms, best[2], best[3], best[1])
+    return syms
 
 
 class BpeModel:
@@ -132,110 +297,127 @@ class BpeModel:
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted((t, i) for i, t in self.token.items()), "token string, id int")
 
+    @classmethod
+    def from_tables(cls, vocab: DataFrame, merges: DataFrame, specials: Sequence[str] = BPE_SPECIALS) -> "BpeModel":
+        """A10: the model of ``bpe_vocab(token, id)`` and ``bpe_merges(rank, left, right)``; both are bounded by
+        the vocabulary size.  A merge whose parts or whole are no tokens is an error."""
+        id_of = {r["token"]: r["id"] for r in vocab.collect()}
+        rows = merges.orderBy("rank").collect()
+        missing = [r["left"] + " " + r["right"] for r in rows if not {r["left"], r["right"], r["left"] + r["right"]} <= id_of.keys()]
+        if missing:
+            raise ValueError(f"merges of tokens that the vocabulary lacks: {missing[:3]}")
+        model = cls([(id_of[r["left"]], id_of[r["right"]], id_of[r["left"] + r["right"]]) for r in rows], specials)
+        if model.token != {i: t for t, i in id_of.items()}:
+            raise ValueError("the vocabulary is not the special tokens, the byte symbols and the merges in order")
+        return model
+
     def merges_df(self, spark: SparkSession) -> DataFrame:
         rows = [(r, self.token[l_], self.token[r_], l_, r_, n) for r, (l_, r_, n) in enumerate(self.merges)]
         return spark.createDataFrame(rows, "rank int, left string, right string, left_id int, right_id int, id int")
 
 
 def train_bpe(df: DataFrame, cols: Sequence[str], vocab_size: int = 30000, min_frequency: int = 2,
-              specials: Sequence[str] = BPE_SPECIALS, checkpoint_every: int = 10,
-              state_dir: str | None = None) -> BpeModel:
-    """Byte-level BPE merges learnt from the text columns of ``df``."""
-    from precis.sources.files import load_round, resume_from, save_round
+              specials: Sequence[str] = BPE_SPECIALS, state_dir: str | None = None,
+              segment_symbols: int = SEGMENT_SYMBOLS, first_pairs: int = FIRST_PAIRS) -> BpeModel:
+    """Byte-level BPE merges learnt from the text columns of ``df``, until ``vocab_size`` or until no pair
+    occurs ``min_frequency`` times.  Equal to merging one best pair at a time."""
+    from precis.session import scratch_path
+    from precis.sources.files import drop_path, load_round, resume_from, save_round
     spark = df.sparkSession
     base = len(specials) + 256
     merges: list[tuple[int, int, int]] = []
     start = resume_from(spark, state_dir) if state_dir else -1
+    words = word_table(df, cols).where(F.size("syms") >= 2).select("freq", "syms")
     if start >= 0:
         m = load_round(spark, state_dir, start).orderBy("rank").collect()
-        merges = [(r.left_id, r.right_id, r.id) for r in m]
-        words = word_table(df, cols)
-        for k, (l_, r_, n) in enumerate(merges):
-            words = words.withColumn("syms", apply_merge(F.col("syms"), l_, r_, n)).where(F.size("syms") >= 2)
-            if (k + 1) % 5 == 0:
-                words = words.checkpoint()
-        words = words.checkpoint()
-    else:
-        words = word_table(df, cols).where(F.size("syms") >= 2).checkpoint()
-    while base + len(merges) < vocab_size:
-        best = pair_counts(words).orderBy(F.desc("count"), F.asc("left"), F.asc("right")).limit(1).collect()
-        if not best or best[0]["count"] < min_frequency:
-            break
-        l_, r_ = int(best[0]["left"]), int(best[0]["right"])
-        new = base + len(merges)
-        merges.append((l_, r_, new))
-        # written every round: the rewrite references the symbol column several
-        # times, so un-materialised rounds would nest expressions without bound
-        words = words.withColumn("syms", apply_merge(F.col("syms"), l_, r_, new)) \
-                     .where(F.size("syms") >= 2).checkpoint()
-        if state_dir and checkpoint_every and len(merges) % checkpoint_every == 0:
+        merges = [(r.left_id, r.right_id, r.id) for r in m][:max(vocab_size - base, 0)]
+        words = _rewritten(words, merges)
+    sc, folder = spark.sparkContext, scratch_path(spark, f"bpe-{uuid.uuid4().hex[:12]}")
+    # the table may be small in bytes but every row is Python work: it is not left to one partition
+    parts = max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = words.repartition(parts)
+    take, epoch = first_pairs, 0
+    while True:
+        words.write.parquet(f"{folder}/epoch={epoch}")
+        words = spark.read.schema("freq bigint, syms array<int>").parquet(f"{folder}/epoch={epoch}")
+        if epoch > 1:
+            drop_path(spark, f"{folder}/epoch={epoch - 2}")  # the table before last feeds nothing any more
+        room = vocab_size - base - len(merges)
+        found = [] if room <= 0 else pair_counts(words).where(F.col("count") >= min_frequency).orderBy(
+            F.desc("count"), F.asc("left"), F.asc("right")).limit(take).collect()
+        if not found:
+            drop_path(spark, folder)
+            return BpeModel(merges, specials)
+        while True:  # fewer pairs until the segments fit
+            last = found[-1]
+            floor = (last["count"], _key(last["left"], last["right"])) if len(found) == take else (min_frequency, 1 << 64)
+            seg = segments(words, [(r["left"], r["right"]) for r in found]).persist()
+            size = seg.agg(F.sum(F.octet_length("seg") / 4)).first()[0] or 0
+            if size <= segment_symbols or take == 1:
+                break
+            seg.unpersist()
+            take = max(1, min(take, len(found)) // 4)
+            found = found[:take]
+        rows = seg.collect()  # at most segment_symbols symbols
+        seg.unpersist()
+        new = merge_segments([(np.frombuffer(r["seg"], "<i4").tolist(), r["freq"]) for r in rows], base + len(merges), room, floor)
+        merges += new
+        words = _rewritten(words, new)
+        if state_dir:
             save_round(BpeModel(merges, specials).merges_df(spark), state_dir, len(merges))
-    return BpeModel(merges, specials)
+        if size < segment_symbols / 4:
+            take = min(2 * take, MOST_PAIRS)
+        epoch += 1
+
+
+def build_subwords(df: DataFrame, cols: Sequence[str], target: int = 32768, state_dir: str | None = None) -> BpeModel:
+    """I4: a sub-word vocabulary of ``target`` entries; its first merges are those of any smaller vocabulary."""
+    return train_bpe(df, cols, target, 2, state_dir=state_dir)
 
 
 def _encoder(model: BpeModel):
-    ranks = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(model.merges)}
+    rank = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(model.merges)}
     byte_id = model.byte_id
 
     @lru_cache(maxsize=1 << 16)
     def word(w: str) -> tuple[int, ...]:
-        s = [byte_id[b] for b in w.encode("utf-8")]
-        while len(s) > 1:
-            best = None
-            for i in range(len(s) - 1):
-                r = ranks.get((s[i], s[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best = r
-            if best is None:
-                break
-            rk, new = best
-            l_, r_ = model.merges[rk][0], model.merges[rk][1]
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == l_ and s[i + 1] == r_:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
-        return tuple(s)
+        return tuple(_ranked([byte_id[b] for b in w.encode("utf-8")], rank))
     return word
 
 
+#: Models and encoders of this worker by the tag of their broadcast.
+_WORKER: dict[tuple, object] = {}
+
+
+def _once(key: tuple, build):
+    if key not in _WORKER:
+        if len(_WORKER) >= 4:
+            _WORKER.clear()
+        _WORKER[key] = build()
+    return _WORKER[key]
+
+
 def encode_bpe(spark: SparkSession, text, model: BpeModel) -> Column:
     """I5 encode: text -> BPE ids (pre-tokens in the JVM, merges per
     distinct pre-token in a cached pandas UDF; the model is broadcast)."""
-    bc = spark.sparkContext.broadcast(model.merges)
-    specials = model.specials
+    bc, tag, specials = spark.sparkContext.broadcast(model.merges), uuid.uuid4().hex, model.specials
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def enc(words: pd.Series) -> pd.Series:
-        fn = _cached_encoder(tuple(bc.value), tuple(specials))
+        fn = _once(("encoder", tag), lambda: _encoder(BpeModel(bc.value, specials)))
         return pd.Series([[i for w in ws for i in fn(w)] if ws is not None else [] for ws in words])
     return enc(pretokens(text))
 
 
-@lru_cache(maxsize=4)
-def _cached_encoder(merges: tuple, specials: tuple):
-    return _encoder(BpeModel(list(merges), specials))
-
-
 def decode_bpe(spark: SparkSession, ids, model: BpeModel) -> Column:
     """I5 decode: ids -> text, special ids skipped, invalid UTF-8 replaced."""
-    bc = spark.sparkContext.broadcast(model.merges)
-    specials = model.specials
+    bc, tag, specials = spark.sparkContext.broadcast(model.merges), uuid.uuid4().hex, model.specials
 
     @F.pandas_udf(T.StringType())
     def dec(col: pd.Series) -> pd.Series:
-        m = _cached_model(tuple(bc.value), tuple(specials))
+        m = _once(("model", tag), lambda: BpeModel(bc.value, specials))
         n_sp = len(specials)
         return pd.Series([b"".join(m.bytes_of.get(int(i), b"") for i in a if int(i) >= n_sp).decode("utf-8", "replace")
                           if a is not None else "" for a in col])
     c = F.col(ids) if isinstance(ids, str) else ids
     return dec(c)
-
-
-@lru_cache(maxsize=4)
-def _cached_model(merges: tuple, specials: tuple) -> BpeModel:
-    return BpeModel(list(merges), specials)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 __all__ = [
     "PAIR_SCHEMA", "sample_pairs", "read_or_sample", "read_pairs_csv", "write_pairs_csv",
     "write_results_csv", "write_corpus_lines", "read_text_documents", "save_table",
-    "load_table", "import_bpe_files", "path_exists", "ensure_artifact", "resume_from",
+    "load_table", "import_bpe_files", "export_bpe_files", "path_exists", "drop_path", "ensure_artifact", "resume_from",
     "save_round", "load_round", "SAMPLE_PAIRS",
 ]
 
@@ -118,6 +118,18 @@ def import_bpe_files(spark: SparkSession, vocab_json: str, merges_txt: str) -> t
     return vocab, merges
 
 
+def export_bpe_files(vocab: DataFrame, merges: DataFrame, vocab_json: str, merges_txt: str) -> None:
+    """A10: the inverse of ``import_bpe_files``: one JSON object of token ids, and one line per merge behind a version
+    line.  A tokenizer file is one ordered text bounded by the vocabulary size, so each is one row of one partition."""
+    pairs = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))),
+                                           lambda s: F.struct(s["token"].alias("k"), s["id"].alias("v"))))
+    vocab.agg(F.to_json(pairs).alias("value")).coalesce(1).write.mode("overwrite").text(vocab_json)
+    line = F.concat(F.col("left"), F.lit(" "), F.col("right")).alias("line")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line))), lambda s: s["line"])
+    merges.agg(F.array_join(F.concat(F.array(F.lit("#version: 0.2")), lines), "\n").alias("value")).coalesce(1) \
+          .write.mode("overwrite").text(merges_txt)
+
+
 def _fs_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -139,6 +151,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a hand-off table that nothing reads any more."""
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
+
+
 def ensure_artifact(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Load the artifact if it exists, else build it, write it, read it back."""
     if not path_exists(spark, f"{path}/_SUCCESS"):

@@ -69,6 +69,69 @@ def test_roundtrip_query(spark):
 def test_resume(spark, tmp_path):
     df = spark.createDataFrame([(t,) for t in CORPUS], "text string")
     state = str(tmp_path / "bpe_state")
-    a = bpe.train_bpe(df, ["text"], 261 + 10, 2, checkpoint_every=5, state_dir=state)
-    b = bpe.train_bpe(df, ["text"], 280, 2, checkpoint_every=5, state_dir=state)  # resumes at round 10
+    a = bpe.train_bpe(df, ["text"], 261 + 10, 2, state_dir=state)
+    b = bpe.train_bpe(df, ["text"], 280, 2, state_dir=state)  # resumes at round 10
     assert b.merges_text() == FIRST_MERGES and a.merges_text() == FIRST_MERGES[:10]
+
+
+def one_at_a_time(words, vocab_size, min_frequency=2):
+    """Merges by recounting every pair of every word before each merge."""
+    rows, merges = [(list(s), f) for s, f in words], []
+    while 261 + len(merges) < vocab_size:
+        counts = {}
+        for s, f in rows:
+            for p in zip(s, s[1:]):
+                counts[p] = counts.get(p, 0) + f
+        best = min(counts.items(), key=lambda c: (-c[1], c[0]), default=None)
+        if best is None or best[1] < min_frequency:
+            break
+        (l_, r_), new = best[0], 261 + len(merges)
+        merges.append((l_, r_, new))
+        rows = [(bpe.merged(s, l_, r_, new), f) for s, f in rows]
+        rows = [(s, f) for s, f in rows if len(s) > 1]
+    return merges
+
+
+def test_epochs_equal_one_at_a_time(spark):
+    """Random words over few letters (runs, overlaps, many ties), with so little room that there are many epochs."""
+    import random
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choice("aab") for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(1, 40))) for _ in range(30)]
+    texts += ["aaaaaaaaaaaaaaaaaaaaaaaaaa " * 3, "", None, "\u65e5\u672c \u65e5\u672c\u8a9e"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = [(r.syms, r.freq) for r in bpe.word_table(df, ["text"]).collect()]
+    want = one_at_a_time(words, 30000)
+    assert len(want) > 100
+    for symbols, pairs in ((60, 2), (400, 16), (1 << 20, 512)):
+        assert bpe.train_bpe(df, ["text"], 30000, 2, segment_symbols=symbols, first_pairs=pairs).merges == want
+    assert bpe.train_bpe(df, ["text"], 261 + 33, 2, segment_symbols=200, first_pairs=8).merges == want[:33]
+
+
+def test_all_documents_equal_tokenizers(spark, tmp_path):
+    """Every document of the small table, until no pair occurs twice."""
+    tk = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    texts = [r.text for r in docs.collect()]
+    ref = tk.ByteLevelBPETokenizer()
+    ref.train_from_iterator(texts, vocab_size=30000, min_frequency=2, special_tokens=list(bpe.BPE_SPECIALS), show_progress=False)
+    ref.save_model(str(tmp_path))
+    want = (tmp_path / "merges.txt").read_text(encoding="utf-8").splitlines()[1:]
+    got = bpe.train_bpe(docs, ["text"], 30000, 2, segment_symbols=20_000)
+    assert got.merges_text() == want and len(want) > 3000
+
+
+def test_model_from_files(spark, tmp_path, model):
+    from precis.sources import files as fl
+    v, m = str(tmp_path / "vocab.json"), str(tmp_path / "merges.txt")
+    fl.export_bpe_files(model.vocab_df(spark), model.merges_df(spark).select("rank", "left", "right"), v, m)
+    back = bpe.BpeModel.from_tables(*fl.import_bpe_files(spark, v, m))
+    assert back.merges == model.merges and back.token == model.token
+    short = model.vocab_df(spark).where("id < 270")
+    with pytest.raises(ValueError):
+        bpe.BpeModel.from_tables(short, fl.import_bpe_files(spark, v, m)[1])
+
+
+def test_files_query(spark):
+    from __spark_entry__ import queries
+    r = queries()["bpe_files_roundtrip"](spark, SF_SMALL).first()
+    assert r.differences == 0 and r.tokens > 0
