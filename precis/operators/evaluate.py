@@ -11,15 +11,17 @@ aggregates, and only ``systems x replicates`` rows are shuffled.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis.operators.rouge import rouge_columns
 
 __all__ = ["run_systems", "score_systems", "mean_scores", "comparison_report", "unpivot_report",
-           "bootstrap_scores", "status_counts", "poisson1", "POISSON1_CDF", "zip_pairs",
+           "bootstrap_scores", "replicate_sums", "status_counts", "poisson1", "POISSON1_CDF", "zip_pairs",
            "score_or_zero", "join_systems", "latency_stats", "run_metrics"]
 
 # Poisson(1) cumulative probabilities P(K <= k), k = 0..12 (computed, not looked up).
@@ -27,6 +29,8 @@ POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))
 
 
 _M32 = 1 << 32
+#: Groups whose replicate sums a task holds, and rows whose weights it draws at once.
+GROUPS, ROWS = 1024, 512
 
 
 def replicate_uniform(k: Column, b: Column) -> Column:
@@ -127,6 +131,62 @@ def zip_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     return j.where(ok).drop("_l", "_r")
 
 
+def _weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weight of every key (row) in replicates 1..n (columns); ``replicate_uniform`` and ``poisson1`` on arrays."""
+    b = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(2654435761)
+    x = (keys.astype(np.uint64)[:, None] + b) % np.uint64(_M32)
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) % np.uint64(_M32)
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON1_CDF), x / float(_M32), side="right")
+
+
+def replicate_sums(rows: DataFrame, by: Sequence[str], replicates: int) -> DataFrame:
+    """(by..., b, w, wx): sums of weight and weight x value per replicate, from rows (by..., _k, _x).
+
+    One Arrow pass: a task keeps two arrays of ``replicates`` sums per group and adds its rows to them; the arrays of
+    all tasks are then summed.  No row is repeated; a null value has a weight and adds nothing."""
+    by = list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out():
+            groups = list(sums)
+            cols = [pa.array([g[i] for g in groups], type=types[i]) for i in range(len(by))]
+            both = [pa.array([sums[g][i].tolist() for g in groups], type=pa.list_(pa.float64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*cols, *both], names=[*by, "w", "wx"])
+
+        types = None
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            k, x = b.column("_k").to_numpy(), b.column("_x").to_numpy(zero_copy_only=False).astype(float)
+            x = np.where(np.isnan(x), 0.0, x)
+            names = list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
+            at: dict[tuple, list[int]] = {}
+            for i, g in enumerate(names):
+                at.setdefault(g, []).append(i)
+            for g, some in at.items():
+                if g not in sums:
+                    if len(sums) >= GROUPS:
+                        yield out()
+                        sums.clear()
+                    sums[g] = np.zeros((2, replicates))
+                for j in range(0, len(some), ROWS):
+                    part = np.array(some[j:j + ROWS])
+                    w = _weights(k[part], replicates)
+                    sums[g][0] += w.sum(axis=0)
+                    sums[g][1] += x[part] @ w
+        if sums:
+            yield out()
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "w array<double>", "wx array<double>"])
+    parts = rows.select(*by, "_k", "_x").mapInArrow(run, schema)
+    ex = parts.select(*by, F.posexplode(F.arrays_zip("w", "wx")).alias("b", "s"))  # replicates x groups x tasks
+    return ex.groupBy(*by, "b").agg(F.sum("s.w").alias("w"), F.sum("s.wx").alias("wx"))
+
+
 def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, seed: int = 42,
                      by: Sequence[str] = ("system",), key: str = "id",
                      quantiles: Sequence[float] = (0.025, 0.5, 0.975), digits: int = 6) -> DataFrame:
@@ -137,10 +197,8 @@ def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, s
     b — identical for every system, so the comparison is paired.
     """
     k = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10)
-    rows = scored.select(*by, k.cast("bigint").alias("_k"), value.alias("_x"))
-    ex = rows.select(*by, "_k", "_x", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    ex = ex.withColumn("_w", poisson1(replicate_uniform(F.col("_k"), F.col("b"))))
-    reps = ex.groupBy(*by, "b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("m"))
+    rows = scored.select(*by, k.cast("bigint").alias("_k"), value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    reps = replicate_sums(rows, by, replicates).select(*by, F.try_divide("wx", "w").alias("m"))
     q = F.percentile(F.col("m"), F.array(*[F.lit(x) for x in quantiles]))
     out = reps.where(F.col("m").isNotNull()).groupBy(*by).agg(q.alias("_q"))
     names = ["low", "mid", "high"] if len(quantiles) == 3 else [f"q{i}" for i in range(len(quantiles))]

@@ -4,18 +4,19 @@ Cavnar & Trenkle (1994): a language profile is its ``top`` most frequent
 character 1..3-grams (words padded with '_'), ranked; a document is
 assigned the language whose profile is nearest by the out-of-place measure
 (sum over the document's top n-grams of |rank difference|, ``top`` when
-absent).  Every step is a hash aggregate or a join with the profile table,
-whose size is bounded by ``languages x top`` and therefore broadcast.
-
-A language sharing no n-gram with the document has the largest possible
-distance, so only matched (document, language) rows need to exist — there
-is no document x language product.
+absent).
+
+Fitting counts distinct (language, word) pairs first, so every word is cut into
+n-grams once per language and not once per occurrence.  Scoring is one pass
+over the texts: n-grams are whole numbers (three code points of 21 bits, which
+sort like the strings), a document's counts are one sort, and its ranks are
+looked up in each language's sorted profile.  Profiles are languages x ``top``
+rows; they are broadcast after a size check, and joined beyond it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,67 +24,125 @@ from pyspark.sql import types as T
 
 from precis.operators.topk import topk_per_group
 
-__all__ = ["char_ngrams", "top_grams", "ngram_profile", "fit_language_profiles", "detect_language"]
+__all__ = ["char_ngrams", "gram_codes", "top_codes", "fit_language_profiles", "detect_language"]
+
+#: Profile rows that are broadcast to the workers; more are joined.
+PROFILE_ROWS = 1 << 20
+N_MAX = 3
+PAD, SPACE = ord("_"), ord(" ")
 
 
-def _words(text) -> Column:
+def _letters(text) -> Column:
+    """Lower-case words with one space between."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[^\p{L}]+"), F.lit(" ")), " "),
-                    lambda w: w != F.lit(""))
-
-
-def char_ngrams(text, n_max: int = 3) -> Column:
-    """All 1..n_max character n-grams of the '_'-padded lower-case words."""
-    def grams(w):
-        p = F.concat(F.lit("_"), w, F.lit("_"))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n_max)), lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))))
-    return F.flatten(F.transform(_words(text), grams))
-
-
-def _top_grams(words, n_max: int, top: int) -> list:
-    grams = ["_" + w + "_" for w in words]
-    c = Counter([p[i:i + n] for p in grams for n in range(1, n_max + 1) for i in range(len(p) - n + 1)])
-    # count desc, then gram; code-point order == UTF-8 byte order of the SQL engines
-    return [g for g, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:top]]
-
-
-def top_grams(text, n_max: int = 3, top: int = 300) -> Column:
-    """The row's ``top`` most frequent n-grams in rank order — a per-row
-    counting helper (Arrow batches, linear in the text); words are split in
-    the JVM, only the ranked top list travels back."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def rank(words: pd.Series) -> pd.Series:
-        return pd.Series([_top_grams(ws if ws is not None else [], n_max, top) for ws in words])
-    return rank(_words(text))
-
-
-def ngram_profile(df: DataFrame, key: str, text: str, top: int = 300, n_max: int = 3) -> DataFrame:
-    """(key, gram, rank) for the ``top`` most frequent n-grams of each row —
-    counted and ranked inside the row, no shuffle."""
-    t = df.select(key, top_grams(text, n_max, top).alias("_top"))
-    return t.select(key, F.posexplode("_top").alias("rank", "gram")).select(
-        key, "gram", (F.col("rank") + 1).cast("int").alias("rank"))
-
-
-def fit_language_profiles(df: DataFrame, lang: str = "lang", text: str = "text", top: int = 300,
-                          n_max: int = 3) -> DataFrame:
-    """Language profiles from labelled text: (lang, gram, rank).  Grams are
-    counted per (lang, gram) with map-side combine (few distinct keys per
-    partition); the top-k cut is salted so a language holding most rows is
-    still cut by many tasks."""
-    ex = df.select(F.col(lang).alias("lang"), F.explode(char_ngrams(text, n_max)).alias("gram"))
-    g = ex.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))   # map-side combined per partition
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[^\p{L}]+"), F.lit(" ")))
+
+
+def char_ngrams(word, n_max: int = N_MAX) -> Column:
+    """All 1..n_max character n-grams of one '_'-padded word."""
+    p = F.concat(F.lit("_"), F.col(word) if isinstance(word, str) else word, F.lit("_"))
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n_max)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substring(p, i, n))))
+
+
+def gram_codes(words: str) -> np.ndarray:
+    """The 1..3-grams of the '_'-padded words of a space-separated string, as numbers."""
+    if not words:
+        return np.zeros(0, np.int64)
+    s = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    gap = s == SPACE
+    p = np.repeat(s, 1 + gap)  # a space is the end of one word and the beginning of the next
+    second = np.zeros(len(p), bool)
+    second[np.cumsum(1 + gap)[gap] - 1] = True
+    p[p == SPACE] = PAD
+    p = np.concatenate([[PAD], p, [PAD]])
+    word = np.concatenate([[0], np.cumsum(second), [int(second.sum())]])
+    one = p << 42
+    two = one[:-1] | p[1:] << 21
+    out = [one, two[word[:-1] == word[1:]]]
+    if len(p) > 2:
+        out.append((two[:-1] | p[2:])[word[:-2] == word[2:]])
+    return np.concatenate(out)
+
+
+def top_codes(words: str, top: int) -> np.ndarray:
+    """The ``top`` most frequent n-grams in rank order (count desc, then gram)."""
+    codes, counts = np.unique(gram_codes(words), return_counts=True)
+    return codes[np.lexsort((codes, -counts))[:top]]
+
+
+def _code(gram: str) -> int:
+    c = [ord(x) for x in gram] + [0, 0]
+    return c[0] << 42 | c[1] << 21 | c[2]
+
+
+def fit_language_profiles(df: DataFrame, lang: str = "lang", text: str = "text", top: int = 300) -> DataFrame:
+    """Language profiles from labelled text: (lang, gram, rank).  Words are
+    counted per (lang, word) with map-side combine; the top-k cut is salted so
+    a language holding most rows is still cut by many tasks."""
+    words = df.select(F.col(lang).alias("lang"), F.explode(F.split(_letters(text), " ")).alias("word")).where(F.col("word") != "")
+    w = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    g = w.select("lang", "n", F.explode(char_ngrams("word")).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("cnt"))
     t = topk_per_group(g, ["lang"], [F.desc("cnt"), F.asc("gram")], top, salt_by=["gram"], rank_col="rank")
     return t.select("lang", "gram", F.col("rank").cast("int").alias("rank"))
 
 
+class _Profiles:
+    """Per language: sorted gram codes and their ranks (from 0)."""
+
+    def __init__(self, rows: list[tuple[str, str, int]]):
+        by: dict[str, list[tuple[int, int]]] = {}
+        for lang, gram, rank in rows:
+            by.setdefault(lang, []).append((_code(gram), rank - 1))
+        self.sides = []
+        for lang in sorted(by):
+            pairs = sorted(by[lang])
+            self.sides.append((lang, np.array([c for c, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)))
+
+    def nearest(self, codes: np.ndarray, top: int) -> str | None:
+        """The language with the least out-of-place distance (ties: by name) of those that share a gram."""
+        best, rank = None, np.arange(len(codes))
+        for lang, grams, ranks in self.sides:
+            at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+            hit = grams[at] == codes
+            matched = int(hit.sum())
+            if matched:
+                dist = int(np.abs(rank[hit] - ranks[at[hit]]).sum()) + top * (len(codes) - matched)
+                if best is None or dist < best[0]:
+                    best = (dist, lang)
+        return best[1] if best else None
+
+
 def detect_language(df: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", top: int = 300,
-                    n_max: int = 3, default: str = "en", out: str = "detected") -> DataFrame:
+                    default: str = "en", out: str = "detected", profile_rows: int = PROFILE_ROWS) -> DataFrame:
     """(key, detected): nearest profile; text without letters -> ``default``."""
-    t = df.select(key, top_grams(text, n_max, top).alias("_top"))
+    if profiles.limit(profile_rows + 1).count() > profile_rows:
+        return _detect_by_join(df, profiles, key, text, top, default, out)
+    rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.select("lang", "gram", "rank").collect() if r["lang"] is not None]
+    sides = df.sparkSession.sparkContext.broadcast(_Profiles(rows))
+
+    @F.pandas_udf(T.StringType())
+    def nearest(words: pd.Series) -> pd.Series:
+        p = sides.value
+        return pd.Series([p.nearest(top_codes(w, top), top) for w in words], dtype=object)
+
+    return df.select(key, F.coalesce(nearest(_letters(text)), F.lit(default)).alias(out))
+
+
+def _detect_by_join(df: DataFrame, profiles: DataFrame, key: str, text: str, top: int, default: str, out: str) -> DataFrame:
+    """The same for more profiles than a worker should hold: ranks are joined.  A language that shares no n-gram with a
+    document has the largest distance there is, so only matched (document, language) rows exist."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def ranked(words: pd.Series) -> pd.Series:
+        return pd.Series([top_codes(w, top) for w in words], dtype=object)
+
+    @F.pandas_udf(T.LongType())
+    def code(grams: pd.Series) -> pd.Series:
+        return grams.map(_code)
+
+    t = df.select(key, ranked(_letters(text)).alias("_top"))
     doc = t.select(key, F.size("_top").alias("n"), F.posexplode("_top").alias("rank", "gram"))
-    prof = F.broadcast(profiles.select("lang", "gram", (F.col("rank") - 1).alias("lrank")))  # langs x top rows
+    prof = profiles.where(F.col("lang").isNotNull()).select("lang", code("gram").alias("gram"), (F.col("rank") - 1).alias("lrank"))
     m = doc.join(prof, "gram").groupBy(key, "n", "lang").agg(
         F.sum(F.abs(F.col("rank") - F.col("lrank"))).alias("s"), F.count(F.lit(1)).alias("matched"))
     dist = m.select(key, "lang", (F.col("s") + F.lit(top) * (F.col("n") - F.col("matched"))).alias("dist"))

@@ -105,22 +105,37 @@ def rouge_l(cand_tokens, ref_tokens) -> Column:
 
 
 def _lcs_positions(r: list, c: list) -> set:
-    """Indices into ``r`` of one LCS of r and c (standard DP back-trace)."""
-    n, m = len(r), len(c)
-    dp = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        ri, row, prev = r[i - 1], dp[i], dp[i - 1]
-        for j in range(1, m + 1):
-            row[j] = prev[j - 1] + 1 if ri == c[j - 1] else max(prev[j], row[j - 1])
-    out, i, j = set(), n, m
+    """Indices into ``r`` of one LCS of r and c: from the ends, a match is taken, else the token of ``r`` is left if the
+    LCS is as long without it, else that of ``c``.
+
+    One bit mask per token of ``r`` holds a row of the dynamic program (bit j is 0 where the LCS grows with token j of
+    ``c``), so memory is len(r) x len(c) bits, and every step of the trace reads one mask."""
+    masks: dict = {}
+    for j, t in enumerate(c):
+        masks[t] = masks.get(t, 0) | (1 << j)
+    full = (1 << len(c)) - 1
+    rows = [full]
+    for t in r:
+        v = rows[-1]
+        u = v & masks.get(t, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    i, j = len(r), len(c)
+    here, above = (j - (rows[k] & ((1 << j) - 1)).bit_count() if k >= 0 else 0 for k in (i, i - 1))  # LCS of (i, j) and (i - 1, j)
+    out = set()
     while i > 0 and j > 0:
         if r[i - 1] == c[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif dp[i - 1][j] >= dp[i][j - 1]:
+        elif here == above:
             i -= 1
         else:
             j -= 1
+            here -= 1 - (rows[i] >> j & 1)
+            above -= 1 - (rows[i - 1] >> j & 1)
+            continue
+        low = (1 << j) - 1
+        here = j - (rows[i] & low).bit_count()
+        above = j - (rows[i - 1] & low).bit_count() if i else 0
     return out
 
 

@@ -3,9 +3,10 @@
 
 Translation itself is a plug-in: any ``translator(texts, src, tgt) ->
 list[str]`` callable, run on executors in Arrow batches.  Only distinct
-cache misses reach it (left-anti join against the translation memory); a
-failing call is retried ``max_retries`` times with a pause and then falls
-back to the original text with ``ok = false``.
+texts that the translation memory lacks reach it; a failing call is retried
+``max_retries`` times with a pause and then falls back to the original text
+with ``ok = false``.  Rows then meet the dictionary of distinct translations
+in one join.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 __all__ = ["LANGUAGES", "language_table", "language_code", "text_key", "translation_hits",
-           "translation_misses", "translate_misses", "translate_cached", "to_english", "translate_to",
-           "marker_translator"]
+           "translation_misses", "translate_misses", "translation_dictionary", "translated_rows", "translate_cached",
+           "to_english", "translate_to", "summarize_multilingual", "marker_translator"]
 
 # The target languages offered and their codes.
 LANGUAGES = [("English", "en"), ("Tamil", "ta"), ("Telugu", "te"), ("Hindi", "hi"),
@@ -104,26 +105,41 @@ def translate_misses(misses: DataFrame, translator: Callable, max_retries: int =
     return misses.select("key", "src", "tgt", "text").mapInPandas(run, schema)
 
 
+def translation_dictionary(df: DataFrame, text: str, src: str, tgt, tm: DataFrame, translator: Callable,
+                           max_retries: int = 3, pause: float = 1.5) -> DataFrame:
+    """C6 + I25: (key, src, tgt, translated, cached, ok, attempts) of every distinct text that has to be translated.
+
+    Copies of a text are one row before anything is joined; one left join with the memory tells hits from misses, and
+    only misses reach the translator (attempts 0: a hit).  A text that fails keeps itself, with ``ok`` false."""
+    tcol = F.lit(tgt) if isinstance(tgt, str) else tgt
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(src).alias("src"), tcol.alias("tgt"))
+    need = rows.where(F.col("src") != F.col("tgt")).withColumn("key", text_key("text"))
+    once = need.groupBy("key", "src", "tgt").agg(F.min("text").alias("text"))
+    known = once.join(tm.select("key", "src", "tgt", F.col("translated").alias("known")), ["key", "src", "tgt"], "left")
+    hits = known.where(F.col("known").isNotNull()).select("key", "src", "tgt", F.col("known").alias("translated"), F.lit(True).alias("cached"),
+                                                          F.lit(True).alias("ok"), F.lit(0).alias("attempts"))
+    done = translate_misses(known.where(F.col("known").isNull()), translator, max_retries, pause)
+    return hits.unionByName(done.select("key", "src", "tgt", "translated", F.lit(False).alias("cached"), "ok", "attempts"))
+
+
+def translated_rows(df: DataFrame, text: str, src: str, tgt, dictionary: DataFrame, key: str = "id") -> DataFrame:
+    """(key, translated, cached, ok, attempts): every row by one join with the dictionary; text in the target
+    language, and text that failed, stays as it is."""
+    tcol = F.lit(tgt) if isinstance(tgt, str) else tgt
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+                     F.col(src).alias("src"), tcol.alias("tgt"))
+    plain = lambda d: d.select("_k", F.col("text").alias("translated"), F.lit(False).alias("cached"), F.lit(True).alias("ok"),
+                               F.lit(0).alias("attempts"))
+    need = rows.where(F.col("src") != F.col("tgt")).select("_k", text_key("text").alias("key"), "src", "tgt")
+    done = need.join(dictionary, ["key", "src", "tgt"]).select("_k", "translated", "cached", "ok", "attempts")
+    return done.unionByName(plain(rows.where(F.col("src") == F.col("tgt")))).withColumnRenamed("_k", key)
+
+
 def translate_cached(df: DataFrame, text: str, src: str, tgt, tm: DataFrame, translator: Callable,
                      key: str = "id", max_retries: int = 3, pause: float = 1.5) -> DataFrame:
-    """C6 + C7 + I25: (key, translated, cached, ok) — cache hits from ``tm``,
+    """C6 + C7 + I25: (key, translated, cached, ok, attempts) — cache hits from ``tm``,
     distinct misses translated once, failures fall back to the original."""
-    tcol = F.lit(tgt) if isinstance(tgt, str) else tgt
-    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                     F.col(src).alias("src"), tcol.alias("tgt")).withColumn("key", text_key("text"))
-    same = rows.where(F.col("src") == F.col("tgt"))
-    need = rows.where(F.col("src") != F.col("tgt"))
-    hits = translation_hits(need, tm).select(
-        "_k", "translated", F.lit(True).alias("cached"), F.lit(True).alias("ok"))
-    miss = translation_misses(need, tm)
-    todo = miss.select("key", "src", "tgt", "text").dropDuplicates(["key", "src", "tgt"])
-    done = translate_misses(todo, translator, max_retries, pause).select("key", "src", "tgt", "translated", "ok")
-    fresh = miss.join(done, ["key", "src", "tgt"], "left").select(
-        "_k", F.when(F.col("ok"), F.col("translated")).otherwise(F.col("text")).alias("translated"),
-        F.lit(False).alias("cached"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
-    ident = same.select("_k", F.col("text").alias("translated"), F.lit(False).alias("cached"), F.lit(True).alias("ok"))
-    out = hits.unionByName(fresh).unionByName(ident)
-    return out.withColumnRenamed("_k", key)
+    return translated_rows(df, text, src, tgt, translation_dictionary(df, text, src, tgt, tm, translator, max_retries, pause), key)
 
 
 def to_english(df: DataFrame, text: str, lang: str, tm: DataFrame, translator: Callable, key: str = "id",
@@ -137,3 +153,24 @@ def translate_to(df: DataFrame, text: str, target: str, tm: DataFrame, translato
     """Identity for 'en', else translate from ``src_lang``."""
     x = df.withColumn("_src", F.lit(src_lang))
     return translate_cached(x, text, "_src", target, tm, translator, key, **kw)
+
+
+def summarize_multilingual(df: DataFrame, profiles: DataFrame, tm: DataFrame, translator: Callable, key: str = "id",
+                           text: str = "text", sentences: int = 3, pause: float = 1.5,
+                           learned: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, detected, summary_en, summary, ok): detect -> to English (memory + translator) -> lead summary -> back
+    to the detected language.
+
+    ``learned`` is given each dictionary of translations (hits, fresh ones and failures), may store what is new in it,
+    and returns the dictionary to be used; a written one keeps the translator from being asked again."""
+    from precis.operators.lang import detect_language
+    from precis.operators.summarize import summarize_lead
+    keep = learned or (lambda d: d)
+    x = df.select(key, text).join(detect_language(df, profiles, key, text), key)
+    there = keep(translation_dictionary(x, text, "detected", "en", tm, translator, pause=pause))
+    english = translated_rows(x, text, "detected", "en", there, key).select(key, F.col("translated").alias("english"))
+    back = summarize_lead(english, sentences, text="english", out="summary_en").select(key, "summary_en").join(
+        x.select(key, "detected"), key).withColumn("_en", F.lit("en"))
+    home = keep(translation_dictionary(back, "summary_en", "_en", F.col("detected"), tm, translator, pause=pause))
+    out = translated_rows(back, "summary_en", "_en", F.col("detected"), home, key)
+    return back.select(key, "detected", "summary_en").join(out.select(key, F.col("translated").alias("summary"), "ok"), key)

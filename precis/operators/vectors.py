@@ -2,21 +2,23 @@
 (H40, H41, C8).
 
 Attention is computed inside a row on ``array<array<double>>`` matrices with
-higher-order functions (no Python).  Pooling over a table attends every
-vector to a small set of keys — one prototype per label, averaged with a
-partial aggregate — attached to each row as a scalar-subquery column, so
-there is no join, no pair of rows, and the key set is size-checked first.
+higher-order functions (no Python).  Attention over tables (every vector to
+all keys, for instance one prototype per label, averaged with a partial
+aggregate) takes the keys in blocks and merges partial softmax states, so the
+number of keys has no limit.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from precis.operators.vocab import bounded_broadcast
+
 __all__ = ["dot", "row_softmax", "causal_mask", "attention", "multi_head_attention",
-           "label_prototypes", "attention_pool", "MASK_VALUE"]
+           "label_prototypes", "key_blocks", "attend", "attention_pool", "MASK_VALUE"]
 
 MASK_VALUE = -1e9
 
@@ -89,21 +91,54 @@ def label_prototypes(df: DataFrame, vec: str, label: str, dim: int) -> DataFrame
     return g.select(F.col(label).alias("label"), F.array(*[F.col(f"d{i}") for i in range(dim)]).alias("proto"))
 
 
-def attention_pool(df: DataFrame, vec: str, label: str, dim: int, max_keys: int = 10000,
-                   key: str = "vec_id") -> DataFrame:
-    """Each vector attends to the label prototypes: (key, weights, best_label,
-    best_weight, pooled)."""
-    protos = label_prototypes(df, vec, label, dim)
-    n = protos.count()
-    if n > max_keys:
-        raise ValueError(f"{n} prototypes exceed max_keys={max_keys}; pool against a coarser key")
-    packed = protos.select(F.array_sort(F.collect_list(F.struct("label", "proto"))).alias("p")).scalar()
-    x = df.select(key, F.transform(F.col(vec), lambda e: e.cast("double")).alias("q")).withColumn("_p", packed)
-    keys = F.transform("_p", lambda s: s["proto"])
-    scores = F.transform(keys, lambda kj: dot(F.col("q"), kj) / F.lit(math.sqrt(dim)))
-    w = row_softmax(scores)
-    best = F.array_max(F.arrays_zip(w.alias("w"), F.transform("_p", lambda s: -s["label"]).alias("nl")))
-    pooled = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda c: F.aggregate(
-        F.zip_with(w, keys, lambda wj, kj: wj * F.element_at(kj, c)), F.lit(0.0), lambda acc, t: acc + t))
-    return x.select(key, w.alias("weights"), (-best["nl"]).alias("best_label"), best["w"].alias("best_weight"),
-                    pooled.alias("pooled"))
+#: Keys of one block, about.
+BLOCK_KEYS = 1024
+
+
+def key_blocks(keys: DataFrame, key: str, vec: str, block_keys: int = BLOCK_KEYS) -> tuple[DataFrame, int]:
+    """(rows (_block, _keys array<struct<key, vec>>), number of blocks): keys dealt by hash to blocks of about ``block_keys``."""
+    blocks = max(1, -(-keys.count() // block_keys))
+    deal = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")
+    one = keys.select(deal, F.struct(F.col(key).alias("key"), F.col(vec).alias("vec")).alias("_k"))
+    return one.groupBy("_block").agg(F.array_sort(F.collect_list("_k")).alias("_keys")), blocks  # about block_keys a row
+
+
+def attend(queries: DataFrame, keys: DataFrame, key: str, vec: str, label: str, keyvec: str, dim: int,
+           block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """H41 over tables: softmax(q k / sqrt(d)) k of every query over all keys: (key, best_label, best_weight, pooled).
+
+    Online softmax: a query and a block of keys give a partial state (largest score, sum of exp(score - largest), the
+    vectors weighted by it, the best label).  States merge by rescaling to the larger maximum, so any number of keys is
+    a sum over blocks: no row, task or driver ever holds all of them.  ``key`` names queries uniquely; equal scores
+    go to the smaller label."""
+    packed, blocks = key_blocks(keys, label, keyvec, block_keys)
+    packed = packed.checkpoint()
+    x = queries.select(key, F.transform(F.col(vec), lambda e: e.cast("double")).alias("_q"))
+    x = x.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = bounded_broadcast(packed)
+    if side is packed:  # beyond a broadcast: each block meets the queries in several tasks
+        salts = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        x = x.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        side = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = x.join(side, ["_block", "_salt"])
+    else:
+        j = x.join(side, "_block")
+    j = j.select(key, "_keys", F.transform("_keys", lambda k: dot(F.col("_q"), k["vec"]) / F.lit(math.sqrt(dim))).alias("_s"))
+    j = j.select(key, "_keys", "_s", F.array_max("_s").alias("_m"))
+    j = j.select(key, "_keys", "_m", F.transform("_s", lambda s: F.exp(s - F.col("_m"))).alias("_e"),
+                 F.element_at("_keys", F.array_position("_s", F.col("_m")).cast("int"))["key"].alias("_l"))
+    part = [F.aggregate(F.zip_with("_e", "_keys", lambda e, k: e * F.element_at(k["vec"], c + 1)), F.lit(0.0), lambda a, t: a + t).alias(f"_a{c}")
+            for c in range(dim)]
+    j = j.select(key, "_m", "_l", F.aggregate("_e", F.lit(0.0), lambda a, t: a + t).alias("_z"), *part)
+    top = F.max("_m").over(Window.partitionBy(key))  # one row per block of keys
+    j = j.withColumn("_top", top).withColumn("_f", F.exp(F.col("_m") - F.col("_top")))
+    g = j.groupBy(key).agg(F.sum(F.col("_z") * F.col("_f")).alias("_z"), F.min_by("_l", F.struct(-F.col("_m"), F.col("_l"))).alias("best_label"),
+                           *[F.sum(F.col(f"_a{c}") * F.col("_f")).alias(f"_a{c}") for c in range(dim)])
+    return g.select(key, "best_label", (1.0 / F.col("_z")).alias("best_weight"),
+                    F.array(*[F.col(f"_a{c}") / F.col("_z") for c in range(dim)]).alias("pooled"))
+
+
+def attention_pool(df: DataFrame, vec: str, label: str, dim: int, key: str = "vec_id", block_keys: int = BLOCK_KEYS) -> DataFrame:
+    """Each vector attends to the label prototypes, however many: (key, best_label, best_weight, pooled)."""
+    protos = label_prototypes(df, vec, label, dim).where(F.col("label").isNotNull()).checkpoint()
+    return attend(df, protos, key, vec, "label", "proto", dim, block_keys)

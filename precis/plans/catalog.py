@@ -346,6 +346,14 @@ def q_rouge_scores(spark, d):
     return s.select("id", *_flat_scores(s, ("rouge1", "rouge2")))
 
 
+@register("rouge_stemmed")
+def q_rouge_stemmed(spark, d):
+    """I16 + I17 + H16: ROUGE-1/2/L of lead-3 with Porter-stemmed tokens (no SQL form offline; checked in tests)."""
+    a = sm.summarize_lead(tb.articles(spark, d), 3)
+    s = rg.rouge_columns(a, "summary", "target", ("rouge1", "rouge2", "rougeL"), stem=True)
+    return s.select("id", *_flat_scores(s))
+
+
 @register("rougeL_scores")
 def q_rougeL_scores(spark, d):
     """I17 + I18: ROUGE-L and ROUGE-Lsum of lead-3 (sentence lines) against the
@@ -371,20 +379,21 @@ def q_textrank_summaries(spark, d):
     return sm.summarize_textrank(tb.articles(spark, d), 3).select("id", "summary")
 
 
-@register("evaluate_systems", f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')}
-SELECT sc.id, sc.system, sys.status, sc.rouge1_f, sc.rouge2_f
+@register("evaluate_systems", f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys', True)}
+SELECT sc.id, sc.system, sys.status, sc.rouge1_f, sc.rouge2_f, sc.rougeL_f
 FROM sc JOIN sys ON sc.id = sys.id AND sc.system = sys.system""")
 def q_evaluate_systems(spark, d):
-    """I19 + I20: four systems over every article, long result with status and ROUGE-1/2 F."""
-    s = ev.score_systems(article_systems(spark, d), kinds=("rouge1", "rouge2"))
+    """I19 + I20: four systems over every article, long result with status and ROUGE-1/2/L F."""
+    s = ev.score_systems(article_systems(spark, d), kinds=("rouge1", "rouge2", "rougeL"))
     return s.select("id", "system", "status", r6(F.col("rouge1.fmeasure")).alias("rouge1_f"),
-                    r6(F.col("rouge2.fmeasure")).alias("rouge2_f"))
+                    r6(F.col("rouge2.fmeasure")).alias("rouge2_f"), r6(F.col("rougeL.fmeasure")).alias("rougeL_f"))
 
 
-_REPORT_SQL = f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys')},
+_REPORT_SQL = f"""WITH {D.articles_cte()}, {D.systems_ctes()}, {D.rouge_row_ctes('sys', True)},
 raw AS (SELECT system, metric, v FROM (
   SELECT system, 'rouge1' AS metric, {D.prf_f('h1', 'len(ct)', 'len(rt)')} AS v FROM hh
-  UNION ALL SELECT system, 'rouge2', {D.prf_f('h2', 'len(c2)', 'len(r2)')} FROM hh))
+  UNION ALL SELECT system, 'rouge2', {D.prf_f('h2', 'len(c2)', 'len(r2)')} FROM hh
+  UNION ALL SELECT system, 'rougeL', {D.prf_f('hl', 'len(ct)', 'len(rt)')} FROM hh))
 SELECT metric, {', '.join(f"round(avg(v) FILTER (WHERE system = '{s}'), 6) AS {s}" for s in SYSTEMS)}
 FROM raw GROUP BY metric"""
 
@@ -392,7 +401,7 @@ FROM raw GROUP BY metric"""
 @register("comparison_report", _REPORT_SQL)
 def q_comparison_report(spark, d):
     """D12 + D4 + C4: metric x system table of mean ROUGE F."""
-    kinds = ("rouge1", "rouge2")
+    kinds = ("rouge1", "rouge2", "rougeL")
     return ev.comparison_report(ev.score_systems(article_systems(spark, d), kinds=kinds), SYSTEMS, kinds)
 
 
@@ -538,28 +547,55 @@ def _prompts(ids):
     return ids.where(F.col("split") == "test").select("id", F.concat(F.array(F.lit(vc.SOS)), "si").alias("prompt"))
 
 
-@register("greedy_decode", f"""WITH RECURSIVE {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.lm_ctes()},
-st AS (SELECT id, list_concat([1], si) AS prompt FROM ids WHERE split = 'test'),
-gen(id, step, last, seq) AS (
-  SELECT id, 0, CAST(prompt[len(prompt)] AS VARCHAR), []::INTEGER[] FROM st
-  UNION ALL
-  SELECT g.id, g.step + 1, CAST(am.next AS VARCHAR), list_append(g.seq, am.next)
-  FROM gen g JOIN am ON g.last = am.ctx WHERE g.step < 50 AND am.next <> 2)
-SELECT id, array_to_string(arg_max(seq, step), ' ') AS generated FROM gen GROUP BY id""")
+def backoff_parts(spark, d):
+    """Train-split word-id sequences -> order-3 back-off model; (ids, model)."""
+    ids = _full_ids(spark, d, None).join(split_dialogues(spark, d).select("id", "split"), "id").checkpoint()
+    seqs = ids.where(F.col("split") == "train").select(
+        "id", F.concat(F.array(F.lit(vc.SOS)), "si", F.array(F.lit(vc.EOS))).alias("seq"))
+    return ids, lmx.fit_backoff_lm(seqs, "seq", train_vocab(spark, d))
+
+
+@register("backoff_lm", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.backoff_ctes()}
+SELECT 1 AS n, CAST(NULL AS INTEGER) AS u, CAST(NULL AS INTEGER) AS v, w AS token, round(lp, 6) AS logp, CAST(NULL AS DOUBLE) AS bow FROM l1
+UNION ALL SELECT 2, NULL, l2.v, w, round(lp, 6), round(bow, 6) FROM l2 JOIN b2 ON l2.v = b2.v
+UNION ALL SELECT 3, l3.u, l3.v, w, round(lp, 6), round(bow, 6) FROM l3 JOIN b3 ON l3.u = b3.u AND l3.v = b3.v""")
+def q_backoff_lm(spark, d):
+    """The order-3 back-off model of the train split: unigrams over the
+    whole vocabulary, seen successors and back-off weights per order."""
+    _, m = backoff_parts(spark, d)
+    no = F.lit(None).cast("int")
+    out = m.unigrams.select(F.lit(1).alias("n"), no.alias("u"), no.alias("v"), "token", r6(F.col("logp")).alias("logp"),
+                            F.lit(None).cast("double").alias("bow"))
+    for n in (2, 3):
+        u = F.shiftright("ctx", 32).cast("int") if n == 3 else no
+        v = F.col("ctx").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        rows = m.seen[n].join(m.bows[n], "ctx")
+        out = out.unionByName(rows.select(F.lit(n).alias("n"), u.alias("u"), v.alias("v"), "token", r6(F.col("logp")).alias("logp"),
+                                          r6(F.col("bow")).alias("bow")))
+    return out
+
+
+_DECODE = f"""{D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.ids_ctes(None, None)}, {D.backoff_ctes()},
+st AS (SELECT id, list_concat([1], si) AS prompt FROM ids WHERE split = 'test')"""
+
+
+@register("greedy_decode", f"""WITH RECURSIVE {_DECODE}, {D.beam_ctes(1, 50)}
+SELECT id, array_to_string(list_filter(gen, lambda t: t <> 2), ' ') AS generated FROM bs WHERE step = 50""")
 def q_greedy_decode(spark, d):
     """I11 (+ F3): greedy continuation (<= 50 tokens, stop at EOS) of every
-    test dialogue, all documents per step."""
-    ids, _, _, lm, _ = lm_parts(spark, d)
-    g = dc.greedy_decode(_prompts(ids), lm, order=2, max_len=50)
+    test dialogue by the order-3 model, all documents per step."""
+    ids, m = backoff_parts(spark, d)
+    g = dc.greedy_decode(_prompts(ids), m, max_len=50)
     return g.select("id", ar.ids_text("generated").alias("generated"))
 
 
-@register("beam_search")
+@register("beam_search", f"""WITH RECURSIVE {_DECODE}, {D.beam_ctes(3, 50)}
+SELECT id, array_to_string(gen, ' ') AS generated, round(score, 6) AS score, done AS finished FROM bs WHERE step = 50 AND beam = 0""")
 def q_beam_search(spark, d):
-    """I12 (+ C9, E5, F2): beam 3, <= 50 steps over every test dialogue
-    (iterative; rows-only here, brute-force checked in tests)."""
-    ids, _, _, lm, _ = lm_parts(spark, d)
-    b = dc.beam_search(_prompts(ids), lm, beam_size=3, max_len=50)
+    """I12 (+ C9, E5, F2): beam 3, <= 50 steps over every test dialogue by the
+    order-3 model; each beam's successors are the best of the whole vocabulary."""
+    ids, m = backoff_parts(spark, d)
+    b = dc.beam_search(_prompts(ids), m, beam_size=3, max_len=50)
     return b.select("id", ar.ids_text("generated").alias("generated"), r6(F.col("score")).alias("score"), "finished")
 
 
@@ -638,21 +674,21 @@ def q_translate_to_english(spark, d):
              .select("id", "translated", "cached", "ok")
 
 
-@register("multilingual_summaries")
+_MULTI = f"""WITH {D.doc_split_cte()}, {D.lang_ctes()},
+x AS (SELECT det.id, detected, coalesce(d.text, '') AS text FROM det JOIN dsplit d ON d.id = det.id),
+e AS (SELECT id, detected, CASE WHEN detected = 'en' OR regexp_matches(text, '[0-9]') THEN text
+                                ELSE '[' || detected || '>en] ' || text END AS english FROM x),
+s AS (SELECT id, detected, array_to_string({D.sentences(D.clean('english'))}[1:3], ' ') AS summary_en FROM e)
+SELECT id, detected, summary_en, CASE WHEN detected = 'en' OR regexp_matches(summary_en, '[0-9]') THEN summary_en
+       ELSE '[en>' || detected || '] ' || summary_en END AS summary, detected = 'en' OR NOT regexp_matches(summary_en, '[0-9]') AS ok FROM s"""
+
+
+@register("multilingual_summaries", _MULTI)
 def q_multilingual_summaries(spark, d):
     """Detect -> to English (memory + translator) -> lead-3 -> back to the
-    detected language, for every document (rows-only)."""
-    docs = split_documents(spark, d)
-    det = lg.detect_language(docs, language_profiles(spark, d), "id", "text")
-    x = docs.join(det, "id")
-    en_ = tr.to_english(x, "text", "detected", train_memory(spark, d), tr.marker_translator, "id", pause=0.0)
-    summ = sm.summarize_lead(en_.withColumnRenamed("translated", "english"), 3, text="english", out="summary_en")
-    back = summ.join(det, "id").withColumn("en_src", F.lit("en"))
-    empty_tm = spark.createDataFrame([], tr.TM_SCHEMA)
-    out = tr.translate_cached(back, "summary_en", "en_src", F.col("detected"), empty_tm, tr.marker_translator,
-                              "id", pause=0.0)
-    return back.select("id", "detected", "summary_en").join(out.withColumnRenamed("translated", "summary"), "id") \
-               .select("id", "detected", "summary_en", "summary", "ok")
+    detected language, for every document."""
+    return tr.summarize_multilingual(split_documents(spark, d), language_profiles(spark, d), train_memory(spark, d),
+                                     tr.marker_translator, "id", "text", pause=0.0)
 
 
 # ---------------------------------------------------------------- vectors
@@ -687,36 +723,55 @@ def q_stream_clean(spark, d):
     return stm.run_to_table(s, "clean")
 
 
+#: Rows of the stream that one state key is meant for.
+STREAM_ROWS = 500
+
+
 @register("stream_bucket_batches", f"""WITH {D.articles_cte()},
 l AS (SELECT id, CAST(len({D.wtok('source')}) + len({D.wtok('target')}) + 3 AS INTEGER) AS length FROM articles),
-b AS (SELECT id, length, CASE WHEN length < 128 THEN 0 WHEN length < 256 THEN 1 WHEN length < 512 THEN 2
-                              WHEN length < 1024 THEN 3 ELSE 4 END AS bucket,
-             CAST(('0x' || substr(md5(id), 1, 8))::BIGINT % 4 AS INTEGER) AS shard FROM l WHERE length <= 2048),
-p AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY id) - 1 AS pos,
-             count(*) OVER (PARTITION BY bucket, shard) AS n, [16, 8, 4, 2, 1][bucket + 1] AS bs FROM b)
-SELECT CAST(bucket AS INTEGER) AS bucket, shard, pos // bs AS batch, CAST(pos % bs AS INTEGER) AS slot, id, length
-FROM p WHERE pos < (n // bs) * bs""")
+b AS (SELECT id, CASE WHEN length < 128 THEN 0 WHEN length < 256 THEN 1 WHEN length < 512 THEN 2
+                      WHEN length < 1024 THEN 3 ELSE 4 END AS bucket FROM l WHERE length <= 2048),
+n AS (SELECT bucket, greatest(1, CAST(ceil(count(*) / {STREAM_ROWS}) AS BIGINT)) AS shards FROM b GROUP BY bucket),
+s AS (SELECT b.bucket, CAST(('0x' || substr(md5(id), 1, 8))::BIGINT % shards AS INTEGER) AS shard, count(*) AS n,
+             [16, 8, 4, 2, 1][b.bucket + 1] AS size FROM b JOIN n ON n.bucket = b.bucket GROUP BY ALL)
+SELECT CAST(bucket AS INTEGER) AS bucket, shard, n // size AS batches, n // size * size AS rows, n // size * size AS ids,
+       CAST(size AS INTEGER) AS slots FROM s WHERE n >= size""")
 def q_stream_bucket_batches(spark, d):
     """J2 + J1's length filter (B5): stateful length buckets on a document
-    stream, 4 shards per bucket; a batch is emitted once full."""
-    s = stm.read_stream(spark, d, "documents")
-    x = s.select(F.col("doc_id").cast("string").alias("id"),
-                 (F.size(tx.whitespace_tokens("text")) + F.size(tx.whitespace_tokens(tx.first_line("text"))) + 3)
-                 .alias("length")).where(F.col("length") <= 2048)
-    return stm.run_to_table(stm.stream_bucket_batches(x, shards=4), "buckets")
-
-
-@register("stream_limit")
+    stream, keys in proportion to the volume; a batch is emitted once full.  Which rows share a batch follows their
+    arrival, so per key: full batches, their rows, distinct ids and slots."""
+    def lengths(t):
+        return t.select(F.col("doc_id").cast("string").alias("id"),
+                        (F.size(tx.whitespace_tokens("text")) + F.size(tx.whitespace_tokens(tx.first_line("text"))) + 3)
+                        .alias("length")).where(F.col("length") <= 2048)
+    shards = stm.shards_by_volume(lengths(tb.read_table(spark, d, "documents")), rows_per_shard=STREAM_ROWS)
+    out = stm.run_to_table(stm.stream_bucket_batches(lengths(stm.read_stream(spark, d, "documents")), shards=shards), "buckets")
+    return out.groupBy("bucket", "shard").agg(
+        F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("ids"),
+        (F.max("slot") + 1).alias("slots"))
+
+
+@register("stream_limit", """SELECT least(100, count(*)) AS rows, least(100, count(*)) AS known FROM documents""")
 def q_stream_limit(spark, d):
-    """The first 100 records of the document stream."""
+    """The first 100 records of the document stream (which ones follows arrival): how many there are, and how many
+    of them are different documents of the table."""
     s = stm.read_stream(spark, d, "documents").select("doc_id", "lang")
-    return stm.run_to_table(stm.stream_limit(s, 100), "limit")
+    got = stm.run_to_table(stm.stream_limit(s, 100), "limit")
+    table = tb.read_table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("_known")).distinct()
+    return got.join(table, "doc_id", "left").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_known").alias("known"))
 
 
 _PACK_SCHEMA = "id string, tokens string, length bigint"
 
 
-@register("stream_pack")
+@register("stream_pack", f"""WITH {D.split_dialogues_ctes()}, {D.vocab_ctes()}, {D.articles_cte()},
+a AS (SELECT id, {D.wtok('source')} AS st, {D.wtok('target')} AS tt FROM articles),
+u AS (SELECT id, 0 AS part, unnest(st) AS tok, generate_subscripts(st, 1) AS pos FROM a WHERE len(st) + len(tt) + 3 <= 2048
+      UNION ALL SELECT id, 1, unnest(tt), generate_subscripts(tt, 1) FROM a WHERE len(st) + len(tt) + 3 <= 2048),
+k AS (SELECT id, list(coalesce(v.token_id, 3) ORDER BY pos) FILTER (WHERE part = 0) AS si,
+             list(coalesce(v.token_id, 3) ORDER BY pos) FILTER (WHERE part = 1) AS ti FROM u LEFT JOIN vocab v ON u.tok = v.token GROUP BY id)
+SELECT a.id, array_to_string(list_concat(coalesce(si, []::INTEGER[]), [1, 0], coalesce(ti, []::INTEGER[]), [1]), ' ') AS tokens,
+       CAST(len(st) + len(tt) + 3 AS BIGINT) AS length FROM a LEFT JOIN k ON k.id = a.id WHERE len(st) + len(tt) + 3 <= 2048""")
 def q_stream_pack(spark, d):
     """Document stream -> word ids (static train vocabulary, per
     micro-batch) -> pack_lm -> length filter 2048 -> sink."""
@@ -735,32 +790,22 @@ def q_stream_pack(spark, d):
     return stm.run_batches_to_table(s, "pack", per_batch, schema)
 
 
-@register("stream_summarize")
+@register("stream_summarize", _MULTI)
 def q_stream_summarize(spark, d):
-    """Arriving documents are language-detected (static profiles) and
-    summarized (lead-3) per micro-batch into an idempotent sink."""
-    prof = language_profiles(spark, d)
-
-    def per_batch(b, _bid):
-        a = b.select(F.col("doc_id").cast("string").alias("id"), F.col("text"))
-        det = lg.detect_language(a, prof, "id", "text")
-        s = sm.summarize_lead(a.withColumnRenamed("text", "source"), 3)
-        return s.join(det, "id").select("id", "detected", "summary")
-
-    s = stm.read_stream(spark, d, "documents")
-    schema = spark.createDataFrame([], "id string, detected string, summary string").schema
-    return stm.run_batches_to_table(s, "summarize", per_batch, schema)
+    """Arriving documents are language-detected (static profiles), translated
+    through a memory that the stream itself extends, summarized (lead-3) and
+    translated back, per micro-batch into an idempotent sink."""
+    import uuid
+    from precis.session import scratch_path
+    memory = stm.TranslationMemory(spark, scratch_path(spark, f"streams/memory-{uuid.uuid4().hex[:12]}"), train_memory(spark, d))
+    s = stm.read_stream(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return stm.stream_summarize(s, "summarize", language_profiles(spark, d), tr.marker_translator, memory, pause=0.0)
 
 
 # ---------------------------------------------------------------- byte-level BPE
 from precis.operators import bpe as bp  # noqa: E402
 
-BPE_VOCAB = 261 + 40   # five specials + 256 byte symbols + 40 merges
-
-
-def _bpe_train(spark, d):
-    docs = tb.read_table(spark, d, "documents").select("text")
-    return bp.train_bpe(docs, ["text"], BPE_VOCAB, 2)
+BPE_VOCAB, SUBWORDS = 30000, 32768
 
 
 def _bpe_artifact_path(spark, d):
@@ -772,18 +817,35 @@ def _bpe_artifact_path(spark, d):
     return scratch_path(spark, f"artifacts/bpe-{hashlib.sha1(key.encode()).hexdigest()[:12]}-{BPE_VOCAB}")
 
 
+def _bpe_train(spark, d, vocab):
+    return bp.train_bpe(tb.read_table(spark, d, "documents").select("text"), ["text"], vocab, 2)
+
+
 def bpe_model(spark, d):
     """The trained merges are an artifact — loaded if present, else
     trained and saved (the reference loads its tokenizer files the same way)."""
     def build():
         from precis.sources import files as fl
         rows = fl.ensure_artifact(spark, _bpe_artifact_path(spark, d),
-                                  lambda: _bpe_train(spark, d).merges_df(spark)).orderBy("rank").collect()
+                                  lambda: _bpe_train(spark, d, BPE_VOCAB).merges_df(spark)).orderBy("rank").collect()
         return bp.BpeModel([(r.left_id, r.right_id, r.id) for r in rows])
     return memo(("bpe", d), build)
 
 
-@register("bpe_pair_counts")
+# Pre-tokens without a look-ahead: a mark is put before the last of several spaces that a word follows.
+_WSC = tx.WS_CLASS
+_MARKED = f"regexp_replace(coalesce(text, ''), '([{_WSC}]+)([{_WSC}])([^{_WSC}])', '\\1' || chr(1) || '\\2\\3', 'g')"
+
+
+@register("bpe_pair_counts", rf"""
+WITH t AS (SELECT unnest(regexp_extract_all({_MARKED},
+       '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^\x01{_WSC}\p{{L}}\p{{N}}]+|[{_WSC}]+')) AS word FROM documents),
+w AS (SELECT word, count(*) AS freq FROM t GROUP BY word),
+s AS (SELECT freq, list_transform(range(1, strlen(word) + 1), lambda i:
+        {bp.symbol_ids()}[CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS INTEGER) + 1]) AS syms FROM w),
+p AS (SELECT freq, syms, unnest(range(1, len(syms))) AS i FROM s)
+SELECT CAST(syms[i] AS INTEGER) AS "left", CAST(syms[i + 1] AS INTEGER) AS "right", CAST(sum(freq) AS BIGINT) AS count FROM p
+GROUP BY 1, 2 HAVING sum(freq) >= 2""")
 def q_bpe_pair_counts(spark, d):
     """D11 (+ I3 step 1-2): byte-symbol pair counts of all pre-tokens of the
     documents, weighted by pre-token frequency, minimum frequency 2."""
@@ -793,15 +855,38 @@ def q_bpe_pair_counts(spark, d):
 
 @register("bpe_merges")
 def q_bpe_merges(spark, d):
-    """Byte-level BPE on every document text (40 merges, min frequency 2):
-    merge rank, the two parts and the new id.  Always trains; the result is
-    saved as the artifact the encoding queries load (A12, A14)."""
+    """Byte-level BPE on every document text to a vocabulary of 30,000 (or
+    until no pair occurs twice): merge rank, the two parts and the new id.
+    Always trains; the result is saved as the artifact the encoding queries
+    load (A12, A14)."""
     from precis.sources import files as fl
-    m = _bpe_train(spark, d).merges_df(spark)
+    m = _bpe_train(spark, d, BPE_VOCAB).merges_df(spark)
     fl.save_table(m, _bpe_artifact_path(spark, d))
     return fl.load_table(spark, _bpe_artifact_path(spark, d))
 
 
+@register("bpe_subwords")
+def q_bpe_subwords(spark, d):
+    """I4: the sub-word vocabulary of 32,768 entries of all documents: token and id."""
+    docs = tb.read_table(spark, d, "documents").select("text")
+    return bp.build_subwords(docs, ["text"], SUBWORDS).vocab_df(spark)
+
+
+@register("bpe_files_roundtrip")
+def q_bpe_files_roundtrip(spark, d):
+    """A10: the model written as vocab.json and merges.txt, read back, and every
+    document encoded with both (differences must be 0)."""
+    import uuid
+    from precis.session import scratch_path
+    from precis.sources import files as fl
+    m, base = bpe_model(spark, d), scratch_path(spark, f"bpe-files-{uuid.uuid4().hex[:12]}")
+    fl.export_bpe_files(m.vocab_df(spark), m.merges_df(spark).select("rank", "left", "right"), f"{base}/vocab.json", f"{base}/merges.txt")
+    back = bp.BpeModel.from_tables(*fl.import_bpe_files(spark, f"{base}/vocab.json", f"{base}/merges.txt"))
+    docs = tb.read_table(spark, d, "documents").select(bp.encode_bpe(spark, "text", m).alias("a"), bp.encode_bpe(spark, "text", back).alias("b"))
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("a")).alias("tokens"),
+                    F.sum(F.when(F.col("a") == F.col("b"), 0).otherwise(1)).alias("differences"))
+
+
 @register("bpe_encode_pairs")
 def q_bpe_encode_pairs(spark, d):
     """I5 + I6: articles BPE-encoded; src = ids[:254] padded to 256 with <pad>;

@@ -177,16 +177,19 @@ def hits_cte(name: str, src: str, keys: str, a: str, b: str) -> str:
   FROM {name}_u GROUP BY {keys}, g) GROUP BY {keys})"""
 
 
-def rouge_row_ctes(src: str = "sys") -> str:
-    """{src}(id, system, lang, summary, target) -> sc(id, system, lang, rouge1/rouge2 p r f, f1_raw)."""
+def rouge_row_ctes(src: str = "sys", longest: bool = False) -> str:
+    """{src}(id, system, lang, summary, target) -> sc(id, system, lang, rouge1/rouge2 p r f, f1_raw), with rougeL too
+    if ``longest`` (equal texts are their own longest common subsequence)."""
+    hl = f"CASE WHEN ct = rt THEN len(ct) ELSE {lcs('ct', 'rt')} END AS hl," if longest else ""
+    pl = f"{prf('hl', 'len(ct)', 'len(rt)', 'rougeL')}," if longest else ""
     return f"""tk AS (SELECT *, {rtokens('summary')} AS ct, {rtokens('target')} AS rt FROM {src}),
 tk2 AS (SELECT id, system, lang, ct, rt, {ngrams('ct', 2)} AS c2, {ngrams('rt', 2)} AS r2 FROM tk),
 {hits_cte('h1t', 'tk2', 'id, system', 'ct', 'rt')},
 {hits_cte('h2t', 'tk2', 'id, system', 'c2', 'r2')},
-hh AS (SELECT tk2.*, coalesce(h1t.hits, 0) AS h1, coalesce(h2t.hits, 0) AS h2 FROM tk2
+hh AS (SELECT tk2.*, {hl} coalesce(h1t.hits, 0) AS h1, coalesce(h2t.hits, 0) AS h2 FROM tk2
   LEFT JOIN h1t ON tk2.id = h1t.id AND tk2.system = h1t.system
   LEFT JOIN h2t ON tk2.id = h2t.id AND tk2.system = h2t.system),
-sc AS (SELECT id, system, lang, {prf('h1', 'len(ct)', 'len(rt)', 'rouge1')}, {prf('h2', 'len(c2)', 'len(r2)', 'rouge2')},
+sc AS (SELECT id, system, lang, {prf('h1', 'len(ct)', 'len(rt)', 'rouge1')}, {prf('h2', 'len(c2)', 'len(r2)', 'rouge2')}, {pl}
        ({prf_f('h1', 'len(ct)', 'len(rt)')}) AS f1_raw FROM hh)"""
 
 
@@ -210,6 +213,49 @@ ctx2 AS (SELECT ctx, ln({k}::DOUBLE / (total + {k}::DOUBLE * v)) AS unseen_logp,
 am AS (SELECT ctx, first(token ORDER BY count DESC, token ASC) AS next FROM lm GROUP BY ctx)"""
 
 
+def backoff_ctes(discount: float = 0.75, k: float = 1.0) -> str:
+    """ids (full), vocab -> l1(w, p, lp) over the whole vocabulary, l2(v, w, p, lp), l3(u, v, w, p, lp) of seen successors,
+    b2(v, t, wt, bow), b3(u, v, t, wt, bow): the order-3 back-off model."""
+    return f"""V AS (SELECT count(*) AS n FROM vocab),
+seqs AS (SELECT id, list_concat([1], si, [2]) AS seq FROM ids WHERE split = 'train'),
+tri AS (SELECT CASE WHEN i > 1 THEN seq[i - 1] END AS u, seq[i] AS v, seq[i + 1] AS w
+        FROM (SELECT seq, unnest(range(1, len(seq))) AS i FROM seqs)),
+g3 AS MATERIALIZED (SELECT u, v, w, count(*) AS c FROM tri GROUP BY ALL),
+g2 AS MATERIALIZED (SELECT v, w, CAST(sum(c) AS BIGINT) AS c FROM g3 GROUP BY ALL),
+g1 AS (SELECT w, CAST(sum(c) AS BIGINT) AS c FROM g2 GROUP BY w),
+a1 AS (SELECT token_id AS w, (coalesce(g1.c, 0) + {k}::DOUBLE) / ((SELECT CAST(sum(c) AS BIGINT) FROM g1) + {k}::DOUBLE * n) AS p
+       FROM vocab LEFT JOIN g1 ON g1.w = token_id, V),
+l1 AS MATERIALIZED (SELECT w, p, round(ln(p), 9) AS lp FROM a1),
+b2 AS MATERIALIZED (SELECT v, t, wt, round(ln(wt), 9) AS bow FROM (SELECT v, CAST(sum(c) AS BIGINT) AS t, {discount}::DOUBLE * count(*) / CAST(sum(c) AS BIGINT) AS wt
+       FROM g2 GROUP BY v)),
+l2 AS MATERIALIZED (SELECT v, w, p, round(ln(p), 9) AS lp FROM (SELECT g2.v, g2.w, (g2.c - {discount}::DOUBLE) / t + wt * l1.p AS p
+       FROM g2 JOIN b2 ON g2.v = b2.v JOIN l1 ON g2.w = l1.w)),
+h3 AS (SELECT * FROM g3 WHERE u IS NOT NULL),
+b3 AS MATERIALIZED (SELECT u, v, t, wt, round(ln(wt), 9) AS bow FROM (SELECT u, v, CAST(sum(c) AS BIGINT) AS t, {discount}::DOUBLE * count(*) / CAST(sum(c) AS BIGINT) AS wt
+       FROM h3 GROUP BY u, v)),
+l3 AS MATERIALIZED (SELECT u, v, w, p, round(ln(p), 9) AS lp FROM (SELECT h3.u, h3.v, h3.w, (h3.c - {discount}::DOUBLE) / t + wt * l2.p AS p
+       FROM h3 JOIN b3 ON h3.u = b3.u AND h3.v = b3.v JOIN l2 ON h3.v = l2.v AND h3.w = l2.w))"""
+
+
+def beam_ctes(beam: int, steps: int) -> str:
+    """st(id, prompt) and the back-off model -> bs(id, step, beam, score, gen, done); every live beam meets the whole vocabulary."""
+    lp = "coalesce(l3.lp, coalesce(b3.bow, 0) + coalesce(l2.lp, coalesce(b2.bow, 0) + l1.lp))"
+    return f"""bs AS (
+  SELECT id, 0 AS step, 0 AS beam, 0.0::DOUBLE AS score, CASE WHEN len(prompt) > 1 THEN prompt[len(prompt) - 1] END AS u,
+         prompt[len(prompt)] AS v, []::INTEGER[] AS gen, false AS done FROM st
+  UNION ALL
+  SELECT id, step, beam, score, u, v, gen, done FROM (
+    SELECT id, step, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, parent, rank) - 1 AS INTEGER) AS beam, score, u, v, gen, done
+    FROM (SELECT id, step + 1 AS step, parent, CASE WHEN w IS NULL THEN -1 ELSE rank END AS rank, score + coalesce(lp, 0) AS score,
+                 CASE WHEN w IS NULL THEN u ELSE v END AS u, coalesce(w, v) AS v, CASE WHEN w IS NULL THEN gen ELSE list_append(gen, w) END AS gen,
+                 w IS NULL OR w = 2 AS done
+          FROM (SELECT b.id, b.step, b.beam AS parent, b.score, b.u, b.v, b.gen, l1.w, {lp} AS lp,
+                       row_number() OVER (PARTITION BY b.id, b.beam ORDER BY {lp} DESC, l1.w) AS rank
+                FROM bs b LEFT JOIN l1 ON NOT b.done LEFT JOIN b2 ON b2.v = b.v LEFT JOIN l2 ON l2.v = b.v AND l2.w = l1.w
+                LEFT JOIN b3 ON b3.u = b.u AND b3.v = b.v LEFT JOIN l3 ON l3.u = b.u AND l3.v = b.v AND l3.w = l1.w WHERE b.step < {steps})
+          WHERE rank <= {beam})) WHERE beam < {beam})"""
+
+
 def char_grams(x: str) -> str:
     words = (f"list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}]+', ' ', 'g'), ' '), "
              f"lambda w: w <> '')")

@@ -4,10 +4,12 @@
   the streaming DataFrame;
 * steps that regroup tokens (vocabulary look-up) run per micro-batch in
   ``foreachBatch`` with an idempotent sink (``batch_id`` partition, overwrite);
-* length-bucket batching is stateful: ``applyInPandasWithState`` keyed by
-  (bucket, shard) keeps at most one partial batch per key; the shard spreads a
-  hot bucket over several keys (it changes which rows share a batch, never
-  which rows are emitted).
+* length-bucket batching is stateful: ``transformWithState`` keyed by
+  (bucket, shard) keeps less than one batch per key as list state; a bucket is
+  dealt to keys in proportion to its volume (this changes which rows share a
+  batch, never how many are emitted per key);
+* translations are remembered in a table with one part per micro-batch, which
+  later batches read and a replayed batch overwrites.
 
 Sinks and checkpoints live under the session's checkpoint folder.
 """
@@ -15,22 +17,23 @@ Sinks and checkpoints live under the session's checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from precis.functions.text import clean_text
 from precis.operators.batching import BATCH_SIZES, BOUNDARIES, length_bucket
+from precis.operators.translate import TM_SCHEMA, summarize_multilingual
 from precis.session import scratch_path
 from precis.sources.files import path_exists
 
-__all__ = ["read_stream", "stream_clean", "run_to_table", "run_batches_to_table", "stream_bucket_batches",
-           "stream_limit", "BUCKET_OUT_SCHEMA"]
+__all__ = ["read_stream", "stream_clean", "run_to_table", "run_batches_to_table", "stream_bucket_batches", "BucketBatches",
+           "shards_by_volume", "TranslationMemory", "stream_summarize", "stream_limit", "BUCKET_OUT_SCHEMA"]
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
@@ -81,48 +84,112 @@ def run_batches_to_table(stream: DataFrame, tag: str, fn: Callable[[DataFrame, i
     return spark.read.schema(schema).parquet(sink).drop("batch_id")
 
 
+class TranslationMemory:
+    """C6 for streams: translations by (text key, source, target), kept as one table part per micro-batch.
+
+    A micro-batch reads the parts of earlier batches only and overwrites its own, so a replayed one sees what it saw
+    before and leaves what it left before; a key that is known is not translated again, so no key is in two parts."""
+
+    def __init__(self, spark: SparkSession, path: str, seed: DataFrame | None = None):
+        self.spark, self.path = spark, path
+        self.seed = seed if seed is not None else spark.createDataFrame([], TM_SCHEMA)
+
+    def before(self, batch_id: int) -> DataFrame:
+        if not path_exists(self.spark, self.path):
+            return self.seed
+        kept = self.spark.read.schema(f"{TM_SCHEMA}, batch_id bigint").parquet(self.path).where(F.col("batch_id") < batch_id)
+        return self.seed.unionByName(kept.drop("batch_id"))
+
+    def upsert(self, batch_id: int, dictionaries: list[DataFrame]) -> None:
+        fresh = [d.where(~F.col("cached") & F.col("ok")).select("key", "src", "tgt", "translated") for d in dictionaries]
+        out = fresh[0]
+        for d in fresh[1:]:
+            out = out.unionByName(d)
+        out.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+
+def stream_summarize(stream: DataFrame, tag: str, profiles: DataFrame, translator: Callable, memory: TranslationMemory,
+                     key: str = "id", text: str = "text", pause: float = 1.5, run=None) -> DataFrame:
+    """Arriving documents are language-detected, translated to English through the memory, summarized and
+    translated back, per micro-batch; what was translated is remembered for later batches."""
+    def per_batch(batch: DataFrame, batch_id: int) -> DataFrame:
+        dictionaries: list[DataFrame] = []
+
+        def learned(d: DataFrame) -> DataFrame:
+            dictionaries.append(d.checkpoint())  # the translator is asked once
+            return dictionaries[-1]
+
+        out = summarize_multilingual(batch.select(key, text), profiles, memory.before(batch_id), translator, key, text, pause=pause, learned=learned)
+        memory.upsert(batch_id, dictionaries)
+        return out
+
+    kinds = dict(stream.dtypes)
+    schema = T.StructType.fromDDL(f"`{key}` {kinds[key]}, detected string, summary_en string, summary string, ok boolean")
+    return (run or run_batches_to_table)(stream, tag, per_batch, schema)
+
+
 BUCKET_OUT_SCHEMA = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("shard", T.IntegerType()),
     T.StructField("batch", T.LongType()), T.StructField("slot", T.IntegerType()),
     T.StructField("id", T.StringType()), T.StructField("length", T.IntegerType())])
-_STATE_SCHEMA = T.StructType([
-    T.StructField("next_batch", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.IntegerType()))])
+_COLUMNS = [f.name for f in BUCKET_OUT_SCHEMA.fields]
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+class BucketBatches(StatefulProcessor):
+    """Per (bucket, shard): the rows of the batch that is not full yet, as list state, and the number of the next batch.
 
-def _bucket_fn(sizes: list[int]):
-    def fn(key: tuple[Any, ...], pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    Rows are taken as they stream in; what is in memory is one chunk of them and less than one batch."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.sizes = list(sizes)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rest = handle.getListState("rest", "id string, length int")
+        self.counter = handle.getValueState("counter", "next_batch bigint, held int")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bucket, shard = int(key[0]), int(key[1])
-        size = sizes[bucket]
-        if state.exists:
-            nb, ids, lens = state.get
-            ids, lens = list(ids), list(lens)
-        else:
-            nb, ids, lens = 0, [], []
-        chunks = list(pdfs)
-        if chunks:  # arrival order inside a micro-batch is not defined: order by id
-            pdf = pd.concat(chunks).sort_values("id", kind="stable")
-            ids.extend(pdf["id"].tolist())
-            lens.extend(int(x) for x in pdf["length"].tolist())
-        rows = []
-        while len(ids) >= size:  # emit full batches, keep the rest (< size) as state
-            for s in range(size):
-                rows.append((bucket, shard, nb, s, ids[s], lens[s]))
-            ids, lens, nb = ids[size:], lens[size:], nb + 1
-        state.update((nb, ids, lens))
-        yield pd.DataFrame(rows, columns=[f.name for f in BUCKET_OUT_SCHEMA.fields])
-    return fn
+        size = self.sizes[bucket]
+        batch, held = self.counter.get() if self.counter.exists() else (0, 0)
+        open_ = [(r[0], int(r[1])) for r in self.rest.get()] if held else []
+        for chunk in rows:
+            full = []
+            for row in zip(chunk["id"].tolist(), chunk["length"].tolist()):
+                open_.append(row)
+                if len(open_) == size:
+                    full += [(bucket, shard, batch, slot, i, n) for slot, (i, n) in enumerate(open_)]
+                    open_, batch = [], batch + 1
+            if full:
+                yield pd.DataFrame(full, columns=_COLUMNS)
+        self.rest.clear()
+        if open_:
+            self.rest.put(open_)
+        self.counter.update((batch, len(open_)))
+
+    def close(self) -> None:
+        pass
+
+
+def shards_by_volume(lengths: DataFrame, length: str = "length", boundaries=BOUNDARIES, rows_per_shard: int = 100_000) -> list[int]:
+    """Shards of each bucket, in proportion to the rows that ``lengths`` (an earlier table) has in it."""
+    found = {r["b"]: r["n"] for r in lengths.groupBy(length_bucket(length, boundaries).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [max(1, -(-found.get(b, 0) // rows_per_shard)) for b in range(len(boundaries) + 1)]
 
 
 def stream_bucket_batches(stream: DataFrame, length: str = "length", id_col: str = "id",
-                          boundaries=BOUNDARIES, batch_sizes=BATCH_SIZES, shards: int = 1) -> DataFrame:
-    """Buffered length buckets; a batch is emitted as soon as it is full,
-    the partial rest stays in state."""
+                          boundaries=BOUNDARIES, batch_sizes=BATCH_SIZES, shards: int | Sequence[int] = 1) -> DataFrame:
+    """Buffered length buckets; a batch is emitted as soon as it is full, the
+    partial rest stays in state.  ``shards``: how many keys a bucket is dealt to, for all buckets or for each."""
+    spark = stream.sparkSession
+    # processors with list state need this state store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    each = [shards] * len(batch_sizes) if isinstance(shards, int) else list(shards)
     x = stream.select(F.col(id_col).cast("string").alias("id"), F.col(length).cast("int").alias("length"))
-    x = x.withColumn("bucket", length_bucket("length", boundaries)) \
-         .withColumn("shard", (F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % shards).cast("int"))
-    return x.groupBy("bucket", "shard").applyInPandasWithState(
-        _bucket_fn(list(batch_sizes)), BUCKET_OUT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    x = x.withColumn("bucket", length_bucket("length", boundaries))
+    many = F.element_at(F.array(*[F.lit(int(n)) for n in each]), F.col("bucket").cast("int") + 1)
+    x = x.withColumn("shard", (F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % many).cast("int"))
+    return x.groupBy("bucket", "shard").transformWithStateInPandas(BucketBatches(batch_sizes), BUCKET_OUT_SCHEMA, "Append", "None")
 
 
 def stream_limit(stream: DataFrame, n: int) -> DataFrame:

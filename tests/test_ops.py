@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from precis.functions import arrays as ar
 from precis.operators import batching as bt
 from precis.operators import evaluate as ev
@@ -277,3 +278,35 @@ def test_replicate_weights_are_poisson1(spark):
     x = spark.range(2000).select(k.alias("k"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b"))
     m = x.select(ev.poisson1(ev.replicate_uniform(F.col("k"), F.col("b"))).alias("w")).agg(F.avg("w"), F.variance("w")).first()
     assert abs(m[0] - 1) < 0.03 and abs(m[1] - 1) < 0.05
+
+
+def test_replicate_sums_equal_exploded_weights(spark):
+    import random
+    from precis.operators import evaluate as ev
+    rnd = random.Random(1)
+    rows = [(f"s{i % 3}", rnd.randrange(1 << 32), rnd.random() if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "system string, _k long, _x double").repartition(4)
+    ex = df.select("system", "_k", "_x", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("b"))
+    ex = ex.withColumn("w", ev.poisson1(ev.replicate_uniform(F.col("_k"), F.col("b"))))
+    want = {(r.system, r.b): (r.w, r.wx) for r in ex.groupBy("system", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_x")).alias("wx")).collect()}
+    got = {(r.system, r.b + 1): (r.w, r.wx) for r in ev.replicate_sums(df, ["system"], 50).collect()}
+    assert got.keys() == want.keys()
+    for k, (w, wx) in want.items():
+        assert got[k][0] == w and abs(got[k][1] - wx) < 1e-9
+    small, ev.GROUPS = ev.GROUPS, 1  # groups beyond what a task holds are passed on
+    try:
+        again = {(r.system, r.b + 1): r.w for r in ev.replicate_sums(df, ["system"], 50).collect()}
+    finally:
+        ev.GROUPS = small
+    assert again == {k: w for k, (w, _) in want.items()}
+
+
+def test_language_by_join_and_by_profile_arrays(spark):
+    from precis.operators import lang as lg
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+    odd = spark.createDataFrame([("none", None, None), ("empty", "", ""), ("digits", "", "12 34"), ("far", "", "\u65e5\u672c \U00020000")], docs.schema)
+    docs = docs.unionByName(odd)
+    prof = lg.fit_language_profiles(docs.where("lang != ''"), "lang", "text").checkpoint()
+    a = {r.id: r.detected for r in lg.detect_language(docs, prof).collect()}
+    b = {r.id: r.detected for r in lg.detect_language(docs, prof, profile_rows=10).collect()}
+    assert a == b and a["none"] == a["empty"] == a["digits"] == "en" and len(set(a.values())) > 2

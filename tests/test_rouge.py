@@ -81,3 +81,67 @@ def test_stemming_tokens(spark):
 def test_bleu_identity(spark):
     df = spark.createDataFrame([("a b c d e f", "a b c d e f")], "c string, r string")
     assert rg.bleu(df, "c", "r").first().bleu == pytest.approx(1.0)
+
+
+def _table_positions(r, c):
+    """Indices of the LCS by the full table and the same rule of choice."""
+    d = [[0] * (len(c) + 1) for _ in range(len(r) + 1)]
+    for i in range(len(r)):
+        for j in range(len(c)):
+            d[i + 1][j + 1] = d[i][j] + 1 if r[i] == c[j] else max(d[i][j + 1], d[i + 1][j])
+    out, i, j = set(), len(r), len(c)
+    while i and j:
+        if r[i - 1] == c[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif d[i - 1][j] >= d[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_traced_positions_equal_the_table():
+    import random
+    rnd = random.Random(8)
+    for _ in range(600):
+        letters = "abcdefg"[:rnd.randint(1, 7)]
+        r = [rnd.choice(letters) for _ in range(rnd.randint(0, 70))]
+        c = [rnd.choice(letters) for _ in range(rnd.randint(0, 140))]
+        assert rg._lcs_positions(r, c) == _table_positions(r, c)
+
+
+def test_long_lines_fit_in_memory():
+    import random
+    import tracemalloc
+    rnd = random.Random(9)
+    r, c = ([rnd.randrange(2000) for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    got = rg._lcs_positions(r, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == rg.lcs_length(r, c) and peak < 120 << 20
+
+
+def test_stemmed_query_against_brute_force(spark):
+    import re
+    from collections import Counter
+    from __spark_entry__ import queries
+    from conftest import SF_SMALL
+    from precis.functions.porter import stem
+    from precis.plans.catalog import sm, tb
+    got = {r.id: r for r in queries()["rouge_stemmed"](spark, SF_SMALL).collect()}
+    rows = sm.summarize_lead(tb.articles(spark, SF_SMALL), 3).select("id", "summary", "target").collect()
+    tok = lambda t: [stem(x) if len(x) > 3 else x for x in re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split(" ") if x]
+
+    def f1(hits, nc, nr):
+        p, r = hits / max(nc, 1), hits / max(nr, 1)
+        return round(2 * p * r / (p + r) if p + r > 0 else 0.0, 6)
+
+    assert len(got) == len(rows)
+    for r in rows:
+        c, t = tok(r.summary), tok(r.target)
+        pairs = lambda x: list(zip(x, x[1:]))
+        for name, a, b in (("rouge1_f", c, t), ("rouge2_f", pairs(c), pairs(t))):
+            assert got[r.id][name] == pytest.approx(f1(sum((Counter(a) & Counter(b)).values()), len(a), len(b)), abs=1e-6)
+        assert got[r.id]["rougeL_f"] == pytest.approx(f1(_dp_lcs(c, t), len(c), len(t)), abs=1e-6)

@@ -61,3 +61,24 @@ def test_log_softmax_groups(spark):
     r = {(x.g, x.x): x.logp for x in lmx.log_softmax(df, ["g"], "x").collect()}
     lse = math.log(math.exp(1) + math.exp(2))
     assert r[("a", 1.0)] == pytest.approx(1 - lse) and r[("b", 5.0)] == pytest.approx(0.0)
+
+
+@pytest.mark.parametrize("block_keys", [1, 7, 1024])
+def test_attention_over_blocks_equals_numpy(spark, block_keys, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    q, k = rng.normal(size=(40, 6)) * 30, rng.normal(size=(50, 6)) * 30  # scores of several thousands
+    k[20] = k[10]  # a tie goes to the smaller label
+    qs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "vec_id long, v array<double>")
+    ks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(k)], "label int, proto array<double>")
+    for forced in (False, True):
+        if forced:
+            monkeypatch.setattr(vx, "bounded_broadcast", lambda df: df)
+        got = {r.vec_id: r for r in vx.attend(qs, ks, "vec_id", "v", "label", "proto", 6, block_keys).collect()}
+        s = q @ k.T / np.sqrt(6)
+        w = np.exp(s - s.max(1, keepdims=True))
+        w /= w.sum(1, keepdims=True)
+        assert len(got) == 40
+        for i in range(40):
+            assert got[i].best_label == int(s[i].argmax()) and got[i].best_weight == pytest.approx(w[i].max(), rel=1e-9)
+            assert got[i].pooled == pytest.approx((w[i] @ k).tolist(), rel=1e-6, abs=1e-6)
