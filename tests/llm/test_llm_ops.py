@@ -124,6 +124,48 @@ def test_rates_meet_targets(spark):
             assert error[2] > 0 and abs(error[:2]).max() < 0.1 * have.max()
 
 
+def settled_rates(x, p, want, most, inverse, steps=20_000):
+    """The same least squares by plain projected gradient in one place, run until nothing moves."""
+    r = np.ones(len(x))
+    for _ in range(steps):
+        e = (x[:, None] * p * r[:, None]).sum(axis=0) - want
+        new = np.clip(r - p @ (inverse @ e), 0, most)
+        if abs(new - r).max() < 1e-12:
+            break
+        r = new
+    return r
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_reach_the_constrained_optimum(spark, seed):
+    """Scarce domains, soft posteriors and limited rates: the error never rises and ends at the optimum."""
+    rnd = np.random.default_rng(seed)
+    alpha = [[8.0, 0.3, 0.2, 0.05], [0.2, 0.2, 3.0, 0.1]][seed % 2]
+    p = rnd.dirichlet(alpha, 500)
+    tokens = rnd.integers(1, 900, 500)
+    shares = np.array([0.005, 0.03, 0.95, 0.015] if seed < 2 else [0.03, 0.005, 0.015, 0.95])
+    members = spark.createDataFrame([(i, int(t), 1, [float(v) for v in q]) for i, (t, q) in enumerate(zip(tokens, p, strict=True))],
+                                    "_key long, n_tokens long, rows long, p array<double>")
+    x = tokens.astype(float)
+    have = (x[:, None] * p).sum(axis=0)
+    inverse = np.linalg.pinv((x[:, None] * p).T @ p, rcond=1e-9, hermitian=True)
+    budget = 0.5 * x.sum()
+    want = np.minimum(budget * shares, have)
+    trace = []
+    got = {r["_key"]: r["rate"] for r in mixing.fit_rates(members, list(shares), budget, 1.0, trace).collect()}
+    rate = np.array([got[i] for i in range(500)])
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(trace, trace[1:]))
+    best = settled_rates(x, p, want, 1.0, inverse)
+    size = lambda r: (lambda e: e @ inverse @ e)((x[:, None] * p * r[:, None]).sum(axis=0) - want)
+    assert size(rate) <= size(best) + 3e-3 * trace[0] + 1e-6 * x.sum(), (size(rate), size(best), trace)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mixture_keeps_most_documents(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    assert mixing.apply_rates(docs, labels, most=1.0).count() > 0.5 * docs.count()
+
+
 def test_scarce_unwanted_domain_costs_no_clean_documents(spark):
     rnd = np.random.default_rng(8)
     p = np.where(rnd.random((400, 1)) < 0.8, [[0.0199, 0.0001, 0.96, 0.02]], [[0.8499, 0.0001, 0.10, 0.05]])
