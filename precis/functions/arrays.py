@@ -129,5 +129,9 @@ def ngrams(tokens, n: int) -> Column:
     if n == 1:
         return t
     k = F.size(t) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(t, i, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
+    # the array is zipped with itself, moved by one: it is read n times in all, and not once per position
+    size = F.greatest(k, F.lit(0))
+    grams = F.slice(t, 1, size)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(t, j + 1, size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(k > 0, grams).otherwise(F.array().cast("array<string>"))

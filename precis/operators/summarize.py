@@ -3,14 +3,14 @@
 * ``summarize_lead`` — first n sentences; per row, no shuffle.
 * ``summarize_frequency`` — SumBasic-style: a sentence scores the mean
   in-document frequency of its words; top-n sentences in document order.
-  Word counts are one hash aggregate on (doc, word) with map-side combine;
-  the top-n cut is salted so one huge document does not land in one task.
 * ``summarize_textrank`` — PageRank over the sentence graph whose edge
   weights are shared-word counts, computed through the sentence-word
-  incidence table (A A^T s as two aggregations), so sentence pairs are
-  never materialised.
+  incidence (A A^T s as two sums), so sentence pairs are never
+  materialised.  Both score a document inside its row: the JVM splits and
+  cleans, one Arrow pass ranks, and no token is shuffled.
 * ``summarize`` — pluggable model over whole tables via ``mapInPandas``,
-  with per-row failure isolation (I20).
+  with per-row failure isolation (I20); ``summarize_loaded`` loads it once
+  per worker.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import time
+import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from precis.functions.text import clean_text, sentences
+from precis.functions.text import clean_text, join_tokens, sentences, whitespace_tokens
 from precis.operators.rouge import rouge_tokens
-from precis.operators.topk import topk_per_group
 
 __all__ = ["doc_sentences", "summarize_lead", "summarize_frequency", "summarize_textrank",
-           "summarize", "sentence_tokens"]
+           "frequency_scores", "textrank_scores", "summarize", "summarize_loaded", "LoadOnce"]
 
 
 def doc_sentences(df: DataFrame, text: str = "source", id_col: str = "id", clean: bool = True) -> DataFrame:
@@ -45,70 +46,97 @@ def summarize_lead(df: DataFrame, n: int = 3, text: str = "source", out: str = "
     return df.withColumn(out, F.array_join(F.slice(sentences(src, cleaned=clean), 1, n), " "))
 
 
-def sentence_tokens(sents: DataFrame) -> DataFrame:
-    """(id, sent_pos, token) — one row per scorer token of each sentence."""
-    return sents.select("id", "sent_pos", F.explode(rouge_tokens(F.col("sentence"))).alias("token"))
+def _token_lines(sents) -> F.Column:
+    """Scorer tokens of every sentence: one line per sentence, one space between tokens."""
+    return F.array_join(F.transform(sents, lambda s: F.array_join(rouge_tokens(s), " ")), "\n")
+
+
+def _incidence(lines: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(sentence, word) of every token as numbers, and how many sentences and words there are."""
+    words: dict[str, int] = {}
+    which, size = [], []
+    for line in lines.split("\n"):
+        tokens = line.split(" ") if line else []
+        which += [words.setdefault(t, len(words)) for t in tokens]
+        size.append(len(tokens))
+    return np.repeat(np.arange(len(size)), size), np.array(which, np.int64), len(size), len(words)
+
+
+def frequency_scores(lines: str) -> np.ndarray:
+    """Mean in-document frequency of each sentence's words; -1 for a sentence without words."""
+    sent, word, n, words = _incidence(lines)
+    count = np.bincount(word, minlength=words)
+    total, size = np.bincount(sent, count[word], n), np.bincount(sent, minlength=n)
+    return np.where(size > 0, total / np.maximum(size * len(word), 1), -1.0)
+
+
+def textrank_scores(lines: str, iterations: int = 20, damping: float = 0.85) -> np.ndarray:
+    """PageRank of the sentences over shared-word counts, to 9 digits; -1 for a sentence without words.
+
+    W = A A^T - diag (A: sentence x distinct-word incidence); a round is two sums over the incidence, so no pair of
+    sentences is formed.  A sentence that shares no word keeps 1 - damping."""
+    sent, word, n, words = _incidence(lines)
+    if len(sent):
+        pair = np.unique(sent * words + word)
+        sent, word = pair // words, pair % words
+    size = np.bincount(sent, minlength=n)
+    degree = np.bincount(sent, (np.bincount(word, minlength=words) - 1)[word], n)
+    s = np.ones(n)
+    for _ in range(iterations):
+        q = np.where(degree > 0, s / np.where(degree > 0, degree, 1), 0.0)
+        mass = np.bincount(word, q[sent], words)
+        s = (1 - damping) + damping * (np.bincount(sent, mass[word], n) - q * size)
+    return np.where(size > 0, np.round(s, 9), -1.0)
+
+
+def _best_sentences(df: DataFrame, scores: Callable[[str], np.ndarray], n: int, text: str, out: str) -> DataFrame:
+    """``df`` with the n best sentences of each row in document order (ties: the earlier one); all inside the row."""
+    @F.pandas_udf(T.StringType())
+    def chosen(lines: pd.Series, whole: pd.Series) -> pd.Series:
+        def pick(t: str, sents: list[str]) -> str:
+            s = scores(t)
+            best = np.lexsort((np.arange(len(s)), -s))[:n]
+            return " ".join(sents[i] for i in np.sort(best[s[best] >= 0]))
+        return pd.Series([pick(t, w.split("\n")) for t, w in zip(lines, whole)], dtype=object)
+
+    x = df.withColumn("_sents", sentences(clean_text(F.col(text)), cleaned=True))  # cleaned text has no line breaks
+    return x.withColumn(out, chosen(_token_lines(F.col("_sents")), F.array_join("_sents", "\n"))).drop("_sents")
+
+
+def summarize_frequency(df: DataFrame, n: int = 3, text: str = "source", out: str = "summary") -> DataFrame:
+    """I15 frequency: score(sentence) = avg over its tokens of count_doc(token)/|doc|."""
+    return _best_sentences(df, frequency_scores, n, text, out)
 
 
-def _assemble(chosen: DataFrame, out: str) -> DataFrame:
-    """Chosen sentences (bounded n per doc) back into one text, document order."""
-    return chosen.groupBy("id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_pos", "sentence"))),
-                                 lambda s: s["sentence"]), " ").alias(out))
+def summarize_textrank(df: DataFrame, n: int = 3, text: str = "source", out: str = "summary",
+                       iterations: int = 20, damping: float = 0.85) -> DataFrame:
+    """I15 TextRank over shared-word edges, without sentence pairs."""
+    return _best_sentences(df, lambda t: textrank_scores(t, iterations, damping), n, text, out)
 
 
-def summarize_frequency(df: DataFrame, n: int = 3, text: str = "source", out: str = "summary",
-                        salt: int = 16) -> DataFrame:
-    """I15 frequency: score(sentence) = avg over its tokens of count_doc(token)/|doc|."""
-    sents = doc_sentences(df, text)
-    toks = sentence_tokens(sents)
-    wc = toks.groupBy("id", "token").agg(F.count(F.lit(1)).alias("wc"))
-    dl = toks.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
-    scored = (toks.join(wc, ["id", "token"]).groupBy("id", "sent_pos")
-              .agg(F.sum("wc").alias("s"), F.count(F.lit(1)).alias("len"))
-              .join(dl, "id")
-              .select("id", "sent_pos", (F.col("s") / (F.col("len") * F.col("dl"))).alias("score")))
-    top = topk_per_group(scored, ["id"], [F.desc("score"), F.asc("sent_pos")], n,
-                         salt_by=["sent_pos"], salt=salt)
-    chosen = top.join(sents, ["id", "sent_pos"])
-    summ = _assemble(chosen, out)
-    return df.join(summ, "id", "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+#: Models of this worker process by the tag of their loader.
+_LOADED: dict[str, Callable] = {}
 
 
-def summarize_textrank(df: DataFrame, n: int = 3, text: str = "source", out: str = "summary",
-                       iterations: int = 20, damping: float = 0.85, salt: int = 16,
-                       checkpoint_every: int = 5) -> DataFrame:
-    """I15 TextRank over shared-word edges, without sentence pairs.
-
-    W = A A^T - diag (A: sentence x distinct-word incidence).  Each round:
-    word mass = sum over sentences of s_j / out_j  (group by doc, word);
-    s_i' = (1 - d) + d * (sum over its words of word mass - s_i / out_i).
-    Sentences with no shared word keep 1 - d.  Lineage is cut with
-    ``checkpoint()`` into the session's checkpoint folder.
-    """
-    sents = doc_sentences(df, text)
-    # A: (id, sent_pos, token) — written once, reused by every round
-    inc = sentence_tokens(sents).distinct().checkpoint()
-    wdeg = inc.groupBy("id", "token").agg(F.count(F.lit(1)).alias("wdeg"))
-    # out-degree of sentence i in A A^T minus self loops: sum_w (wdeg_w - 1)
-    outdeg = (inc.join(wdeg, ["id", "token"]).groupBy("id", "sent_pos")
-              .agg(F.sum(F.col("wdeg") - 1).alias("out"), F.count(F.lit(1)).alias("nw")))
-    score = outdeg.select("id", "sent_pos", "out", "nw", F.lit(1.0).alias("s")).checkpoint()
-    q = F.when(F.col("out") > 0, F.col("s") / F.col("out")).otherwise(F.lit(0.0))
-    for it in range(iterations):
-        share = score.select("id", "sent_pos", q.alias("q"))
-        wmass = inc.join(share, ["id", "sent_pos"]).groupBy("id", "token").agg(F.sum("q").alias("m"))
-        recv = inc.join(wmass, ["id", "token"]).groupBy("id", "sent_pos").agg(F.sum("m").alias("m"))
-        score = (score.join(recv, ["id", "sent_pos"], "left")
-                 .select("id", "sent_pos", "out", "nw",
-                         (F.lit(1 - damping) + F.lit(damping) *
-                          (F.coalesce(F.col("m"), F.lit(0.0)) - q * F.col("nw"))).alias("s")))
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            score = score.checkpoint()
-    top = topk_per_group(score, ["id"], [F.desc("s"), F.asc("sent_pos")], n, salt_by=["sent_pos"], salt=salt)
-    chosen = top.join(sents, ["id", "sent_pos"])
-    summ = _assemble(chosen, out)
-    return df.join(summ, "id", "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+class LoadOnce:
+    """A model that every worker process loads when it first needs it, and once."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[str]]]):
+        self.load, self.tag = load, uuid.uuid4().hex
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        if self.tag not in _LOADED:
+            _LOADED[self.tag] = self.load()
+        return _LOADED[self.tag](texts)
+
+
+def summarize_loaded(df: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], text: str = "source", out: str = "summary",
+                     system: str = "model", max_tokens: int = 512, batch_size: int = 64) -> DataFrame:
+    """``summarize`` with a model that ``load`` returns, loaded once per worker process, over the first
+    ``max_tokens`` whitespace tokens of each text (cut before anything leaves the JVM)."""
+    tokens = whitespace_tokens(text)
+    cut = F.when(F.size(tokens) > max_tokens, join_tokens(F.slice(tokens, 1, max_tokens))).otherwise(F.coalesce(F.col(text), F.lit("")))
+    return summarize(df.withColumn("_cut", cut), LoadOnce(load), "_cut", out, system, None, batch_size).drop("_cut")
 
 
 def summarize(df: DataFrame, model: Callable[[list[str]], list[str]], text: str = "source",

@@ -153,6 +153,24 @@ fsum AS (SELECT ftop.id, string_agg(s.sentence, ' ' ORDER BY ftop.sent_pos) AS s
          FROM ftop JOIN s ON ftop.id = s.id AND ftop.sent_pos = s.sent_pos GROUP BY ftop.id)"""
 
 
+def textrank_ctes(n: int = 3, rounds: int = 20, damping: float = 0.85) -> str:
+    """s -> tsum(id, summary): PageRank over shared-word counts through the sentence-word incidence, round by round."""
+    out = [f"""ti AS MATERIALIZED (SELECT DISTINCT id, sent_pos, token FROM (SELECT id, sent_pos, unnest({rtokens('sentence')}) AS token FROM s)),
+tw AS (SELECT id, token, count(*) AS d FROM ti GROUP BY id, token),
+t0 AS MATERIALIZED (SELECT ti.id, ti.sent_pos, sum(d - 1) AS deg, count(*) AS nw, 1.0::DOUBLE AS s FROM ti JOIN tw ON ti.id = tw.id AND ti.token = tw.token
+       GROUP BY ti.id, ti.sent_pos)"""]
+    for k in range(1, rounds + 1):
+        out.append(f"""q{k} AS MATERIALIZED (SELECT id, sent_pos, deg, nw, CASE WHEN deg > 0 THEN s / deg ELSE 0.0 END AS q FROM t{k - 1}),
+m{k} AS (SELECT ti.id, ti.token, sum(q) AS m FROM ti JOIN q{k} AS q ON ti.id = q.id AND ti.sent_pos = q.sent_pos GROUP BY ti.id, ti.token),
+v{k} AS (SELECT ti.id, ti.sent_pos, sum(m) AS m FROM ti JOIN m{k} AS m ON ti.id = m.id AND ti.token = m.token GROUP BY ti.id, ti.sent_pos),
+t{k} AS MATERIALIZED (SELECT q.id, q.sent_pos, deg, nw, {1 - damping!r} + {damping!r} * (m - q * nw) AS s
+       FROM q{k} AS q JOIN v{k} AS v ON q.id = v.id AND q.sent_pos = v.sent_pos)""")
+    out.append(f"""tr AS (SELECT id, sent_pos, row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, sent_pos) AS rk FROM t{rounds}),
+tsum AS (SELECT tr.id, string_agg(s.sentence, ' ' ORDER BY tr.sent_pos) AS summary
+         FROM tr JOIN s ON tr.id = s.id AND tr.sent_pos = s.sent_pos WHERE rk <= {n} GROUP BY tr.id)""")
+    return ",\n".join(out)
+
+
 def systems_ctes() -> str:
     """articles -> sys(id, lang, target, source, system, summary, status) for lead1, lead3, frequency, python_first_sentence."""
     return f"""{sents_ctes()}, {freq_ctes()},

@@ -310,3 +310,50 @@ def test_language_by_join_and_by_profile_arrays(spark):
     a = {r.id: r.detected for r in lg.detect_language(docs, prof).collect()}
     b = {r.id: r.detected for r in lg.detect_language(docs, prof, profile_rows=10).collect()}
     assert a == b and a["none"] == a["empty"] == a["digits"] == "en" and len(set(a.values())) > 2
+
+
+def test_textrank_equals_dense_over_a_table(spark):
+    import re
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", sm._token_lines(sm.sentences(sm.clean_text(F.col("text")), cleaned=True)).alias("t")).collect()
+    assert len(rows) == 200
+    for r in rows:
+        toks = [line.split(" ") if line else [] for line in r.t.split("\n")]
+        if len(toks) > 400:
+            continue
+        want, got = _textrank_brute(toks), sm.textrank_scores(r.t)
+        for w, g, t in zip(want, got, toks, strict=True):
+            assert (g == -1.0) if not t else abs(w - g) < 1e-8
+    assert sm.textrank_scores("").tolist() == [-1.0] and sm.frequency_scores("").tolist() == [-1.0]
+    assert re.match("[a-z0-9 \n]*$", rows[0].t)
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    import os
+    folder = str(tmp_path)
+
+    def load():
+        import uuid as u
+        with open(os.path.join(folder, f"{os.getpid()}-{u.uuid4().hex}"), "w"):
+            pass
+        return lambda texts: [str(len(t.split())) for t in texts]
+
+    df = spark.createDataFrame([(str(i), "w " * (i * 10)) for i in range(200)], "id string, source string").repartition(8)
+    got = {r.id: r.summary for r in sm.summarize_loaded(df, load, batch_size=3).collect()}
+    assert got == {str(i): str(min(i * 10, 512)) for i in range(200)}
+    pids = [f.split("-")[0] for f in os.listdir(folder)]
+    assert len(pids) == len(set(pids)) > 0  # many batches, one load per process
+
+
+def test_look_up_by_dictionary_and_by_join(spark):
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6), ("", 7)], "token string, token_id int")
+    rows = [("r1", ["a", "zz", "b", "a"], [4, 5, 99]), ("r2", [], []), ("r3", None, None), ("r4", ["c"] * 1000, [6] * 1000), ("r5", ["", "a"], [7])]
+    df = spark.createDataFrame(rows, "id string, w array<string>, i array<int>").repartition(3)
+    all_ = {r.id: (r.x, r.y) for r in vc.encode_columns(df, [("w", "x", 3), ("w", "y", None)], vocab).collect()}
+    assert all_["r1"] == ([4, 3, 5], [4, 3, 5, 4]) and all_["r2"] == all_["r3"] == ([], []) and all_["r5"][1] == [7, 4]
+    assert all_["r4"] == ([6] * 3, [6] * 1000)
+    plan = vc.encode_columns(df, [("w", "x", 3)], vocab)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    for small in (40, 0):  # the part in use, and a join
+        assert {r.id: (r.x, r.y) for r in vc.encode_columns(df, [("w", "x", 3), ("w", "y", None)], vocab, max_bytes=small).collect()} == all_
+    back = [{r.id: r.tokens for r in vc.lookup_tokens(df, "i", vocab, max_bytes=n).collect()} for n in (1 << 20, 0)]
+    assert back[0] == back[1] and back[0]["r1"] == ["a", "b", ""] and back[0]["r3"] == []
