@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.llm.common import written
+from precis.operators.vocab import bounded_broadcast
 
 __all__ = ["FILTERS", "text_failures", "copies", "combinations", "audit"]
 
@@ -59,7 +60,8 @@ def copies(docs: DataFrame, marked: DataFrame) -> DataFrame:
 
     ``docs``: doc_id, part, text, h.  ``marked``: doc_id, h of the same rows, without the texts."""
     twice = marked.where(F.col("doc_id").isNotNull()).groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    again = twice.where(F.col("least") < F.col("most")).select("h")
+    # 16 bytes per repeated hash: broadcast if they are few, else joined by hash
+    again = bounded_broadcast(written(twice.where(F.col("least") < F.col("most")).select("h"), "again"))
     held = docs.where(F.col("doc_id").isNotNull()).join(again, "h", "left_semi")
     first = held.groupBy("h", "text").agg(F.min("doc_id").alias("least")).select(
         F.col("h").alias("fh"), F.col("text").alias("ft"), "least")
