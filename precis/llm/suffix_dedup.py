@@ -337,7 +337,7 @@ TOGETHER = 1500
 
 
 def _resolved(contexts: DataFrame, length: int) -> DataFrame:
-    """(gram, ctx, begin, end) of repeated bytes relative to the anchor, for mixed contexts."""
+    """(gram, ctx, begin, end) of repeated bytes relative to the anchor, for mixed contexts partitioned by gram."""
     schema = pa.schema([("gram", pa.int64()), ("ctx", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
@@ -363,8 +363,7 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    ordered = contexts.repartition("gram").sortWithinPartitions("gram", "ctx")
-    return ordered.mapInArrow(run, "gram bigint, ctx bigint, begin bigint, end bigint")
+    return contexts.sortWithinPartitions("gram", "ctx").mapInArrow(run, "gram bigint, ctx bigint, begin bigint, end bigint")
 
 
 #: Contexts of one gram that a task sorts; the windows of a gram with more are counted instead.
@@ -418,21 +417,35 @@ def marked(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_
     twice = written(counts.where("n > 1").select("gram", "ctx"), "contexts")
     mixed = written(per_gram.where("kinds > 1").select("gram", "kinds"), "grams")
     wanted = sc.broadcast(_filter(mixed.select("gram")))
-    contexts = _mixed_contexts(src, length, wanted).dropDuplicates(["gram", "ctx"]).join(mixed, "gram")
-    wide = mixed.where(F.col("kinds") > WIDE)
-    if wide.isEmpty():
-        found = _resolved(contexts.drop("kinds"), length)
+    sent = _mixed_contexts(src, length, wanted)
+    if mixed.where(F.col("kinds") > WIDE).isEmpty():
+        # one shuffle: equal contexts meet where their gram is sorted; a gram that the filter let pass by chance has one
+        # context and gives nothing
+        found = _resolved(sent.repartition("gram").dropDuplicates(["gram", "ctx"]), length)
     else:
-        contexts = written(contexts, "contexts")
-        found = _resolved(contexts.where(F.col("kinds") <= WIDE).drop("kinds"), length).unionByName(
+        contexts = written(sent.dropDuplicates(["gram", "ctx"]).join(mixed, "gram"), "contexts")
+        found = _resolved(contexts.where(F.col("kinds") <= WIDE).drop("kinds").repartition("gram"), length).unionByName(
             _counted(contexts.where(F.col("kinds") > WIDE).drop("kinds"), length))
-    found = written(found, "spans")
-    # whole contexts that occur twice, and windows of mixed contexts
-    full = anchors.where(F.col("hi") - F.col("lo") >= length).join(twice, ["gram", "ctx"], "left_semi").select(
-        "row", F.col("lo").alias("begin"), F.col("hi").alias("end"))
-    part = anchors.select("row", "pos", "gram", "ctx").join(found, ["gram", "ctx"]).select(
-        "row", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
-    return full.unionByName(part).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    # windows of mixed contexts, and (without an extent) whole contexts that occur twice
+    no = F.lit(None).cast("bigint")
+    marks = written(found.unionByName(twice.select("gram", "ctx", no.alias("begin"), no.alias("end"))), "spans")
+    near = _of_grams(anchors, sc.broadcast(_filter(marks.select("gram").distinct())))
+    hit = near.join(marks, ["gram", "ctx"]).where(F.col("begin").isNotNull() | (F.col("hi") - F.col("lo") >= length)).select(
+        "row", F.coalesce(F.col("pos") + F.col("begin"), F.col("lo").cast("bigint")).alias("begin"),
+        F.coalesce(F.col("pos") + F.col("end"), F.col("hi").cast("bigint")).alias("end"))
+    return hit.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+
+def _of_grams(anchors: DataFrame, wanted) -> DataFrame:
+    """Anchors whose gram passes the filter; what passes by chance finds nothing in the join."""
+    at = anchors.columns.index("gram")
+
+    def run(batches):
+        bits = wanted.value
+        for b in batches:
+            yield b.filter(pa.array(_passes(bits, b.column(at).to_numpy().view(np.uint64))))
+
+    return anchors.mapInArrow(run, anchors.schema)
 
 
 def _merged(spans) -> list[list[int]]:
@@ -454,7 +467,7 @@ def _kept(data: bytes, spans) -> bytes:
 
 
 def dedup_digests(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats (whether any byte is removed)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(_row_key(text, doc_id).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     both = d.join(marked(docs, length, text, doc_id), "row", "left").select("doc_id", "text", "spans")
@@ -467,10 +480,11 @@ def dedup_digests(docs: DataFrame, length: int = 400, text: str = "text", doc_id
                 gone = _merged(spans.as_py())
                 for column, v in zip(out, (len(data), sum(y - x for x, y in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string()),
+                                              pa.array([x > 0 for x in out[1]], pa.bool_())],
+                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats"])
 
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, has_repeats boolean")
 
 
 def _whole_characters(data: bytes, spans) -> list[list[int]]:

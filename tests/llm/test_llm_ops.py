@@ -62,7 +62,7 @@ def test_hash_collision_is_corrected():
 
 def check_removed(df, length):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup_digests(df, length).collect()}
-    want = {i: (n, m, s, hashlib.sha256(kept).hexdigest()) for i, (n, m, s, kept) in brute.repeated(pairs(df), length).items()}
+    want = {i: (n, m, s, hashlib.sha256(kept).hexdigest(), m > 0) for i, (n, m, s, kept) in brute.repeated(pairs(df), length).items()}
     assert got == want
 
 
