@@ -161,11 +161,10 @@ def replicate_sums(rows: DataFrame, by: Sequence[str], replicates: int) -> DataF
         for b in batches:
             types = [b.schema.field(c).type for c in by]
             k, x = b.column("_k").to_numpy(), b.column("_x").to_numpy(zero_copy_only=False).astype(float)
-            x = np.where(np.isnan(x), 0.0, x)
             names = list(zip(*[b.column(c).to_pylist() for c in by], strict=True)) if by else [()] * b.num_rows
             at: dict[tuple, list[int]] = {}
-            for i, g in enumerate(names):
-                at.setdefault(g, []).append(i)
+            for i in np.flatnonzero(~np.isnan(x)).tolist():
+                at.setdefault(names[i], []).append(i)
             for g, some in at.items():
                 if g not in sums:
                     if len(sums) >= GROUPS:
@@ -174,7 +173,7 @@ def replicate_sums(rows: DataFrame, by: Sequence[str], replicates: int) -> DataF
                     sums[g] = np.zeros((2, replicates))
                 for j in range(0, len(some), ROWS):
                     part = np.array(some[j:j + ROWS])
-                    w = _weights(k[part], replicates)
+                    w = _weights(k[part], replicates).astype(float)
                     sums[g][0] += w.sum(axis=0)
                     sums[g][1] += x[part] @ w
         if sums:
@@ -197,7 +196,7 @@ def bootstrap_scores(scored: DataFrame, value: Column, replicates: int = 1000, s
     b — identical for every system, so the comparison is paired.
     """
     k = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10)
-    rows = scored.select(*by, k.cast("bigint").alias("_k"), value.cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = scored.select(*by, k.cast("bigint").alias("_k"), value.cast("double").alias("_x"))
     reps = replicate_sums(rows, by, replicates).select(*by, F.try_divide("wx", "w").alias("m"))
     q = F.percentile(F.col("m"), F.array(*[F.lit(x) for x in quantiles]))
     out = reps.where(F.col("m").isNotNull()).groupBy(*by).agg(q.alias("_q"))
