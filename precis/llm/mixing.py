@@ -46,7 +46,7 @@ PRIOR_STEPS, PRIOR_TOLERANCE = 200, 1e-3
 LEADING = 0.5
 #: Gradient steps at most, steps between two written tables, the relative error of a domain, the distance from the least
 #: error (a share of the first), the share of an error that is left after five steps, and the movement of the rates that end them.
-STEPS, CHAIN, TOLERANCE, GAP, SLOW, STILL = 60, 8, 1e-3, 2e-3, 0.5, 1e-4
+STEPS, CHAIN, TOLERANCE, GAP, SLOW, STILL = 60, 2, 1e-3, 2e-3, 0.5, 1e-4
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
