@@ -8,8 +8,8 @@ rates r, found from 1 by projected gradient descent, whose expected token totals
 ``sum(r * tokens * posterior)``, match the targets, or come as near as the bounds on rates let them.  An
 iteration is one or two distributed aggregates of K * K numbers.
 
-Everything is DataFrame and SQL functions.  Broadcast are only the sample of
-labelled ids (``SAMPLE``) and the features' weights (``FEATURES`` rows).
+Everything is DataFrame and SQL functions.  The classifier and its prior are learned
+from all labelled documents; broadcast are only the features' weights (``FEATURES`` rows).
 
 Defined results: null or empty text has no tokens, the posterior of its shape
 and the rate that follows from it; repeated rows have equal rates; a document
@@ -33,15 +33,15 @@ __all__ = ["TARGETS", "domain_of", "feature_weights", "posteriors", "fit_rates",
 
 #: Shares of the mix by domain (quality, toxic); what is not named is not wanted.
 TARGETS = {"q1_t0": 0.95, "q0_t0": 0.03, "q1_t1": 0.015, "q0_t1": 0.005}
-#: Labelled rows that the classifier is learned from, features it keeps, documents a feature must be in.
-SAMPLE, FEATURES, LEAST = 10_000, 4096, 5
+#: Features that the classifier keeps, documents a feature must be in.
+FEATURES, LEAST = 4096, 5
 #: Weight of the prior in a feature's ratio; a word is used if its largest log ratio and its G statistic (twice the
 #: log likelihood that the domains explain) reach these.
 STRENGTH, TELLING, SURE = 10.0, 1.0, 20.0
 #: Runs of symbols and of capitals, counted against the words.
 SYMBOLS, CAPITALS = r"[%&*$#!|@^~=+<>{}\[\]\\]+", r"\p{Lu}{2,}"
-#: Steps and tolerance of the prior's fit.
-PRIOR_STEPS, PRIOR_TOLERANCE = 200, 1e-3
+#: Steps (an aggregate each) and tolerance of the prior's fit, and the largest move of a step.
+PRIOR_STEPS, PRIOR_TOLERANCE, PRIOR_MOVE = 40, 1e-3, 2.0
 #: Share of the mix from which a domain limits the budget when rates are limited.
 LEADING = 0.5
 #: Gradient steps at most, steps between two written tables, the relative error of a domain, the distance from the least
@@ -76,16 +76,15 @@ def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return d.select("_key", "doc_id", "n_tokens", F.concat("_d", shape).alias("features"))
 
 
-def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, text: str = "text",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """(feature, w: log-likelihood ratio per domain); the feature ``bias`` holds the fitted log prior."""
-    lab = labels.select(F.col(doc_id).alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
-    many = lab.count()
-    share = min(1.0, SAMPLE / max(many, 1))
-    if share < 1:
-        lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    few = docs.join(F.broadcast(lab.select(F.col("doc_id").alias(doc_id)).distinct()), doc_id, "left_semi")
-    seen = _featured(few, text, doc_id).join(F.broadcast(lab), "doc_id").select("domain", F.explode("features").alias("feature"))
+def _labelled(labels: DataFrame, domains: list[str], domain: Column, doc_id: str) -> DataFrame:
+    """(doc_id, domain) of the labels that name one of the domains."""
+    return labels.select(F.col(doc_id).alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
+
+
+def _learned(docs: DataFrame, lab: DataFrame, domains: list[str], text: str, doc_id: str) -> tuple[DataFrame, list[int], list[float]]:
+    """(feature, w: log-likelihood ratio per domain) without the prior, labelled rows per domain and the log prior."""
+    few = docs.join(lab.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    seen = _featured(few, text, doc_id).join(lab, "doc_id").select("domain", F.explode("features").alias("feature"))
     n = seen.groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("bigint")).alias(f"n{i}") for i, k in enumerate(domains)])
     n = written(n.where(sum(F.col(f"n{i}") for i in range(len(domains))) >= LEAST), "features")
     total = n.where(F.col("feature") == "\u0001bias").first()  # one row
@@ -104,25 +103,60 @@ def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], doma
     top = n.where((F.col("feature") != "\u0001bias") & (shape | (far >= TELLING) & (explained >= SURE)))
     top = top.orderBy(F.desc(shape), F.desc(explained), "feature").limit(FEATURES)
     weights = written(top.select("feature", F.array(*ratio).alias("w")), "features")
-    spark, schema = docs.sparkSession, "feature string, w array<double>"
-    prior = [math.log(q) if x else -1e9 for x, q in zip(size, share_of, strict=True)]
-    bias = lambda: spark.createDataFrame([("\u0001bias", prior)], schema)
-    if not total:
-        return weights.unionByName(bias())
-    # features that come together are counted several times: the prior is moved until the mean posterior of the labelled
-    # rows is the share of each domain among them
-    scored = posteriors(few, weights.unionByName(bias()), len(size), text, doc_id).join(F.broadcast(lab), "doc_id")
-    labelled = scored.select("rows", "p").collect()  # about SAMPLE rows of K numbers
-    rows, p = np.array([float(r["rows"]) for r in labelled]), np.array([r["p"] for r in labelled]).reshape(len(labelled), len(size))
-    moved, found = np.zeros(len(size)), np.array(size) / everything
-    for _ in range(PRIOR_STEPS if len(labelled) else 0):
-        now = p * np.exp(moved)
-        mean = rows @ (now / now.sum(axis=1, keepdims=True)) / rows.sum()
+    return weights, size, [math.log(q) if x else -1e9 for x, q in zip(size, share_of, strict=True)]
+
+
+def _with_prior(weights: DataFrame, prior: list[float]) -> DataFrame:
+    return weights.unionByName(weights.sparkSession.createDataFrame([("\u0001bias", [float(x) for x in prior])], "feature string, w array<double>"))
+
+
+def _prior_moves(labelled: DataFrame, size: list[int]) -> np.ndarray:
+    """What to add to the log prior so that the mean posterior of the labelled rows (rows, p) is the share of each domain
+    among them: features that come together are counted several times, and the prior makes up for it.
+
+    Newton steps on a convex function; each is one aggregate of 2 + K + K^2 numbers.  One that does not lower it is
+    undone, and the plain step (the logs of the ratios, which never raises it) is made instead."""
+    k, everything = len(size), sum(size)
+    moved = np.zeros(k)
+    if not everything:
+        return moved
+    found = np.array(size) / everything
+    some = found > 0
+
+    def measured(at: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        e = [F.col("p")[i] * float(x) for i, x in enumerate(np.exp(at))]
+        whole, rows = sum(e), F.col("rows").cast("double")
+        now = [x / whole for x in e]
+        got = labelled.agg(F.sum(rows), F.sum(rows * F.log(whole)), *[F.sum(rows * x) for x in now],
+                           *[F.sum(rows * x * y) for x in now for y in now]).first()
+        got = np.array([float(x or 0) for x in got])
+        many = max(got[0], 1e-9)
+        return got[0], got[1] / many - float(at @ found), got[2:2 + k] / many, got[2 + k:].reshape(k, k) / many
+
+    rows, height, mean, both = measured(moved)
+    for _ in range(PRIOR_STEPS if rows else 0):
         if (np.abs(mean - found) <= PRIOR_TOLERANCE * found).all():
             break
-        moved += np.where(found > 0, np.log(np.maximum(found, 1e-9) / np.maximum(mean, 1e-9)), 0.0)
-    prior = [a + float(m) for a, m in zip(prior, moved, strict=True)]
-    return weights.unionByName(bias())
+        plain = np.where(some, np.log(np.maximum(found, 1e-9) / np.maximum(mean, 1e-9)), 0.0)
+        step = np.linalg.pinv(np.diag(mean) - both, rcond=1e-9, hermitian=True) @ (found - mean)
+        step = np.where(some, step, 0.0) * min(1.0, PRIOR_MOVE / max(np.abs(step).max(), 1e-9))
+        there = measured(moved + step)
+        if there[1] > height + 1e-12:
+            step, there = plain, measured(moved + plain)
+        moved = moved + step
+        _, height, mean, both = there
+    return moved
+
+
+def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], domain: Column, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """(feature, w: log-likelihood ratio per domain) from all labelled documents; the feature ``bias`` holds the fitted log prior."""
+    lab = _labelled(labels, domains, domain, doc_id)
+    weights, size, prior = _learned(docs, lab, domains, text, doc_id)
+    few = docs.join(lab.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
+    scored = posteriors(few, _with_prior(weights, prior), len(size), text, doc_id)
+    moved = _prior_moves(written(scored.join(lab, "doc_id").select("rows", "p"), "labelled"), size)
+    return _with_prior(weights, [a + m for a, m in zip(prior, moved.tolist(), strict=True)])
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -233,8 +267,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGE
     """Per distinct (id, text): _key, doc_id, n_tokens, rows, p (by domain in order of name) and rate."""
     domains = sorted(targets)
     total = sum(targets.values()) or 1.0
-    weights = written(feature_weights(docs, labels, domains, domain_of() if domain is None else domain, text, doc_id), "weights")
-    members = posteriors(docs, weights, len(domains), text, doc_id)
+    lab = _labelled(labels, domains, domain_of() if domain is None else domain, doc_id)
+    weights, size, prior = _learned(docs, lab, domains, text, doc_id)
+    # every document is scored once; the prior is fitted to the labelled ones among them and then moves all posteriors
+    members = written(posteriors(docs, _with_prior(weights, prior), len(domains), text, doc_id), "members")
+    moved = np.exp(_prior_moves(written(members.join(lab, "doc_id").select("rows", "p"), "labelled"), size))
+    e = [F.col("p")[i] * float(x) for i, x in enumerate(moved)]
+    members = members.withColumn("p", F.array(*[x / sum(e) for x in e]))
     return fit_rates(members, [targets[x] / total for x in domains], budget, most)
 
 

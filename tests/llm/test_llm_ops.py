@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ import brute  # noqa: E402
 
 from precis.llm import (  # noqa: E402
     chat, html_main, jaccard_rtree, kernels, langid, merkle, mih, mixing, packing, queries, suffix_dedup, urlfilter)
+from precis.llm.common import texts_of  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(20_000))
@@ -213,6 +215,22 @@ def test_mixing_tells_repeats_symbols_and_capitals(spark):
     assert len(r) == 300 and all((x["p_q0_t0"] > 0.5) == (x["doc_id"] % 6 < 3) for x in r)
 
 
+def test_mixing_learns_from_every_labelled_row(spark):
+    """A word that 6 of 24,000 labelled documents have is counted, and the prior is fitted to all of them."""
+    rows = [(i, ("bad ugly" if i % 10 == 0 else "good nice") + (" rare" if i % 4000 == 0 else "")) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    names = sorted(mixing.TARGETS)
+    lab = mixing._labelled(labels, names, mixing.domain_of(), "doc_id")
+    weights, size, _ = mixing._learned(docs, lab, names, "text", "doc_id")
+    assert size == [2400, 0, 21_600, 0] and {"bad", "rare"} <= {r["feature"] for r in weights.collect()}
+    p = mixing.posteriors(docs, mixing.feature_weights(docs, labels, names, mixing.domain_of()), len(names))
+    mean = np.array(p.agg(*[F.avg(F.col("p")[i]) for i in range(4)]).first())
+    assert (abs(mean - [0.1, 0, 0.9, 0]) <= 2e-3).all(), mean
+    r = mixing.rates(docs, labels).agg(F.avg("p_q0_t0"), F.count("*")).first()
+    assert abs(r[0] - 0.1) <= 2e-3 and r[1] == 24_000
+
+
 def test_mixing_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (8, 0, 0), (None, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     assert mixing.rates(odd, labels).count() == len(ODD)
@@ -491,6 +509,21 @@ def test_language_rejects_what_it_does_not_know(spark):
     assert [got[i]["lang_pred"] for i in (2, 3, 4)] == ["und"] * 3 and got[4]["score"] == 0
 
 
+def test_language_models_learn_from_every_training_row(spark, monkeypatch):
+    """Every n-gram of every training row is in the models, and the limits come from every training row."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join([letters[i % 26] + letters[i // 26] + letters[(i * 7) % 26]] * 20), "xy"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    seen, plain = [], langid.identify
+    monkeypatch.setattr(langid, "identify", lambda d, *more: (seen.append(d.count()), plain(d, *more))[1])
+    model = langid.fit(docs)
+    assert sum(seen) == len(train) and set(model.limits) <= {"x", "y"} and model.limits
+    for _, text, _ in train:
+        data, off = texts_of(pa.array([text]))
+        assert (model._find(langid._hash(langid._grams(*langid.symbols(data, off)), langid.ORDER)) >= 0).all()
+
+
 def test_language_odd(odd, none):
     model = langid.fit(odd)
     got = langid.identify(odd, model)
