@@ -25,9 +25,10 @@ pair, or runs of one symbol), whatever the size of the corpus; merged words
 leave the table, so it shrinks.  With ``state_dir`` the merges are written per
 epoch, so an interrupted run resumes (A13, A14).
 
-Encoding runs per row in an Arrow-batched pandas UDF (the merge table is
-bounded by the vocabulary size and broadcast), with a per-worker cache so
-each distinct pre-token is merged once per worker — no shuffle at all.
+Encoding runs in an Arrow UDF (the merge table is bounded by the vocabulary
+size and broadcast): the distinct pre-tokens of a batch are merged together, a
+step for all of them at a time, so nothing is kept between batches and no
+token is shuffled.
 """
 
 from __future__ import annotations
@@ -35,11 +36,10 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +127,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0]:offsets[-1]].astype(np.int64), offsets - offsets[0]
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string or binary column without nulls as (bytes, offsets)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0]:off[-1]], off - off[0]
+
+
 def _runs(values: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, end) of the longest runs of two or more symbols, inside one word, whose adjacent pairs are all in ``keys``."""
     linked = np.zeros(len(values) + 1, bool)  # linked[i]: symbols i - 1 and i are joined
@@ -151,12 +160,12 @@ def segments(words: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
             values, offsets = _flat(b.column(b.schema.get_field_index("syms")))
             freq = b.column(b.schema.get_field_index("freq")).to_numpy()
             first, end = _runs(values, offsets, keys.value)
-            raw, found = values.astype("<i4").tobytes(), {}
             of = freq[np.searchsorted(offsets, first, side="right") - 1]
-            for i, j, f in zip(first.tolist(), end.tolist(), of.tolist()):
-                seg = raw[4 * i:4 * j]
-                found[seg] = found.get(seg, 0) + f
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["seg", "freq"])
+            ends = np.concatenate([[0], np.cumsum(end - first)])
+            held = values[np.repeat(first - ends[:-1], end - first) + np.arange(ends[-1])].astype("<i4")
+            seg = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(held)])
+            found = pa.table({"seg": seg, "freq": pa.array(of, pa.int64())}).group_by("seg").aggregate([("freq", "sum")])
+            yield from found.select(["seg", "freq_sum"]).rename_columns(["seg", "freq"]).to_batches()
 
     return words.select("syms", "freq").mapInArrow(run, "seg binary, freq bigint").groupBy("seg").agg(F.sum("freq").alias("freq"))
 
@@ -223,51 +232,135 @@ def merge_segments(table: list[tuple[list[int], int]], next_id: int, room: int,
     return out
 
 
+#: Bits of the hash by which a merge is looked up.
+SLOT_BITS = 20
+
+
+class MergeTable:
+    """Merges (left, right, new id) in rank order, to be applied to many words at once."""
+
+    def __init__(self, merges: Sequence[tuple[int, int, int]]):
+        self.rank = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(merges)}
+        rows = sorted((_key(l_, r_), i) for (l_, r_), (i, _) in self.rank.items())
+        self.keys, self.ranks = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+        self.new = np.array([n for _, _, n in merges], np.int64)  # by rank
+        # where a hash of a pair leads: its place among the keys, -1 for none, -2 where several keys meet
+        slot = self._slot(self.keys)
+        self.place = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.place[slot] = np.arange(len(slot))
+        self.place[np.flatnonzero(np.bincount(slot, minlength=1) > 1)] = -2
+
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def rank_of(self, pair: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of merges for a pair that is none of them."""
+        at = self.place[self._slot(pair)]
+        several = np.flatnonzero(at == -2)
+        at[several] = np.minimum(np.searchsorted(self.keys, pair[several]), len(self.keys) - 1)
+        maybe = np.flatnonzero(at >= 0)
+        maybe = maybe[self.keys[at[maybe]] == pair[maybe]]
+        out = np.full(len(pair), len(self.new), np.int64)
+        out[maybe] = self.ranks[at[maybe]]
+        return out
+
+    def apply(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words (values, offsets) after the merges, lowest rank first.
+
+        A round makes the lowest merge of every word that has one, left to right and non-overlapping; words without one
+        are set aside.  Words of more than LONG_WORD symbols would take many rounds: they are merged one by one."""
+        size, none = np.diff(offsets), len(self.new)
+        if not len(size) or not none:
+            return values, offsets
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word numbers, sizes, values)
+        word = np.arange(len(size))
+        for w in np.flatnonzero(size > LONG_WORD).tolist():
+            x = np.array(_ranked_long(values[offsets[w]:offsets[w + 1]].tolist(), self.rank), np.int64)
+            done.append((np.array([w]), np.array([len(x)]), x))
+        some = (size > 0) & (size <= LONG_WORD)
+        values, word, size = values[np.repeat(some, size)], word[some], size[some]
+        while len(word):
+            starts = np.cumsum(size) - size
+            rank = np.full(len(values), none, np.int64)  # of the pair that begins here
+            if len(values) > 1:
+                rank[:-1] = self.rank_of(_key(values[:-1], values[1:]))
+                rank[starts[1:] - 1] = none  # no pair crosses words
+            best = np.minimum.reduceat(rank, starts)
+            go = best < none
+            if not go.all():
+                keep = np.repeat(go, size)
+                done.append((word[~go], size[~go], values[~keep]))
+                values, rank, word, size, best = values[keep], rank[keep], word[go], size[go], best[go]
+                if not len(word):
+                    break
+                starts = np.cumsum(size) - size
+            hit = rank == np.repeat(best, size)
+            # neighbours that both begin the pair are a run of one symbol: every second one is merged
+            first = hit & ~np.concatenate([[False], hit[:-1]])
+            place = np.arange(len(hit))
+            hit &= (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
+            at = np.flatnonzero(hit)
+            values = values.copy()
+            values[at] = self.new[rank[at]]
+            left = np.ones(len(values), bool)
+            left[at + 1] = False
+            size = np.add.reduceat(left.astype(np.int64), starts)
+            values = values[left]
+        empty = np.flatnonzero(np.diff(offsets) == 0)
+        done.append((empty, np.zeros(len(empty), np.int64), np.zeros(0, np.int64)))
+        word, size = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        order = np.argsort(word)
+        size = size[order]
+        out = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(ends[:-1][order] - out[:-1], size) + np.arange(out[-1])
+        return np.concatenate([d[2] for d in done])[take], out
+
+
 def _rewritten(words: DataFrame, merges: Sequence[tuple[int, int, int]]) -> DataFrame:
     """``words`` after ``merges`` (in order); words of one symbol leave."""
     spark = words.sparkSession
     table = spark.sparkContext.broadcast(list(merges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(table.value)}
         # symbols made by these merges have no pairs in the table yet: a run is joined by old pairs alone
-        keys = np.array(sorted(_key(l_, r_) for l_, r_ in rank), np.int64)
-        done: dict[bytes, np.ndarray] = {}
+        t = MergeTable(table.value)
         for b in batches:
             if not b.num_rows:
                 continue
-            values, offsets = _flat(b.column(b.schema.get_field_index("syms")))
-            hit = np.zeros(len(values) + 1, bool)
-            first, _ = _runs(values, offsets, keys)
-            hit[first] = True
-            touched = np.add.reduceat(hit[:-1], offsets[:-1]) > 0 if len(values) else np.zeros(0, bool)
-            parts, size = [], np.diff(offsets)
-            for i in range(b.num_rows):
-                word = values[offsets[i]:offsets[i + 1]]
-                if touched[i]:
-                    k = word.tobytes()
-                    if k not in done:
-                        if len(done) > 1 << 16:
-                            done.clear()
-                        done[k] = np.array(_ranked(word.tolist(), rank), np.int64)
-                    word = done[k]
-                    size[i] = len(word)
-                parts.append(word)
-            syms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-            keep = pa.array(size >= 2)
+            values, offsets = t.apply(*_flat(b.column(b.schema.get_field_index("syms"))))
+            syms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+            keep = pa.array(np.diff(offsets) >= 2)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("freq")).filter(keep), syms.filter(keep)], names=["freq", "syms"])
 
     return words.select("freq", "syms").mapInArrow(run, "freq bigint, syms array<int>")
 
 
-def _ranked(syms: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """``syms`` after the merges of ``rank`` (pair -> rank, new id), lowest rank first."""
-    while len(syms) > 1:
-        best = min((rank[p] + p for p in zip(syms, syms[1:]) if p in rank), default=None)
-        if best is None:
-            break
-        syms = merged(syms, best[2], best[3], best[1])
-    return syms
+#: Symbols of a word from which it is merged by itself.
+LONG_WORD = 256
+
+
+def _ranked_long(syms: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """One word after the merges, by a heap of its pairs (rank, place) and a linked list of its symbols."""
+    n = len(syms)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    heap = [(rank[p][0], i, p) for i, p in enumerate(zip(syms, syms[1:])) if p in rank]
+    heapq.heapify(heap)
+    syms = list(syms)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] is None or j < 0 or (syms[i], syms[j]) != pair:
+            continue
+        syms[i], syms[j] = rank[pair][1], None
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] >= 0 and (p := (syms[k], syms[after[k]])) in rank:
+                heapq.heappush(heap, (rank[p][0], k, p))
+    return [x for x in syms if x is not None]
 
 
 class BpeModel:
@@ -375,16 +468,6 @@ def build_subwords(df: DataFrame, cols: Sequence[str], target: int = 32768, stat
     return train_bpe(df, cols, target, 2, state_dir=state_dir)
 
 
-def _encoder(model: BpeModel):
-    rank = {(l_, r_): (i, n) for i, (l_, r_, n) in enumerate(model.merges)}
-    byte_id = model.byte_id
-
-    @lru_cache(maxsize=1 << 16)
-    def word(w: str) -> tuple[int, ...]:
-        return tuple(_ranked([byte_id[b] for b in w.encode("utf-8")], rank))
-    return word
-
-
 #: Models and encoders of this worker by the tag of their broadcast.
 _WORKER: dict[tuple, object] = {}
 
@@ -397,27 +480,50 @@ def _once(key: tuple, build):
     return _WORKER[key]
 
 
+def _encoded(words: pa.Array, table: MergeTable, byte_id: np.ndarray) -> pa.Array:
+    """Lists of pre-tokens -> lists of ids; every distinct pre-token is merged once, a null list is empty."""
+    per_row = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    coded = pc.list_flatten(words).dictionary_encode()
+    data, off = _bytes(coded.dictionary)
+    values, offsets = table.apply(byte_id[data], off)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+    at = coded.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[at])])
+    return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(per_row)])], pa.int32()), lists.take(coded.indices).flatten())
+
+
 def encode_bpe(spark: SparkSession, text, model: BpeModel) -> Column:
-    """I5 encode: text -> BPE ids (pre-tokens in the JVM, merges per
-    distinct pre-token in a cached pandas UDF; the model is broadcast)."""
-    bc, tag, specials = spark.sparkContext.broadcast(model.merges), uuid.uuid4().hex, model.specials
+    """I5 encode: text -> BPE ids (pre-tokens in the JVM, merges in an Arrow UDF; the model is broadcast)."""
+    bc, tag, byte_id = spark.sparkContext.broadcast(model.merges), uuid.uuid4().hex, np.array(model.byte_id, np.int64)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def enc(words: pd.Series) -> pd.Series:
-        fn = _once(("encoder", tag), lambda: _encoder(BpeModel(bc.value, specials)))
-        return pd.Series([[i for w in ws for i in fn(w)] if ws is not None else [] for ws in words])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def enc(words: pa.Array) -> pa.Array:
+        return _encoded(words, _once(("table", tag), lambda: MergeTable(bc.value)), byte_id)
     return enc(pretokens(text))
 
 
+def _decoded(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """Lists of ids -> text: the bytes of ``pieces`` by id, invalid UTF-8 replaced; other ids and a null list give none."""
+    per_row = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+    known = (flat >= 0) & (flat < len(pieces))
+    found = pieces.take(pa.array(np.where(known, flat, 0)))  # id 0 is a special token: no bytes
+    data, off = _bytes(found)
+    ends = off[np.concatenate([[0], np.cumsum(per_row)])]
+    whole = data.tobytes()
+    return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())
+
+
 def decode_bpe(spark: SparkSession, ids, model: BpeModel) -> Column:
     """I5 decode: ids -> text, special ids skipped, invalid UTF-8 replaced."""
     bc, tag, specials = spark.sparkContext.broadcast(model.merges), uuid.uuid4().hex, model.specials
 
-    @F.pandas_udf(T.StringType())
-    def dec(col: pd.Series) -> pd.Series:
-        m = _once(("model", tag), lambda: BpeModel(bc.value, specials))
-        n_sp = len(specials)
-        return pd.Series([b"".join(m.bytes_of.get(int(i), b"") for i in a if int(i) >= n_sp).decode("utf-8", "replace")
-                          if a is not None else "" for a in col])
+    def build() -> pa.Array:
+        m = BpeModel(bc.value, specials)
+        return pa.array([m.bytes_of.get(i, b"") if i >= len(specials) else b"" for i in range(max(m.token) + 1)], pa.binary())
+
+    @F.arrow_udf(T.StringType())
+    def dec(col: pa.Array) -> pa.Array:
+        return _decoded(col, _once(("pieces", tag), build))
     c = F.col(ids) if isinstance(ids, str) else ids
     return dec(c)

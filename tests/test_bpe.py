@@ -135,3 +135,40 @@ def test_files_query(spark):
     from __spark_entry__ import queries
     r = queries()["bpe_files_roundtrip"](spark, SF_SMALL).first()
     assert r.differences == 0 and r.tokens > 0
+
+
+def test_words_merged_together_equal_one_merge_at_a_time():
+    """Many words at once, runs of one symbol, empty and long ones: as if the lowest merge were made again and again."""
+    import random
+    import numpy as np
+    rnd = random.Random(3)
+    merges, known = [], list(range(4))
+    for n in range(4, 60):
+        pair = rnd.choice(known), rnd.choice(known)
+        if pair not in {m[:2] for m in merges}:
+            merges.append((*pair, n))
+            known.append(n)
+    rank = {m[:2]: m for m in reversed(merges)}
+    order = {m[:2]: i for i, m in enumerate(merges)}
+
+    def plain(x):
+        while True:
+            best = min((order[p] for p in zip(x, x[1:]) if p in rank), default=None)
+            if best is None:
+                return x
+            x = bpe.merged(x, *merges[best])
+
+    words = [[rnd.randrange(4) for _ in range(rnd.choice([0, 1, 2, 3, 9, 40]))] for _ in range(400)]
+    words += [[0] * k for k in range(9)] + [[rnd.randrange(4) for _ in range(bpe.LONG_WORD + k)] for k in (0, 1, 200)] + [[1] * 700]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    values, ends = bpe.MergeTable(merges).apply(np.array([x for w in words for x in w], np.int64), offsets)
+    got = [values[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert got == [plain(w) for w in words]
+
+
+def test_ids_do_not_hang_on_a_cache(spark):
+    """More distinct words than any cache would hold, nulls and empty texts among the rows: ids decode to the text."""
+    m = bpe.train_bpe(spark.createDataFrame([("abc abd abe bcd " * 9,)], "t string"), ["t"], 300)
+    x = spark.range(70_000).selectExpr("CASE WHEN id % 1000 = 7 THEN NULL WHEN id % 1000 = 8 THEN '' ELSE concat('é', hex(id), ' abcd', id) END AS t").coalesce(1)
+    back = x.select("t", bpe.encode_bpe(spark, "t", m).alias("i")).select("t", F.size("i").alias("n"), bpe.decode_bpe(spark, "i", m).alias("b"))
+    assert back.where("b <> coalesce(t, '') OR n IS NULL OR n = 0 AND coalesce(t, '') <> ''").count() == 0 and back.count() == 70_000
