@@ -32,3 +32,19 @@ def test_positions_without_single_partition_window_over_rows(spark, name):
 
 def test_vocabulary_lookup_is_broadcast(spark):
     assert "BroadcastHashJoin" in _plan(spark, "encode_word")
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """What a Python worker gets at once follows a bound in bytes, not the rows of a partition; a smaller bound is kept."""
+    from pyspark.sql import functions as F
+    from precis.session import ARROW_BATCH, bound_batches
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound_batches(spark)
+    d = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("word "), 400).alias("text"))
+    most = d.mapInArrow(lambda it: iter([b for b in it]), "text string").mapInPandas(
+        lambda it: ((p.iloc[:1]).assign(text=str(len(p))) for p in it), "text string")
+    assert max(int(r.text) for r in most.collect()) * 2000 <= 1.1 * ARROW_BATCH
+    spark.conf.set(name, "100000")
+    bound_batches(spark)
+    assert spark.conf.get(name) == "100000"
+    spark.conf.set(name, str(ARROW_BATCH))
