@@ -5,13 +5,21 @@ Per-row scores are computed inside each row — no shuffle:
 * n-gram overlap with clipping: both n-gram arrays are tagged, merged with one
   ``array_sort`` and folded with ``aggregate`` counting runs of equal grams —
   O((n+m) log(n+m)) per row, JVM-side.
+* ``rouge_columns`` (several kinds of whole tables) counts the n-gram overlaps
+  and the LCS of a batch of rows in one Arrow pass: grams are numbers, and the
+  counts of all rows are sorted together.
 * LCS: an Arrow-batched pandas UDF with the bit-parallel LCS recurrence
   (Allison-Dix / Hyyro), O(n * m / 64) per row, so whole documents are fine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,19 +187,75 @@ def rouge_lsum(cand_text, ref_text, stem: bool = False) -> Column:
     return prf(h["hits"], h["n_cand"], h["n_ref"])
 
 
+def _coded(a: pa.Array, b: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Token numbers of two list columns (one numbering for both), and the row of every token; a null list is empty."""
+    flat = [pc.list_flatten(x) for x in (a, b)]
+    codes = pc.fill_null(pa.concat_arrays(flat).dictionary_encode(null_encoding="encode").indices, 0).to_numpy().astype(np.int64)
+    rows = [np.repeat(np.arange(len(x)), pc.fill_null(pc.list_value_length(x), 0).to_numpy()) for x in (a, b)]
+    return [codes[:len(flat[0])], codes[len(flat[0]):]], rows
+
+
+def _overlap(codes: list[np.ndarray], rows: list[np.ndarray], n: int, count: int) -> np.ndarray:
+    """Per row: the sum over n-grams of the lesser of their counts on the two sides."""
+    grams, at = [], []
+    for c, r in zip(codes, rows):
+        whole = r[:len(r) - n + 1] == r[n - 1:] if len(r) >= n else np.zeros(0, bool)
+        at.append(r[:len(whole)][whole])
+        grams.append([c[k:len(whole) + k][whole] for k in range(n)])
+    row, side = np.concatenate(at), np.repeat([0, 1], [len(x) for x in at])
+    key = row
+    for k in range(n):  # numbers of (row, first k tokens), renumbered so that they stay small
+        token = np.concatenate([g[k] for g in grams])
+        key = np.unique(key * (int(token.max(initial=0)) + 1) + token, return_inverse=True)[1].reshape(-1)
+    many = int(key.max(initial=-1)) + 1
+    row_of = np.zeros(many, np.int64)
+    row_of[key] = row
+    both = np.minimum(np.bincount(key[side == 0], minlength=many), np.bincount(key[side == 1], minlength=many))
+    return np.bincount(row_of, both, count).astype(np.int64)
+
+
+def _lcs_lengths(codes: list[np.ndarray], rows: list[np.ndarray], count: int) -> np.ndarray:
+    """Per row: the length of the longest common subsequence; tokens that only one side has are left out first."""
+    wide = int(max(c.max(initial=0) for c in codes)) + 1
+    keys = [r * wide + c for c, r in zip(codes, rows)]
+    kept = [np.isin(x, y) for x, y in (keys, keys[::-1])]
+    lists = []
+    for c, r, k in zip(codes, rows, kept):
+        ends = np.concatenate([[0], np.cumsum(np.bincount(r[k], minlength=count))]).tolist()
+        tokens = c[k].tolist()
+        lists.append([tokens[i:j] for i, j in zip(ends, ends[1:])])
+    return np.array([lcs_length(x, y) for x, y in zip(*lists)], np.int64)
+
+
+def _hits(ns: Sequence[int], lcs: bool) -> Callable[[Column, Column], Column]:
+    """(candidate tokens, reference tokens) -> array: overlap of n-grams for each of ``ns``, then the LCS length."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def hits(a: pa.Array, b: pa.Array) -> pa.Array:
+        codes, rows = _coded(a, b)
+        found = [_overlap(codes, rows, n, len(a)) for n in ns] + ([_lcs_lengths(codes, rows, len(a))] if lcs else [])
+        wide = len(found)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * wide, pa.int32()), pa.array(np.stack(found, axis=1).reshape(-1), pa.int32()))
+    return hits
+
+
 def rouge_columns(df: DataFrame, cand: str, ref: str, kinds=("rouge1", "rouge2", "rougeL"),
                   stem: bool = False) -> DataFrame:
     """Adds one P/R/F struct column per ROUGE kind."""
     ct, rt = rouge_tokens(F.col(cand), stem), rouge_tokens(F.col(ref), stem)
     df = df.withColumn("_ct", ct).withColumn("_rt", rt)
+    ns = [int(k[len("rouge"):]) for k in kinds if not k.startswith("rougeL")]
+    if ns or "rougeL" in kinds:
+        df = df.withColumn("_hits", _hits(ns, "rougeL" in kinds)(F.col("_ct"), F.col("_rt")))
+    size = lambda c, n: F.greatest(F.size(c) - (n - 1), F.lit(0))
     for k in kinds:
         if k == "rougeL":
-            df = df.withColumn(k, rouge_l("_ct", "_rt"))
+            df = df.withColumn(k, prf(F.col("_hits")[len(ns)], F.size("_ct"), F.size("_rt")))
         elif k == "rougeLsum":
             df = df.withColumn(k, rouge_lsum(F.col(cand), F.col(ref), stem))
         else:
-            df = df.withColumn(k, rouge_n("_ct", "_rt", int(k[len("rouge"):])))
-    return df.drop("_ct", "_rt")
+            n = int(k[len("rouge"):])
+            df = df.withColumn(k, prf(F.col("_hits")[ns.index(n)], size("_ct", n), size("_rt", n)))
+    return df.drop("_ct", "_rt", "_hits")
 
 
 def bleu(df: DataFrame, cand: str, ref: str, group_by=(), max_n: int = 4) -> DataFrame:

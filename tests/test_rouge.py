@@ -145,3 +145,27 @@ def test_stemmed_query_against_brute_force(spark):
         for name, a, b in (("rouge1_f", c, t), ("rouge2_f", pairs(c), pairs(t))):
             assert got[r.id][name] == pytest.approx(f1(sum((Counter(a) & Counter(b)).values()), len(a), len(b)), abs=1e-6)
         assert got[r.id]["rougeL_f"] == pytest.approx(f1(_dp_lcs(c, t), len(c), len(t)), abs=1e-6)
+
+
+def test_batch_hits_equal_the_row_scores(spark):
+    """Overlaps and LCS counted for a batch at once: nulls, empty lists, repeats and one row after another, against brute force."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from precis.operators import rouge as rg
+    rnd = random.Random(5)
+    make = lambda: rnd.choice([None, [], ["a"], [rnd.choice("abcde") for _ in range(rnd.randrange(30))]])
+    a, b = ([make() for _ in range(300)] for _ in range(2))
+    codes, rows = rg._coded(pa.array(a, pa.list_(pa.string())), pa.array(b, pa.list_(pa.string())))
+    for n in (1, 2, 3):
+        grams = lambda x: Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1))
+        assert rg._overlap(codes, rows, n, 300).tolist() == [sum((grams(x or []) & grams(y or [])).values()) for x, y in zip(a, b)]
+    assert rg._lcs_lengths(codes, rows, 300).tolist() == [rg.lcs_length(x or [], y or []) for x, y in zip(a, b)]
+    t = spark.createDataFrame([(" ".join(x or []), " ".join(y or [])) for x, y in zip(a, b)], "c string, r string")
+    got = rg.rouge_columns(t, "c", "r").withColumn("one", rg.rouge_n(rg.rouge_tokens("c"), rg.rouge_tokens("r"), 2)) \
+        .withColumn("two", rg.rouge_l(rg.rouge_tokens("c"), rg.rouge_tokens("r")))
+    assert got.where("rouge2 <> one OR rougeL <> two").count() == 0 and got.count() == 300
+    empty = pa.array([], pa.list_(pa.string()))
+    assert rg._overlap(*rg._coded(empty, empty), 2, 0).tolist() == [] and rg._lcs_lengths(*rg._coded(empty, empty), 0).tolist() == []
