@@ -60,7 +60,7 @@ def _key(text: str, doc_id: str) -> Column:
 
 def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """_key, doc_id, n_tokens and features: distinct lower-cased words and marked shape features."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"\s+"), "")
     d = docs.select(_key(text, doc_id).alias("_key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"),
                     words.alias("_w"))
     d = d.select("_key", "doc_id", "_t", F.size("_w").cast("bigint").alias("n_tokens"), F.array_distinct("_w").alias("_d"))
@@ -76,15 +76,25 @@ def _featured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return d.select("_key", "doc_id", "n_tokens", F.concat("_d", shape).alias("features"))
 
 
+def _each(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and one row per feature.  Arrays are never empty; a plain explode would have Spark test that first, on
+    the text, with all features made once more."""
+    return rows.select(*columns, F.explode_outer("features").alias("feature"))
+
+
 def _labelled(labels: DataFrame, domains: list[str], domain: Column, doc_id: str) -> DataFrame:
     """(doc_id, domain) of the labels that name one of the domains."""
     return labels.select(F.col(doc_id).alias("doc_id"), domain.alias("domain")).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
 
 
+def _few(docs: DataFrame, lab: DataFrame, doc_id: str) -> DataFrame:
+    """Labelled documents; labels grow with the documents, so a broadcast would serve small tables only."""
+    return docs.join(lab.select(F.col("doc_id").alias(doc_id)).distinct().hint("merge"), doc_id, "left_semi")
+
+
 def _learned(docs: DataFrame, lab: DataFrame, domains: list[str], text: str, doc_id: str) -> tuple[DataFrame, list[int], list[float]]:
     """(feature, w: log-likelihood ratio per domain) without the prior, labelled rows per domain and the log prior."""
-    few = docs.join(lab.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
-    seen = _featured(few, text, doc_id).join(lab, "doc_id").select("domain", F.explode("features").alias("feature"))
+    seen = _each(_featured(_few(docs, lab, doc_id), text, doc_id).join(lab.hint("merge"), "doc_id"), "domain")
     n = seen.groupBy("feature").agg(*[F.sum((F.col("domain") == k).cast("bigint")).alias(f"n{i}") for i, k in enumerate(domains)])
     n = written(n.where(sum(F.col(f"n{i}") for i in range(len(domains))) >= LEAST), "features")
     total = n.where(F.col("feature") == "\u0001bias").first()  # one row
@@ -153,15 +163,14 @@ def feature_weights(docs: DataFrame, labels: DataFrame, domains: list[str], doma
     """(feature, w: log-likelihood ratio per domain) from all labelled documents; the feature ``bias`` holds the fitted log prior."""
     lab = _labelled(labels, domains, domain, doc_id)
     weights, size, prior = _learned(docs, lab, domains, text, doc_id)
-    few = docs.join(lab.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
-    scored = posteriors(few, _with_prior(weights, prior), len(size), text, doc_id)
+    scored = posteriors(_few(docs, lab, doc_id), _with_prior(weights, prior), len(size), text, doc_id)
     moved = _prior_moves(written(scored.join(lab, "doc_id").select("rows", "p"), "labelled"), size)
     return _with_prior(weights, [a + m for a, m in zip(prior, moved.tolist(), strict=True)])
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_key, doc_id, n_tokens, rows (equal rows) and p: the posterior over the domains."""
-    f = _featured(docs, text, doc_id).select("_key", "doc_id", "n_tokens", F.explode("features").alias("feature"))
+    f = _each(_featured(docs, text, doc_id), "_key", "doc_id", "n_tokens")
     hit = f.join(F.broadcast(weights), "feature")
     sums = hit.groupBy("_key", "doc_id", "n_tokens").agg(
         F.sum((F.col("feature") == "\u0001bias").cast("bigint")).alias("rows"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])

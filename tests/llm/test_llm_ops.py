@@ -239,6 +239,15 @@ def test_mixing_odd(spark, odd, none):
     assert mixing.rates(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_mixing_makes_features_once(docs, spark):
+    weights = spark.createDataFrame([("\u0001bias", [0.1, 0.2])], "feature string, w array<double>")
+    plan = mixing.posteriors(docs, weights, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    lab = mixing._labelled(spark.read.parquet(f"{SMALL}/labels.parquet"), sorted(mixing.TARGETS), mixing.domain_of(), "doc_id")
+    plan = mixing._few(docs, lab, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # the same plan for tables of any size
+
+
 def test_mixing_is_native(docs, spark):
     plan = mixing.rates(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
