@@ -92,6 +92,23 @@ def test_suffix_dedup_made(spark):
         suffix_dedup.WIDE = wide
 
 
+def test_suffix_dedup_deals_out_wide_grams(spark, monkeypatch):
+    rnd = random.Random(8)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, rows = some(700), []
+    for _ in range(80):
+        a = rnd.choice([0, 0, 100, rnd.randrange(300)])
+        rows.append(some(rnd.randrange(300)) + shared[a:a + rnd.choice([700, 500, 401, 399])] + some(rnd.randrange(300)))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    dealt, halves = [], suffix_dedup._halves
+    monkeypatch.setattr(suffix_dedup, "WIDE", 5)
+    monkeypatch.setattr(suffix_dedup, "_halves", lambda c, length: dealt.append((c.count(), halves(c, length).count())) or halves(c, length))
+    check_removed(df, 400)
+    # two rows a context and level, not one for each of its 361 windows; levels shrink as members agree
+    assert len(dealt) > 2 and all(n <= 2 * c for c, n in dealt)
+    assert sum(n for _, n in dealt) < 40 * dealt[0][0]
+
+
 def test_suffix_dedup_odd(odd, none):
     rows = suffix_dedup.dedup_digests(odd, 400).collect()
     assert len(rows) == len(ODD)
