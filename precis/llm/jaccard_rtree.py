@@ -17,8 +17,11 @@ No pair over the threshold is lost, at any size:
    united.  First every class is verified against its first ``LEADERS``
    leaders, which collapses large groups of near copies into components in
    linear work.  Then, in lists that still hold several components, the R-tree
-   finds the remaining pairs across components.  A list beyond ``LIST_ROWS``
-   classes is dealt out as pairs of blocks, so no task holds an unbounded list.
+   finds the remaining pairs across components.  A list with many of them gives
+   spanning forests of its components first, whose links unite nearly all of
+   them, and is searched again, the last time for every pair that is left.  A
+   list beyond ``LIST_ROWS`` classes is dealt out as pairs of blocks, so no task
+   holds an unbounded list.
 
 Defined results: null or empty text has no shingles and is a component of its
 own; rows without an id link with nothing and have a null component; repeated
@@ -45,6 +48,10 @@ GROUPS = 256
 LIST_ROWS = 20_000
 #: Leaders that a class is compared with before the lists are searched.
 LEADERS = 4
+#: Spanning forests that a list gives, round by round; the last round gives every pair across components.
+FORESTS = (1, 8, None)
+#: Pairs of a list per class and forest up to which it gives all of them at once.
+FEW = 4
 #: Shingles that the frequency estimate may call frequent, and from how many sets on.
 HOT_SHINGLES, HOT_FROM = 1 << 18, 16
 #: Only shingles in the lowest part of the hash order can come early, so only these are counted.
@@ -338,24 +345,87 @@ class CountTree:
             yield self.order[q], self.order[node]
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one list (``key``) but different components that the count vectors allow."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def spanning_forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Which edges (best first, ends numbered below ``nodes``) are in the maximum spanning forest (Boruvka's rounds)."""
+    label, live = np.arange(nodes), np.flatnonzero(u != v)
+    taken = np.zeros(len(u), bool)
+    while len(live):
+        a, b = label[u[live]], label[v[live]]
+        best = np.full(nodes, len(u))
+        for end in (a, b):
+            first = np.full(nodes, len(u))
+            first[end[::-1]] = live[::-1]  # the last one written is the best
+            best = np.minimum(best, first)
+        top = np.flatnonzero(best < len(u))
+        taken[best[top]] = True
+        up = np.arange(nodes)
+        x, y = label[u[best[top]]], label[v[best[top]]]
+        up[top] = np.where(x == top, y, x)
+        both = (up[up] == np.arange(nodes)) & (up > np.arange(nodes))  # two that chose the same edge: the smaller is the root
+        up[both] = np.flatnonzero(both)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+        live = live[label[u[live]] != label[v[live]]]
+    return taken
+
+
+def _forests(i, j, score, node, forests: int):
+    """Of the edges (i, j) those in ``forests`` maximum spanning forests of the components ``node``, none in two."""
+    order = np.lexsort((j, i, -score))
+    i, j, score = i[order], j[order], score[order]
+    u, v, nodes = node[i], node[j], int(node.max()) + 1
+    keep, rest = np.zeros(len(i), bool), np.arange(len(i))
+    for _ in range(forests):
+        taken = spanning_forest(u[rest], v[rest], nodes)
+        keep[rest[taken]] = True
+        rest = rest[~taken]
+        if not len(rest):
+            break
+    return i[keep], j[keep], score[keep]
+
+
+def _across(lists: DataFrame, percent: int, forests: int | None = None) -> DataFrame:
+    """(a, b, cut): pairs of classes in one list (``key``) but different components that the count vectors allow.  A list
+    with more than ``FEW * forests`` pairs per class gives, of those, maximum spanning forests by the bound, and says so
+    in ``cut``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
 
     def run(batches):
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], bool] = {}
 
         def out():
-            rows = np.array(sorted(found), np.int64).reshape(-1, 2)
+            rows = np.array(list(found), np.int64).reshape(-1, 2)
+            cut = pa.array(list(found.values()), pa.bool_())
             found.clear()
-            return pa.RecordBatch.from_arrays([_i64(rows[:, 0]), _i64(rows[:, 1])], schema=schema)
+            return pa.RecordBatch.from_arrays([_i64(rows[:, 0]), _i64(rows[:, 1]), cut], schema=schema)
 
         def one(rows):
             cls, comp, n, vec = (np.concatenate([r[i] for r in rows]) for i in range(4))
+            node = np.unique(comp, return_inverse=True)[1]
+            most = FEW * (forests or 0) * len(cls)
+            held, cut = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], False
             for i, j in CountTree(vec, n).pairs(percent):
-                far = comp[i] != comp[j]
-                a, b = cls[i[far]], cls[j[far]]
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+                far = node[i] != node[j]
+                i, j = i[far], j[far]
+                if forests is not None:
+                    score = np.concatenate([np.minimum(vec[i[c:c + 4096]], vec[j[c:c + 4096]]).sum(axis=1, dtype=np.int64)
+                                            for c in range(0, len(i), 4096)] or [np.zeros(0)]) / np.maximum(n[i] + n[j], 1)
+                    held = [np.concatenate(x) for x in zip(held, (i, j, score), strict=True)]
+                    if len(held[0]) <= most:
+                        continue
+                    held, cut = list(_forests(*held, node, forests)), True
+                else:
+                    yield from told(cls[i], cls[j], False)
+            if cut:
+                held = _forests(*held, node, forests)
+            yield from told(cls[held[0]], cls[held[1]], cut)
+
+        def told(a, b, cut):
+            for pair in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+                found[pair] = cut or found.get(pair, False)
+            if len(found) > 100_000:
+                yield out()
 
         rows, current = [], None
         for b in batches:
@@ -364,19 +434,17 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
             for i, j in zip(cut, [*cut[1:], len(key)], strict=True):
                 if key[i] != current and rows:
-                    one(rows)
+                    yield from one(rows)
                     rows = []
-                    if len(found) > 100_000:
-                        yield out()
                 current = key[i]
                 rows.append([x[i:j] for x in (cls, comp, n, vec)])
         if rows:
-            one(rows)
+            yield from one(rows)
         if found:
             yield out()
 
     ordered = lists.select("key", "cls", "comp", "n", "vec").repartition("key").sortWithinPartitions("key", "cls")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, "a bigint, b bigint, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def _mixed_lists(lists: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
@@ -414,15 +482,20 @@ def near_classes(docs: DataFrame, k: int, percent: int, text: str = "text", doc_
     led = written(_possible(first, classes, percent), "pairs")
     links = written(_verified(src, led, k, percent), "links")
 
-    mixed = _mixed_lists(lists, components(links), classes)
     known = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     reps = classes.select("cls", "rep")
-    across = _across(mixed, percent).join(known, ["a", "b"], "left_anti").join(
-        reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(
-        reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
-    more = written(_verified(src, written(across, "pairs"), k, percent), "links")
-
-    comp = components(links.unionByName(more))
+    comp = components(links)
+    for forests in FORESTS:
+        found = written(_across(_mixed_lists(lists, comp, classes), percent, forests), "across")
+        new = found.select("a", "b").join(known, ["a", "b"], "left_anti").join(
+            reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(
+            reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b")
+        new = written(new, "pairs")
+        links = links.unionByName(written(_verified(src, new, k, percent), "links"))
+        comp = components(links)
+        if found.where("cut").isEmpty():  # no list kept a pair back
+            break
+        known = known.unionByName(new.select("a", "b"))
     named = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "rep", F.coalesce("component", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return rows, named.join(least, "comp").select("cls", "n", "rep", "component_id")

@@ -434,6 +434,33 @@ def test_jaccard_near_copies(spark):
         jaccard_rtree.LIST_ROWS, jaccard_rtree.LEADERS = old
 
 
+def test_jaccard_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    words, rows = [f"w{x}" for x in r.integers(0, 4000, 150)], []
+    for i in range(1000):
+        t = list(words)
+        for at in r.integers(0, 150, int(r.integers(0, 10))):
+            t[at] = f"e{r.integers(0, 10**6)}"
+        rows.append((i, " ".join(t)))
+    compared = []
+    verified = jaccard_rtree._verified
+    monkeypatch.setattr(jaccard_rtree, "_verified", lambda src, pairs, k, percent: compared.append(pairs.count()) or verified(src, pairs, k, percent))
+    got = jaccard_rtree.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute.jaccard_components(rows, 5, 80)
+    assert sum(compared) < 2 * len(rows)  # 12,081 when every pair across components was listed
+
+
+@pytest.mark.parametrize("nodes, edges", [(1, 3), (8, 12), (40, 300), (300, 200)])
+def test_spanning_forest(nodes, edges):
+    r = np.random.default_rng(nodes)
+    u, v = r.integers(0, nodes, (2, edges))
+    label, want = np.arange(nodes), []
+    for a, b in zip(u, v, strict=True):  # best first
+        want.append(label[a] != label[b])
+        label[label == label[a]] = label[b]
+    assert jaccard_rtree.spanning_forest(u, v, nodes).tolist() == want
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(1)
     vec = rng.poisson(2, (300, 16)) + np.repeat(rng.integers(0, 4, (30, 16)), 10, axis=0)
