@@ -109,6 +109,44 @@ def test_suffix_dedup_deals_out_wide_grams(spark, monkeypatch):
     assert sum(n for _, n in dealt) < 40 * dealt[0][0]
 
 
+def test_suffix_dedup_makes_contexts_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = some(700)
+    df = spark.createDataFrame([(i, some(rnd.randrange(300)) + shared + some(100)) for i in range(20)], "doc_id long, text string")
+    plans, resolved = [], suffix_dedup._resolved
+    monkeypatch.setattr(suffix_dedup, "WIDE", 5)
+    monkeypatch.setattr(suffix_dedup, "_resolved", lambda contexts, *a: plans.append(
+        contexts._jdf.queryExecution().optimizedPlan().toString()) or resolved(contexts, *a))
+    check_removed(df, 400)
+    # with wide grams the contexts of the others are read again, not cut from the texts once more
+    assert len(plans) > 1 and "MapInArrow" not in plans[0]
+
+
+def test_windows_in_blocks(monkeypatch):
+    rnd = random.Random(9)
+    text = bytes(rnd.choice(b"abcd") for _ in range(1300))
+    blobs, left = [], []
+    for _ in range(60):
+        b = bytearray(text)
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(1300)
+            if not 600 <= at < 640:
+                b[at] = ord("X")
+        a, z = 600 - rnd.randint(0, 360), 640 + rnd.randint(0, 360)
+        blobs.append(bytes(b[a:z]))
+        left.append(600 - a)
+    left = np.array(left)
+    seen = Counter((o, b[x - o:x - o + 400]) for b, x in zip(blobs, left.tolist(), strict=True) for o in range(361) if x >= o and len(b) >= x - o + 400)
+    want = set()
+    for i, (b, x) in enumerate(zip(blobs, left.tolist(), strict=True)):
+        want |= {(i, at) for o in range(361) if x >= o and len(b) >= x - o + 400 and seen[o, b[x - o:x - o + 400]] > 1 for at in range(-o, 400 - o)}
+    for cells in (1 << 17, 1, 200):
+        monkeypatch.setattr(suffix_dedup, "CELLS", cells)
+        found = suffix_dedup.repeated_spans(np.zeros(60, np.int64), left, blobs, 400)
+        assert {(i, at) for i, a, z in zip(*(x.tolist() for x in found), strict=True) for at in range(a, z)} == want
+
+
 def test_suffix_dedup_odd(odd, none):
     rows = suffix_dedup.dedup_digests(odd, 400).collect()
     assert len(rows) == len(ODD)
