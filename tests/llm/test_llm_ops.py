@@ -615,6 +615,76 @@ def test_language_models_learn_from_every_training_row(spark, monkeypatch):
         assert (model._find(langid._hash(langid._grams(*langid.symbols(data, off)), langid.ORDER)) >= 0).all()
 
 
+def plain_kneser_ney(texts):
+    """(language, 4 symbols) -> log-probability of the last one, from the texts of each language; every n-gram counts."""
+    counts = {}
+    for lang, some in texts.items():
+        own = Counter()
+        for t in some:
+            t = "   " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + (" " if t[-1:] and not t[-1].isalpha() else "")
+            own.update(t[i:i + 4] for i in range(len(t) - 3))
+        chain = [own]
+        for k in (3, 2, 1):
+            chain.insert(0, Counter(g[-k:] for g in chain[0]))
+        counts[lang] = chain
+    floor = 1 / (len(set().union(*[c[0] for c in counts.values()])) + 1)
+    totals = {lang: [(Counter(), Counter()) for _ in range(4)] for lang in counts}
+    for lang, chain in counts.items():
+        for k, level in enumerate(chain):
+            for g, n in level.items():
+                totals[lang][k][0][g[:-1]] += n
+                totals[lang][k][1][g[:-1]] += 1
+
+    def log_p(lang, gram):
+        p = floor
+        for k, level in enumerate(counts[lang]):
+            one, two = (sum(n == m for n in level.values()) for m in (1, 2))
+            d = one / (one + 2 * two) if one and two else 0.5
+            g = gram[-k - 1:]
+            if total := totals[lang][k][0][g[:-1]]:
+                p = max(level[g] - d, 0) / total + d * totals[lang][k][1][g[:-1]] / total * p
+        return np.log(p)
+    return counts, log_p
+
+
+def as_grams(grams):
+    return np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in grams], np.uint64)
+
+
+def test_language_models_keep_every_gram_of_many_languages(spark):
+    """70 languages with more than 1,000 n-grams each: all are in the models, with the probabilities of plain Kneser-Ney."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(70):
+        letters = "".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 12))
+        rows += [(100 * i + j, " ".join("".join(rnd.choice(letters) for _ in range(9)) for _ in range(40)), f"l{i:02d}") for j in range(8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            texts.setdefault(lang, []).append(t)
+    counts, log_p = plain_kneser_ney(texts)
+    assert model.langs == sorted(texts) and max(len(c[3]) for c in counts.values()) > 1300
+    for c in counts.values():
+        assert (model._find(langid._hash(as_grams(c[3]), langid.ORDER)) >= 0).all()
+    some = [g for lang in ("l00", "l41") for g in rnd.sample(sorted(counts[lang][3]), 30)] + ["zzzz", " qqz", "abé "]
+    got = model.log_p(as_grams(some))
+    for lang in ("l00", "l07", "l41"):
+        want = np.array([log_p(lang, g) for g in some])
+        assert np.abs(got[:, model.langs.index(lang)] - want).max() < 1e-4
+
+
+def test_language_models_in_files(spark, monkeypatch):
+    """Models beyond what is taken at once, and few numbers kept by a worker, give the same rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = lambda: sorted(map(tuple, langid.identify(docs.select("doc_id", "text"), langid.fit(docs)).collect()))
+    want = rows()
+    monkeypatch.setattr(langid, "PART", 2000)
+    monkeypatch.setattr(langid, "KEPT", 1)
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    assert rows() == want and any(r[2] != "und" for r in want)
+
+
 def test_language_odd(odd, none):
     model = langid.fit(odd)
     got = langid.identify(odd, model)
