@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from precis.operators.topk import topk_per_group
 
-__all__ = ["char_ngrams", "gram_codes", "top_codes", "fit_language_profiles", "detect_language"]
+__all__ = ["char_ngrams", "gram_codes", "top_codes", "fit_language_profiles", "shared_profiles", "with_language", "detect_language"]
 
 #: Profile rows that are broadcast to the workers; more are joined.
 PROFILE_ROWS = 1 << 20
@@ -113,20 +114,31 @@ class _Profiles:
         return best[1] if best else None
 
 
-def detect_language(df: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", top: int = 300,
-                    default: str = "en", out: str = "detected", profile_rows: int = PROFILE_ROWS) -> DataFrame:
-    """(key, detected): nearest profile; text without letters -> ``default``."""
+def shared_profiles(profiles: DataFrame, profile_rows: int = PROFILE_ROWS) -> Broadcast | None:
+    """The profiles for the workers, None if they are more than a worker should hold."""
     if profiles.limit(profile_rows + 1).count() > profile_rows:
-        return _detect_by_join(df, profiles, key, text, top, default, out)
+        return None
     rows = [(r["lang"], r["gram"], r["rank"]) for r in profiles.select("lang", "gram", "rank").collect() if r["lang"] is not None]
-    sides = df.sparkSession.sparkContext.broadcast(_Profiles(rows))
+    return profiles.sparkSession.sparkContext.broadcast(_Profiles(rows))
+
 
+def with_language(df: DataFrame, sides: Broadcast, text: str = "text", top: int = 300, default: str = "en", out: str = "detected") -> DataFrame:
+    """``df`` with the language of each row's text; no row moves."""
     @F.pandas_udf(T.StringType())
     def nearest(words: pd.Series) -> pd.Series:
         p = sides.value
         return pd.Series([p.nearest(top_codes(w, top), top) for w in words], dtype=object)
 
-    return df.select(key, F.coalesce(nearest(_letters(text)), F.lit(default)).alias(out))
+    return df.withColumn(out, F.coalesce(nearest(_letters(text)), F.lit(default)))
+
+
+def detect_language(df: DataFrame, profiles: DataFrame, key: str = "id", text: str = "text", top: int = 300,
+                    default: str = "en", out: str = "detected", profile_rows: int = PROFILE_ROWS) -> DataFrame:
+    """(key, detected): nearest profile; text without letters -> ``default``."""
+    sides = shared_profiles(profiles, profile_rows)
+    if sides is None:
+        return _detect_by_join(df, profiles, key, text, top, default, out)
+    return with_language(df, sides, text, top, default, out).select(key, out)
 
 
 def _detect_by_join(df: DataFrame, profiles: DataFrame, key: str, text: str, top: int, default: str, out: str) -> DataFrame:

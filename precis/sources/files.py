@@ -7,6 +7,7 @@ exchanges split and result files as CSV.  Iterative jobs persist each round as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from precis.session import scratch_path
+
 __all__ = [
     "PAIR_SCHEMA", "sample_pairs", "read_or_sample", "read_pairs_csv", "write_pairs_csv",
     "write_results_csv", "write_corpus_lines", "read_text_documents", "save_table",
-    "load_table", "import_bpe_files", "export_bpe_files", "path_exists", "drop_path", "ensure_artifact", "resume_from",
+    "load_table", "import_bpe_files", "export_bpe_files", "path_exists", "drop_path", "handed_over", "ensure_artifact", "resume_from",
     "save_round", "load_round", "SAMPLE_PAIRS",
 ]
 
@@ -157,6 +160,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def handed_over(df: DataFrame, tag: str, spark: SparkSession) -> tuple[DataFrame, str]:
+    """``df`` as a written table of the shared folder, read by ``spark`` (a stream's micro-batch has a session of its own), and its path."""
+    path = scratch_path(spark, f"{tag}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def ensure_artifact(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Load the artifact if it exists, else build it, write it, read it back."""
     if not path_exists(spark, f"{path}/_SUCCESS"):

@@ -66,6 +66,56 @@ def test_stream_summarize_equals_batch(spark, tmp_path):
     assert len(known) == len(set(known)) > 0 and memory.before(0).count() == 0
 
 
+def test_stream_summarize_works_out_its_seed_once(spark, tmp_path):
+    """What is known before the stream is read from a written table by every micro-batch; it counts as known there."""
+    from precis.operators import translate as tr
+    C._MEMO.clear()
+    prof = C.language_profiles(spark, SF_SMALL)
+    docs = tb.read_table(spark, SF_SMALL, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    seed = C.train_memory(spark, SF_SMALL)
+    n = seed.count()
+    memory = st.TranslationMemory(spark, str(tmp_path / "memory"), seed.mapInPandas(counted, tr.TM_SCHEMA))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(_several_files(docs, tmp_path / "in"))
+    got = st.stream_summarize(stream, "test", prof, tr.marker_translator, memory, pause=0.0)
+    assert got.count() == docs.count() and n > 0 and seen.value == n
+    assert memory.before(0).count() == n and memory.before(99).count() > n
+
+
+def test_multilingual_summaries_of_repeated_and_missing_keys(spark):
+    """Rows meet by their key in each of three joins; a row without a key is left out."""
+    from precis.operators import translate as tr
+    C._MEMO.clear()
+    prof = C.language_profiles(spark, SF_SMALL)
+    text = tb.read_table(spark, SF_SMALL, "documents").where("lang = 'de'").select("text").first()[0]
+    rows = [("a", text), ("b", text), ("b", "Only this. " + text), (None, text), ("c", None)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    got = tr.summarize_multilingual(docs, prof, spark.createDataFrame([], tr.TM_SCHEMA), tr.marker_translator, pause=0.0)
+    assert {r["id"]: r["count"] for r in got.groupBy("id").count().collect()} == {"a": 1, "b": 256, "c": 1}
+    assert got.where("id = 'b'").select("summary_en").distinct().count() == 2
+
+
+def test_stream_takes_files_by_their_bytes(spark, tmp_path):
+    """Files of a bounded number of bytes are a micro-batch, a larger one alone, and every row comes."""
+    docs = spark.createDataFrame([(i, "w " * 50) for i in range(400)], "doc_id bigint, text string")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def batches(max_bytes):
+        seen = []
+        run = lambda b, i: (seen.append(i), b)[1]
+        s = st.read_stream(spark, str(tmp_path), "documents", max_bytes=max_bytes)
+        assert st.run_batches_to_table(s, "test-bytes", run, docs.schema).distinct().count() == 400
+        return len(seen)
+
+    assert batches(1) == 8 and batches(1 << 30) == 1
+
+
 def test_buckets_over_several_batches_and_a_replay(spark, tmp_path):
     """Every id is emitted once, what is left is less than a batch, and running the last micro-batch again changes nothing."""
     rows = [(f"{i:04d}", 5 + 60 * (i % 7) + 500 * (i % 3 == 0)) for i in range(600)]
